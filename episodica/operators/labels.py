@@ -13,33 +13,33 @@ LEGAL_NEXT = {0: (0, 1), 1: (0, 1, 2), 2: (0, 2, 3), 3: (2, 3, 4), 4: (0, 4)}
 
 def nearest_phase(rows: DataFrame, phases: DataFrame, key: str) -> DataFrame:
     """For each row (key, ts, ord) the first phase (by pos) whose closed interval holds it, else the one with the nearest edge."""
-    p = phases.select(F.col(key).alias("k"), "pos", "phase", "start_t", "end_t")
+    p = phases.select(F.col(key).alias("__k"), "pos", "phase", "start_t", "end_t")
     inside = (F.col("ts") >= F.col("start_t")) & (F.col("ts") <= F.col("end_t"))
     distance = F.least(F.abs(F.col("ts") - F.col("start_t")), F.abs(F.col("ts") - F.col("end_t")))
     rank = F.struct((~inside).cast("int"), F.when(inside, 0).otherwise(distance), "pos")
-    return rows.join(p, F.col(key) == F.col("k"), "left").groupBy(key, "ts", "ord").agg(F.min_by("phase", rank).alias("phase"))
+    return rows.join(p, F.col(key) == F.col("__k"), "left").groupBy(key, "ts", "ord").agg(F.min_by("phase", rank).alias("phase"))
 
 
 def half_open_phase(rows: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """The phase with start_t <= ts < end_t, or -1."""
-    s = segments.select(F.col(key).alias("k"), "phase", "start_t", "end_t", "pos")
-    hit = (F.col(key) == F.col("k")) & (F.col("ts") >= F.col("start_t")) & (F.col("ts") < F.col("end_t"))
+    s = segments.select(F.col(key).alias("__k"), "phase", "start_t", "end_t", "pos")
+    hit = (F.col(key) == F.col("__k")) & (F.col("ts") >= F.col("start_t")) & (F.col("ts") < F.col("end_t"))
     return rows.join(s, hit, "left").groupBy(key, "ts", "ord").agg(F.coalesce(F.min_by("phase", "pos"), F.lit(-1)).alias("phase"))
 
 
 def densified(segments: DataFrame, episodes: DataFrame, key: str, fps: float) -> DataFrame:
     """(key, frame_idx, phase) for n_frames of each episode: the last segment begun at frame/fps, before the first one the first."""
     frames = episodes.select(F.col(key), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1)).alias("frame_idx"))
-    listed = segments.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list(F.struct("start_t", "pos", "phase"))).alias("s"))
+    listed = segments.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start_t", "pos", "phase"))).alias("s"))
     begun = F.filter("s", lambda x: x["start_t"] <= F.col("frame_idx") / fps)
     phase = F.coalesce(F.try_element_at(begun, F.lit(-1))["phase"], F.try_element_at(F.col("s"), F.lit(1))["phase"])
-    return frames.join(listed, F.col(key) == F.col("k")).select(key, "frame_idx", phase.alias("phase"))
+    return frames.join(listed, F.col(key) == F.col("__k")).select(key, "frame_idx", phase.alias("phase"))
 
 
 def written_back(frames: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Labels (key, frame_idx, phase) put on frames (key, frame_idx): too many are cut off, of too few the last one repeats."""
-    n = labels.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    at = frames.join(n, F.col(key) == F.col("k"), "left").withColumn("at", F.least(F.col("frame_idx"), F.col("n") - 1)).drop("k")
+    n = labels.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n"))
+    at = frames.join(n, F.col(key) == F.col("__k"), "left").withColumn("at", F.least(F.col("frame_idx"), F.col("n") - 1)).drop("__k")
     l = labels.select(F.col(key).alias("lk"), F.col("frame_idx").alias("li"), "phase")
     return at.join(l, (F.col(key) == F.col("lk")) & (F.col("at") == F.col("li")), "left").drop("lk", "li", "at", "n")
 
@@ -57,9 +57,9 @@ def schema_issues(segments: DataFrame, key: str) -> DataFrame:
 def contiguity_issues(segments: DataFrame, durations: DataFrame, key: str, gap: float = 0.05) -> DataFrame:
     """F16: the first broken rule of each key: start at 0, starts in order, neighbours within ``gap``, end at the duration."""
     w = Window.partitionBy(key).orderBy("pos")
-    d = durations.select(F.col(key).alias("k"), "duration")
-    s = segments.join(d, F.col(key) == F.col("k")).withColumn("prev_end", F.lag("end_t").over(w)).withColumn("prev_start", F.lag("start_t").over(w)).withColumn("next", F.lead("start_t").over(w))
-    rule = F.when(F.col("prev_end").isNull() & (F.abs("start_t") > gap), "start").when(F.col("start_t") < F.col("prev_start"), "order").when(F.abs(F.col("start_t") - F.col("prev_end")) > gap, "gap").when(F.col("next").isNull() & (F.abs(F.col("end_t") - F.col("duration")) > gap), "end")
+    d = durations.select(F.col(key).alias("__k"), F.col("duration").alias("__duration"))
+    s = segments.join(d, F.col(key) == F.col("__k")).withColumn("prev_end", F.lag("end_t").over(w)).withColumn("prev_start", F.lag("start_t").over(w)).withColumn("next", F.lead("start_t").over(w))
+    rule = F.when(F.col("prev_end").isNull() & (F.abs("start_t") > gap), "start").when(F.col("start_t") < F.col("prev_start"), "order").when(F.abs(F.col("start_t") - F.col("prev_end")) > gap, "gap").when(F.col("next").isNull() & (F.abs(F.col("end_t") - F.col("__duration")) > gap), "end")
     first = s.withColumn("rule", rule).where("rule is not null").groupBy(key).agg(F.min_by("rule", "pos").alias("rule"))
     return first.select(key, F.lit("error").alias("severity"), F.concat(F.lit("contiguity_"), "rule").alias("rule"))
 
@@ -82,9 +82,9 @@ def short_issues(segments: DataFrame, key: str, least: float = 0.1, sure: float
 def contact_issues(segments: DataFrame, frames: DataFrame, key: str, force: float = 3.0, apart: float = 0.2, contact: int = 2) -> DataFrame:
     """the first contact segment starts more than ``apart`` from the first frame (key, t, force, closed) with force, or else the first closing."""
     w = Window.partitionBy(key).orderBy("t")
-    onset = frames.withColumn("closing", (F.col("closed") == 1) & (F.lag("closed").over(w) == 0)).groupBy(F.col(key).alias("k")).agg(F.coalesce(F.min(F.when(F.col("force") > force, F.col("t"))), F.min(F.when(F.col("closing"), F.col("t")))).alias("onset"))
+    onset = frames.withColumn("closing", (F.col("closed") == 1) & (F.lag("closed").over(w) == 0)).groupBy(F.col(key).alias("__k")).agg(F.coalesce(F.min(F.when(F.col("force") > force, F.col("t"))), F.min(F.when(F.col("closing"), F.col("t")))).alias("onset"))
     first = segments.where(F.col("phase") == contact).groupBy(key).agg(F.min("start_t").alias("s"))
-    return _issue(first.join(onset, F.col(key) == F.col("k")).where(F.abs(F.col("s") - F.col("onset")) > apart), key, "warning", "contact_cross_check")
+    return _issue(first.join(onset, F.col(key) == F.col("__k")).where(F.abs(F.col("s") - F.col("onset")) > apart), key, "warning", "contact_cross_check")
 
 
 def coverage_issues(segments: DataFrame, key: str, expected: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
@@ -96,8 +96,8 @@ def coverage_issues(segments: DataFrame, key: str, expected: tuple[int, ...] = (
 def verdicts(keys: DataFrame, issues: list[DataFrame], key: str) -> DataFrame:
     """for each key the number of issues and whether none is an error."""
     all_ = reduce(DataFrame.unionByName, issues)
-    n = all_.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n_issues"), F.count_if(F.col("severity") == "error").alias("n_errors"))
-    out = keys.select(key).distinct().join(n, F.col(key) == F.col("k"), "left")
+    n = all_.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n_issues"), F.count_if(F.col("severity") == "error").alias("n_errors"))
+    out = keys.select(key).distinct().join(n, F.col(key) == F.col("__k"), "left")
     return out.select(key, F.coalesce("n_issues", F.lit(0)).alias("n_issues"), (F.coalesce("n_errors", F.lit(0)) == 0).alias("passed"))
 
 

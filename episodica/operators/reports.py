@@ -31,7 +31,7 @@ def agreement(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 def progress(points: DataFrame, key: str, goal: int) -> DataFrame:
     """(key, step, t): steps a second between the last two points, percent and hours left."""
     w = Window.partitionBy(key).orderBy(F.desc("step"))
-    last = points.withColumn("k", F.row_number().over(w)).withColumn("prev_step", F.lead("step").over(w)).withColumn("prev_t", F.lead("t").over(w)).where("k = 1")
+    last = points.withColumn("__k", F.row_number().over(w)).withColumn("prev_step", F.lead("step").over(w)).withColumn("prev_t", F.lead("t").over(w)).where("__k = 1")
     rate = (F.col("step") - F.col("prev_step")) / (F.col("t") - F.col("prev_t"))
     return last.withColumn("rate", F.when(F.col("t") > F.col("prev_t"), rate)).select(key, "step", "rate", (100.0 * F.col("step") / goal).alias("percent"), ((goal - F.col("step")) / F.col("rate") / 3600).alias("hours_left"))
 

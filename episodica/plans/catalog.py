@@ -1,4 +1,6 @@
-"""All queries over the given tables, by name."""
+"""All queries over the given tables, by name, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import episode_queries, table_queries  # noqa: F401  they register themselves
+from .binding import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
