@@ -63,43 +63,55 @@ class Node:
 
 
 def build(x: np.ndarray) -> list[Node]:
-    """Levels from the top, of fingerprints in Gray order; the last one's children are the fingerprints."""
-    full, levels = ~np.uint64(0), []
-    mask, pattern = np.full(len(x), full), x
+    """Levels from the top, of fingerprints (rows of words) in Gray order; the last one's children are the fingerprints."""
+    levels = []
+    mask, pattern = np.full_like(x, ~np.uint64(0)), x
     while len(pattern) > FAN or not levels:
         starts = np.arange(0, len(pattern), FAN)
-        ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
+        ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts, axis=0), np.bitwise_and.reduceat(~pattern & mask, starts, axis=0)
         levels.insert(0, Node(ones | zeros, ones, starts, np.diff(np.r_[starts, len(pattern)])))
         mask, pattern = ones | zeros, ones
     return levels
 
 
+def ones(words: np.ndarray) -> np.ndarray:
+    """Set bits of each row of words."""
+    return np.bitwise_count(words[:, 0]) if words.shape[1] == 1 else np.bitwise_count(words).sum(axis=1, dtype=np.int32)
+
+
 def search(x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of Gray-ordered distinct fingerprints that differ in at most ``bits`` bits, by blocks of queries."""
     levels = build(x)
     own = [levels[0].mask]  # bits that a node adds to those of its parent
     for above, below in zip(levels, levels[1:]):
-        own.append(below.mask & ~np.repeat(above.mask, above.count))
+        own.append(below.mask & ~np.repeat(above.mask, above.count, axis=0))
     for start in range(0, len(x), QUERIES):
         q = np.arange(start, min(start + QUERIES, len(x)))
         query, node = np.repeat(q, len(levels[0].mask)), np.tile(np.arange(len(levels[0].mask)), len(q))
-        far = np.zeros(len(query), np.uint8)
+        far = np.zeros(len(query), np.int32)
         for depth, level in enumerate(levels):
-            far = far + np.bitwise_count((x[query] ^ level.pattern[node]) & own[depth][node])
+            far = far + ones((x[query] ^ level.pattern[node]) & own[depth][node])
             keep = (far <= bits) & (level.first[node] + level.count[node] > 0)
             query, node, far = query[keep], node[keep], far[keep]
             times = level.count[node]
             child = np.repeat(level.first[node] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum()) if len(node) else node
             query, far, node = np.repeat(query, times), np.repeat(far, times), child
-        near = (np.bitwise_count(x[query] ^ x[node]) <= bits) & (query < node)
+        query, node = query[query < node], node[query < node]
+        near = ones(x[query] ^ x[node]) <= bits
         yield query[near], node[near]
 
 
 def spanning(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, smallest one of its local component) that connect all linked ones among the given distinct fingerprints."""
     x = x[np.argsort(gray_rank(x), kind="stable")]
-    label = np.arange(len(x))
-    for a, b in search(x, bits):
+    moved, label = joined(len(x), search(x[:, None], bits))
+    return x[moved], x[label[moved]]
+
+
+def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(members that have a smaller one in their component, the smallest of each member's component) for pairs of 0 to n - 1."""
+    label = np.arange(n)
+    for a, b in pairs:
         while True:  # hang the larger label below the smaller one until all pairs of the block agree
             la, lb = label[a], label[b]
             differ = la != lb
@@ -108,8 +120,7 @@ def spanning(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             np.minimum.at(label, np.maximum(la, lb)[differ], np.minimum(la, lb)[differ])
             while (label != label[label]).any():
                 label = label[label]
-    moved = np.flatnonzero(label != np.arange(len(x)))
-    return x[moved], x[label[moved]]
+    return np.flatnonzero(label != np.arange(n)), label
 
 
 def _masks(width: int, parts: int) -> list[tuple[int, int]]:
@@ -216,15 +227,23 @@ def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, id_co
 
     Rows of a class without any id keep one row too.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("\u0000")))
-    keyed = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("text"))
+    rows, keyed = keyed_rows(docs, id_col, text_col)
     prints = cut(map_prints(keyed, shingle))
-    member = cut(class_of_print(prints, bits))
+    return owned_rows(rows, prints, cut(class_of_print(prints, bits)))
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((r: the row, k), (id, k, text)), where k is the same for rows of the same id and text."""
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("\u0000")))
+    return docs.select(F.struct("*").alias("r"), key.alias("k")), docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("text"))
+
+
+def owned_rows(rows: DataFrame, prints: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows that own a class; prints (id, k, fp) and member (f, root) say which class a row is of."""
     # the owner of a class is the row that is least by (has an id, id, key); equal rows are one
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("k").alias("owner"))
     least = prints.groupBy("fp").agg(F.min(order).alias("first"))
     owner = least.join(member.hint("merge"), F.col("fp") == F.col("f")).groupBy("root").agg(F.min("first").alias("first")).select("first.owner")
     owner = written(owner, "owners")
-    rows = docs.select(F.struct("*").alias("r"), key.alias("k"))
     owned = rows.join(owner.hint("merge"), F.col("k") == F.col("owner"), "left_semi")
     return owned.dropDuplicates(["k"]).select("r.*")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.llm import ann_search, components, exact_topk, language_id, piece_codec, quality_model, simhash_dedup, source_mix, substring_dedup, token_count, warc_derivatives
+from episodica.llm import ann_search, components, exact_topk, language_id, near_texts, piece_codec, quality_model, simhash_dedup, source_mix, substring_dedup, token_count, warc_derivatives
 from episodica.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -182,6 +182,51 @@ def test_simhash_edges(spark, edges):
     assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5, 6, 7, 8]
 
 
+def plain_similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.fixture(scope="module")
+def families(spark):
+    """Originals with near copies at graded similarities, a family of many tight copies, and unlike texts."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for edits in (0, 1, 2, 3, 12, 25, 40):
+        for _ in range(12):
+            text = rng.choices(words, k=200)
+            copy = list(text)
+            for at in rng.sample(range(200), edits):
+                copy[at] = "new"
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    crowd = rng.choices(words, k=200)
+    for k in range(200):
+        copy = list(crowd)
+        copy[rng.randrange(200)] = f"x{k}"
+        rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("leaf", [4096, 25, 6])
+def test_near_texts_against_brute_force(spark, monkeypatch, families, leaf):
+    monkeypatch.setattr(near_texts, "LEAF_ROWS", leaf)  # small ones make nodes large: pivots, blocks, refinement
+    kept = {r.doc_id for r in near_texts.one_of_each(spark.createDataFrame(families, "doc_id long, text string")).collect()}
+    copies = len(families) - 200
+    assert kept & set(range(copies, len(families))) == {copies}
+    for i in range(0, copies, 2):
+        s = plain_similarity(families[i][1], families[i + 1][1])
+        assert i in kept
+        if abs(s - 0.8) > 0.08:
+            assert (i + 1 in kept) == (s < 0.8), s
+
+
+def test_near_texts_edges(spark, edges):
+    kept = near_texts.one_of_each(edges)
+    assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5, 6, 7, 8]
+    assert near_texts.one_of_each(edges.limit(0)).count() == 0
+
+
 def vectors_with_edges():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 16)).round(2).tolist()
