@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import piece_codec, quality_model, simhash_dedup, source_mix, substring_dedup
+from episodica.llm import near_texts, piece_codec, quality_model, source_mix, substring_dedup
 from episodica.llm.common import table, written
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: the one with the smallest id."""
-    return simhash_dedup.one_of_each(docs)
+    """One document of each class of near copies (five words, similarity 0.8): the one with the smallest id."""
+    return near_texts.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
