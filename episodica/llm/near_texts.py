@@ -1,20 +1,23 @@
 """Near copies of texts at a similarity of five-word shingle sets, by wide SimHash sketches in the Gray-order hierarchical index.
 
 64 bits can't tell a similarity of 0.8 from 0.6, so a text's sketch has ``WORDS`` words of 64 bits over its distinct shingles. Two sketches
-of sets with Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of their bits; texts link where they differ in no more than
-the share of the least similarity (an estimate: its standard error is about 0.026 at 0.8).
+of sets with Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of their bits. That estimates J with a standard error of about
+0.026 at 0.8, so pairs above the least similarity by ``MARGIN`` are links, pairs below it by as much are none, and those between are told
+by the exact similarity of their shingle sets. Of these a node gives a spanning forest between what sure links connect, which is linear;
+only where a pair of the forest is refused, all pairs between what is still apart in that node follow.
 
 Upper nodes are again patterns under masks of the first four words, but at this radius no set of disjoint masks is sure to agree, so
 masks are drawn until a pair at the least similarity shares one with probability ``RECALL``. A mask has more bits the more sketches
-there are, so that a node stays small. A node that is large nevertheless holds a group of copies: all its sketches within reach of one
-pivot are linked to it, which is linear, and only the others are still compared with all of the node, in blocks; where those others are
-many too, the node is refined by more masks. Below a node a task builds and searches the tree of ``simhash_dedup``.
+there are, so that a node stays small. A node that is large nevertheless holds a group of copies: all its sketches that are sure links of
+one pivot are linked to it, which is linear, and only the others are still compared with all of the node, in tiles of two blocks that
+hold at most about ``LEAF_ROWS``. So work is quadratic in such a node's texts out of its pivot's reach alone. Below a node a task builds and searches
+the tree of ``simhash_dedup``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,23 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_columns, small_batches, written
 from .components import components
-from .simhash_dedup import gray_rank, joined, keyed_rows, ones, owned_rows, search
+from .simhash_dedup import gray_rank, keyed_rows, merge_labels, ones, owned_rows, search
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Similarities that far from the least one are told by sketches, nearer ones by the texts: about three standard errors.
+MARGIN = 0.08
 #: 64-bit words of a sketch; those that masks and trees use.
 WORDS, INDEXED = 16, 4
-#: Sketches aimed at in a node, and the most below one node that a task searches.
+#: Sketches aimed at in a node, and the most (or about that) below one node that a task searches.
 NODE_ROWS, LEAF_ROWS = 1024, 4096
 #: Least bits of a mask.
 LEAST_BITS = 8
 #: Chance that a pair at the least similarity shares a node.
 RECALL = 0.99
-#: Most large nodes that are broadcast; beyond it they are joined by shuffle.
+#: Most keys (large nodes, texts to compare) that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_NODES = 500_000
+#: Unsure pairs that a task holds before it thins them to a forest.
+HELD_PAIRS = 1_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -128,93 +135,214 @@ def _with_nodes(rows: DataFrame, nodes: DataFrame, count: int, how: str) -> Data
     return rows.join(side, F.col("path") == F.col("p"), how)
 
 
-def _searched(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path, fp, sketch) -> (a, b): a spanning forest of the links in each node; holds one node at a time."""
-    most = round(share(similarity) * 64 * WORDS)
-    p = share(similarity)
-    reach = round(64 * INDEXED * p + 3 * math.sqrt(64 * INDEXED * p * (1 - p)))
+def _limits(similarity: float) -> tuple[int, int]:
+    """Most differing bits of a sure link and of a pair that may be one."""
+    return tuple(round(share(s) * 64 * WORDS) for s in (min(similarity + MARGIN, 1), max(similarity - MARGIN, 0)))
 
-    def edges(fp: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp, first = np.unique(fp, return_index=True)
-        order = np.lexsort([gray_rank(x[first, w]) for w in reversed(range(INDEXED))])
-        fp, x = fp[order], x[first][order]
 
-        def pairs():
-            for a, b in search(np.ascontiguousarray(x[:, :INDEXED]), reach):
-                near = ones(x[a] ^ x[b]) <= most
-                yield a[near], b[near]
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Positions of pairs that connect all components of ``label`` which the pairs connect, the closest first and no more than needed."""
+    label, at, chosen = label.copy(), np.argsort(far, kind="stable"), []
+    while True:
+        at = at[label[a[at]] != label[b[at]]]
+        if not len(at):
+            return np.concatenate(chosen) if chosen else at
+        ends = np.stack([label[a[at]], label[b[at]]], axis=1).ravel()
+        pick = at[np.unique(np.unique(ends, return_index=True)[1] // 2)]  # each component's closest pair
+        chosen.append(pick)
+        merge_labels(label, a[pick], b[pick])
+
 
-        moved, label = joined(len(x), pairs())
-        return fp[moved], fp[label[moved]]
+def _by_node(rows: DataFrame, edges: Callable, schema: str) -> DataFrame:
+    """(path, fp, sketch, more longs) -> what ``edges`` gives for the arrays (path, fp, sketches, ...) of each node; holds one node at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, fp, x = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WORDS), np.uint64)
+        held = None
 
         def done(until: int) -> Iterator[pa.RecordBatch]:
+            path = held[0]
             starts = np.flatnonzero(np.r_[True, path[1:until] != path[: until - 1]]) if until else np.empty(0, np.int64)
-            out = [edges(fp[i:j], x[i:j]) for i, j in zip(starts, np.r_[starts[1:], until]) if j - i > 1]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b"])
+            for i, j in zip(starts, np.r_[starts[1:], until]):
+                if j - i > 1:
+                    for columns in edges(*(x[i:j] for x in held)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         for batch in batches:
-            path, fp = np.r_[path, batch.column(0).to_numpy()], np.r_[fp, batch.column(1).to_numpy()]
-            x = np.concatenate([x, _words(batch.column(2))])
+            fresh = [_words(c) if k == 2 else c.to_numpy() for k, c in enumerate(batch.columns)]
+            held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
+            path = held[0]
             last = int(np.flatnonzero(path != path[-1])[-1]) + 1 if len(path) and path[0] != path[-1] else 0
             yield from done(last)
-            path, fp, x = path[last:], fp[last:], x[last:]
-        yield from done(len(path))
+            held = [x[last:] for x in held]
+        if held is not None:
+            yield from done(len(held[0]))
+
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, schema)
+
+
+def _close(x: np.ndarray, most: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, differing bits) of the pairs within ``most`` bits, by the tree, of sketches in Gray order."""
+    p = share(similarity)
+    reach = round(64 * INDEXED * p + 3 * math.sqrt(64 * INDEXED * p * (1 - p)))
+    for a, b in search(np.ascontiguousarray(x[:, :INDEXED]), reach):
+        far = ones(x[a] ^ x[b])
+        near = far <= most
+        yield a[near], b[near], far[near]
+
+
+def _in_order(fp: np.ndarray, x: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    fp, first = np.unique(fp, return_index=True)
+    order = np.lexsort([gray_rank(x[first, w]) for w in reversed(range(INDEXED))])
+    return [fp[order], *(y[first][order] for y in (x, *more))]
+
+
+def _searched(rows: DataFrame, similarity: float) -> DataFrame:
+    """(path, fp, sketch) -> (path, a, b, sure) in each node: edges that connect what sure links do, and pairs to tell that connect all else that may link."""
+    sure, most = _limits(similarity)
+
+    def edges(path: np.ndarray, fp: np.ndarray, x: np.ndarray):
+        fp, x = _in_order(fp, x)
+        label, held, size = np.arange(len(fp)), [], 0
+
+        def thinned() -> list:
+            a, b, far = (np.concatenate(c) for c in zip(*held))
+            keep = forest(label, a, b, far)
+            return [(a[keep], b[keep], far[keep])]
+
+        for a, b, far in _close(x, most, similarity):
+            merge_labels(label, a[far <= sure], b[far <= sure])
+            apart = (far > sure) & (label[a] != label[b])
+            held.append((a[apart], b[apart], far[apart]))
+            size += int(apart.sum())
+            if size > HELD_PAIRS:
+                held = thinned()
+                size = len(held[0][0])
+        moved = np.flatnonzero(label != np.arange(len(fp)))
+        yield np.full(len(moved), path[0]), fp[moved], fp[label[moved]], np.ones(len(moved), bool)
+        if size:
+            a, b, _ = thinned()[0]
+            yield np.full(len(a), path[0]), fp[a], fp[b], np.zeros(len(a), bool)
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+    return _by_node(rows, edges, "path long, a long, b long, sure boolean")
+
+
+def _apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """(path, fp, sketch, root) -> (a, b): all pairs in each node that may link and have different roots."""
+    most = _limits(similarity)[1]
+
+    def edges(path: np.ndarray, fp: np.ndarray, x: np.ndarray, root: np.ndarray):
+        fp, x, root = _in_order(fp, x, root)
+        for a, b, _ in _close(x, most, similarity):
+            differ = root[a] != root[b]
+            yield np.minimum(fp[a], fp[b])[differ], np.maximum(fp[a], fp[b])[differ]
+
+    return _by_node(rows, edges, "a long, b long")
 
 
 def _pivoted(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path, fp, sketch, pivot, centre) -> (path, fp, sketch, pivot, reached): whether the sketch links to the node's pivot."""
-    most = round(share(similarity) * 64 * WORDS)
+    """(path, fp, sketch, pivot, centre) -> (path, fp, sketch, pivot, reached): whether the sketch is a sure link of the node's pivot."""
+    sure = _limits(similarity)[0]
 
     def make():
         def step(batch):
-            return [*(batch.column(k) for k in range(4)), pa.array(ones(_words(batch.column(2)) ^ _words(batch.column(4))) <= most)]
+            return [*(batch.column(k) for k in range(4)), pa.array(ones(_words(batch.column(2)) ^ _words(batch.column(4))) <= sure)]
 
         return step
 
     return map_columns(rows, make, "path long, fp long, sketch binary, pivot long, reached boolean")
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(fp, sketch), distinct -> (a, b): edges that connect what links of ``similarity`` connect, but for pairs that share no mask."""
+def _told(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b), distinct -> (a, b, same): whether the shingle sets of two texts with these sketches have the least similarity."""
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "unsure-texts")
+    count = ends.count()
+    side = lambda df: df.hint("broadcast" if count <= BROADCAST_NODES else "merge")
+    chosen = written(nodes.join(side(ends), F.col("fp") == F.col("e")).select("e", F.col("k").alias("c")), "unsure-keys")
+    texts = keyed.join(side(chosen), F.col("k") == F.col("c")).select("e", "text")
+
+    def hashed():
+        return lambda batch: [batch.column(0), [shingles(t, shingle).tobytes() for t in batch.column(1).to_pylist()]]
+
+    def compared():
+        def same(x: bytes, y: bytes) -> bool:
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+        return lambda batch: [batch.column(0), batch.column(1), [same(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]]
+
+    sets = cut(map_columns(texts, hashed, "e long, hashes binary")).dropDuplicates(["e"])
+    first, second = (sets.select(F.col("e").alias(f"{c}e"), F.col("hashes").alias(f"{c}h")).hint("merge") for c in "ab")
+    rows = pairs.join(first, F.col("a") == F.col("ae")).join(second, F.col("b") == F.col("be")).select("a", "b", "ah", "bh")
+    return cut(map_columns(rows, compared, "a long, b long, same boolean"))
+
+
+def _routes(nodes: DataFrame, similarity: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(fp, sketch), distinct -> (tables (path, fp, sketch) of nodes to search, tables (a, b) of sure links to pivots)."""
     agree = 1 - share(similarity)
     width = max(LEAST_BITS, math.ceil(math.log2(max(nodes.count(), 1) / NODE_ROWS)))
-    here, found, level = nodes.select(F.lit(0).cast("long").alias("path"), "fp", "sketch"), [], 0
-    while True:
-        tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
-        routed = _routed(here, level, width, tables)
-        sizes = routed.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("fp").alias("pivot"))
-        large = written(sizes.where(F.col("n") > LEAF_ROWS), "large-nodes")
-        count = large.count()
-        found.append(_searched(_with_nodes(routed, large.select("p"), count, "left_anti") if count else routed, similarity))
-        if not count:
-            break
-        crowd = cut(_with_nodes(routed, large, count, "inner").select("path", "fp", "sketch", "n", "pivot"))
-        centre = written(crowd.where("fp = pivot").groupBy(F.col("path").alias("p")).agg(F.first("sketch").alias("centre")), "pivots")
-        told = cut(_pivoted(_with_nodes(crowd, centre, count, "inner").select("path", "fp", "sketch", "pivot", "centre"), similarity))
-        found.append(told.where("reached and fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-        # those out of reach meet all of their node, dealt in blocks, while they are few; else the node is refined
-        left = told.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.count_if(~F.col("reached")).alias("out"))
-        left = written(left.where("out > 0"), "out-of-reach")
-        rest = _with_nodes(told, left, count, "inner")
-        block = F.ceil(F.col("n") / LEAF_ROWS).cast("int")
-        dealt = rest.where(F.col("out") <= LEAF_ROWS).select(
-            "path", "fp", "sketch", F.explode(F.when(F.col("reached"), F.array(F.pmod(F.xxhash64("fp"), block).cast("int"))).otherwise(F.sequence(F.lit(0), block - 1))).alias("block")
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
+    routed = _routed(nodes.select(F.lit(0).cast("long").alias("path"), "fp", "sketch"), 0, width, tables)
+    sizes = routed.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("fp").alias("pivot"))
+    large = written(sizes.where(F.col("n") > LEAF_ROWS), "large-nodes")
+    count = large.count()
+    if not count:
+        return [routed], []
+    crowd = cut(_with_nodes(routed, large, count, "inner").select("path", "fp", "sketch", "pivot"))
+    centre = written(crowd.where("fp = pivot").groupBy(F.col("path").alias("p")).agg(F.first("sketch").alias("centre")), "pivots")
+    told = cut(_pivoted(_with_nodes(crowd, centre, count, "inner").select("path", "fp", "sketch", "pivot", "centre"), similarity))
+    # those out of reach meet each other and those within it, in tiles of two blocks
+    left = told.groupBy(F.col("path").alias("p")).agg(*[F.ceil(F.count_if(c) * 2 / LEAF_ROWS).cast("int").alias(n) for c, n in ((F.col("reached"), "inner"), (~F.col("reached"), "outer"))])
+    left = written(left.where("outer > 0"), "out-of-reach")
+    block = F.pmod(F.xxhash64("fp"), F.when(F.col("reached"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    outer = F.sequence(F.lit(0), F.col("outer") - 1)
+    tile = F.when(F.col("reached"), F.transform(outer, lambda o: F.xxhash64("path", F.lit("inner"), "block", o))).otherwise(
+        F.concat(
+            F.transform(outer, lambda o: F.xxhash64("path", F.lit("outer"), F.least("block", o), F.greatest("block", o))),
+            F.when(F.col("inner") > 0, F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda i: F.xxhash64("path", F.lit("inner"), i, "block"))).otherwise(F.array().cast("array<long>")),
         )
-        found.append(_searched(dealt.select(F.xxhash64("path", "block").alias("path"), "fp", "sketch"), similarity))
-        here = cut(rest.where(F.col("out") > LEAF_ROWS).select("path", "fp", "sketch"))
-        if here.isEmpty():
-            break
-        level, width = level + 1, LEAST_BITS
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges
+    )
+    tiles = _with_nodes(told, left, count, "inner").withColumn("block", block).select(F.explode(tile).alias("path"), "fp", "sketch")
+    small = _with_nodes(routed, large.select("p"), count, "left_anti")
+    return [small, tiles], [told.where("reached and fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def classes(nodes: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(node, root) of what links of ``similarity`` connect, but for pairs that share no mask; only nodes that have a link.
+
+    ``nodes`` has each distinct sketch (fp, sketch, k) with the key of one of its texts in ``keyed`` (id, k, text).
+    """
+    found, pivots = _routes(nodes, similarity)
+    searched = cut(_union([_searched(rows, similarity) for rows in found]))
+    edges = _union([searched.where("sure").select("a", "b"), *pivots])
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    unsure = written(searched.where("not sure").select(*pair, "path"), "unsure-pairs")
+    if unsure.isEmpty():
+        return components(edges)
+    told = _told(unsure.select("a", "b").distinct(), nodes, keyed, similarity, shingle)
+    edges = edges.unionByName(told.where("same").select("a", "b"))
+    roots = components(edges)
+    refused = told.where("not same").select(F.col("a").alias("ra"), F.col("b").alias("rb"))
+    paths = written(unsure.join(refused.hint("merge"), (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))).select(F.col("path").alias("p")).distinct(), "refused-nodes")
+    count = paths.count()
+    if not count:
+        return roots
+    # a refused pair of a forest may hide others between the same components: in its node all that are still apart follow
+    roots = cut(roots)
+    again = cut(_union([_with_nodes(rows, paths, count, "left_semi") for rows in found]))
+    rooted = again.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("path", "fp", "sketch", F.coalesce("root", "fp").alias("root"))
+    rest = _apart(rooted, similarity).distinct()
+    rest = rest.join(told.select(F.col("a").alias("ra"), F.col("b").alias("rb")).hint("merge"), (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")), "left_anti")
+    more = _told(cut(rest), nodes, keyed, similarity, shingle).where("same").select("a", "b")
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +353,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     """
     rows, keyed = keyed_rows(docs, id_col, text_col)
     prints = cut(sketches(keyed, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.first("sketch").alias("sketch")))
-    roots = components(links(nodes, similarity))
+    nodes = cut(prints.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.min("k").alias("k")))
+    roots = classes(nodes, keyed, similarity, shingle)
     member = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"))
     return owned_rows(rows, prints.select("id", "k", "fp"), cut(member))

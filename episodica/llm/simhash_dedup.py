@@ -108,18 +108,23 @@ def spanning(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return x[moved], x[label[moved]]
 
 
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of each pair in place; a component's label is its smallest member."""
+    while True:  # hang the larger label below the smaller one until all pairs agree
+        la, lb = label[a], label[b]
+        differ = la != lb
+        if not differ.any():
+            break
+        np.minimum.at(label, np.maximum(la, lb)[differ], np.minimum(la, lb)[differ])
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
 def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(members that have a smaller one in their component, the smallest of each member's component) for pairs of 0 to n - 1."""
     label = np.arange(n)
     for a, b in pairs:
-        while True:  # hang the larger label below the smaller one until all pairs of the block agree
-            la, lb = label[a], label[b]
-            differ = la != lb
-            if not differ.any():
-                break
-            np.minimum.at(label, np.maximum(la, lb)[differ], np.minimum(la, lb)[differ])
-            while (label != label[label]).any():
-                label = label[label]
+        merge_labels(label, a, b)
     return np.flatnonzero(label != np.arange(n)), label
 
 

@@ -182,11 +182,6 @@ def test_simhash_edges(spark, edges):
     assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5, 6, 7, 8]
 
 
-def plain_similarity(a, b):
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
 @pytest.fixture(scope="module")
 def families(spark):
     """Originals with near copies at graded similarities, a family of many tight copies, and unlike texts."""
@@ -208,17 +203,66 @@ def families(spark):
     return rows
 
 
-@pytest.mark.parametrize("leaf", [4096, 25, 6])
+def plain_owners(rows, least=0.8):
+    """The smallest id of each connected class, by all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    owner = list(range(len(rows)))
+
+    def top(i):
+        while owner[i] != i:
+            i = owner[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and top(i) != top(j):
+                owner[max(top(i), top(j))] = min(top(i), top(j))
+    return {rows[i][0] for i in range(len(rows)) if top(i) == i}
+
+
+@pytest.fixture(scope="module")
+def loose_families():
+    """Groups whose pairs have similarities all about the least one, so that most are told by the texts."""
+    rng = random.Random(11)
+    words, rows = [f"w{k}" for k in range(3000)], []
+    for size, edits in ((40, 2), (40, 3), (40, 4), (60, 5), (20, 1), (30, 8)):
+        text = rng.choices(words, k=150)
+        for _ in range(size):
+            copy = list(text)
+            for at in rng.sample(range(150), edits):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("leaf", [4096, 25])
 def test_near_texts_against_brute_force(spark, monkeypatch, families, leaf):
-    monkeypatch.setattr(near_texts, "LEAF_ROWS", leaf)  # small ones make nodes large: pivots, blocks, refinement
+    monkeypatch.setattr(near_texts, "LEAF_ROWS", leaf)  # small ones make nodes large: pivots and tiles
     kept = {r.doc_id for r in near_texts.one_of_each(spark.createDataFrame(families, "doc_id long, text string")).collect()}
-    copies = len(families) - 200
-    assert kept & set(range(copies, len(families))) == {copies}
-    for i in range(0, copies, 2):
-        s = plain_similarity(families[i][1], families[i + 1][1])
-        assert i in kept
-        if abs(s - 0.8) > 0.08:
-            assert (i + 1 in kept) == (s < 0.8), s
+    assert kept == plain_owners(families)
+
+
+@pytest.mark.parametrize("leaf, held", [(4096, 50), (25, 1_000_000)])
+def test_near_texts_about_the_least_similarity(spark, monkeypatch, loose_families, leaf, held):
+    monkeypatch.setattr(near_texts, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(near_texts, "HELD_PAIRS", held)
+    kept = {r.doc_id for r in near_texts.one_of_each(spark.createDataFrame(loose_families, "doc_id long, text string")).collect()}
+    want = plain_owners(loose_families)
+    assert 10 < len(want) < len(loose_families) - 50
+    assert kept == want
+
+
+def test_forest_connects_what_pairs_connect():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 60, (2, 90))
+    label = np.arange(60)
+    simhash_dedup.merge_labels(label, a[:20], b[:20])
+    keep = near_texts.forest(label, a, b, rng.integers(100, 200, 90))
+    got, want = label.copy(), label.copy()
+    simhash_dedup.merge_labels(got, a[keep], b[keep])
+    simhash_dedup.merge_labels(want, a, b)
+    assert (got == want).all() and len(keep) == len(np.unique(label)) - len(np.unique(want))
 
 
 def test_near_texts_edges(spark, edges):
