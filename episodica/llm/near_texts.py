@@ -4,7 +4,7 @@
 of sets with Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of their bits. That estimates J with a standard error of about
 0.026 at 0.8, so pairs above the least similarity by ``MARGIN`` are links, pairs below it by as much are none, and those between are told
 by the exact similarity of their shingle sets. Of these a node gives a spanning forest between what sure links connect, which is linear;
-only where a pair of the forest is refused, all pairs between what is still apart in that node follow.
+only where a pair of the forest is refused, what it connects is searched again with the shingle sets at hand, and no pair leaves the task.
 
 Upper nodes are again patterns under masks of the first four words, but at this radius no set of disjoint masks is sure to agree, so
 masks are drawn until a pair at the least similarity shares one with probability ``RECALL``. A mask has more bits the more sketches
@@ -169,7 +169,7 @@ def _by_node(rows: DataFrame, edges: Callable, schema: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         for batch in batches:
-            fresh = [_words(c) if k == 2 else c.to_numpy() for k, c in enumerate(batch.columns)]
+            fresh = [_words(c) if k == 2 else c.to_numpy(zero_copy_only=False) for k, c in enumerate(batch.columns)]
             held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
             path = held[0]
             last = int(np.flatnonzero(path != path[-1])[-1]) + 1 if len(path) and path[0] != path[-1] else 0
@@ -198,7 +198,10 @@ def _in_order(fp: np.ndarray, x: np.ndarray, *more: np.ndarray) -> list[np.ndarr
 
 
 def _searched(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path, fp, sketch) -> (path, a, b, sure) in each node: edges that connect what sure links do, and pairs to tell that connect all else that may link."""
+    """(path, fp, sketch) -> (path, patch, a, b, sure) in each node: edges that connect what sure links do, and pairs to tell that connect all else that may link.
+
+    Both kinds together connect a patch of the node, named by one of its sketches.
+    """
     sure, most = _limits(similarity)
 
     def edges(path: np.ndarray, fp: np.ndarray, x: np.ndarray):
@@ -218,28 +221,50 @@ def _searched(rows: DataFrame, similarity: float) -> DataFrame:
             if size > HELD_PAIRS:
                 held = thinned()
                 size = len(held[0][0])
-        moved = np.flatnonzero(label != np.arange(len(fp)))
-        yield np.full(len(moved), path[0]), fp[moved], fp[label[moved]], np.ones(len(moved), bool)
+        moved, patch = np.flatnonzero(label != np.arange(len(fp))), label
         if size:
             a, b, _ = thinned()[0]
-            yield np.full(len(a), path[0]), fp[a], fp[b], np.zeros(len(a), bool)
+            patch = label.copy()
+            merge_labels(patch, a, b)
+            yield np.full(len(a), path[0]), fp[patch[a]], fp[a], fp[b], np.zeros(len(a), bool)
+        yield np.full(len(moved), path[0]), fp[patch[moved]], fp[moved], fp[label[moved]], np.ones(len(moved), bool)
 
-    return _by_node(rows, edges, "path long, a long, b long, sure boolean")
+    return _by_node(rows, edges, "path long, patch long, a long, b long, sure boolean")
 
 
 def _apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path, fp, sketch, root) -> (a, b): all pairs in each node that may link and have different roots."""
+    """(path, fp, sketch, root, hashes) -> (a, b): links that connect what is alike in each patch and has different roots.
+
+    A task holds one patch: at most about ``LEAF_ROWS`` shingle sets.
+    """
     most = _limits(similarity)[1]
 
-    def edges(path: np.ndarray, fp: np.ndarray, x: np.ndarray, root: np.ndarray):
-        fp, x, root = _in_order(fp, x, root)
+    def edges(path: np.ndarray, fp: np.ndarray, x: np.ndarray, root: np.ndarray, hashes: np.ndarray):
+        fp, x, root, hashes = _in_order(fp, x, root, hashes)
+        label = np.unique(root, return_inverse=True)[1].astype(np.int64)
+        label = np.unique(label, return_index=True)[1][label]  # the first row of each root
+        sets, found = [np.frombuffer(h, np.uint64) for h in hashes], []
         for a, b, _ in _close(x, most, similarity):
-            differ = root[a] != root[b]
-            yield np.minimum(fp[a], fp[b])[differ], np.maximum(fp[a], fp[b])[differ]
+            apart = label[a] != label[b]
+            for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+                if label[i] != label[j] and _alike(sets[i], sets[j], similarity):
+                    merge_labels(label, np.array([i]), np.array([j]))
+                    found.append((fp[i], fp[j]))
+        if found:
+            yield np.array(found, np.int64).T
 
     return _by_node(rows, edges, "a long, b long")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted shingle sets have the least similarity."""
+    least, most = sorted((len(x), len(y)))
+    if least < similarity * most - 1e-9:
+        return False
+    both = least and int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def _pivoted(rows: DataFrame, similarity: float) -> DataFrame:
     """(path, fp, sketch, pivot, centre) -> (path, fp, sketch, pivot, reached): whether the sketch is a sure link of the node's pivot."""
     sure = _limits(similarity)[0]
@@ -253,9 +278,9 @@ def _pivoted(rows: DataFrame, similarity: float) -> DataFrame:
     return map_columns(rows, make, "path long, fp long, sketch binary, pivot long, reached boolean")
 
 
-def _told(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b), distinct -> (a, b, same): whether the shingle sets of two texts with these sketches have the least similarity."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "unsure-texts")
+def _sets(ends: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """(e), distinct sketches by their fp -> (e, hashes): the shingle set of one text of each."""
+    ends = written(ends, "unsure-texts")
     count = ends.count()
     side = lambda df: df.hint("broadcast" if count <= BROADCAST_NODES else "merge")
     chosen = written(nodes.join(side(ends), F.col("fp") == F.col("e")).select("e", F.col("k").alias("c")), "unsure-keys")
@@ -264,15 +289,16 @@ def _told(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: floa
     def hashed():
         return lambda batch: [batch.column(0), [shingles(t, shingle).tobytes() for t in batch.column(1).to_pylist()]]
 
-    def compared():
-        def same(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both >= similarity * (len(x) + len(y) - both) - 1e-9
+    return cut(map_columns(texts, hashed, "e long, hashes binary").dropDuplicates(["e"]))
+
 
+def _told(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), distinct -> (a, b, same): whether the shingle sets have the least similarity."""
+
+    def compared():
+        same = lambda x, y: _alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity)
         return lambda batch: [batch.column(0), batch.column(1), [same(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]]
 
-    sets = cut(map_columns(texts, hashed, "e long, hashes binary")).dropDuplicates(["e"])
     first, second = (sets.select(F.col("e").alias(f"{c}e"), F.col("hashes").alias(f"{c}h")).hint("merge") for c in "ab")
     rows = pairs.join(first, F.col("a") == F.col("ae")).join(second, F.col("b") == F.col("be")).select("a", "b", "ah", "bh")
     return cut(map_columns(rows, compared, "a long, b long, same boolean"))
@@ -321,27 +347,28 @@ def classes(nodes: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY,
     ``nodes`` has each distinct sketch (fp, sketch, k) with the key of one of its texts in ``keyed`` (id, k, text).
     """
     found, pivots = _routes(nodes, similarity)
-    searched = cut(_union([_searched(rows, similarity) for rows in found]))
+    searched = cut(_union([_searched(rows, similarity).withColumn("path", F.xxhash64("path", "patch")) for rows in found]))
     edges = _union([searched.where("sure").select("a", "b"), *pivots])
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     unsure = written(searched.where("not sure").select(*pair, "path"), "unsure-pairs")
     if unsure.isEmpty():
         return components(edges)
-    told = _told(unsure.select("a", "b").distinct(), nodes, keyed, similarity, shingle)
+    ends = unsure.select("a").distinct().unionByName(unsure.select(F.col("b").alias("a")).distinct()).select(F.col("a").alias("e")).distinct()
+    told = _told(unsure.select("a", "b").distinct(), _sets(ends, nodes, keyed, shingle), similarity)
     edges = edges.unionByName(told.where("same").select("a", "b"))
     roots = components(edges)
     refused = told.where("not same").select(F.col("a").alias("ra"), F.col("b").alias("rb"))
-    paths = written(unsure.join(refused.hint("merge"), (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))).select(F.col("path").alias("p")).distinct(), "refused-nodes")
-    count = paths.count()
+    patches = written(unsure.join(refused.hint("merge"), (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))).select(F.col("path").alias("p")).distinct(), "refused-patches")
+    count = patches.count()
     if not count:
         return roots
-    # a refused pair of a forest may hide others between the same components: in its node all that are still apart follow
+    # a refused pair of a forest may hide others between the same components: its patch is searched again with the sets
     roots = cut(roots)
-    again = cut(_union([_with_nodes(rows, paths, count, "left_semi") for rows in found]))
-    rooted = again.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("path", "fp", "sketch", F.coalesce("root", "fp").alias("root"))
-    rest = _apart(rooted, similarity).distinct()
-    rest = rest.join(told.select(F.col("a").alias("ra"), F.col("b").alias("rb")).hint("merge"), (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")), "left_anti")
-    more = _told(cut(rest), nodes, keyed, similarity, shingle).where("same").select("a", "b")
+    again = _with_nodes(searched, patches, count, "left_semi")
+    again = cut(again.select("path", F.col("a").alias("e")).unionByName(again.select("path", F.col("b").alias("e"))).distinct())
+    sets = _sets(again.select("e").distinct(), nodes, keyed, shingle)
+    about = sets.join(nodes.hint("merge"), F.col("e") == F.col("fp")).join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "sketch", F.coalesce("root", "fp").alias("root"), "hashes")
+    more = cut(_apart(again.join(about.hint("merge"), F.col("e") == F.col("fp")).select("path", "fp", "sketch", "root", "hashes"), similarity))
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
