@@ -1,8 +1,8 @@
 """Substring deduplication by content-defined chunks with a gear rolling hash.
 
 A chunk ends after white space where the gear hash of the last 16 bytes says so, hence an insertion moves only the chunks around it.
-Chunks meet by digest; a digest found in several documents belongs to the one with the smallest id, and in the others a run of such
-chunks with at least ``least_words`` words is a repeated passage.
+A span is the fewest whole chunks from one on, or up to one, that have at least ``least_words`` words. Spans meet by digest; one found in several
+documents belongs to the one with the smallest id, and in the others it is a repeated passage. Chunks that several documents hold one by one aren't.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from .common import map_columns, small_batches, written
 
 #: Bytes of a chunk: least, most; one in SPREAD white-space positions ends one.
 LEAST, MOST, SPREAD_BITS = 16, 512, 2
-#: Words of a run of repeated chunks from which it is a passage. The chunks at the ends of a repeated passage also hold text that differs, so a passage of 50 words must still count when it loses them.
+#: Words of a span from which it is a passage. The chunks at the ends of a repeated passage also hold text that differs, so a passage of 50 words must still count when it loses them.
 LEAST_WORDS = 25
 #: The gear table: one 16-bit number a byte value, by rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)
+#: Multiplier of the digests of spans, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -60,21 +63,33 @@ def chunks(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     return ends, words, np.array([digest(raw[i:j]) for i, j in zip([0, *ends], ends)], dtype=np.uint64).view(np.int64)
 
 
+def spans(words: np.ndarray, digests: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first chunks, chunks after the last, digests) of the spans: the shortest from each chunk on and the shortest up to each, so that those in a run with enough words cover it."""
+    total, least, n = np.r_[0, np.cumsum(words)], max(1, least_words), len(words) + 1
+    after = np.searchsorted(total, total + least)
+    before = np.searchsorted(total, total - least, "right") - 1
+    first, last = np.flatnonzero(after < n), np.flatnonzero(before >= 0)
+    first, after = np.divmod(np.unique(np.r_[first * n + after[first], before[last] * n + last]), n)
+    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(words), x, np.uint64)]) for x in (BASE, INVERSE))
+    sums = np.r_[np.uint64(0), np.cumsum(digests.view(np.uint64) * power[:-1])]
+    return first, after, ((sums[after] - sums[first]) * back[first]).view(np.int64)
+
+
 def _key(id_col: str, text_col: str):
     """A key that tells texts with the same id apart."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("\u0000")))
 
 
-def chunk_table(keyed: DataFrame) -> DataFrame:
-    """(id, k, digest), one row a distinct digest of a document."""
+def span_table(keyed: DataFrame, least_words: int) -> DataFrame:
+    """(id, k, digest), one row a distinct span of a document."""
     small_batches(keyed.sparkSession)
 
     def make():
         def step(batch):
             out = []
             for text in batch.column(2).to_pylist():
-                _, _, digests = chunks(text)
-                out.append(np.unique(digests))
+                _, words, digests = chunks(text)
+                out.append(np.unique(spans(words, digests, least_words)[2]))
             return [batch.column(0), batch.column(1), out]
 
         return step
@@ -83,21 +98,21 @@ def chunk_table(keyed: DataFrame) -> DataFrame:
     return map_columns(keyed, make, f"id {kind}, k long, digests array<long>").select("id", "k", F.explode("digests").alias("digest"))
 
 
-def repeated_chunks(keyed: DataFrame) -> DataFrame:
-    """(digest, owner): digests that several documents hold, and the smallest id that does. Combined before the shuffle, so a frequent chunk costs a row a task."""
-    counted = chunk_table(keyed).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("owner"))
-    return written(counted.where("n > 1").select("digest", "owner"), "chunks")
+def repeated_spans(keyed: DataFrame, least_words: int) -> DataFrame:
+    """(digest, owner): digests that several documents hold, and the smallest id that does. Combined before the shuffle, so a frequent span costs a row a task."""
+    counted = span_table(keyed, least_words).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("owner"))
+    return written(counted.where("n > 1").select("digest", "owner"), "spans")
 
 
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as (r: the row, n_chunks, n_words, repeated_words, cut_words, text: without the passages that another document owns).
 
     A null text stays null, an empty one empty. Rows with the same id are one document: they don't repeat each other. A null id owns a
-    chunk only where no other holder has an id, and then no holder loses it. Of a passage repeated within one document nothing is cut.
+    span only where no other holder has an id, and then no holder loses it. Of a passage repeated within one document nothing is cut.
     """
     keyed = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    owners = repeated_chunks(keyed).withColumnRenamed("digest", "d")
-    held = chunk_table(keyed).join(owners.hint("merge"), F.col("digest") == F.col("d"))
+    owners = repeated_spans(keyed, least_words).withColumnRenamed("digest", "d")
+    held = span_table(keyed, least_words).join(owners.hint("merge"), F.col("digest") == F.col("d"))
     mine = F.col("id").eqNullSafe(F.col("owner"))
     # a set, so that rows that repeat add nothing
     found = written(held.groupBy(F.col("k").alias("fk")).agg(F.collect_set(F.when(mine, F.col("digest"))).alias("kept"), F.collect_set(F.when(~mine, F.col("digest"))).alias("cut")), "held")
@@ -106,11 +121,11 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc
     return _cut(joined, least_words)
 
 
-def runs(flags: np.ndarray, words: np.ndarray, least_words: int) -> list[tuple[int, int]]:
-    """(first, after the last) of the runs of flagged chunks that have enough words."""
-    edges = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-    total = np.r_[0, np.cumsum(words)]
-    return [(i, j) for i, j in edges.reshape(-1, 2).tolist() if total[j] - total[i] >= least_words]
+def runs(first: np.ndarray, after: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(first, after the last) of the runs of chunks, of n, that the spans cover."""
+    depth = np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(after, minlength=n + 1))
+    edges = np.flatnonzero(np.diff(np.r_[0, (depth > 0).astype(np.int8)]))
+    return edges.reshape(-1, 2).tolist()
 
 
 def without_passages(text: str | None, kept: np.ndarray, cut: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[str | None, int, int, int, int]:
@@ -118,8 +133,8 @@ def without_passages(text: str | None, kept: np.ndarray, cut: np.ndarray, least_
     ends, words, digests = chunks(text)
     if not len(kept) and not len(cut):
         return text, len(ends), int(words.sum()), 0, 0
-    cuts = runs(np.isin(digests, cut), words, least_words)
-    repeats = runs(np.isin(digests, np.r_[kept, cut]), words, least_words)
+    first, after, found = spans(words, digests, least_words)
+    cuts, repeats = (runs(first[x], after[x], len(ends)) for x in (np.isin(found, cut), np.isin(found, np.r_[kept, cut])))
     raw, starts = (text or "").encode(), [0, *ends]
     if cuts:
         edges = [0, *(starts[x] for run in cuts for x in run), len(raw)]

@@ -370,6 +370,19 @@ def test_planted_passages_are_cut_and_clean_texts_stay(spark):
             assert row.n_words - row.cut_words == len(row.text.split()) and len(left) <= 60 and row.cut_words >= 30
 
 
+def test_chunks_of_many_documents_are_no_passage(spark):
+    """Every chunk of the last text is in some other document, but no 25 words in a row are."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    clean = [word() for _ in range(120)]
+    docs = [(k, " ".join([*(word() for _ in range(20)), *clean[at : at + 20], *(word() for _ in range(20))])) for k, at in enumerate(range(0, 101, 3))]
+    docs += [(1000, " ".join(clean)), (1001, " ".join(clean[30:90]))]
+    out = {r.r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not any(out[d].repeated_words for d, _ in docs[:-2])
+    assert out[1000].text == docs[-2][1] and not out[1000].cut_words and 30 <= out[1000].repeated_words <= 60
+    assert 30 <= out[1001].cut_words
+
+
 def test_chunks_resist_insertions_and_rejoin():
     rng = random.Random(2)
     text = " ".join("".join(rng.choices("abcdef", k=rng.randint(2, 8))) for _ in range(2000))
