@@ -1,8 +1,9 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its lossless decoding.
 
-The agenda holds candidate merges by score, then place. A candidate that comes up is skipped when a hash keyed by seed, variant, unit,
-place and piece falls below the dropout rate, so the same key gives the same segmentation anywhere. Segmentations are made
-of ordinary merges only and decode to the text.
+The agenda holds candidate merges by score, then place. Each candidate that comes up is skipped with the dropout rate, by hashes keyed by
+seed, document and the unit's place in it, so every occurrence of a word is segmented anew and reruns agree. The hashes give how many candidates
+come up from one skipped to the next. The pieces that follow from given skips are the same under any key, and workers
+remember them. Segmentations are made of ordinary merges only and decode to the text.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -19,11 +22,13 @@ from pyspark.sql import DataFrame
 from .common import map_columns, small_batches
 
 SPACE = "▁"
-#: Units that a worker remembers, and the characters of the longest one.
+#: Segmentations that a worker remembers, and the characters of the longest unit.
 CACHE, CACHED_CHARS = 800_000, 40
 # a unit: spaces and what follows up to the next space; line ends and a literal U+2581 stand alone, as no piece joins them to others
 UNITS = re.compile(r" *[^ \n▁]+| +|\n|▁").findall
 MASK = (1 << 64) - 1
+#: Candidates that one hash may pass over at most; more than come up in a remembered unit.
+FAR = 4096
 
 
 class Pieces:
@@ -49,23 +54,26 @@ class Pieces:
         place = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {p: place[s] for p, s in scores.items()}
 
-    def encode_unit(self, unit: str, dropout: float, key: int) -> list[int]:
+    def encode_unit(self, unit: str, skips: Iterable[int] = ()) -> tuple[int, list[int]]:
+        """(candidates that come up, pieces) of the unit where the candidates of these ascending numbers are skipped."""
         if unit in (SPACE, "\n"):  # a literal U+2581 goes as bytes, or it would come back as a space
-            return [self.byte[b] for b in unit.encode()]
+            return 0, [self.byte[b] for b in unit.encode()]
         symbol = [*unit.replace(" ", SPACE)]
         n, rank = len(symbol), self.rank
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         agenda = [r << 32 | i for i in range(n - 1) if (r := rank.get(symbol[i] + symbol[i + 1])) is not None]
         heapq.heapify(agenda)
-        limit = int(dropout * 2**64)
-        base = xxhash.xxh64_intdigest(unit, key & MASK) if limit else 0
+        skips, count = iter(skips), 0
+        skip = next(skips, -1)
         pop, push, get = heapq.heappop, heapq.heappush, rank.get
         while agenda:
             entry = pop(agenda)
             i = entry & 0xFFFFFFFF
             if not (left := symbol[i]) or (j := after[i]) >= n or get(made := left + symbol[j]) != entry >> 32:
                 continue  # a neighbour has been merged meanwhile
-            if limit and ((base ^ entry) * 0x9E3779B97F4A7C15 ^ base >> 31) * 0xD6E8FEB86659FD93 & MASK < limit:
+            count += 1
+            if count > skip >= 0:
+                skip = next(skips, -1)
                 continue  # dropped
             symbol[i], symbol[j] = made, ""
             k = after[i] = after[j]
@@ -83,7 +91,7 @@ class Pieces:
             else:
                 out += [self.byte[b] for b in (" " if s == SPACE else s).encode()]
             i = after[i]
-        return out
+        return count, out
 
     def decode(self, ids: list[int]) -> str:
         """The text; the space that encoding puts in front goes."""
@@ -100,54 +108,101 @@ def pieces(path: str | None) -> Pieces:
     return Pieces(path)
 
 
+def mixed(x, mask=MASK):
+    """A hash of a 64-bit number (the finish of SplitMix64), or of each one of an array."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
 class Encoder:
-    """Encodes whole texts; remembers units for each of ``variants`` keys, so that texts vary and frequent units stay cheap."""
+    """Encodes whole texts; remembers what follows from given skips, never what a key gave. ``variants``: documents share that many keys; without it each has its own."""
 
-    def __init__(self, vocabulary: Pieces, dropout: float, seed: int, variants: int):
-        self.p, self.dropout, self.seed, self.variants = vocabulary, dropout, seed, variants if dropout else 1
+    def __init__(self, vocabulary: Pieces, dropout: float, seed: int, variants: int | None = None):
+        self.p, self.dropout, self.seed, self.variants = vocabulary, dropout, seed, variants
         self.kind = np.dtype("<u2") if len(vocabulary.surface) <= 1 << 16 else np.dtype("<u4")
-        self.known = [self._memory(seed * 1_000_003 + v, CACHE // self.variants) for v in range(self.variants)]
-
-    def _memory(self, key: int, most: int) -> dict[str, bytes]:
-        encode_unit, dropout, code = self.p.encode_unit, self.dropout, self.kind.char
+        # a hash passes over at least g candidates below the g-th of these from the end
+        self.limits = [min(MASK, int((1 - dropout) ** g * 2**64)) for g in range(FAR, 0, -1)]
+        self.limits_array = np.array(self.limits, np.uint64)
+        self.plain: dict[str, tuple[int, bytes] | None] = {}
+        segmented = self._segmented
 
         class Memory(dict):
-            def __missing__(self, unit: str) -> bytes:
-                ids = array(code, encode_unit(unit, dropout, key)).tobytes()
-                if len(unit) <= CACHED_CHARS:
-                    if len(self) >= most:
-                        self.clear()
-                    self[unit] = ids
-                return ids
-
-        return Memory()
+            """(unit, numbers of the skipped candidates) to (candidates, pieces)."""
+
+            def __missing__(self, of: tuple) -> tuple[int, bytes]:
+                if len(self) >= CACHE // 2:
+                    self.clear()
+                self[of] = out = segmented(of[0], of[1:])
+                return out
+
+        self.varied = Memory()
+
+    def _segmented(self, unit: str, skips: Iterable[int]) -> tuple[int, bytes]:
+        n, ids = self.p.encode_unit(unit, skips)
+        return n, array(self.kind.char, ids).tobytes()
+
+    def _skips(self, start: int) -> Iterator[int]:
+        """Numbers of the candidates that are skipped where the unit's hash is ``start``."""
+        number, limits, turn = 0, self.limits, start
+        while self.dropout > 0:
+            gap = FAR - bisect_right(limits, mixed(turn))
+            number += gap
+            if gap < FAR:
+                yield number
+                number += 1
+            turn = turn + 0x9E3779B97F4A7C15 & MASK
 
     def __call__(self, text: str, key: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.kind)
-        known = self.known[xxhash.xxh64_intdigest(key, self.seed) % self.variants]
-        return np.frombuffer(b"".join(map(known.__getitem__, UNITS(" " + text))), self.kind)
+        units, seed = UNITS(" " + text), self.seed & MASK
+        base = xxhash.xxh64_intdigest(key, seed)
+        if self.variants:
+            base = xxhash.xxh64_intdigest(str(base % self.variants), seed)
+        starts = mixed(np.arange(len(units), dtype=np.uint64) + np.uint64(base))
+        firsts = (FAR - np.searchsorted(self.limits_array, mixed(starts), "right")).tolist()
+        plain, varied, out = self.plain, self.varied, []
+        for k, (unit, number) in enumerate(zip(units, firsts)):
+            if not (x := plain.get(unit)):
+                if unit not in plain:  # long, or met for the first time: many never come again
+                    out.append(self._segmented(unit, self._skips(int(starts[k])))[1])
+                    if len(unit) <= CACHED_CHARS:
+                        if len(plain) >= CACHE // 2:
+                            plain.clear()
+                        plain[unit] = None
+                    continue
+                x = plain[unit] = self._segmented(unit, ())
+            if number < x[0] and self.dropout > 0:
+                of = (unit,)
+                for number in self._skips(int(starts[k])):
+                    if number >= x[0]:
+                        break
+                    of = *of, number
+                    x = varied[of]
+            out.append(x[1])
+        return np.frombuffer(b"".join(out), self.kind)
 
 
 @cache
-def encoder_of(model: str | None, dropout: float, seed: int, variants: int) -> Encoder:
+def encoder_of(model: str | None, dropout: float, seed: int, variants: int | None) -> Encoder:
     """One a worker process, so that its memory lasts from task to task."""
     return Encoder(pieces(model), dropout, seed, variants)
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 11, variants: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 11, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text: id, pieces, n_pieces, pieces_hash, lossless (whether decoding gives the text back).
 
     ``model``: path of the model on each worker, by default that of the installed public tokenizers. With dropout 0 the pieces are
-    the library's (but for a literal U+2581, which goes as bytes). Otherwise the hash's key depends on the seed and on which of
-    ``variants`` the id falls to: reruns agree, documents differ. Null and empty texts have no pieces; rows that repeat get
+    the library's (but for a literal U+2581, which goes as bytes). Otherwise the hash's key is the seed, the id (or which of
+    ``variants`` it falls to, if given) and the place of the unit: reruns agree, documents and occurrences differ. Null and empty texts have no pieces; rows that repeat get
     the same ones; a null id is a key of its own. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
 
     def make():
         vocabulary = pieces(model)
-        encoder = Encoder(vocabulary, dropout, seed, variants)
+        encoder = encoder_of(model, dropout, seed, variants)
 
         def step(batch):
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -344,6 +344,19 @@ def test_any_text_decodes():
         assert p.decode(e(s, str(k)).tolist()) == s
 
 
+def test_every_occurrence_is_segmented_anew(spark):
+    text = "preparation of demonstration recordings " * 30
+    rows = piece_codec.encode(spark.createDataFrame([(k, text) for k in range(60)], "doc_id long, text string")).collect()
+    assert all(r.lossless for r in rows) and len({tuple(r.pieces) for r in rows}) == 60
+    rng, p = random.Random(7), piece_codec.pieces(None)
+    e = piece_codec.Encoder(p, 0.1, 11)
+    got = [tuple(e("demonstration", str(k)).tolist()) for k in range(20_000)]
+    want = [tuple(p.encode_unit(" demonstration", [i for i in range(100) if rng.random() < 0.1])[1]) for _ in range(20_000)]
+    assert all(abs(got.count(x) - want.count(x)) < 400 for x in {*got, *want}) and len(set(got)) > 5
+    e = piece_codec.Encoder(p, 0.1, 11)  # what is remembered changes nothing
+    assert [tuple(e("demonstration", str(k)).tolist()) for k in reversed(range(20_000))] == got[::-1]
+
+
 def planted(seed):
     rng = random.Random(seed)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
