@@ -37,6 +37,12 @@ def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_merged_stats_of_every_dimension(spark, db):
+    got = catalog.QUERIES["e9_whole_merged_stats"](spark, DATA).where("stat = 'count'").collect()
+    want = db.execute("SELECT max(len(embedding)), count(*) FROM embeddings").fetchone()
+    assert sorted(r.pos for r in got) == list(range(want[0])) and {r.value for r in got} == {want[1]}
+
+
 def test_entry(spark):
     import __spark_entry__
 
