@@ -33,7 +33,7 @@ def op5_ann_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode(table(spark, sf_dir, "documents")).drop("pieces")
+    return piece_codec.encode(table(spark, sf_dir, "documents"), with_pieces=False)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
