@@ -113,10 +113,14 @@ def top_scores(table: DataFrame, k: int = 20, every: int = 20, factor: float = 6
 
     Queries are the rows whose id is divisible by ``every``. Vectors that are null or empty or hold a null or non-finite component take no
     part; zero vectors do; vectors of another dimension aren't compared; with fewer candidates all are returned. Rows that
-    share a query's id count as its own; a query row that repeats answers once; a candidate without an id is returned without
-    one, after ties that have one. Scores beyond 2**53 are computed in 64-bit integers. Other columns are ignored.
+    share a query's id count as its own, however many; a query row that repeats answers once, and of an id with several vectors each is a
+    query; a candidate that repeats is found as often as it occurs; one without an id is returned without
+    one, after ties that have one. Scores beyond 2**53 are computed in 64-bit integers; a vector of n components with one of
+    which floor(factor * component) is beyond sqrt(2**62 / n) takes no part, as its scores may not fit into 64 bits. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
     """
     rows = vectors(table, id_col, vector_col)
+    rows = rows.where(F.array_max(F.transform("v", lambda x: F.abs(x * factor))) + 1 <= F.sqrt(F.lit(2.0**62) / F.size("v")))
     queries = query_rows(rows, every)
     asked, candidates, slots = laid_out(rows, queries)
     candidates = cut(candidates)

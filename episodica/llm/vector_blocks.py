@@ -15,6 +15,8 @@ from .common import cut
 
 #: Vectors in a block of queries, in a block of candidates, and queries that one product holds at a time.
 QUERY_ROWS, CANDIDATE_ROWS, STRIP = 2048, 8192, 128
+#: Candidates that a task holds at most, or about that.
+SLOT_ROWS = 4 * CANDIDATE_ROWS
 PACKED = "slot long, kind int, dim int, n int, ids binary, keys binary, vectors binary, extra binary"
 
 
@@ -70,15 +72,20 @@ class Block:
         self.extra = np.frombuffer(row["extra"], np.int64).reshape(n, -1)
 
 
+def places(group: np.ndarray) -> np.ndarray:
+    """How many rows of its group stand before each row; groups are runs."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+
+
 def fewest_copies(block: Block, k: int) -> Block:
-    """Of equal vectors only the k + 1 smallest ids can be among a query's best k."""
-    order = np.argsort(block.ids, kind="stable")
-    flat = np.ascontiguousarray(block.v[order]) + 0.0  # one zero
+    """Of equal vectors only these can be among a query's best k: k rows of each id, and of these the 2k of smallest ids, as a query leaves out at most the k of its own id."""
+    flat = np.ascontiguousarray(block.v) + 0.0  # one zero
     _, which = np.unique(flat.view(np.dtype((np.void, flat.shape[1] * 8))).ravel(), return_inverse=True)
-    by = np.argsort(which, kind="stable")
-    starts = np.flatnonzero(np.r_[True, which[by][1:] != which[by][:-1]])
-    nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
-    keep = order[np.sort(by[nth <= k])]
+    order = np.lexsort((block.ids, which))
+    _, pair = np.unique(np.stack([which[order], block.ids[order]]), axis=1, return_inverse=True)
+    order = order[places(pair.ravel()) < k]
+    keep = np.sort(order[places(which[order]) < 2 * k])
     block.ids, block.v = block.ids[keep], block.v[keep]
     return block
 
@@ -86,7 +93,7 @@ def fewest_copies(block: Block, k: int) -> Block:
 def tiles(queries: DataFrame, candidates: DataFrame, slots: int, k: int, tile: Callable[[Block, Block], Iterator[tuple]], schema: str) -> DataFrame:
     """Runs ``tile`` on each block of queries with each block of candidates of its dimension.
 
-    Blocks of candidates lie in ``slots`` slots; every block of queries is sent once to each slot. A task holds one slot's
+    Blocks of candidates lie in ``slots`` slots, each a task of its own; every block of queries is sent once to each slot. A task holds one slot's
     candidate blocks and one query block at a time. ``tile`` yields rows of ``schema``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -111,7 +118,7 @@ def tiles(queries: DataFrame, candidates: DataFrame, slots: int, k: int, tile: C
                             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     sent = queries.drop("slot").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    both = candidates.unionByName(sent).repartition(slots, "slot").sortWithinPartitions("slot", "kind")
+    both = candidates.unionByName(sent).repartitionById(slots, F.col("slot").cast("int")).sortWithinPartitions("slot", "kind")
     return both.mapInArrow(run, schema)
 
 
@@ -159,10 +166,10 @@ def merged(lists: DataFrame, k: int, kind: str) -> DataFrame:
 
 
 def laid_out(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Packed queries, packed candidates and the number of candidate slots."""
-    slots = max(1, math.ceil(rows.count() / CANDIDATE_ROWS))
-    return packed(queries, 1, max(1, math.ceil(queries.count() / QUERY_ROWS)), QUERY_ROWS), packed(rows, 0, slots, CANDIDATE_ROWS), slots
+    """Packed queries, packed candidates and the number of candidate slots.
 
-
-def stored(rows: DataFrame) -> DataFrame:
-    return cut(rows)
+    A slot holds several blocks of candidates, so that queries are sent to few slots, but there are enough slots for all cores.
+    """
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    slots = max(1, math.ceil(n / SLOT_ROWS), min(math.ceil(n / QUERY_ROWS), 2 * cores))
+    return packed(queries, 1, max(1, math.ceil(queries.count() / QUERY_ROWS)), QUERY_ROWS), packed(rows, 0, slots, CANDIDATE_ROWS), slots
