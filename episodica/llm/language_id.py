@@ -20,14 +20,13 @@ CACHE = 400_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_docs`` bounds the labelled sample that the driver gets (about as many of each language); ``languages`` bounds the classes (the most frequent ones)."""
+    """``train_docs`` bounds the labelled sample that the driver gets: about as many of each language, at least one. A model has a weight for each bucket and language."""
 
     buckets: int = 1 << 15
     dim: int = 16
     least: int = 2
     most: int = 4
     train_docs: int = 1500
-    languages: int = 200
     epochs: int = 12
     rate: float = 0.5
     #: Share of the sample kept from training, for temperature and rejection.
@@ -37,6 +36,11 @@ class Settings:
     seed: int = 17
 
 
+def lettered(words) -> list[str]:
+    """The words that have a letter: the pattern also lets numerals through that aren't digits, such as ² or Ⅷ."""
+    return [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def subwords(words: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed character n-grams of the words with their ends marked, and the whole words: (buckets, number of the word) pairs, by word."""
     lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
@@ -77,6 +81,23 @@ class Model:
     temperature: float = 1.0
     threshold: float = 0.0
     history: list[float] = field(default_factory=list)
+    #: Row of each word met so far in ``sums``: a worker keeps the broadcast model, so these last from task to task.
+    known: dict[str, int] = field(default_factory=dict, repr=False, compare=False)
+    sums: np.ndarray | None = field(default=None, repr=False, compare=False)
+
+    def learned(self, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
+        """(row of each word, sums by row); a word without a letter adds nothing."""
+        new = [*(words - self.known.keys())]
+        if self.sums is None or len(self.known) + len(new) > CACHE:  # start anew with these words
+            self.known.clear()
+            self.sums, new = np.zeros((0, len(self.langs) + 1)), [*words]
+        if new:
+            rows = np.zeros((len(new), len(self.langs) + 1))
+            if real := lettered(new):
+                rows[[k for k, w in enumerate(new) if w.isalpha() or any(map(str.isalpha, w))]] = sums_by_word(self.logits, real, self.settings)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.sums = np.concatenate([self.sums, rows])
+        return self.known, self.sums
 
     def probabilities(self, totals: np.ndarray, n: np.ndarray) -> np.ndarray:
         z = (totals / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
@@ -92,10 +113,10 @@ def features(docs: DataFrame, s: Settings) -> DataFrame:
             found = []
             for text in batch.column(1).to_pylist():
                 total = np.zeros(s.buckets)
-                if words := WORDS((text or "").lower()):
-                    seen = Counter(words)
-                    times = np.fromiter(seen.values(), np.float64, len(seen))
-                    for ids, owner in subwords([*seen], s):
+                seen = Counter(WORDS((text or "").lower()))
+                if words := lettered(seen):
+                    times = np.fromiter((seen[w] for w in words), np.float64, len(words))
+                    for ids, owner in subwords(words, s):
                         total += np.bincount(ids, times[owner], s.buckets)
                 ids = np.flatnonzero(total)
                 found.append((ids, total[ids].astype(np.int64)))
@@ -107,19 +128,21 @@ def features(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a hash-chosen sample of the labelled texts, about ``s.train_docs`` in all and as many of each language."""
+    """Learn from a hash-chosen sample of the labelled texts, about ``s.train_docs`` in all and as many of each language.
+
+    The driver gets one row a language and the sample. Rows of the same id and text are chosen together; without any labelled text
+    with a letter every language is as likely. Languages of any number are learned.
+    """
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(s.languages).collect()
+    sizes = labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).collect()
     langs = sorted(r["l"] for r in sizes)
     if not langs:
         return Model(["und"], s, np.zeros((s.buckets, 1), np.float32), np.zeros(1, np.float32))
     quota = max(1, s.train_docs // len(langs))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r["l"], min(1.0, quota / r["n"])).otherwise(share)
-    picked = labelled.where(hash_share(row_hash(id_col, seed=s.seed), share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = features(picked, s).limit(4 * s.train_docs).toArrow()
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, quota / r["n"]))]), F.col(lang_col))
+    picked = labelled.where(hash_share(row_hash(id_col, text_col, seed=s.seed), share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = features(picked, s).limit(4 * max(s.train_docs, len(langs))).toArrow()
     order = sorted(range(rows.num_rows), key=lambda k: (rows["lang"][k].as_py(), rows["ids"][k].as_py()))
     at = {x: k for k, x in enumerate(langs)}
     cases = [(at[rows["lang"][k].as_py()], rows["ids"][k].values.to_numpy(), rows["counts"][k].values.to_numpy()) for k in order if len(rows["ids"][k])]
@@ -175,7 +198,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """Language of every whole text: id, lang_pred, score, accepted.
 
     ``score`` is the calibrated probability of ``lang_pred``; ``accepted`` says whether it reaches the model's rejection threshold.
-    A text that is null or has no letter gets ``und``, 0 and false; rows that repeat get the same answer; other columns are ignored.
+    A text that is null or has no letter gets ``und``, 0 and false; rows that repeat get the same answer; of equally likely languages the
+    first by name is given; texts of any length are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded by the settings
@@ -183,20 +207,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def make():
         m = shared.value
         n_lang = len(m.langs)
-        known: dict[str, int] = {}  # word -> row of sums
-        sums = np.zeros((0, n_lang + 1))
 
         def step(batch):
-            nonlocal sums
             texts = [WORDS(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
-            words = set().union(*texts)
-            new = [*(words - known.keys())]
-            if len(known) + len(new) > CACHE:  # start anew with this batch's words
-                known.clear()
-                sums, new = sums[:0], [*words]
-            if new:
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                sums = np.concatenate([sums, sums_by_word(m.logits, new, m.settings)])
+            known, sums = m.learned(set().union(*texts))
             totals = np.array([sums[np.fromiter(map(known.__getitem__, t), np.int64, len(t))].sum(axis=0) for t in texts]).reshape(-1, n_lang + 1)
             n = totals[:, n_lang]
             p = m.probabilities(totals[:, :n_lang], n)
