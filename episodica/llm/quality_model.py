@@ -68,7 +68,7 @@ FORMS = _Forms()
 
 def shape(token: str) -> str:
     """Runs of lower case, upper case and digits as a, A, 0; each other run of one character once."""
-    return AGAIN(r"\1", token[:64].translate(FORMS))
+    return AGAIN(r"\1", token.translate(FORMS))
 
 
 class Tokens(dict):
@@ -129,7 +129,10 @@ def rated_features(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
-    """Learn from ``ratings`` (id, grade from 0); a hash-chosen sample of about ``s.train_docs`` of them, joined to the texts as a broadcast of that bounded size."""
+    """Learn from ``ratings`` (id, grade from 0); a hash-chosen sample of about ``s.train_docs`` of them, joined to the texts as a broadcast of that bounded size.
+
+    Ratings without an id or grade and texts that are null don't count; an id that is rated twice counts twice.
+    """
     rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull())
     n = rated.count()
     picked = rated.where(hash_share(row_hash(id_col, seed=s.seed), min(1.0, s.train_docs / max(n, 1)))).limit(2 * s.train_docs)
@@ -192,7 +195,8 @@ def grade(docs: DataFrame, model: Model, least_tail: float = 0.5, id_col: str =
     """Every row of ``docs`` as (r: the row, score, expected_grade, tail_probability of the highest grade, keep).
 
     ``keep``: the tail probability reaches ``least_tail``. A text that is null or has no word has nothing to grade: its
-    values are null and it isn't kept. Rows that repeat get the same values.
+    values are null and it isn't kept. Rows that repeat get the same values; texts and tokens of any length are read whole; an empty table
+    gives an empty result; other columns are carried, whatever their names. A model of no or one grade keeps what has a word.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most a weight for each feature of the bounded sample
