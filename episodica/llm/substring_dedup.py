@@ -1,6 +1,7 @@
 """Substring deduplication by content-defined chunks with a gear rolling hash.
 
-A chunk ends after white space where the gear hash of the last 16 bytes says so, hence an insertion moves only the chunks around it.
+A chunk ends after white space where the gear hash of the last 16 bytes says so, hence an insertion moves only the chunks around it. Where
+white space is far away, as in scripts that don't write it, a chunk ends after any character where the hash says so.
 A span is the fewest whole chunks from one on, or up to one, that have at least ``least_words`` words. Spans meet by digest; one found in several
 documents belongs to the one with the smallest id, and in the others it is a repeated passage. Chunks that several documents hold one by one aren't.
 """
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, small_batches, written
 
-#: Bytes of a chunk: least, most; one in SPREAD white-space positions ends one.
-LEAST, MOST, SPREAD_BITS = 16, 512, 2
+#: Bytes of a chunk: least, most; of 2**SPREAD_BITS white-space positions one ends a chunk.
+LEAST, MOST, SPREAD_BITS = 16, 256, 2
+#: Bytes without white space from which on other characters end chunks too, of 2**FAR_BITS one.
+FAR, FAR_BITS = 48, 3
+#: Characters of one word; of a longer run each EACH characters beyond count as a word more.
+WORD_CHARS, EACH = 24, 3
 #: Words of a span from which it is a passage. The chunks at the ends of a repeated passage also hold text that differs, so a passage of 50 words must still count when it loses them.
 LEAST_WORDS = 25
 #: The gear table: one 16-bit number a byte value, by rule.
@@ -34,15 +39,20 @@ def boundaries(data: np.ndarray) -> list[int]:
     for shift in (1, 2, 4, 8):  # the hash of 2, 4, 8 and 16 bytes
         if len(h) > shift:
             h = np.concatenate([h[:shift], h[shift:] + (h[:-shift] << np.uint16(shift))])
-    ends, out, last = (np.flatnonzero(SPACE[data] & (h >> np.uint16(16 - SPREAD_BITS) == 0)) + 1).tolist(), [], 0
+    space = SPACE[data]
+    fit = space & (h >> np.uint16(16 - SPREAD_BITS) == 0)
+    inner = np.r_[data[1:] & 0xC0 == 0x80, False]  # the next byte goes on with a character
+    if len(data) > FAR and np.diff(np.r_[-1, np.flatnonzero(space), len(data)]).max() > FAR:
+        at = np.arange(len(data))
+        fit |= (at - np.maximum.accumulate(np.where(space, at, -1)) > FAR) & ~inner & (h >> np.uint16(16 - FAR_BITS) == 0)
+    ends, out, last = (np.flatnonzero(fit) + 1).tolist(), [], 0
     ends.append(len(data))
     for end in ends:
-        while end - last > MOST:  # no fit end: cut by length, but not within a character
-            cut = last + MOST
-            while data[cut] & 0xC0 == 0x80 and cut > last + LEAST:
-                cut -= 1
-            out.append(cut)
-            last = cut
+        while end - last > MOST:  # no fit end: the last of those with the least hash, after white space if there is any, never within a character
+            window = slice(last + LEAST - 1, last + MOST)
+            may = space[window] if space[window].any() else ~inner[window]
+            last += MOST - int(np.where(may, h[window].astype(np.int64), 1 << 16)[::-1].argmin())
+            out.append(last)
         if end - last >= LEAST or end == len(data) > last:
             out.append(end)
             last = end
@@ -50,14 +60,24 @@ def boundaries(data: np.ndarray) -> list[int]:
 
 
 def chunks(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(ends in bytes, words, digests) of the text's chunks."""
+    """(ends in bytes, words, digests) of the text's chunks.
+
+    Of a run of over WORD_CHARS characters without white space each EACH characters beyond them count as a word more, so that texts in scripts
+    without white space have words to count as well.
+    """
     raw = (text or "").encode()
     data = np.frombuffer(raw, np.uint8)
     ends = boundaries(data)
     if not ends:
         return ends, np.empty(0, np.int64), np.empty(0, np.int64)
     space = SPACE[data]
-    before = np.r_[0, np.cumsum(~space & np.r_[True, space[:-1]])]
+    starts = ~space & np.r_[True, space[:-1]]
+    if len(data) > WORD_CHARS and np.diff(np.r_[-1, np.flatnonzero(space), len(data)]).max() > WORD_CHARS:
+        first = data & 0xC0 != 0x80
+        beyond = np.cumsum(first)
+        beyond = beyond - np.maximum.accumulate(np.where(starts, beyond, 0)) - WORD_CHARS
+        starts |= first & ~space & (beyond >= 0) & (beyond % EACH == EACH - 1)
+    before = np.r_[0, np.cumsum(starts)]
     words = np.diff(before[np.r_[0, ends]])
     digest = xxhash.xxh3_64_intdigest
     return ends, words, np.array([digest(raw[i:j]) for i, j in zip([0, *ends], ends)], dtype=np.uint64).view(np.int64)
@@ -109,6 +129,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc
 
     A null text stays null, an empty one empty. Rows with the same id are one document: they don't repeat each other. A null id owns a
     span only where no other holder has an id, and then no holder loses it. Of a passage repeated within one document nothing is cut.
+    Texts of any length are read whole; an empty table gives an empty result; other columns are carried, whatever their names.
     """
     keyed = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     owners = repeated_spans(keyed, least_words).withColumnRenamed("digest", "d")
