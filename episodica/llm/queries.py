@@ -16,8 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc_derivatives.derive(warc_derivatives.responses(table(spark, sf_dir, "pages")))
-    return records.drop("block")
+    return warc_derivatives.derive(warc_derivatives.responses(table(spark, sf_dir, "pages")))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,18 @@ import html
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import map_columns, small_batches
 
 RESPONSE = "record_id string, target_uri string, warc_date string, http_headers string, body string, block_digest string, payload_digest string"
-DERIVED = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_digest string, n_links int, n_words int, block string"
+DERIVED = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_digest string, source_headers string, n_links int, n_words int, block string"
 #: The date of pages that come without one.
 NO_DATE = "1970-01-01T00:00:00Z"
 
@@ -30,6 +34,11 @@ _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
 
+def id_name(id_col: str) -> str:
+    """The id's column in records."""
+    return f"source_{id_col}" if id_col in {c.split()[0] for c in f"{RESPONSE}, {DERIVED}".split(", ")} else id_col
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -58,7 +67,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """A response record for each fetched page: id and the columns of RESPONSE.
 
     A null page has an empty body, a null address an empty target. Record ids depend on id, address and body: rows that repeat
-    are the same record.
+    are the same record. Pages of any length are taken whole; an empty table gives an empty result; other columns are ignored. The id's
+    column gets the prefix ``source_`` where its name is that of a record's field.
     """
     small_batches(pages.sparkSession)
 
@@ -75,15 +85,18 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return step
 
     kind = pages.select(id_col).dtypes[0][1]
-    return map_columns(pages.select(id_col, url_col, html_col), make, f"`{id_col}` {kind}, {RESPONSE}")
+    return map_columns(pages.select(id_col, url_col, html_col), make, f"`{id_name(id_col)}` {kind}, {RESPONSE}")
 
 
 def derive(source: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Two records for each response, metadata and conversion: id and the columns of DERIVED.
 
     ``refers_to`` is the response's record id, ``source_digest`` its payload digest, and target and date are the response's; the
-    metadata block (JSON) also holds the response's block digest and its HTTP headers. An empty body gives an empty conversion.
+    metadata block (JSON) also holds the response's block digest and its HTTP headers, and so does ``source_headers`` of both. An empty
+    or null body gives an empty conversion; rows that repeat are derived each; bodies of any length are taken whole; an empty table gives
+    an empty result; other columns are ignored. ``id_col`` is the one that ``responses`` was given.
     """
+    id_col = id_name(id_col)
     small_batches(source.sparkSession)
 
     def make():
@@ -98,8 +111,8 @@ def derive(source: DataFrame, id_col: str = "page_id") -> DataFrame:
                 for kind, content, block in blocks:
                     raw = block.encode()
                     ids.append(key)
-                    out.append((kind, record_id(kind, rid), rid, uri, date, content, len(raw), digest(raw), payload, len(facts["links"]), len(text.split()), block))
-            return [ids, *([x[k] for x in out] for k in range(12))]
+                    out.append((kind, record_id(kind, rid), rid, uri, date, content, len(raw), digest(raw), payload, head, len(facts["links"]), len(text.split()), block))
+            return [ids, *([x[k] for x in out] for k in range(13))]
 
         return step
 
@@ -124,11 +137,61 @@ def write_records(records: DataFrame, path: str) -> None:
     record_text(records).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
+VERSION = "WARC/1.0\r\n"
+RECORD = "headers map<string,string>, block string, complete boolean"
+
+
+def parsed(parts: list[str]) -> tuple[list[tuple[str, str]], str, bool] | None:
+    """(headers, block, whether the block has the length that the headers state) of a record after its version line; None while its block is too short."""
+    head, _, rest = VERSION.join(parts).partition("\r\n\r\n")
+    headers = [tuple(x.split(": ", 1)) for x in head.split("\r\n") if ": " in x]
+    stated = dict(headers).get("Content-Length", "")
+    raw = rest.encode()
+    if not stated.isdecimal():
+        return headers, rest.removesuffix("\r\n\r\n"), False
+    if len(raw) < int(stated):
+        return None
+    block = raw[: int(stated)].decode(errors="replace")
+    return headers, block, len(raw) - int(stated) <= 4
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(headers: map, block): the records of WARC 1.0 files. A record is what lies between two version lines; ``complete`` says whether its length is the one it states."""
-    parts = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).where(F.length("value") > 0)
-    head = F.split(F.substring_index("value", "\r\n\r\n", 1), "\r\n")
-    headers = F.map_from_entries(F.transform(head, lambda x: F.struct(F.substring_index(x, ": ", 1), F.regexp_replace(x, r"^[^:]*: ", ""))))
-    block = F.regexp_replace(F.regexp_replace("value", r"(?s)^.*?\r\n\r\n", ""), r"\r\n\r\n$", "")
-    found = parts.select(headers.alias("headers"), block.alias("block"))
-    return found.withColumn("complete", F.octet_length("block") == F.col("headers")["Content-Length"].cast("long"))
+    """(headers: map, block, complete): the records of WARC 1.0 files, as long as their headers state, so a version line within a block ends nothing.
+
+    ``complete`` is false where the length isn't stated or isn't what is there. Compressed files are read by one task each, one record at a time.
+    Spark may split a file that isn't compressed: a record is then whole unless a version line stands within its block where the parts meet.
+    """
+    lines = spark.read.option("lineSep", VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+    fields = StructType.fromDDL(RECORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, place, held = to_arrow_schema(fields), None, []
+
+        def close() -> list[tuple]:
+            if not any(held):
+                return []
+            head, _, rest = VERSION.join(held).partition("\r\n\r\n")
+            return [([tuple(x.split(": ", 1)) for x in head.split("\r\n") if ": " in x], rest.removesuffix("\r\n\r\n"), False)]
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type=f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+        for batch in batches:
+            out = []
+            for file, at, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, at) != place:
+                    out += close()
+                    place, held = (file, at), []
+                held.append(value)
+                if any(held) and (found := parsed(held)):
+                    out.append(found)
+                    held = []
+                elif not any(held):
+                    held = []
+            if out:
+                yield batch_of(out)
+        if out := close():
+            yield batch_of(out)
+
+    return lines.mapInArrow(run, RECORD)
