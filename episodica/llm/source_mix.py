@@ -165,7 +165,8 @@ def settle(units: DataFrame) -> DataFrame:
 
     while True:
         block = F.pmod(F.xxhash64("h", F.lit(blocks)), F.lit(blocks)).alias("__block")
-        parts = max(1, min(math.ceil(blocks / 4), 2000))
+        # the last flight is dealt by source: of each a few units a block are left, but there may be very many sources
+        parts = max(1, min(math.ceil((blocks if blocks > 1 else open_.count() / BLOCK) / 4), 2000))
         dealt = open_.select("*", block).repartition(parts, "__block", "source").sortWithinPartitions("__block", "source", F.desc("w"), "h")  # large units meet large ones, small ones are left over
         flown = cut(dealt.mapInArrow(flight(blocks == 1), whole))
         done.append(flown.where(~((F.col("p") > 0) & (F.col("p") < 1))))
