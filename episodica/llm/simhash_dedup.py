@@ -151,7 +151,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
             routes.append(F.struct(F.xxhash64("path", F.lit(k), value).alias("path"), low.bitwiseOR(high).alias("rest")))
         routed = here.select("fp", F.explode(F.array(*routes)).alias("r")).select("r.path", "fp", "r.rest")
         width -= min(n for _, n in _masks(width, bits + 1))
-        sizes = routed.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n")).where("n > 1")
+        # written first, so that the join has two plain exchanges and Spark splits a crowded node
+        sizes = written(routed.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n")).where("n > 1"), "nodes")
         shared = cut(routed.join(sizes.hint("merge"), F.col("path") == F.col("p")).select("path", "fp", "rest", (F.col("n") > LEAF_ROWS).alias("large")))
         found.append(_local(shared.where("not large"), bits))
         here = shared.where("large").select("path", "fp", "rest")
