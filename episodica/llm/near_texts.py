@@ -2,12 +2,13 @@
 
 64 bits can't tell a similarity of 0.8 from 0.6, so a text's sketch has ``WORDS`` words of 64 bits over its distinct shingles. Two sketches
 of sets with Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of their bits. That estimates J with a standard error of about
-0.026 at 0.8, so pairs above the least similarity by ``MARGIN`` are links, pairs below it by as much are none, and those between are told
-by the exact similarity of their shingle sets. Of these a node gives a spanning forest between what sure links connect, which is linear;
+0.026 at 0.8, so pairs above the least similarity by ``ABOVE`` are links, pairs below it by ``BELOW`` are none, and those between are told
+by the exact similarity of their shingle sets. A set of five with one of four that it holds is the pair whose sketches differ most for
+its similarity (0.19 of the bits for 0.15); such pairs are found by a join on hashes of the sets without one shingle each. Of the unsure pairs a node gives a spanning forest between what sure links connect, which is linear;
 only where a pair of the forest is refused, what it connects is searched again with the shingle sets at hand, and no pair leaves the task.
 
 Upper nodes are again patterns under masks of the first four words, but at this radius no set of disjoint masks is sure to agree, so
-masks are drawn until a pair at the least similarity shares one with probability ``RECALL``. A mask has more bits the more sketches
+masks are drawn until a pair at the least similarity shares one with probability ``recall``, nearer ones with more. A mask has more bits the more sketches
 there are, so that a node stays small. A node that is large nevertheless holds a group of copies: all its sketches that are sure links of
 one pivot are linked to it, which is linear, and only the others are still compared with all of the node, in tiles of two blocks that
 hold at most about ``LEAF_ROWS``. So work is quadratic in such a node's texts out of its pivot's reach alone. Below a node a task builds and searches
@@ -30,8 +31,8 @@ from .components import components
 from .simhash_dedup import gray_rank, keyed_rows, merge_labels, ones, owned_rows, search
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Similarities that far from the least one are told by sketches, nearer ones by the texts: about three standard errors.
-MARGIN = 0.08
+#: Similarities that far above or below the least one are told by sketches, nearer ones by the texts: over three standard errors.
+ABOVE, BELOW = 0.08, 0.1
 #: 64-bit words of a sketch; those that masks and trees use.
 WORDS, INDEXED = 16, 4
 #: Sketches aimed at in a node, and the most (or about that) below one node that a task searches.
@@ -39,7 +40,7 @@ NODE_ROWS, LEAF_ROWS = 1024, 4096
 #: Least bits of a mask.
 LEAST_BITS = 8
 #: Chance that a pair at the least similarity shares a node.
-RECALL = 0.99
+RECALL = 0.995
 #: Most keys (large nodes, texts to compare) that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_NODES = 500_000
 #: Unsure pairs that a task holds before it thins them to a forest.
@@ -69,9 +70,17 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined_words[i:j], 42) for i, j in zip(starts.tolist(), ends[n - 1 :].tolist())], dtype=np.uint64))
 
 
-def sketch(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Words of the text's sketch: a bit is 1 if set in over half its shingles' hashes; 0 without words."""
-    hashes, count = shingles(text, shingle), np.zeros(64 * WORDS, np.int64)
+def less_one(hashes: np.ndarray) -> np.ndarray:
+    """What joins sets of four and five: the hash of a set of four, those of the sets of four in a set of five, nothing of other sets."""
+    if len(hashes) not in (4, 5):
+        return np.empty(0, np.int64)
+    single = mixed(hashes)
+    return (single.sum() - (single if len(hashes) == 5 else np.zeros(1, np.uint64))).view(np.int64)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Words of the sketch of a shingle set: a bit is 1 if set in over half the shingles' hashes; 0 without shingles."""
+    count = np.zeros(64 * WORDS, np.int64)
     for k in range(0, len(hashes), 255 * 64):
         block = mixed(hashes[k : k + 255 * 64, None] ^ SALTS).view(np.uint8)
         bits = np.unpackbits(block, axis=1, bitorder="little")
@@ -90,18 +99,19 @@ def _words(column: pa.Array) -> np.ndarray:
 
 
 def sketches(keyed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, k, fp: 64-bit hash of the sketch, sketch) of rows (id, k, text)."""
+    """(id, k, fp: 64-bit hash of the sketch, sketch, small: see ``less_one``) of rows (id, k, text)."""
     small_batches(keyed.sparkSession)
 
     def make():
         def step(batch):
-            found = [sketch(t, shingle).tobytes() for t in batch.column(2).to_pylist()]
+            sets = [shingles(t, shingle) for t in batch.column(2).to_pylist()]
+            found = [sketch(h).tobytes() for h in sets]
             fp = np.array([xxhash.xxh3_64_intdigest(x) for x in found], dtype=np.uint64).view(np.int64)
-            return [batch.column(0), batch.column(1), pa.array(fp), found]
+            return [batch.column(0), batch.column(1), pa.array(fp), found, [less_one(h) for h in sets]]
 
         return step
 
-    return map_columns(keyed, make, f"id {keyed.dtypes[0][1]}, k long, fp long, sketch binary")
+    return map_columns(keyed, make, f"id {keyed.dtypes[0][1]}, k long, fp long, sketch binary, small array<long>")
 
 
 def _routed(rows: DataFrame, level: int, width: int, tables: int) -> DataFrame:
@@ -137,7 +147,7 @@ def _with_nodes(rows: DataFrame, nodes: DataFrame, count: int, how: str) -> Data
 
 def _limits(similarity: float) -> tuple[int, int]:
     """Most differing bits of a sure link and of a pair that may be one."""
-    return tuple(round(share(s) * 64 * WORDS) for s in (min(similarity + MARGIN, 1), max(similarity - MARGIN, 0)))
+    return tuple(round(share(s) * 64 * WORDS) for s in (min(similarity + ABOVE, 1), max(similarity - BELOW, 0)))
 
 
 def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -304,11 +314,18 @@ def _told(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cut(map_columns(rows, compared, "a long, b long, same boolean"))
 
 
-def _routes(nodes: DataFrame, similarity: float) -> tuple[list[DataFrame], list[DataFrame]]:
+def _small_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): sets of five shingles with the set of four that they hold, which have a similarity of 0.8; a set of four is one row, so no group's pairs are made."""
+    four = nodes.where(F.size("small") == 1).select(F.element_at("small", 1).alias("key"), F.col("fp").alias("b"))
+    five = nodes.where(F.size("small") == 5).select(F.explode("small").alias("held"), F.col("fp").alias("a"))
+    return five.join(four.hint("merge"), F.col("held") == F.col("key")).select("a", "b")
+
+
+def _routes(nodes: DataFrame, similarity: float, recall: float) -> tuple[list[DataFrame], list[DataFrame]]:
     """(fp, sketch), distinct -> (tables (path, fp, sketch) of nodes to search, tables (a, b) of sure links to pivots)."""
     agree = 1 - share(similarity)
     width = max(LEAST_BITS, math.ceil(math.log2(max(nodes.count(), 1) / NODE_ROWS)))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
     routed = _routed(nodes.select(F.lit(0).cast("long").alias("path"), "fp", "sketch"), 0, width, tables)
     sizes = routed.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.min("fp").alias("pivot"))
     large = written(sizes.where(F.col("n") > LEAF_ROWS), "large-nodes")
@@ -341,14 +358,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def classes(nodes: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def classes(nodes: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
     """(node, root) of what links of ``similarity`` connect, but for pairs that share no mask; only nodes that have a link.
 
-    ``nodes`` has each distinct sketch (fp, sketch, k) with the key of one of its texts in ``keyed`` (id, k, text).
+    ``nodes`` has each distinct sketch (fp, sketch, small, k) with the key of one of its texts in ``keyed`` (id, k, text).
     """
-    found, pivots = _routes(nodes, similarity)
+    found, pivots = _routes(nodes, similarity, recall)
     searched = cut(_union([_searched(rows, similarity).withColumn("path", F.xxhash64("path", "patch")) for rows in found]))
-    edges = _union([searched.where("sure").select("a", "b"), *pivots])
+    small = [cut(_small_links(nodes))] if similarity <= 0.8 else []
+    edges = _union([searched.where("sure").select("a", "b"), *pivots, *small])
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     unsure = written(searched.where("not sure").select(*pair, "path"), "unsure-pairs")
     if unsure.isEmpty():
@@ -372,15 +390,17 @@ def classes(nodes: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY,
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of its smallest id, and of several such rows one.
 
+    A pair at the least similarity is met with probability ``recall``, which costs work in proportion to -log(1 - recall).
+
     Classes are connected: a row may be like the one that stays by way of others. Texts without words (null, empty, white space) are
     one class. Rows of a class without any id keep one row; an empty table stays empty; other columns are carried whatever their names.
     """
     rows, keyed = keyed_rows(docs, id_col, text_col)
     prints = cut(sketches(keyed, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.min("k").alias("k")))
-    roots = classes(nodes, keyed, similarity, shingle)
+    nodes = cut(prints.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.min("k").alias("k")))
+    roots = classes(nodes, keyed, similarity, shingle, recall)
     member = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"))
     return owned_rows(rows, prints.select("id", "k", "fp"), cut(member))
