@@ -15,10 +15,15 @@ TEXT_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder in spark.checkpoint.dir; where that is unset a local one, in local mode only, as other machines couldn't see it.
+
+    What ``cut`` and ``written`` put there stays, as results may still be computed from it; delete the folder when a job is over.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or context.getCheckpointDir()
 
