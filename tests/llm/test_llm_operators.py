@@ -45,6 +45,52 @@ def test_language_edges(spark, edges):
     assert language_id.identify_held_out(edges.limit(0)).count() == 0
 
 
+def test_language_of_numerals_without_letters(spark):
+    rows = [(k, "the cat sat on the mat", "en") for k in range(40)] + [(k, "der Hund lag auf der Matte", "de") for k in range(40, 80)]
+    rows += [(100, "½ ② ²", "en"), (101, "Ⅷ 12", None), (102, "x²", None)]
+    got = {r.doc_id: r for r in language_id.identify_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (100, 101)) and got[102].lang_pred != "und"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(9 * n + k, f"w{n:03d}xyz" * 3, f"l{n:03d}") for n in range(230) for k in range(9)]
+    model = language_id.fit(spark.createDataFrame([(i, t.translate(str.maketrans("0123456789", "abcdefghij")), x) for i, t, x in rows], "doc_id long, text string, lang string"))
+    assert len(model.langs) == 230
+    assert language_id.fit(spark.createDataFrame([(None, f"text {chr(97 + k % 26)}", "en") for k in range(9000)], "doc_id long, text string, lang string")).langs == ["en"]
+
+
+def plain_language_score(model, text):
+    """A text's probabilities by loops: every n-gram of every word on its own."""
+    import xxhash
+
+    s, total, n = model.settings, np.zeros(len(model.langs)), 0
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        if not any(map(str.isalpha, word)):
+            continue
+        marked, found = f"<{word}>", [xxhash.xxh64_intdigest(word, s.seed) % s.buckets]
+        for size in range(s.least, s.most + 1):
+            for i in range(len(marked) - size + 1):
+                h = 14695981039346656037 - size
+                for c in marked[i : i + size]:
+                    h = (h ^ ord(c)) * 1099511628211 % 2**64
+                found.append((h ^ h >> 29) % s.buckets)
+        for b in found:
+            total, n = total + model.logits[b], n + 1
+    z = np.exp((total / n + model.bias) / model.temperature) if n else np.ones(len(model.langs))
+    return z / z.sum(), n
+
+
+def test_language_scores_equal_a_loop(spark, docs, edges):
+    model = language_id.fit(docs)
+    for df in (docs.limit(60), edges):
+        texts = {r.doc_id: r.text or "" for r in df.collect() if len(r.text or "") < 20_000}
+        for r in language_id.predict(df, model).collect():
+            if r.doc_id in texts:
+                p, n = plain_language_score(model, texts[r.doc_id])
+                want = (model.langs[int(p.argmax())], p.max()) if n else ("und", 0.0)
+                assert r.lang_pred == want[0] and r.score == pytest.approx(want[1], abs=1e-6)
+
+
 def test_warc_records(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", '<html lang="de"><title>T &amp; t</title><script>var x="<p>";</script><p>One<br>two</p><a href="/b">c</a></html>'), (2, None, None), (3, "http://c/", ""), (3, "http://c/", "")], "page_id long, url string, html string")
     source = warc_derivatives.responses(pages)
@@ -59,6 +105,46 @@ def test_warc_records(spark, tmp_path):
     back = warc_derivatives.read_records(spark, str(tmp_path / "w")).collect()
     assert len(back) == 8 and all(r.complete for r in back)
     assert {(r.headers["WARC-Record-ID"], r.headers["WARC-Refers-To"], r.block) for r in back} == {(r.record_id, r.refers_to, r.block) for r in rows}
+    assert all(r.source_headers.startswith("HTTP/1.1 200 OK") for r in rows)
+
+
+def plain_digest(raw):
+    import base64
+    import hashlib
+
+    return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+
+
+def test_warc_links_and_digests_of_all_pages(spark):
+    """Every record against digests and lengths made from the pages themselves."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    html = {r.page_id: (r.url or "", r.html or "") for r in pages.collect()}
+    rows = QUERIES["op2_warc_derivatives"](spark, DATA).collect()
+    assert len(rows) == 2 * len(html) and len({r.record_id for r in rows}) == 2 * len(html)
+    for r in rows:
+        url, page = html[r.page_id]
+        assert r.source_digest == plain_digest(page.encode()) and r.target_uri == url
+        assert r.block_digest == plain_digest(r.block.encode()) and r.content_length == len(r.block.encode())
+        assert f"Content-Length: {len(page.encode())}\r\n" in r.source_headers
+        if r.record_type == "conversion":
+            assert "<script" not in r.block and r.n_words == len(r.block.split())
+
+
+def test_warc_edges(spark, tmp_path):
+    text = "a line\nWARC/1.0\r\nWARC-Type: conversion\r\n\r\nmore"  # a version line within the body ends nothing
+    rows = [(1, "u", f"<p>{text}</p>", "x", "y"), (2, "u", "<p>" + "wort " * 200_000, None, "y"), (3, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "record_id long, url string, html string, body string, block string")
+    out = warc_derivatives.derive(warc_derivatives.responses(pages, id_col="record_id"), id_col="record_id")
+    assert sorted(r.source_record_id for r in out.collect()) == [1, 1, 2, 2, 3, 3]
+    blocks = out.withColumn("block", F.when(F.col("record_type") == "conversion", F.lit(text)).otherwise(F.col("block"))).withColumn("content_length", F.octet_length("block"))
+    warc_derivatives.write_records(blocks, str(tmp_path / "w"))
+    back = warc_derivatives.read_records(spark, str(tmp_path / "w")).collect()
+    assert len(back) == 6 and all(r.complete for r in back) and sum(r.block == text for r in back) == 3
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc").write_bytes(b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n")
+    assert [(r.block, r.complete) for r in warc_derivatives.read_records(spark, str(tmp_path / "cut")).collect()] == [("short", False)]
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc_derivatives.derive(warc_derivatives.responses(empty)).count() == 0
 
 
 def targets_by_rounds(sizes, weights=(5, 2, 1), most=3):
@@ -253,6 +339,17 @@ def test_near_texts_about_the_least_similarity(spark, monkeypatch, loose_familie
     assert kept == want
 
 
+def test_short_near_copies_are_told_exactly(spark):
+    """A text of eight words and the same with one more share 4 of 5 shingles."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    kept = {r.doc_id for r in near_texts.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * k for k in range(150)}
+
+
 def test_forest_connects_what_pairs_connect():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 60, (2, 90))
@@ -309,6 +406,40 @@ def test_nearest_equal_brute_force(spark):
     assert ann_search.nearest(df.limit(0)).count() == 0
 
 
+def crowded_vectors():
+    """Far more rows of a query's id, and of other ids, with one vector than a query's list is long; and vectors near the ends of the range."""
+    rng = np.random.default_rng(8)
+    same, other = rng.normal(size=8).round(2).tolist(), rng.normal(size=8).round(2).tolist()
+    rows = [(0, same)] * 25 + [(1, same), (2, same)] + [(40, same)] * 30 + [(7, same)] * 45 + [(k, same) for k in range(100, 150)] + [(60, other)] * 3
+    return rows + list(enumerate(rng.normal(size=(60, 8)).round(2).tolist(), 200))
+
+
+def test_repeated_rows_lose_nothing(spark):
+    rows = crowded_vectors()
+    df = spark.createDataFrame([(i, v, "x", -1, 0.5) for i, v in rows], "vec_id long, embedding array<double>, query_id string, rank int, score double")
+
+    def want(score):  # as a bag: a candidate that repeats is found as often
+        out = []
+        for q, a in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+            best = sorted((-score(a, v), i) for i, v in rows if i != q)[:20]
+            out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        return sorted(out)
+
+    assert sorted(tuple(r) for r in ann_search.nearest(df).collect()) == want(in_order)
+    whole = lambda a, b: sum(int(np.floor(64 * x)) * int(np.floor(64 * y)) for x, y in zip(a, b))
+    assert sorted(tuple(r) for r in exact_topk.top_scores(df).collect()) == want(whole)
+
+
+def test_vectors_at_the_ends_of_the_range(spark):
+    rows = [(0, [1e160, 0.0]), (1, [1e160, 1.0]), (2, [1.0, 1.0]), (3, [-1e200, 1e200]), (20, [1e-300, 1e-310]), (21, [5e-324, 0.0]), (40, [2.0**57, 1.0]), (41, [3.0, 4.0]), (60, [-1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann_search.nearest(df).collect()}
+    assert near[0, 1] == (1, float("inf")) and len(near) == 4 * 8
+    assert near[60, 1][0] == 3 and all(s == s for _, s in near.values())
+    top = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_topk.top_scores(df).collect()}
+    assert {v for v, _ in top.values()} <= {2, 20, 21, 41, 60} and top[60, 1] == (41, -64 * 192 + 128 * 256)
+
+
 def test_top_scores_equal_brute_force(spark):
     rows = vectors_with_edges()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -349,12 +480,66 @@ def test_every_occurrence_is_segmented_anew(spark):
     rows = piece_codec.encode(spark.createDataFrame([(k, text) for k in range(60)], "doc_id long, text string")).collect()
     assert all(r.lossless for r in rows) and len({tuple(r.pieces) for r in rows}) == 60
     rng, p = random.Random(7), piece_codec.pieces(None)
-    e = piece_codec.Encoder(p, 0.1, 11)
-    got = [tuple(e("demonstration", str(k)).tolist()) for k in range(20_000)]
+    e, keys = piece_codec.Encoder(p, 0.1, 11), [*map(str, range(20_000))]
+    got = [tuple(x.tolist()) for x in e.many(["demonstration"] * 20_000, keys)]
+    assert all(got[k] == tuple(e("demonstration", str(k)).tolist()) for k in range(0, 20_000, 400))
     want = [tuple(p.encode_unit(" demonstration", [i for i in range(100) if rng.random() < 0.1])[1]) for _ in range(20_000)]
     assert all(abs(got.count(x) - want.count(x)) < 400 for x in {*got, *want}) and len(set(got)) > 5
     e = piece_codec.Encoder(p, 0.1, 11)  # what is remembered changes nothing
-    assert [tuple(e("demonstration", str(k)).tolist()) for k in reversed(range(20_000))] == got[::-1]
+    assert [tuple(x.tolist()) for x in e.many(["demonstration"] * 20_000, keys[::-1])] == got[::-1]
+
+
+def plain_segments(p, unit, dropped):
+    """The agenda by a plain list: the best candidate of all is looked for anew each time; ``dropped`` says of each that comes up whether it is skipped."""
+    symbols = [*unit.replace(" ", piece_codec.SPACE)]
+    blocked, at = set(), [*range(len(symbols))]  # a skipped candidate is known by its place and its two symbols
+    while True:
+        found = [(p.rank[a + b], at[k], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in p.rank and (at[k], a, b) not in blocked]
+        if not found:
+            break
+        k = min(found)[2]
+        if dropped():
+            blocked.add((at[k], symbols[k], symbols[k + 1]))
+        else:
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del at[k + 1]
+    return [i for s in symbols for i in ([p.id[s]] if s in p.id else [p.byte[b] for b in (" " if s == piece_codec.SPACE else s).encode()])]
+
+
+def test_dropout_equals_a_plain_agenda(docs):
+    import xxhash
+
+    p, full = piece_codec.pieces(None), 2**64 - 1
+    texts = [(str(r.doc_id), r.text) for r in docs.collect()[:40]] + [("a", "x" * 300 + " ab  cd\n\n▁ é😀 " + "wort" * 30), ("b", "")]
+    for dropout in (0.1, 0.4):
+        e = piece_codec.Encoder(p, dropout, 11)
+        for (key, text), got in zip(texts, e.many([t for _, t in texts], [k for k, _ in texts])):
+            want = []
+            for place, unit in enumerate(re.findall(r" *[^ \n▁]+| +|\n|▁", " " + text) if text else []):
+                if unit in ("▁", "\n"):
+                    want += [p.byte[b] for b in unit.encode()]
+                    continue
+                state = {"turn": piece_codec.mixed(xxhash.xxh64_intdigest(key, 11) + place & full), "left": None}
+
+                def dropped():  # a geometric gap for each hash, as many candidates pass
+                    if state["left"] is None:
+                        u = piece_codec.mixed(state["turn"])
+                        state["left"] = next((g for g in range(4096) if u >= int((1 - dropout) ** (g + 1) * 2**64)), 4096)
+                        state["turn"] = state["turn"] + piece_codec.GOLDEN & full
+                    if state["left"]:
+                        state["left"] -= 1
+                        return False
+                    state["left"] = None
+                    return True
+
+                want += plain_segments(p, unit, dropped)
+            assert got.tolist() == want
+
+
+def test_encoding_edges(spark, edges):
+    assert piece_codec.encode(edges.limit(0)).count() == 0 and piece_codec.decode(piece_codec.encode(edges.limit(0))).count() == 0
+    named = edges.select("doc_id", "text", F.lit("x").alias("pieces"), F.lit(1).alias("lossless"))
+    assert piece_codec.encode(named, with_pieces=False).columns == ["doc_id", "n_pieces", "pieces_hash", "lossless"]
 
 
 def planted(seed):
@@ -405,6 +590,76 @@ def test_chunks_resist_insertions_and_rejoin():
     assert substring_dedup.chunks("é" * 5000)[0][-1] == 10_000 and all(e % 2 == 0 for e in substring_dedup.chunks("é" * 5000)[0])
 
 
+def test_chunks_without_white_space_resist_insertions(spark):
+    rng = random.Random(4)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(20_000))
+    a, b = substring_dedup.chunks(text), substring_dedup.chunks("新的" + text)
+    assert len(set(a[2].tolist()) & set(b[2].tolist())) > 0.98 * len(a[0]) and len(a[0]) > 500
+    text.encode()[: a[0][7]].decode()  # an end lies between characters
+    passage = text[:300]
+    rows = [(k, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)) + passage * (k % 2) + "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))) for k in range(8)]
+    out = {r.r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k].cut_words > 0 for k in range(8)] == [False, False, False, True, False, True, False, True]
+    assert all(len(out[k].text) < 700 - 200 and out[k].text[:190] == rows[k][1][:190] for k in (3, 5, 7))
+
+
+def plain_chunks(text):
+    """Ends of chunks by a loop over the bytes."""
+    raw, ends, last = text.encode(), [], 0
+    gear = [substring_dedup.xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)]
+    white, run = b"\t\n\x0b\x0c\r ", 0
+    hashes = [sum(gear[raw[i - j]] << j for j in range(min(16, i + 1))) & 0xFFFF for i in range(len(raw))]
+    inner = lambda i: i + 1 < len(raw) and raw[i + 1] & 0xC0 == 0x80
+    fit = []
+    for i, b in enumerate(raw):
+        run = 0 if b in white else run + 1
+        fit.append((b in white and hashes[i] >> 14 == 0) or (run > 48 and not inner(i) and hashes[i] >> 13 == 0))
+    for i in range(len(raw)):
+        if not fit[i] and i + 1 < len(raw):
+            continue
+        while i + 1 - last > 256:
+            may = [j for j in range(last + 15, last + 256) if raw[j] in white] or [j for j in range(last + 15, last + 256) if not inner(j)]
+            last = min(may, key=lambda j: (hashes[j], -j)) + 1
+            ends.append(last)
+        if i + 1 - last >= 16 or i + 1 == len(raw):
+            ends.append(i + 1)
+            last = i + 1
+    return ends
+
+
+def test_chunks_equal_a_loop(docs):
+    texts = [r.text or "" for r in docs.collect()[:40]] + ["the of " * 300, "x" * 1000, "é" * 700 + " ok " * 99, "", "a"]
+    for text in texts:
+        assert substring_dedup.chunks(text[:20_000])[0] == plain_chunks(text[:20_000])
+
+
+def test_cuts_equal_all_pairs(spark):
+    """Which words go, against spans that all pairs of documents are searched for."""
+    docs, _ = planted(3)
+    least, parts = substring_dedup.LEAST_WORDS, {}
+    for d, text in docs:
+        raw, ends = text.encode(), plain_chunks(text)
+        parts[d] = [raw[i:j] for i, j in zip([0, *ends], ends)]
+
+    def spans_of(chunks):
+        n = [len(c.split()) for c in chunks]
+        out = set()
+        for i in range(len(chunks)):
+            j = next((j for j in range(i + 1, len(chunks) + 1) if sum(n[i:j]) >= least), None)
+            k = next((k for k in range(i, -1, -1) if sum(n[k : i + 1]) >= least), None)
+            out |= ({(i, j)} if j else set()) | ({(k, i + 1)} if k is not None else set())
+        return out
+
+    held = {d: {tuple(parts[d][i:j]): (i, j) for i, j in spans_of(parts[d])} for d, _ in docs}
+    out = {r.r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, text in docs:
+        gone = set()
+        for span, (i, j) in held[d].items():
+            if any(span in held[e] for e in held if e < d):
+                gone |= set(range(i, j))
+        assert out[d].text == b"".join(c for k, c in enumerate(parts[d]) if k not in gone).decode()
+
+
 def test_substring_edges(spark, edges):
     rows = substring_dedup.passages(edges).collect()
     assert len(rows) == len(EDGES) and all(r.text == r.r.text and not r.cut_words for r in rows)
@@ -445,6 +700,41 @@ def test_quality_on_held_out(spark):
     assert share[2][0] > 0.97 and share[1][0] < 0.15 and share[2][1] > share[1][1] > share[0][1]
 
 
+def test_quality_reads_whole_tokens(spark):
+    tokens = quality_model.Tokens(30)
+    a, b = (tokens.features("q" * 64 + tail)[0] for tail in ("Aa0", "0000"))
+    assert set(a.tolist()) != set(b.tolist()) and quality_model.shape("q" * 64 + "A7") == "aA0"
+
+
+def plain_grade(model, text):
+    """A text's score and probabilities by loops over its tokens."""
+    import xxhash
+
+    bits, words, forms, tokens = model.settings.bits, set(), {}, text.split()
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist()))
+    for t in tokens:
+        core = " ".join(re.findall(r"[^\W\d_]+", t.lower()))
+        if core:
+            words.add(xxhash.xxh64_intdigest("w" + core) & ((1 << bits) - 1))
+        form = re.sub(r"(?s)(.)\1+", r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in t))
+        forms[form] = forms.get(form, 0) + 1
+    score = sum(weight.get(w, 0.0) for w in words)
+    for form, n in forms.items():
+        score += weight.get((xxhash.xxh64_intdigest("s" + form) & ((1 << bits) - 1)) | 1 << bits, 0.0) * 4 * n / len(tokens)
+    again = sum(x == y for x, y in zip(tokens, tokens[1:])) / (len(tokens) - 1) if len(tokens) > 1 else 0.0
+    score += weight.get((2 << bits) + quality_model.REPEAT, 0.0) * 4 * again
+    return score, [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+
+
+def test_grades_equal_a_loop(spark, docs):
+    model = quality_model.fit(docs, quality_model.grades_of_labels(spark.read.parquet(f"{DATA}/labels.parquet")))
+    for r in quality_model.grade(docs, model).collect():
+        if r.r.text and r.r.text.strip():
+            score, above = plain_grade(model, r.r.text)
+            assert r.score == pytest.approx(score, abs=1e-9) and r.tail_probability == pytest.approx(above[-1], abs=1e-9)
+            assert r.expected_grade == pytest.approx(sum(above), abs=1e-9)
+
+
 def test_quality_edges(spark, edges):
     ratings = spark.createDataFrame([(5, 1), (8, 0), (None, 2), (7, None)], "doc_id long, grade int")
     rows = quality_model.grade(edges, quality_model.fit(edges, ratings)).collect()
@@ -458,10 +748,40 @@ def test_pipeline_stages(spark, docs, edges):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == columns and 0 < out.count()
-        assert stage(spark, edges, DATA).columns == edges.columns
+        of_edges = stage(spark, edges, DATA)
+        assert of_edges.columns == edges.columns and {r.doc_id for r in of_edges.collect()} <= {r[0] for r in EDGES}
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, edges, DATA).count() == len(EDGES)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
     assert corpus_pipeline.run(spark, DATA).where("not lossless").count() == 0
 
 
+def test_pipeline_against_brute_force(spark):
+    """Which documents stay, stage by stage, on planted copies; the last stages against their own brute-force tests."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = stages["quality"](spark, docs, DATA).cache()
+    model = quality_model.fit(docs, quality_model.grades_of_labels(spark.read.parquet(f"{DATA}/labels.parquet")))
+    want = {r.doc_id for r in docs.collect() if r.text and r.text.strip() and plain_grade(model, r.text)[1][-1] >= 0.5}
+    assert {r.doc_id for r in good.collect()} == want
+    unlike = stages["near_copies"](spark, good, DATA).cache()
+    assert {r.doc_id for r in unlike.collect()} == plain_owners([(r.doc_id, r.text) for r in good.orderBy("doc_id").collect()])
+    cut = stages["repeated_passages"](spark, unlike, DATA).cache()
+    mixed = stages["mix"](spark, cut, DATA)
+    size = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0d]+", r.text))) for r in cut.collect()}
+    words = defaultdict(int)
+    for source, n in size.values():
+        words[source] += n
+    target, taken, largest = targets_by_rounds(words), defaultdict(int), max(n for _, n in size.values())
+    for r in mixed.groupBy("doc_id").count().collect():
+        assert r["count"] <= 3
+        taken[size[r.doc_id][0]] += r["count"] * size[r.doc_id][1]
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + largest for s in target)
+    pieces = stages["encode"](spark, cut, DATA).collect()
+    assert all(r.lossless for r in pieces) and len(pieces) == cut.count()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     import duckdb
