@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names under which logs keep a row's time and a text, first wins.
 TIMESTAMP_FIELDS = ("host_timestamp_ns", "timestamp_ns", "robot_timestamp_ns", "receive_host_time_ns", "created_unix_time_ns")
 TEXT_FIELDS = ("text", "instruction", "task", "transcript", "utterance", "caption")
-# Phases by id.
-PHASES = ("FREE_MOTION", "FINE_ALIGN", "CONTACT_ESTABLISH", "CONSTRAINED_MOTION", "VERIFY_RELEASE")
+# Names of the phases by id.
+PHASES = ("free_motion", "fine_align", "contact_establish", "constrained_motion", "verify_release")
 UNKNOWN_PHASE = 5
 
 
@@ -24,8 +24,9 @@ def first_text(*columns: Column) -> Column:
 
 
 def state_vector(q: Column, width: Column) -> Column:
-    """Joint positions and the gripper width (0 when missing)."""
-    return F.concat(q, F.array(F.coalesce(width, F.lit(0.0)).cast("double")))
+    """Joint positions and the gripper width (0 when missing); an error without joint positions."""
+    known = F.when(F.size(q) > 0, q).otherwise(F.raise_error(F.lit("no joint positions")).cast("array<double>"))
+    return F.concat(known, F.array(F.coalesce(width, F.lit(0.0)).cast("double")))
 
 
 def action_vector(backfilled: Column, q_cmd: Column, command: Column) -> Column:
@@ -34,8 +35,14 @@ def action_vector(backfilled: Column, q_cmd: Column, command: Column) -> Column:
 
 
 def dimension_names(vector: Column, prefix: str, last: str) -> Column:
-    """Names of a vector's dimensions; the last one is the gripper's."""
-    return F.concat(F.transform(F.sequence(F.lit(0), F.size(vector) - 2), lambda i: F.concat(F.lit(prefix + "_"), i.cast("string"))), F.array(F.lit(last)))
+    """Names of a vector's dimensions; the last one is the gripper's. Null for a null or empty vector."""
+    joints = F.transform(F.slice(vector, 1, F.size(vector) - 1), lambda x, i: F.concat(F.lit(prefix + "_"), i.cast("string")))
+    return F.when(F.size(vector) > 0, F.concat(joints, F.array(F.lit(last))))
+
+
+def checked_names(vector: Column, names: Column) -> Column:
+    """The names; an error when there aren't as many as dimensions."""
+    return F.when(F.size(vector) == F.size(names), names).otherwise(F.raise_error(F.lit("names don't fit the vector")).cast("array<string>"))
 
 
 def l2_norm(vector: Column) -> Column:
@@ -54,7 +61,8 @@ def relative_seconds(ts: Column, start: Column) -> Column:
 
 
 def phase_name(phase: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, PHASES)), phase.cast("int") + 1)
+    """Name of a phase; null for one that has none."""
+    return F.when(phase >= 0, F.try_element_at(F.array(*map(F.lit, PHASES)), phase.cast("int") + 1))
 
 
 def subtask_label(task: Column, phase: Column) -> Column:
@@ -67,6 +75,33 @@ def gripper_closed(width: Column, limit: float = 0.035) -> Column:
     return (width < limit).cast("int")
 
 
+def state_closed(state: Column, limit: float = 0.5) -> Column:
+    """1 when the gripper's state (0 open, 1 closed) is above ``limit``."""
+    return (state > limit).cast("int")
+
+
+# Sentences of the subtasks that the labelling page knows.
+SUBTASK_SENTENCES = {
+    "approach_can": "Move the gripper to the soup can",
+    "grasp_can": "Close the gripper around the soup can",
+    "lift_can": "Lift the soup can off the table",
+    "move_to_tray": "Carry the soup can to the green tray",
+    "release_can": "Place the soup can into the tray",
+    "retract_arm": "Move the arm away from the tray",
+}
+
+
+def step_task(subtask: Column, task: Column, sentences: dict[str, str] = SUBTASK_SENTENCES) -> Column:
+    """The sentence of a step's subtask, or the episode's task where there is none."""
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, subtask), task)
+
+
+def checkpoint_step(folder: Column) -> Column:
+    """The first run of three digits or more in a folder's name; null without one."""
+    return F.nullif(F.regexp_extract(folder, r"([0-9]{3,})", 1), F.lit("")).cast("long")
+
+
 def json_body(raw: Column) -> Column:
     """What stands between the first { and the last } once code fences are gone; null when there is none."""
     bare = F.regexp_replace(raw, r"```[a-zA-Z]*", "")
@@ -74,21 +109,55 @@ def json_body(raw: Column) -> Column:
     return F.when((start > 0) & (F.instr(bare, "}") > 0) & (end > start), F.substring(bare, start, end - start + 1))
 
 
+ANNOTATION = "episode_id string, task string, segments array<struct<phase_id:int,phase_name:string,start_t:double,end_t:double,confidence:double,evidence:string>>, overall_confidence double, notes string"
+
+
+def parsed_output(raw: Column, duration: Column, tolerance: float = 0.05) -> Column:
+    """Struct (annotation, error) of a model's answer; of the errors the first in the order no_json, json, schema, segments, duration, null if it is valid.
+
+    no_json: no object in it; json: the object can't be read; schema: a field is missing, has another type or is out of its range; segments: one breaks
+    a rule of its own (F15); duration: they don't cover the episode without gaps (F16).
+    """
+    body = json_body(raw)
+    a = F.from_json(body, ANNOTATION)
+    s = a["segments"]
+    readable = F.try_parse_json(body).isNotNull()
+    schema = (
+        a["episode_id"].isNotNull() & a["task"].isin("pick_place", "msd_plug") & F.coalesce(F.size(s) > 0, F.lit(False)) & a["overall_confidence"].between(0, 1)
+    )
+    own = F.forall(s, lambda x: F.coalesce(x["phase_id"].between(0, 4) & (x["phase_name"] == phase_name(x["phase_id"])) & (x["start_t"] < x["end_t"]) & x["confidence"].between(0, 1) & x["evidence"].isNotNull(), F.lit(False)))
+    apart = F.exists(F.zip_with(F.slice(s, 2, F.size(s)), F.slice(s, 1, F.size(s) - 1), lambda x, y: (F.abs(x["start_t"] - y["end_t"]) > tolerance) | (x["start_t"] < y["start_t"])), lambda x: x)
+    covers = (F.abs(F.element_at(s, 1)["start_t"]) <= tolerance) & (F.abs(F.element_at(s, -1)["end_t"] - duration) <= tolerance) & ~apart
+    error = (
+        F.when(body.isNull(), "no_json").when(~readable, "json").when(~F.coalesce(schema, F.lit(False)), "schema")
+        .when(~own, "segments").when(~covers, "duration")
+    )
+    return F.struct(F.when(error.isNull(), a).alias("annotation"), error.alias("error"))
+
+
 def prompt_text(task: Column, duration: Column) -> Column:
-    """The user's part of an annotation prompt."""
+    """The user's part of an annotation prompt in short form."""
     return F.format_string("Task: %s. Duration: %.2f s.", task, duration)
 
 
+def user_message(task: Column, episode: Column, duration: Column) -> Column:
+    """The user's part of an annotation prompt."""
+    return F.format_string("Task: %s\nEpisode ID: %s\nEpisode duration: %.2f seconds\n\nAnnotate each phase segment of the video and answer with the JSON object alone.", task, episode.cast("string"), duration)
+
+
+# Fixed value: the form of a log line with a step and a loss.
+LOG_LINE = r"step:([0-9]+)([KkMm]?)\s+.*?loss:([0-9]*\.?[0-9]+)"
+
+
 def log_step(line: Column) -> Column:
-    """Step of a training-log line, K and M meaning thousands and millions."""
-    number = F.nullif(F.regexp_extract(line, r"step:(\d+(?:\.\d+)?)([KM]?)", 1), F.lit("")).cast("double")
-    unit = F.regexp_extract(line, r"step:(\d+(?:\.\d+)?)([KM]?)", 2)
-    return (number * F.when(unit == "K", 1e3).when(unit == "M", 1e6).otherwise(1.0)).cast("long")
+    """Step of a training-log line that also has a loss, K and M meaning thousands and millions."""
+    number, unit = F.nullif(F.regexp_extract(line, LOG_LINE, 1), F.lit("")).cast("long"), F.upper(F.regexp_extract(line, LOG_LINE, 2))
+    return number * F.when(unit == "K", 1000).when(unit == "M", 1_000_000).otherwise(1)
 
 
 def log_loss(line: Column) -> Column:
-    """Loss of a training-log line."""
-    return F.nullif(F.regexp_extract(line, r"loss:(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
+    """Loss of a training-log line that also has a step."""
+    return F.nullif(F.regexp_extract(line, LOG_LINE, 3), F.lit("")).cast("double")
 
 
 def dropped_phase(phase: Column, key: Column, share: float = 0.15, seed: int = 0) -> Column:
@@ -96,20 +165,30 @@ def dropped_phase(phase: Column, key: Column, share: float = 0.15, seed: int = 0
     return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000), F.lit(UNKNOWN_PHASE)).otherwise(phase)
 
 
+def phase_or_unknown(rows: DataFrame, phase: str = "phase") -> DataFrame:
+    """Rows with the phase column; a table without one gets the unknown phase in every row."""
+    return rows if phase in rows.columns else rows.withColumn(phase, F.lit(UNKNOWN_PHASE))
+
+
 def filled_task(task: Column, fallback: str = "Perform the task.") -> Column:
     """B23."""
     return F.coalesce(task, F.lit(fallback))
 
 
-def unsafe_reason(action: Column, phase: Column, force_z: Column, low: tuple = (-0.5, -0.5, -0.5), high: tuple = (0.5, 0.5, 0.5), velocity: float = 2.0, force: float = 30.0, grip: float = 0.7) -> Column:
-    """The first safety rule that an action breaks, null for a safe one. Rules: null, NaN, Inf, workspace, velocity, force, gripper."""
+def unsafe_reason(action: Column, phase: Column, force_z: Column, low: tuple = (-1.3, -1.3, -0.55), high: tuple = (1.3, 1.3, 1.7), velocity: float = 2.0, force: float = 30.0, grip: float = 0.7) -> Column:
+    """The first safety rule that an action breaks, null for a safe one. Rules: null, NaN, Inf, workspace, velocity, force, gripper.
+
+    Workspace takes the first three components of actions that have three, velocity the first six of those that have six, gripper the last one of
+    those that have seven. ``low`` and ``high`` are the workspace's bounds with a buffer of 0.5 m. A null component counts as null, a null force as none.
+    """
     outside = F.lit(False)
     for k, (a, b) in enumerate(zip(low, high)):
         x = F.try_element_at(action, F.lit(k + 1))
         outside = outside | (x < a) | (x > b)
-    fast = F.exists(F.slice(action, 1, 6), lambda x: F.abs(x) > velocity)
+    outside = outside & (F.size(action) >= 3)
+    fast = F.exists(F.slice(action, 1, 6), lambda x: F.abs(x) > velocity) & (F.size(action) >= 6)
     return (
         F.when(action.isNull() | F.exists(action, lambda x: x.isNull()), "null").when(F.exists(action, F.isnan), "nan")
         .when(F.exists(action, lambda x: F.abs(x) == float("inf")), "inf").when(outside, "workspace").when(fast, "velocity")
-        .when(F.abs(force_z) > force, "force").when((phase == "FREE_MOTION") & (F.size(action) >= 7) & (F.try_element_at(action, F.lit(7)) > grip), "gripper")
+        .when(F.abs(force_z) > force, "force").when((phase == PHASES[0]) & (F.size(action) >= 7) & (F.try_element_at(action, F.lit(-1)) > grip), "gripper")
     )

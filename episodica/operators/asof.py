@@ -24,25 +24,37 @@ def nearest(left: DataFrame, right: DataFrame, tolerance: int, tie: str = "earli
     return best.select("dataset", "ts", "ord", F.col("m.right_ord").alias("right_ord"), F.col("m.delta").alias("delta"))
 
 
-def forward(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The first right row at or after each left row, or the dataset's last one: right_ts."""
-    both = left.select("dataset", "ts", "ord", F.lit(None).cast("long").alias("rts")).unionByName(right.select("dataset", "ts", "ord", F.col("ts").alias("rts")))
-    w = Window.partitionBy("dataset").orderBy("ts", F.col("rts").isNotNull(), "ord")
-    nxt = F.first("rts", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    last = F.max("rts").over(Window.partitionBy("dataset"))
-    return both.withColumn("right_ts", F.coalesce(nxt, last)).where("rts is null").select("dataset", "ts", "ord", "right_ts")
-
-
-def nearest_any(left: DataFrame, right: DataFrame, tie: str = "later") -> DataFrame:
-    """The nearest right row without a tolerance: right_ts."""
-    both = left.select("dataset", "ts", "ord", F.lit(None).cast("long").alias("rts")).unionByName(right.select("dataset", "ts", "ord", F.col("ts").alias("rts")))
-    w = Window.partitionBy("dataset").orderBy("ts", F.col("rts").isNotNull(), "ord")
-    after = F.first("rts", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last("rts", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    near = both.withColumn("a", after).withColumn("b", before).where("rts is null")
-    up, down = F.col("a") - F.col("ts"), F.col("ts") - F.col("b")
-    takes_after = F.col("b").isNull() | (up < down) | ((up == down) & F.lit(tie == "later"))
-    return near.select("dataset", "ts", "ord", F.when(F.col("a").isNotNull() & takes_after, F.col("a")).otherwise(F.col("b")).alias("right_ts"))
+def _timeline(left: DataFrame, right: DataFrame, payload: str | None) -> DataFrame:
+    """Both sides in one table: ``__r`` is the right row (its ts and payload), null in left rows. Left rows stand before right ones of their time."""
+    r = F.struct(F.col("ts").alias("ts"), F.col(payload or "ts").alias("p"))
+    found = right.select("dataset", "ts", r.alias("__r"), F.struct(F.lit(True).alias("right"), F.col("ord").cast("long").alias("o")).alias("__o"))
+    asked = left.select("dataset", "ts", "ord", F.lit(None).cast(found.schema["__r"].dataType).alias("__r"), F.struct(F.lit(False).alias("right"), F.lit(0).cast("long").alias("o")).alias("__o"))
+    return asked.unionByName(found.withColumn("ord", F.lit(None).cast(left.schema["ord"].dataType)))
+
+
+def _out(chosen: DataFrame, payload: str | None) -> DataFrame:
+    return chosen.select("dataset", "ts", "ord", (F.col("__x")["p"].alias(payload) if payload else F.col("__x")["ts"].alias("right_ts")))
+
+
+def forward(left: DataFrame, right: DataFrame, payload: str | None = None) -> DataFrame:
+    """The first right row at or after each left row, or the dataset's last one: right_ts, or its ``payload``."""
+    both = _timeline(left, right, payload)
+    w = Window.partitionBy("dataset").orderBy("ts", "__o")
+    nxt = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return _out(both.withColumn("__x", F.coalesce(nxt, last)).where("__r is null"), payload)
+
+
+def nearest_any(left: DataFrame, right: DataFrame, tie: str = "later", payload: str | None = None) -> DataFrame:
+    """The nearest right row without a tolerance: right_ts, or its ``payload``. Of right rows at one time the first one after and the last one before count."""
+    both = _timeline(left, right, payload)
+    w = Window.partitionBy("dataset").orderBy("ts", "__o")
+    after = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("__a", after).withColumn("__b", before).where("__r is null")
+    up, down = F.col("__a")["ts"] - F.col("ts"), F.col("ts") - F.col("__b")["ts"]
+    takes_after = F.col("__b").isNull() | (up < down) | ((up == down) & F.lit(tie == "later"))
+    return _out(near.withColumn("__x", F.when(F.col("__a").isNotNull() & takes_after, F.col("__a")).otherwise(F.col("__b"))), payload)
 
 
 def covered(left: DataFrame, cameras: list[DataFrame], tolerance: int) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import joined
+
 STARTS = ("episode_start",)
 ENDS = ("episode_end", "episode_stop", "episode_finish", "episode_finished")
 
@@ -31,11 +33,14 @@ def numbered(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("episode", F.row_number().over(Window.partitionBy("dataset").orderBy("start_ts", F.col("end_ts").asc_nulls_last())) - 1)
 
 
-def rows_of_episodes(telemetry: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Telemetry rows with the episodes they lie in; a row at an end that is another's start lies in both."""
-    e = episodes.select(F.col("dataset").alias("d"), "episode", "start_ts", "end_ts", "implicit")
+def rows_of_episodes(telemetry: DataFrame, episodes: DataFrame, bucket_s: float = 60.0) -> DataFrame:
+    """Telemetry rows with the episodes they lie in; a row at an end that is another's start lies in both.
+
+    A row meets the episodes that touch its bucket of ``bucket_s`` seconds, which should be about as long as an episode; only those that nothing ends meet all later rows.
+    """
+    e = episodes.select(F.col("dataset").alias("__k"), "episode", "start_ts", "end_ts", "implicit")
     inside = (F.col("ts") >= F.col("start_ts")) & (F.col("end_ts").isNull() | F.when(F.col("implicit"), F.col("ts") < F.col("end_ts")).otherwise(F.col("ts") <= F.col("end_ts")))
-    return telemetry.join(e, (F.col("dataset") == F.col("d")) & inside).drop("d")
+    return joined(telemetry, e, "dataset", "ts", bucket_s * 1e9, inside, "start_ts", "end_ts").drop("__k")
 
 
 def split_episodes(telemetry: DataFrame, events: DataFrame) -> DataFrame:
@@ -58,13 +63,24 @@ def annotator_intervals(events: DataFrame, least_s: float = 1.0) -> DataFrame:
 
 
 def quality(rows: DataFrame, command: str = "value", width: str = "value", active_command: float = 0.1, active_span: float = 0.002, blank_steps: int = 1000) -> DataFrame:
-    """Steps, duration, largest command, width span, activity and the blank flag of each (dataset, episode)."""
+    """Steps, duration, largest command, width span, activity, the blank flag and its reason of each (dataset, episode)."""
     out = rows.groupBy("dataset", "episode").agg(
         (F.count("*") - 1).alias("steps"), ((F.max("ts") - F.min("ts")) / 1e9).alias("duration_s"),
         F.max(F.abs(F.col(command))).alias("max_command"), (F.max(width) - F.min(width)).alias("span"),
     )
     active = (F.coalesce("max_command", F.lit(0.0)) >= active_command) | (F.coalesce("span", F.lit(0.0)) >= active_span)
-    return out.withColumn("active", active).withColumn("blank", ~F.col("active") & (F.col("steps") <= blank_steps))
+    out = out.withColumn("active", active).withColumn("blank", ~F.col("active") & (F.col("steps") <= blank_steps))
+    reason = F.format_string("no gripper activity: command %.4f below %.4f, width span %.4f below %.4f, %d steps of at most %d", F.coalesce("max_command", F.lit(0.0)), F.lit(active_command), F.coalesce("span", F.lit(0.0)), F.lit(active_span), "steps", F.lit(blank_steps))
+    return out.withColumn("blank_reason", F.when(F.col("blank"), reason))
+
+
+def episode_report(rows: DataFrame, **thresholds) -> DataFrame:
+    """One row an episode with its quality and ``suppressed``, the totals of its dataset (detected, kept, suppressed) and the thresholds beside it."""
+    w = Window.partitionBy("dataset")
+    out = quality(rows, **thresholds).withColumn("suppressed", F.col("blank"))
+    out = out.withColumn("detected_episodes", F.count("*").over(w)).withColumn("suppressed_episodes", F.count_if(F.col("suppressed")).over(w))
+    named = {"active_command": 0.1, "active_span": 0.002, "blank_steps": 1000} | {k: v for k, v in thresholds.items() if k not in ("command", "width")}
+    return out.withColumn("kept_episodes", F.col("detected_episodes") - F.col("suppressed_episodes")).withColumn("thresholds", F.create_map(*[F.lit(x) for k, v in named.items() for x in (k, float(v))]))
 
 
 def steps(rows: DataFrame) -> DataFrame:
@@ -98,6 +114,13 @@ def without_episodes(sidecar: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """A5, H4: the newest row of each key."""
+    """A5: the newest row of each key."""
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def upserted(existing: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """H4: annotations (dataset, episode, task, annotated_at) with those of ``new`` (dataset, episode, task) put in their place, stamped with ``at``; of several new ones of an episode the last by task."""
+    newest = new.groupBy("dataset", "episode").agg(F.max("task").alias("task")).withColumn("annotated_at", at)
+    kept = existing.join(newest.select(F.col("dataset").alias("__d"), F.col("episode").alias("__e")).hint("merge"), (F.col("dataset") == F.col("__d")) & (F.col("episode") == F.col("__e")), "left_anti")
+    return kept.select("dataset", "episode", "task", "annotated_at").unionByName(newest)

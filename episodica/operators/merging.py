@@ -7,16 +7,36 @@ from pyspark.sql import functions as F
 
 
 def offsets(sizes: DataFrame) -> DataFrame:
-    """(dataset, n_episodes, n_frames) -> with the offsets that earlier datasets leave; one row a dataset."""
+    """(dataset, n_episodes, n_frames) -> with the offsets that earlier datasets leave; one row a dataset, so one task suffices."""
     w = Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select("dataset", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(o) for c, o in (("n_episodes", "episode_offset"), ("n_frames", "frame_offset"))])
 
 
+def chunk_counts(sizes: DataFrame, per_chunk: int = 1000) -> DataFrame:
+    """(dataset, n_episodes, ...) with ``n_chunks``, how many chunks of at most ``per_chunk`` episodes that makes; one at least."""
+    return sizes.withColumn("n_chunks", F.greatest(F.lit(1), F.ceil(F.col("n_episodes") / per_chunk)).cast("long"))
+
+
+def output_indices(episodes: DataFrame, kept: str = "kept") -> DataFrame:
+    """episodes (dataset, episode, kept) with ``output_index``, their number among the kept ones from 0; null for the others."""
+    w = Window.partitionBy("dataset").orderBy("episode")
+    return episodes.withColumn("output_index", F.when(F.col(kept), F.sum(F.col(kept).cast("long")).over(w) - 1))
+
+
 def united(frames: DataFrame, shift: DataFrame) -> DataFrame:
     """H1: frames (dataset, episode_index, index, ...) with keys shifted by their dataset's offsets."""
     s = shift.select(F.col("dataset").alias("d"), "episode_offset", "frame_offset")
-    out = frames.join(s, F.col("dataset") == F.col("d"))
-    return out.withColumn("episode_index", F.col("episode_index") + F.col("episode_offset")).withColumn("index", F.col("index") + F.col("frame_offset")).drop("d", "episode_offset", "frame_offset")
+    return _shifted(frames.join(s.hint("merge"), F.col("dataset") == F.col("d")), {"episode_index": "episode_offset", "index": "frame_offset"})
+
+
+def united_episodes(episodes: DataFrame, shift: DataFrame) -> DataFrame:
+    """H1: episode rows (dataset, episode_index, dataset_from_index, dataset_to_index, ...) with their keys shifted."""
+    s = shift.select(F.col("dataset").alias("d"), "episode_offset", "frame_offset")
+    return _shifted(episodes.join(s.hint("merge"), F.col("dataset") == F.col("d")), {"episode_index": "episode_offset", "dataset_from_index": "frame_offset", "dataset_to_index": "frame_offset"})
+
+
+def _shifted(rows: DataFrame, by: dict[str, str]) -> DataFrame:
+    return rows.withColumns({c: F.col(c) + F.col(o) for c, o in by.items()}).drop("d", "episode_offset", "frame_offset")
 
 
 def task_registry(tasks: DataFrame) -> DataFrame:
@@ -26,42 +46,68 @@ def task_registry(tasks: DataFrame) -> DataFrame:
 
 
 def synthetic_tasks(used: DataFrame, tasks: DataFrame) -> DataFrame:
-    """H3: names for task indices (dataset, task_index) that no task has, or that are null."""
+    """H3: names for task indices (dataset, task_index) that no task has, or that are null. Names of datasets stand for themselves, so they are unique."""
     known = tasks.select(F.col("dataset").alias("d"), F.col("task_index").alias("t"))
     missing = used.select("dataset", "task_index").distinct().join(known, (F.col("dataset") == F.col("d")) & (F.col("task_index") == F.col("t")), "left_anti")
     return missing.withColumn("task", F.concat(F.lit("unknown task ("), F.col("dataset").cast("string"), F.lit(":"), F.coalesce(F.col("task_index").cast("string"), F.lit("null")), F.lit(")")))
 
 
+def full_registry(registry: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """H3: the registry (task, global_index) with the synthetic tasks after it, by dataset and index, nulls last; tasks are few, one row a task."""
+    new = synthetic.join(registry.select("task"), "task", "left_anti").groupBy("task").agg(F.min(F.struct("dataset", F.col("task_index").isNull().alias("none"), "task_index")).alias("first"))
+    n = registry.agg(F.count("*").alias("n"))
+    placed = new.select("task", (F.row_number().over(Window.orderBy("first")) - 1).alias("k")).crossJoin(F.broadcast(n))  # one row
+    return registry.select("task", F.col("global_index").cast("long").alias("global_index")).unionByName(placed.select("task", (F.col("k") + F.col("n")).alias("global_index")))
+
+
 def remapped_tasks(frames: DataFrame, tasks: DataFrame, registry: DataFrame) -> DataFrame:
-    """Frames with the global task index in place of the local one; one without a task is an error."""
+    """Frames with the global task index in place of the local one; one without a task is an error. ``tasks`` may hold synthetic ones, also for null indices."""
     local = tasks.join(registry, "task").select(F.col("dataset").alias("d"), F.col("task_index").alias("t"), "global_index")
-    out = frames.join(local, (F.col("dataset") == F.col("d")) & (F.col("task_index") == F.col("t")), "left")
+    out = frames.join(local.hint("merge"), (F.col("dataset") == F.col("d")) & F.col("task_index").eqNullSafe(F.col("t")), "left")
     return out.withColumn("task_index", F.coalesce("global_index", F.raise_error(F.lit("unknown task index")).cast("int"))).drop("d", "t", "global_index")
 
 
 def remapped_files(files: DataFrame) -> DataFrame:
-    """(dataset, file_index) with gaps -> with global_file, contiguous over datasets."""
+    """(dataset, file_index) with gaps -> with global_file, contiguous over datasets; an index that a dataset has twice is an error."""
+    twice = F.count("*").over(Window.partitionBy("dataset", "file_index")) > 1
+    files = files.withColumn("file_index", F.when(twice, F.raise_error(F.lit("duplicate file index")).cast(dict(files.dtypes)["file_index"])).otherwise(F.col("file_index")))
     rank = F.dense_rank().over(Window.partitionBy("dataset").orderBy("file_index")) - 1
     counts = files.groupBy(F.col("dataset").alias("d")).agg(F.countDistinct("file_index").alias("n"))
     base = counts.select("d", F.coalesce(F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return files.withColumn("rank", rank).join(base, F.col("dataset") == F.col("d")).withColumn("global_file", F.col("rank") + F.col("base")).drop("d", "rank", "base")
 
 
+def remapped_file_columns(episodes: DataFrame, files: DataFrame, column: str = "file_index") -> DataFrame:
+    """Episode rows (dataset, column, ...) with the global file index of ``remapped_files`` in place of the local one; a file that isn't there is an error."""
+    m = files.select(F.col("dataset").alias("d"), F.col("file_index").alias("f"), "global_file")
+    out = episodes.join(m.hint("merge"), (F.col("dataset") == F.col("d")) & (F.col(column) == F.col("f")), "left")
+    return out.withColumn(column, F.coalesce("global_file", F.raise_error(F.lit("unknown file index")).cast("long"))).drop("d", "f", "global_file")
+
+
+def shape_mismatches(required: DataFrame, present: DataFrame, keys: list[str], shape: str = "shape") -> DataFrame:
+    """(keys, wanted, found) of items that are there in another shape."""
+    r = required.select(*keys, F.col(shape).alias("wanted"))
+    return r.join(present.select(*keys, F.col(shape).alias("found")).hint("merge"), keys).where(~F.col("wanted").eqNullSafe(F.col("found")))
+
+
 def missing_items(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Required items that aren't there."""
     return required.join(present, keys, "left_anti")
 
 
 def merged_stats(stats: DataFrame) -> DataFrame:
-    """(dataset, frames, feature, stat, pos, value) -> merged: min and max by element, count summed, everything else weighted by frames."""
+    """(dataset, frames, feature, stat, pos, value) -> merged: min and max by element, count summed, mean, std and quantiles (q...) weighted by frames, any other stat the first dataset's."""
     weighted = F.sum(F.col("value") * F.col("frames")) / F.sum("frames")
-    value = F.when(F.col("stat") == "min", F.min("value")).when(F.col("stat") == "max", F.max("value")).when(F.col("stat") == "count", F.sum("value")).otherwise(weighted)
+    value = (
+        F.when(F.col("stat") == "min", F.min("value")).when(F.col("stat") == "max", F.max("value")).when(F.col("stat") == "count", F.sum("value"))
+        .when(F.col("stat").isin("mean", "std") | F.col("stat").rlike("^q[0-9]"), weighted).otherwise(F.min_by("value", "dataset"))
+    )
     return stats.groupBy("feature", "stat", "pos").agg(value.alias("value"))
 
 
 def totals(sizes: DataFrame) -> DataFrame:
-    """Totals of all datasets, and the range that the split covers."""
-    out = sizes.agg(F.sum("n_episodes").alias("total_episodes"), F.sum("n_frames").alias("total_frames"))
+    """Totals of all datasets, and the range that the split covers; tasks, if there is ``n_tasks``, are those of the merged registry: see ``full_registry``."""
+    out = sizes.agg(F.sum("n_episodes").alias("total_episodes"), F.sum("n_frames").alias("total_frames"), *([F.max("n_tasks").alias("total_tasks")] if "n_tasks" in sizes.columns else []))
     return out.withColumn("train", F.concat(F.lit("0:"), F.col("total_episodes").cast("string")))
 
 
@@ -69,11 +115,12 @@ def incompatibilities(infos: DataFrame, checked: list[str]) -> DataFrame:
     """(dataset, field, first_value, value) where a dataset's info differs from the first one's."""
     long = infos.select("dataset", F.explode(F.create_map(*[x for c in checked for x in (F.lit(c), F.col(c).cast("string"))])).alias("field", "value"))
     first = long.groupBy(F.col("field").alias("f")).agg(F.min_by("value", "dataset").alias("first_value"))
-    return long.join(first, F.col("field") == F.col("f")).where(~F.col("value").eqNullSafe(F.col("first_value"))).select("dataset", "field", "first_value", "value")
+    return long.join(first.hint("merge"), F.col("field") == F.col("f")).where(~F.col("value").eqNullSafe(F.col("first_value"))).select("dataset", "field", "first_value", "value")
 
 
 def readiness(infos: DataFrame, version: str = "v3.0") -> DataFrame:
-    """(dataset, rule, severity) of each failed rule."""
-    rules = [("version", "error", F.col("version") != version), ("episodes", "error", F.col("n_episodes") <= 0), ("frames", "error", F.col("n_frames") <= 0), ("tasks", "error", F.col("n_tasks") <= 0), ("stats", "warning", ~F.col("has_stats"))]
+    """(dataset, rule, severity) of each failed rule. With ``n_data_files`` and ``n_videos`` of an inventory their absence fails ``files``, or warns as ``videos``."""
+    files = [(r, s, F.col(c) <= 0) for c, r, s in (("n_data_files", "files", "error"), ("n_videos", "videos", "warning")) if c in infos.columns]
+    rules = files + [("version", "error", F.col("version") != version), ("episodes", "error", F.col("n_episodes") <= 0), ("frames", "error", F.col("n_frames") <= 0), ("tasks", "error", F.col("n_tasks") <= 0), ("stats", "warning", ~F.col("has_stats"))]
     found = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.coalesce(c, F.lit(True)).alias("failed")) for r, s, c in rules]), lambda x: x["failed"])
     return infos.select("dataset", F.explode(found).alias("x")).select("dataset", "x.rule", "x.severity")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def wilson(rows: DataFrame, keys: list[str], success: str, z: float = 1.959963984540054) -> DataFrame:
+def wilson(rows: DataFrame, keys: list[str], success: str, z: float = 1.96) -> DataFrame:
     """Success rate with its Wilson interval."""
     n, p = F.col("n"), F.col("rate")
     mid, half, base = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
@@ -15,15 +15,30 @@ def wilson(rows: DataFrame, keys: list[str], success: str, z: float = 1.95996398
 
 
 def failure_summary(rows: DataFrame, keys: list[str], success: str, phase: str, order: str) -> DataFrame:
-    """Success rate and the most frequent failure phase, ties to the one seen first."""
+    """Success rate, number of failures and the most frequent failure phase, ties to the one seen first. See ``failures_by_phase`` and ``recovery``."""
     rate = rows.groupBy(*keys).agg(F.avg(F.col(success).cast("int")).alias("success_rate"), F.count_if(~F.col(success)).alias("n_failed"))
     failed = rows.where(~F.col(success)).groupBy(*keys, phase).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     top = failed.groupBy(*keys).agg(F.min_by(phase, F.struct((-F.col("n")).alias("n"), "first")).alias("top_failure"))
     return rate.join(top, keys, "left")
 
 
+def failures_by_phase(rows: DataFrame, keys: list[str], success: str, phase: str) -> DataFrame:
+    """Failures of each phase."""
+    return rows.where(~F.col(success)).groupBy(*keys, phase).agg(F.count("*").alias("n"))
+
+
+def recovery(rows: DataFrame, keys: list[str], recovered: str) -> DataFrame:
+    """Corrupted runs and the share that recovered; 0 where there are none."""
+    return rows.groupBy(*keys).agg(F.count(recovered).alias("n_corrupted"), F.coalesce(F.avg(F.col(recovered).cast("int")), F.lit(0.0)).alias("recovery_rate"))
+
+
+def matched(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Rows with ``match``; null where there is no label (null or -1)."""
+    return rows.withColumn("match", F.when(F.col(label) >= 0, F.col(label) == F.col(predicted)))
+
+
 def agreement(rows: DataFrame, label: str, predicted: str) -> DataFrame:
-    """The confusion matrix with each cell's share of its label."""
+    """The confusion matrix with each cell's share of its label. The list of transitions is ``control.phase_changes``."""
     n = rows.groupBy(label, predicted).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(label)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 EPISODE = ("dataset", "episode")
 
 
@@ -37,6 +39,14 @@ def trimmed(rows: DataFrame, flag: str) -> DataFrame:
     return out.where((place >= F.col("__a")) & (place <= F.col("__z"))).drop("__a", "__z")
 
 
+def trim_counts(rows: DataFrame, flag: str) -> DataFrame:
+    """(dataset, episode, n_leading, n_trailing): how many rows stand before the first and after the last flagged one; all lead where none is flagged."""
+    place = F.struct("ts", "ord")
+    w = Window.partitionBy(*EPISODE)
+    out = rows.withColumn("__a", F.min(F.when(F.col(flag), place)).over(w)).withColumn("__z", F.max(F.when(F.col(flag), place)).over(w))
+    return out.groupBy(*EPISODE).agg(F.count_if(F.col("__a").isNull() | (place < F.col("__a"))).alias("n_leading"), F.count_if(place > F.col("__z")).alias("n_trailing"))
+
+
 def skip_reasons(rows: DataFrame, moving_col: str, covered_col: str, least_s: float = 2.0) -> DataFrame:
     """For each episode why cleaning skips it: static, no_coverage, too_short, or kept."""
     m = trimmed(rows, moving_col)
@@ -54,6 +64,13 @@ def cleaned(rows: DataFrame, moving_col: str, covered_col: str, least_s: float =
     return out.withColumn("__s", s).where(F.col("__s") >= least_s).drop("__s")
 
 
+def cleaned_events(kept: DataFrame) -> DataFrame:
+    """H8: the events that cleaning writes anew: (dataset, episode, event, robot_timestamp_ns), a start and an end at the first and last kept row of each episode."""
+    ends = kept.groupBy(*EPISODE).agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    event = F.explode(F.array(F.struct(F.lit("episode_start").alias("event"), F.col("a").alias("robot_timestamp_ns")), F.struct(F.lit("episode_end").alias("event"), F.col("z").alias("robot_timestamp_ns"))))
+    return ends.select(*EPISODE, event.alias("e")).select(*EPISODE, "e.*")
+
+
 def transitions(rows: DataFrame, state: str, time: str = "ts") -> DataFrame:
     """rows at which ``state`` differs from the row before, with from_state."""
     return rows.withColumn("from_state", F.lag(state).over(by_time(time))).where(F.col("from_state") != F.col(state))
@@ -72,29 +89,66 @@ def zero_crossings(rows: DataFrame, axes: list[str], time: str = "ts") -> DataFr
     return out.withColumn("__p", F.lag("__v").over(by_time(time))).where(F.col("__p") * F.col("__v") < 0).withColumn("axis", F.col("__axis") - 1).drop("__axis", "__v", "__p")
 
 
+class _Uniform:
+    """Takes the first time and then the first at least ``every`` after the last taken one."""
+
+    def __init__(self, every: float):
+        self.every, self.last = every, None
+
+    def step(self, row: tuple) -> list[tuple]:
+        if self.last is None or row[0] >= self.last + self.every:
+            self.last = row[0]
+            return [row]
+        return []
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def uniform_keyframes(rows: DataFrame, every_s: float = 0.5, time: str = "t") -> DataFrame:
-    """(dataset, episode, t): greedily the first frame, then always the first at least ``every_s`` after the last taken one. A fold over one episode's times."""
-    times = F.array_sort(F.collect_list(F.col(time).cast("double")))
-    taken = F.aggregate(F.col("ts_list"), F.array().cast("array<double>"), lambda k, t: F.when((F.size(k) == 0) | (t >= F.element_at(k, -1) + every_s), F.concat(k, F.array(t))).otherwise(k))
-    return rows.groupBy(*EPISODE).agg(times.alias("ts_list")).select(*EPISODE, F.explode(taken).alias("t"))
+    """(dataset, episode, t): greedily the first frame, then always the first at least ``every_s`` after the last taken one. Rows without a time don't count."""
+    times = rows.where(F.col(time).isNotNull()).select(*EPISODE, F.col(time).cast("double").alias("t"))
+    kinds = dict(times.dtypes)
+    return folded(times, [*EPISODE], ["t"], lambda: _Uniform(every_s), f"dataset {kinds['dataset']}, episode {kinds['episode']}, t double")
+
+
+# Kinds of keyframes in the order in which they stand at equal times.
+KINDS = ("uniform", "gripper", "contact", "velocity")
+
+
+class _Apart:
+    """Drops frames closer than ``apart`` to the last kept one, but an event replaces a kept uniform frame; the last one is held back, as it may be replaced."""
+
+    def __init__(self, apart: float):
+        self.apart, self.kept = apart, None
+
+    def step(self, row: tuple) -> list[tuple]:
+        t, _, kind = row
+        if self.kept is None or t - self.kept[0] >= self.apart:
+            out, self.kept = self.end(), (t, kind)
+            return out
+        if kind != "uniform" and self.kept[1] == "uniform":
+            self.kept = (t, kind)
+        return []
+
+    def end(self) -> list[tuple]:
+        return [] if self.kept is None else [self.kept]
 
 
 def deduplicated_keyframes(frames: DataFrame, apart_s: float = 0.05) -> DataFrame:
     """(dataset, episode, t, kind): frames closer than ``apart_s`` to the last kept one go, but an event replaces a kept uniform frame.
 
-    Kinds at equal times stand in the order uniform, gripper, contact, velocity.
+    Kinds at equal times stand in the order uniform, gripper, contact, velocity. Frames without a time don't count.
     """
-    order = F.array_position(F.array(*map(F.lit, ("uniform", "gripper", "contact", "velocity"))), F.col("kind")).cast("int")
-    items = F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), order.alias("o"), F.col("kind").alias("kind"))))
-    last = lambda k: F.element_at(k, -1)
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    items = frames.where("t is not null").select(*EPISODE, F.col("t").cast("double").alias("t"), order.alias("o"), "kind")
+    kinds = dict(items.dtypes)
+    return folded(items, [*EPISODE], ["t", "o"], lambda: _Apart(apart_s), f"dataset {kinds['dataset']}, episode {kinds['episode']}, t double, kind string")
 
-    def add(k: Column, x: Column) -> Column:
-        near = x["t"] - last(k)["t"] < apart_s
-        swap = near & (x["kind"] != "uniform") & (last(k)["kind"] == "uniform")
-        return F.when((F.size(k) == 0) | ~near, F.concat(k, F.array(x))).when(swap, F.concat(F.slice(k, 1, F.size(k) - 1), F.array(x))).otherwise(k)
 
-    kept = F.aggregate("items", F.array().cast("array<struct<t:double,o:int,kind:string>>"), add)
-    return frames.groupBy(*EPISODE).agg(items.alias("items")).select(*EPISODE, F.explode(kept).alias("f")).select(*EPISODE, "f.t", "f.kind")
+def sampled(rows: DataFrame, sampler, schema: str) -> DataFrame:
+    """A user's own function from one episode's rows (a pandas frame in order of ts, ord) to rows of ``schema``; it holds one episode at a time."""
+    return rows.groupBy(*EPISODE).applyInPandas(lambda pdf: sampler(pdf.sort_values(["ts", "ord"], ignore_index=True)), schema)
 
 
 def capped_keyframes(frames: DataFrame, most: int = 60) -> DataFrame:
@@ -125,11 +179,15 @@ def thresholds(rows: DataFrame, speed: str, z: str, time: str = "t") -> DataFram
 
 
 def first_cycle(changes: DataFrame, apart_s: float = 0.1) -> DataFrame:
-    """changes (dataset, episode, t, closed): the earliest close that has an open more than ``apart_s`` after it, and the earliest such open."""
-    closes = changes.where("closed = 1").select(*EPISODE, F.col("t").alias("t_close"))
-    opens = changes.where("closed = 0").select(*EPISODE, F.col("t").alias("t_open"))
-    pairs = closes.join(opens, list(EPISODE)).where(F.col("t_open") > F.col("t_close") + apart_s)
-    return pairs.groupBy(*EPISODE).agg(F.min(F.struct("t_close", "t_open")).alias("m")).select(*EPISODE, "m.t_close", "m.t_open")
+    """changes (dataset, episode, t, closed): the earliest close that has an open more than ``apart_s`` after it, and the earliest such open.
+
+    A close has such an open if the last open is one; so minima and maxima suffice and no pairs are made.
+    """
+    w = Window.partitionBy(*EPISODE)
+    last = changes.withColumn("__last", F.max(F.when(F.col("closed") == 0, F.col("t"))).over(w))
+    first = last.withColumn("__close", F.min(F.when((F.col("closed") == 1) & (F.col("__last") > F.col("t") + apart_s), F.col("t"))).over(w))
+    opened = F.min(F.when((F.col("closed") == 0) & (F.col("t") > F.col("__close") + apart_s), F.col("t")))
+    return first.groupBy(*EPISODE).agg(F.min("__close").alias("t_close"), opened.alias("t_open")).where("t_close is not null")
 
 
 def frame_rate(frames: DataFrame) -> DataFrame:
@@ -144,6 +202,11 @@ def dimension_spread(rows: DataFrame, vector: str, key: str) -> DataFrame:
     return rows.select(key, F.posexplode(vector).alias("dim", "x")).groupBy(key, "dim").agg(F.stddev_pop("x").alias("std"))
 
 
+def flat_dimensions(spread: DataFrame, least: float) -> DataFrame:
+    """E5: dimensions of ``dimension_spread`` that hardly vary: at most 1e-6 for a state, 1e-12 for an action."""
+    return spread.where(F.col("std") <= least)
+
+
 def dominant(rows: DataFrame, text: str) -> DataFrame:
     """The most frequent text of each episode; ties go to the one seen first."""
     counted = rows.where(F.col(text).isNotNull()).groupBy(*EPISODE, text).agg(F.count("*").alias("n"), F.min(F.struct("ts", "ord")).alias("first"))

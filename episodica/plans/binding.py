@@ -61,7 +61,7 @@ class Tables:
     def episode_rows(self) -> DataFrame:
         from ..operators import episodes
 
-        return episodes.rows_of_episodes(self.kind("view", "click", "error"), episodes.numbered(episodes.paired_intervals(self.marks)))
+        return episodes.rows_of_episodes(self.kind("view", "click", "error"), episodes.numbered(episodes.paired_intervals(self.marks)), 86_400.0)
 
     @property
     def one_episode(self) -> DataFrame:

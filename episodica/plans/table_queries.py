@@ -42,7 +42,7 @@ def b7_camera_features(t: Tables):
     return t.events.select("user_id", "event_id", fields.camera_feature(F.col("event_type"), F.min("event_type").over(Window.partitionBy("user_id"))).alias("feature"))
 
 
-@query("o_orderkey:l label:s closed:l", "SELECT o_orderkey, concat_ws('.', o_orderpriority, (['FREE_MOTION', 'FINE_ALIGN', 'CONTACT_ESTABLISH', 'CONSTRAINED_MOTION', 'VERIFY_RELEASE'])[o_orderkey % 5 + 1]) AS label, CASE WHEN o_totalprice / 1e6 < 0.035 THEN 1 ELSE 0 END AS closed FROM orders")
+@query("o_orderkey:l label:s closed:l", "SELECT o_orderkey, concat_ws('.', o_orderpriority, (['free_motion', 'fine_align', 'contact_establish', 'constrained_motion', 'verify_release'])[o_orderkey % 5 + 1]) AS label, CASE WHEN o_totalprice / 1e6 < 0.035 THEN 1 ELSE 0 END AS closed FROM orders")
 def b10_subtask_labels(t: Tables):
     return t.orders.select("o_orderkey", fields.subtask_label(F.col("o_orderpriority"), F.col("o_orderkey") % 5).alias("label"), fields.gripper_closed(F.col("o_totalprice") / 1e6).alias("closed"))
 
@@ -97,10 +97,10 @@ def b25_default_layout(t: Tables):
     return labels.default_layout(rows, ("a", "b", "c", "d"))
 
 
-@query("vec_id:l reason:s", """SELECT vec_id, CASE WHEN list_bool_or([abs(x) > 0.5 FOR x IN embedding[1:3]]) THEN 'workspace' WHEN list_bool_or([abs(x) > 0.35 FOR x IN embedding[1:6]]) THEN 'velocity' WHEN abs(embedding[8] * 100) > 30 THEN 'force' WHEN label = 0 AND embedding[7] > 0.1 THEN 'gripper' END AS reason FROM embeddings""")
+@query("vec_id:l reason:s", """SELECT vec_id, CASE WHEN embedding[1] NOT BETWEEN -0.3 AND 0.3 OR embedding[2] NOT BETWEEN -0.3 AND 0.3 OR embedding[3] NOT BETWEEN -0.1 AND 0.4 THEN 'workspace' WHEN list_bool_or([abs(x) > 0.25 FOR x IN embedding[1:6]]) THEN 'velocity' WHEN abs(embedding[8] * 200) > 30 THEN 'force' WHEN label = 0 AND embedding[len(embedding)] > 0.1 THEN 'gripper' END AS reason FROM embeddings""")
 def c7_safety_envelope(t: Tables):
-    rows = t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 7).alias("action"), F.when(F.col("label") == 0, "FREE_MOTION").otherwise("CONTACT_ESTABLISH").alias("phase"), (F.element_at("embedding", 8).cast("double") * 100).alias("force_z"))
-    return control.checked_actions(rows, velocity=0.35, grip=0.1)
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("action"), F.when(F.col("label") == 0, "free_motion").otherwise("contact_establish").alias("phase"), (F.element_at("embedding", 8).cast("double") * 200).alias("force_z"))
+    return control.checked_actions(rows, low=(-0.3, -0.3, -0.1), high=(0.3, 0.3, 0.4), velocity=0.25, grip=0.1)
 
 
 @query("label:l dim:l std:d", "SELECT label, CAST(i AS BIGINT) AS dim, stddev_pop(CAST(embedding[i + 1] AS DOUBLE)) AS std FROM embeddings, range(64) r(i) GROUP BY 1, 2")
@@ -111,12 +111,12 @@ def e5_dimension_spread(t: Tables):
 @query("k:l ord:l phase:l", f"""WITH {SEGMENTS}, {SHIPMENTS} SELECT k, ord, phase FROM (SELECT DISTINCT * FROM ship) JOIN seg USING (k)
 QUALIFY row_number() OVER (PARTITION BY k, ts, ord ORDER BY CASE WHEN ts BETWEEN start_t AND end_t THEN 0 ELSE 1 END, CASE WHEN ts BETWEEN start_t AND end_t THEN 0 ELSE least(abs(ts - start_t), abs(ts - end_t)) END, pos) = 1""")
 def d10_subtask_lookup(t: Tables):
-    return labels.nearest_phase(t.shipments, t.segments, "k")
+    return labels.nearest_phase(t.shipments, t.segments, "k", 200.0)
 
 
 @query("k:l ord:l phase:l", f"WITH {SEGMENTS}, {SHIPMENTS} SELECT ship.k, ord, coalesce(min_by(phase, pos), -1) AS phase FROM ship LEFT JOIN seg ON ship.k = seg.k AND ts >= start_t AND ts < end_t GROUP BY ship.k, ts, ord")
 def d11_half_open_lookup(t: Tables):
-    return labels.half_open_phase(t.shipments, t.segments, "k")
+    return labels.half_open_phase(t.shipments, t.segments, "k", 200.0)
 
 
 _DENSE = SEGMENTS + """, e AS (SELECT k, min(start_t) AS s0, count(*) * 20 AS n FROM seg GROUP BY 1), f AS (SELECT k, s0, unnest(range(n)) AS frame_idx FROM e),
@@ -147,8 +147,8 @@ def e7_phase_frequency(t: Tables):
     return labels.phase_shares(_dense(t))
 
 
-_LEGAL = "(prev, phase) NOT IN ((0,0),(0,1),(1,0),(1,1),(1,2),(2,0),(2,2),(2,3),(3,2),(3,3),(3,4),(4,0),(4,4))"
-_CONTIGUITY = """cont AS (SELECT k, 'error' AS severity, 'contiguity_' || min_by(r, pos) AS rule FROM (SELECT *, CASE WHEN pe IS NULL AND abs(start_t) > 0.05 THEN 'start' WHEN start_t < ps THEN 'order' WHEN abs(start_t - pe) > 0.05 THEN 'gap' WHEN nx IS NULL AND abs(end_t - duration) > 0.05 THEN 'end' END AS r
+_LEGAL = "(prev, phase) NOT IN ((0,0),(0,1),(1,0),(1,1),(1,2),(2,2),(2,3),(3,3),(3,4),(4,4))"
+_CONTIGUITY = """cont AS (SELECT k, 'error' AS severity, 'contiguity_' || min_by(r, (CASE r WHEN 'start' THEN 0 WHEN 'end' THEN 1 ELSE 2 END, pos)) AS rule FROM (SELECT *, CASE WHEN pe IS NULL AND abs(start_t) > 0.05 THEN 'start' WHEN nx IS NULL AND abs(end_t - duration) > 0.05 THEN 'end' WHEN abs(start_t - pe) > 0.05 THEN 'gap' WHEN start_t < ps THEN 'order' END AS r
  FROM (SELECT *, lag(end_t) OVER w AS pe, lag(start_t) OVER w AS ps, lead(start_t) OVER w AS nx FROM rel WINDOW w AS (PARTITION BY k ORDER BY pos))) WHERE r IS NOT NULL GROUP BY k)"""
 _RELATIVE = SEGMENTS + ", rel AS (SELECT k, pos, phase, start_t - s0 AS start_t, end_t - s0 - CASE WHEN phase = 5 THEN 1 ELSE 0 END AS end_t, confidence, max(end_t) OVER (PARTITION BY k) - s0 AS duration FROM (SELECT *, min(start_t) OVER (PARTITION BY k) AS s0 FROM seg))"
 
@@ -177,8 +177,8 @@ def f18_short_segments(t: Tables):
     return labels.short_issues(t.segments, "k", 10.0).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("k:l severity:s rule:s", f"""WITH {_RELATIVE}, fr AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 50.0 AS t, o_totalprice / 1e5 AS force FROM orders), on_ AS (SELECT k, min(t) FILTER (force > 3) AS onset FROM fr GROUP BY 1), f AS (SELECT k, min(start_t) AS s FROM rel WHERE phase = 2 GROUP BY 1)
-SELECT k, 'warning' AS severity, 'contact_cross_check' AS rule FROM f JOIN on_ USING (k) WHERE abs(s - onset) > 0.2""")
+@query("k:l severity:s rule:s", f"""WITH {_RELATIVE}, fr AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 50.0 AS t, o_totalprice / 1e5 AS force FROM orders), on_ AS (SELECT k, min(t) FILTER (force > 3) AS onset FROM fr GROUP BY 1), f AS (SELECT k, min_by(start_t, pos) AS s FROM rel WHERE phase = 2 GROUP BY 1)
+SELECT k, 'warning' AS severity, 'fsm_crosscheck' AS rule FROM f JOIN on_ USING (k) WHERE abs(s - onset) > 0.2""")
 def f19_contact_check(t: Tables):
     from pyspark.sql import Window
 
@@ -186,7 +186,7 @@ def f19_contact_check(t: Tables):
     return labels.contact_issues(_relative(t), fr, "k")
 
 
-@query("k:l rule:s", f"WITH {SEGMENTS} SELECT k, 'phase_coverage' AS rule FROM seg GROUP BY k HAVING count(DISTINCT phase) FILTER (phase < 5) < 5")
+@query("k:l rule:s", f"WITH {SEGMENTS} SELECT k, 'coverage' AS rule FROM seg GROUP BY k HAVING count(DISTINCT phase) FILTER (phase < 5) < 5")
 def f20_phase_coverage(t: Tables):
     return labels.coverage_issues(t.segments, "k")
 
@@ -323,7 +323,7 @@ def _rated(t: Tables):
     return t.documents.select("doc_id", "lang", "source").join(t.labels, "doc_id").withColumn("ok", F.col("quality") == 1)
 
 
-@query("lang:s source:s n:l rate:d low:d high:d", f"""WITH {_RATED}, a AS (SELECT lang, source, count(*) AS n, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS rate FROM rated GROUP BY 1, 2), w AS (SELECT *, 1.959963984540054 AS z FROM a)
+@query("lang:s source:s n:l rate:d low:d high:d", f"""WITH {_RATED}, a AS (SELECT lang, source, count(*) AS n, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS rate FROM rated GROUP BY 1, 2), w AS (SELECT *, 1.96::DOUBLE AS z FROM a)
 SELECT *, greatest(0, (rate + z * z / (2 * n) - z * sqrt(rate * (1 - rate) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)) AS low, least(1, (rate + z * z / (2 * n) + z * sqrt(rate * (1 - rate) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)) AS high FROM w""")
 def e12_success_intervals(t: Tables):
     return reports.wilson(_rated(t), ["lang", "source"], "ok")
@@ -366,17 +366,29 @@ def _signals(t: Tables):
     return t.ev.select(F.col("dataset").alias("key"), "ts", "ord", "value", *[(F.col("kind") == k).alias(s) for s, k in names.items()])
 
 
-@query("key:l ord:l phase:l")
+_MACHINE = """WITH RECURSIVE """ + EV + """, e AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ts, ord) AS i FROM ev),
+r AS (SELECT dataset, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ord, 0 AS was, 0 AS phase, CAST(NULL AS BIGINT) AS entry FROM (SELECT DISTINCT dataset FROM ev)
+ UNION ALL SELECT e.dataset, e.i, e.ord, r.phase, CASE WHEN r.phase = 1 AND e.i - coalesce(r.entry, e.i) > 5 THEN 0 WHEN r.phase = 0 AND kind = 'view' THEN 1 WHEN r.phase = 1 AND kind = 'click' THEN 2 WHEN r.phase = 2 AND kind = 'purchase' THEN 3 WHEN r.phase = 3 AND kind = 'signup' THEN 4 ELSE r.phase END,
+ CASE WHEN r.phase = 1 AND e.i - coalesce(r.entry, e.i) <= 5 THEN coalesce(r.entry, e.i) END FROM r JOIN e ON e.dataset = r.dataset AND e.i = r.i + 1)"""
+
+
+@query("key:l ord:l phase:l", f"{_MACHINE} SELECT dataset AS key, ord, phase FROM r WHERE i > 0")
 def j1_phase_machine(t: Tables):
-    return control.phases_batch(_signals(t), hysteresis=1, timeout_steps=5)
+    return control.phases_batch(_signals(t), control.PhaseRules(1, 5))
 
 
-@query("key:l ord:l from_phase:l phase:l")
+@query("key:l ord:l from_phase:l phase:l", f"{_MACHINE} SELECT dataset AS key, ord, was AS from_phase, phase FROM r WHERE i > 0 AND was <> phase")
 def j5_phase_changes(t: Tables):
-    return control.phase_changes(control.phases_batch(_signals(t), hysteresis=1, timeout_steps=5))
+    return control.phase_changes(control.phases_batch(_signals(t), control.PhaseRules(1, 5)))
+
+
+_B0, _B1, _B2, _A1, _A2 = control.butterworth(2.0, 30.0)
 
 
-@query("key:l ord:l filtered:d")
+@query("key:l ord:l filtered:d", f"""WITH RECURSIVE {EV}, e AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ts, ord) AS i FROM ev),
+r AS (SELECT dataset, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ord, 0::DOUBLE AS x1, 0::DOUBLE AS x2, 0::DOUBLE AS y1, 0::DOUBLE AS y2 FROM (SELECT DISTINCT dataset FROM ev)
+ UNION ALL SELECT e.dataset, e.i, e.ord, e.value, r.x1, {_B0!r}::DOUBLE * e.value + {_B1!r}::DOUBLE * r.x1 + {_B2!r}::DOUBLE * r.x2 - ({_A1!r}::DOUBLE) * r.y1 - ({_A2!r}::DOUBLE) * r.y2, r.y1 FROM r JOIN e ON e.dataset = r.dataset AND e.i = r.i + 1)
+SELECT dataset AS key, ord, y1 AS filtered FROM r WHERE i > 0""")
 def j4_low_pass(t: Tables):
     return control.low_passed(_signals(t), "value", 2.0, 30.0)
 

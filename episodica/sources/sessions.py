@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fields import ANNOTATION, TEXT_FIELDS, first_text
+from ..operators.episodes import latest
+
 TIMES = "host_timestamp_ns long, timestamp_ns long, robot_timestamp_ns long, receive_host_time_ns long, created_unix_time_ns long"
 TELEMETRY = TIMES + ", robot_state struct<q:array<double>,dq:array<double>,q_cmd:array<double>,tcp_position_xyz:array<double>,tcp_orientation_xyzw:array<double>,gripper_width:double,gripper_state:string>, executed_action struct<cartesian_delta_translation:array<double>,cartesian_delta_rotation:array<double>,gripper_command:double>, backfilled_q_cmd array<double>"
 EVENTS = TIMES + ", event string, episode_event string, teleop_state string"
@@ -21,9 +25,13 @@ def dataset_of(depth: int = 1) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, depth: int = 1, strict: bool = True) -> DataFrame:
-    """JSON lines of many sessions in one read, with dataset and ord (place within the file's block order). Blank lines don't count; a bad line is an error, or with ``strict`` off a row with _corrupt_record."""
+    """JSON lines of many sessions in one read, with dataset and ord. Blank lines don't count; a bad line is an error, or with ``strict`` off a row with _corrupt_record.
+
+    ``ord`` rises with a row's place in its file: it is the start of the row's block in bytes plus the row's number in the task. A row takes a byte at least, so
+    blocks of one file can't overlap unless a task reads other files before: ``ord`` then starts later, and small files that are one block stay in order.
+    """
     reader = spark.read.schema(schema if strict else schema + ", _corrupt_record string").option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    return reader.json(path).withColumn("dataset", dataset_of(depth)).withColumn("ord", F.col("_metadata.file_block_start") * F.lit(1 << 33) + F.monotonically_increasing_id() % F.lit(1 << 33))
+    return reader.json(path).withColumn("dataset", dataset_of(depth)).withColumn("ord", F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % F.lit(1 << 33))
 
 
 def telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +44,10 @@ def episode_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def camera_frames(spark: SparkSession, path: str) -> DataFrame:
-    """A3: frames of all cameras, with defaults; cameras without frames have no rows."""
+    """A3: frames of all cameras, with defaults; cameras without frames have no rows, and a folder in which no camera has any is an error."""
     raw = read_lines(spark, f"{path}/*/cameras/*/frames.jsonl", CAMERA, depth=3)
+    if raw.isEmpty():
+        raise ValueError(f"no camera frames below {path}")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return raw.withColumn("camera", F.coalesce("camera", folder)).withColumn("rgb_video", F.coalesce("rgb_video", F.lit("rgb.mp4"))).withColumn("rgb_video_frame", F.coalesce("rgb_video_frame", "frame_index"))
 
@@ -52,8 +62,30 @@ def first_source(candidates: list[DataFrame]) -> DataFrame:
     return all_.join(best, (F.col("dataset") == F.col("d")) & (F.col("__rank") == F.col("r"))).drop("d", "r", "__rank")
 
 
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """A4: text records of each dataset from the first of text.jsonl, language.jsonl and text/text.jsonl that has rows, with ``value`` (B2); none if no session has any."""
+    found = []
+    for pattern, depth in (("*/text.jsonl", 1), ("*/language.jsonl", 1), ("*/text/text.jsonl", 2)):
+        try:
+            found.append(read_lines(spark, f"{path}/{pattern}", TEXT, depth))
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+    if not found:
+        return spark.createDataFrame([], TEXT + ", dataset string, ord long, value string")
+    return first_source(found).withColumn("value", first_text(*[F.col(c) for c in TEXT_FIELDS]))
+
+
+def sidecar(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A5: annotations, trims or subtasks: (dataset, episode, ...), the last row of each episode; rows without an episode, and subtasks that are no list, don't count."""
+    schema, needs = {"annotations": (ANNOTATIONS, "task is not null"), "trims": (TRIMS, "true"), "subtasks": (SUBTASKS, "subtasks is not null")}[name]
+    rows = read_lines(spark, f"{path}/*/{name}.jsonl", schema, strict=False).where("episode_index is not null").where(needs)
+    rows = latest(rows.drop("_corrupt_record"), ["dataset", "episode_index"], [F.desc("ord")]).withColumnRenamed("episode_index", "episode").drop("ord")
+    return rows.fillna(0.0, ["trim_start_s", "trim_end_s"]) if name == "trims" else rows
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
-    """JSON lines, a folder a dataset."""
+    """JSON lines, a folder a dataset."""
     rows.write.partitionBy("dataset").json(path)
 
 
@@ -85,12 +117,51 @@ def write_missing(rows: DataFrame, spark: SparkSession, path: str, keys: list[st
 
 def info(spark: SparkSession, path: str) -> DataFrame:
     """The info document of each dataset."""
-    return spark.read.option("multiLine", True).json(f"{path}/*/meta/info.json").withColumn("dataset", dataset_of(2))
+    return _documents(spark, f"{path}/*/meta/info.json", 2)
+
+
+def _documents(spark: SparkSession, path: str, depth: int, schema: str | None = None) -> DataFrame:
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path).withColumn("dataset", dataset_of(depth))
+
+
+def stats(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, feature, stat, pos, value) of the stats documents, which hold lists of numbers by feature and stat."""
+    raw = spark.read.option("wholetext", True).text(f"{path}/*/meta/stats.json").withColumn("dataset", dataset_of(2))
+    features = raw.select("dataset", F.explode(F.from_json("value", "map<string,map<string,array<double>>>")).alias("feature", "by_stat"))
+    return features.select("dataset", "feature", F.explode("by_stat").alias("stat", "values")).select("dataset", "feature", "stat", F.posexplode("values").alias("pos", "value"))
+
+
+def write_info(infos: DataFrame, path: str) -> None:
+    """One info document a dataset, in a folder of its own."""
+    infos.repartition("dataset").write.partitionBy("dataset").json(path)
+
+
+def write_stats(merged: DataFrame, path: str) -> None:
+    """Merged stats (feature, stat, pos, value) as one document of lists by feature and stat; it has a number a dimension, so it is small."""
+    lists = merged.groupBy("feature", "stat").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
+    by_feature = lists.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("stat", "values"))).alias("by_stat"))
+    document = by_feature.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("feature", "by_stat")))).alias("value"))
+    document.write.text(path)
+
+
+META = "method string, duration_s double, n_robot_frames long, validation_passed boolean, validation_warnings long"
+
+
+def write_annotations(annotations: DataFrame, path: str) -> None:
+    """Annotations (dataset, the fields of an annotation, method, duration_s, n_robot_frames, validation_passed, validation_warnings) as JSON, the last five under _meta."""
+    names = [c.split()[0] for c in META.split(", ")]
+    annotations.withColumn("_meta", F.struct(*names)).drop(*names).write.partitionBy("dataset").json(path)
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_annotations`` wrote."""
+    return spark.read.schema(f"{ANNOTATION}, _meta struct<{META.replace(' ', ':').replace(',:', ',')}>, dataset string").json(path)
 
 
 def quarantine(rows: DataFrame, reason: Column, path: str) -> DataFrame:
-    """Append rows with a reason to the rejects; returns the others."""
-    marked = rows.withColumn("reason", reason)
+    """Append rows with a reason to the rejects; returns the others. The rows are computed once and kept until then. On streams: ``control.split_writer``."""
+    marked = rows.withColumn("reason", reason).persist()
     marked.where("reason is not null").write.mode("append").json(path)
     return marked.where("reason is null").drop("reason")
 

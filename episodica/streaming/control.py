@@ -1,97 +1,192 @@
-"""Keyed operators on control streams; each has a batch twin that runs the same step function."""
+"""Keyed operators on control streams. A machine's step runs in a batch as a fold over sorted rows and on a stream with its state kept by Spark.
+
+On a stream, rows of a key that are older than its last one come too late for its state: they come out with ``late`` set and nothing else, for the rejects.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.fields import unsafe_reason
+from ..operators.folds import folded
+from ..operators.labels import LEGAL_NEXT
 
-# Fixed values: (phase from, signal, phase to), tested in this order within one step.
-TRANSITIONS = ((0, "align", 1), (1, "contact", 2), (2, "mate", 3), (3, "seated", 4), (4, "retract", 0))
+# Fixed values: (phase from, signal, phase to), tested in this order within one step; phase 4 is the last.
+TRANSITIONS = ((0, "align", 1), (1, "contact", 2), (2, "mate", 3), (3, "seated", 4), (4, "retract", 4))
 SIGNALS = tuple(s for _, s, _ in TRANSITIONS)
+# Limits of the signals, and hysteresis and timeout of the machine, by task.
+LIMITS = {
+    "default": {"contact_force_threshold": 3.0, "align_xy_threshold": 0.005, "hover_z": 0.05, "mate_force_band": (0.5, 3.0), "seated_force_band": (3.0, 8.0), "insertion_z_target": 0.012, "hysteresis_steps": 3, "fine_align_timeout_s": 5.0, "control_rate_hz": 100.0},
+    "msd_plug": {"contact_force_threshold": 1.5, "align_xy_threshold": 0.001, "hover_z": 0.03, "mate_force_band": (0.5, 3.0), "seated_force_band": (3.0, 8.0), "insertion_z_target": 0.012, "hysteresis_steps": 3, "fine_align_timeout_s": 8.0, "control_rate_hz": 100.0},
+    "pick_place": {"contact_force_threshold": 3.0, "align_xy_threshold": 0.005, "hover_z": 0.05, "mate_force_band": (0.5, 10.0), "seated_force_band": (3.0, 12.0), "insertion_z_target": 0.0, "hysteresis_steps": 3, "fine_align_timeout_s": 5.0, "control_rate_hz": 100.0},
+}
+
+
+@dataclass(frozen=True)
+class PhaseRules:
+    """A transition is made after ``hysteresis`` hits in a row; phase 1 goes back to 0 once it has lasted over ``timeout_steps``. Users pass transitions of their own."""
+
+    hysteresis: int = 3
+    timeout_steps: int = 500
+    transitions: tuple[tuple[int, str, int], ...] = TRANSITIONS
+
+    @property
+    def inputs(self) -> list[str]:
+        return list(dict.fromkeys(s for _, s, _ in self.transitions))
+
+    schema = "from_phase int, phase int"
+
+    def start(self) -> list[float]:
+        """Phase, steps so far, the step at which phase 1 was first evaluated (-1: not yet), and a count a transition."""
+        return [0.0, 0.0, -1.0] + [0.0] * len(self.transitions)
+
+    def step(self, s: list[float], row: tuple) -> tuple:
+        before, hits = int(s[0]), dict(zip(self.inputs, row))
+        s[1] += 1
+        if before == 1:
+            s[2] = s[1] if s[2] < 0 else s[2]
+            if s[1] - s[2] > self.timeout_steps:  # nothing else is evaluated, counts stay
+                s[0], s[2] = 0.0, -1.0
+                return before, 0
+        else:
+            s[2] = -1.0
+        for k, (source, signal, target) in enumerate(self.transitions):
+            if s[0] != source or target == source:
+                continue
+            s[3 + k] = s[3 + k] + 1 if hits[signal] else 0.0
+            if s[3 + k] >= self.hysteresis:
+                s[3 + k] = 0.0
+                if target in LEGAL_NEXT.get(source, ()):
+                    s[0] = float(target)
+        return before, int(s[0])
 
 
-class PhaseMachine:
-    """Phases with hysteresis; phase 1 times out to phase 0. State: phase, a count a transition, steps in phase 1."""
+@dataclass(frozen=True)
+class LowPass:
+    """Second-order low-pass from a state of zeros; the value itself where the cutoff isn't positive. A null value gives null and leaves the state alone."""
 
-    def __init__(self, hysteresis: int = 3, timeout_steps: int = 150, state: list[int] | None = None):
-        self.hysteresis, self.timeout = hysteresis, timeout_steps
-        self.state = list(state) if state else [0] * (2 + len(TRANSITIONS))
+    column: str
+    cutoff: float
+    rate: float
+    schema = "filtered double"
 
-    def step(self, signals: tuple[bool, ...]) -> int:
-        s = self.state
-        if s[0] == 1:
-            s[1] += 1
-            if s[1] > self.timeout:
-                s[0], s[1], s[3] = 0, 0, 0
-                return 0
-        for k, ((source, _, target), hit) in enumerate(zip(TRANSITIONS, signals)):
-            if s[0] != source:
-                continue
-            s[2 + k] = s[2 + k] + 1 if hit else 0
-            if s[2 + k] >= self.hysteresis:
-                s[0], s[1], s[2 + k] = target, 0, 0
-        return s[0]
+    @property
+    def inputs(self) -> list[str]:
+        return [self.column]
 
+    def start(self) -> list[float]:
+        return [0.0] * 4
 
-def signals(rows: DataFrame, distance, hover, force, closed, z, speed, align: float = 0.05, contact: float = 3.0, band: tuple = (1.0, 8.0), seated: tuple = (3.0, 10.0), z_goal: float = 0.0) -> DataFrame:
-    """The transition predicates as columns, so that the state machine sees booleans only; null is false."""
-    tests = {"align": (distance < align) & hover, "contact": (F.abs(force) > contact) | closed, "mate": F.abs(force).between(*band) & closed, "seated": F.abs(force).between(*seated) & (z <= z_goal), "retract": ~closed & (speed > 0)}
-    return rows.withColumns({name: F.coalesce(test, F.lit(False)) for name, test in tests.items()})
+    def step(self, s: list[float], row: tuple) -> tuple:
+        x = row[0]
+        if x is None or self.cutoff <= 0:
+            return (x,)
+        b0, b1, b2, a1, a2 = butterworth(self.cutoff, self.rate)
+        y = b0 * x + b1 * s[0] + b2 * s[1] - a1 * s[2] - a2 * s[3]
+        s[0], s[1], s[2], s[3] = x, s[0], y, s[2]
+        return (y,)
+
+
+class _Machine:
+    """A rule as a machine for ``folded``."""
+
+    def __init__(self, rule):
+        self.rule, self.state = rule, rule.start()
 
+    def step(self, row: tuple) -> list[tuple]:
+        return [(*row[:2], *self.rule.step(self.state, row[2:]))]
 
-def phases_batch(rows: DataFrame, hysteresis: int = 3, timeout_steps: int = 150) -> DataFrame:
-    """J1, batch: (key, ts, ord, signals) -> (key, ts, ord, phase). One key's rows are one robot's run."""
+    def end(self) -> list[tuple]:
+        return []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "ord"])
-        m = PhaseMachine(hysteresis, timeout_steps)
-        return pdf[["key", "ts", "ord"]].assign(phase=[m.step(s) for s in pdf[list(SIGNALS)].itertuples(index=False)])
 
-    return rows.select("key", "ts", "ord", *SIGNALS).groupBy("key").applyInPandas(run, f"key {dict(rows.dtypes)['key']}, ts long, ord long, phase int")
+def in_batch(rows: DataFrame, rule) -> DataFrame:
+    """(key, ts, ord, inputs of the rule) -> (key, ts, ord, what the rule gives), in order of ts and ord within each key."""
+    return folded(rows.select("key", "ts", "ord", *rule.inputs), ["key"], ["ts", "ord"], lambda: _Machine(rule), f"key {dict(rows.dtypes)['key']}, ts long, ord long, {rule.schema}")
 
 
-class PhaseProcessor(StatefulProcessor):
-    """J1, J5, stream: keeps the machine's state and the last time of each key; rows before that time are left out (see ``late``)."""
+class RuleProcessor(StatefulProcessor):
+    """Keeps a rule's state and the last time and place of each key."""
 
-    def __init__(self, hysteresis: int = 3, timeout_steps: int = 150):
-        self.args = (hysteresis, timeout_steps)
+    def __init__(self, rule):
+        self.rule, self.names = rule, [c.split()[0] for c in rule.schema.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("machine", "state array<int>, last long")
+        self.saved = handle.getValueState("machine", "state array<double>, ts long, ord long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         old = self.saved.get() if self.saved.exists() else None
-        m, last = PhaseMachine(*self.args, state=old[0] if old else None), old[1] if old else -(2**62)
+        state, last = (list(old[0]), (old[1], old[2])) if old else (self.rule.start(), (-(2**63), -(2**63)))
         pdf = pd.concat(rows).sort_values(["ts", "ord"])
-        pdf = pdf[pdf.ts >= last]
-        out = pdf[["ts", "ord"]].assign(key=key[0], phase=[m.step(s) for s in pdf[list(SIGNALS)].itertuples(index=False)])
-        if len(pdf):
-            self.saved.update((m.state, int(pdf.ts.iloc[-1])))
-        yield out[["key", "ts", "ord", "phase"]]
+        out = []
+        for ts, ord_, *given in pdf[["ts", "ord", *self.rule.inputs]].itertuples(index=False):
+            late = (ts, ord_) < last
+            found = (None,) * len(self.names) if late else self.rule.step(state, tuple(None if isinstance(x, float) and x != x else x for x in given))
+            last = max(last, (ts, ord_))
+            out.append((key[0], ts, ord_, *found, late))
+        if out:
+            self.saved.update((state, int(last[0]), int(last[1])))
+        frame = pd.DataFrame(out, columns=["key", "ts", "ord", *self.names, "late"])
+        yield frame.astype({c: "Int32" for c in self.names if f"{c} int" in self.rule.schema})
 
     def close(self) -> None:
         pass
 
 
-def phases_stream(rows: DataFrame, hysteresis: int = 3, timeout_steps: int = 150) -> DataFrame:
-    """J1 on a stream; needs the RocksDB state store."""
-    schema = f"key {dict(rows.dtypes)['key']}, ts long, ord long, phase int"
-    return rows.select("key", "ts", "ord", *SIGNALS).groupBy("key").transformWithStateInPandas(PhaseProcessor(hysteresis, timeout_steps), outputStructType=schema, outputMode="Append", timeMode="None")
+def on_stream(rows: DataFrame, rule) -> DataFrame:
+    """As ``in_batch`` on a stream, with ``late``; needs the RocksDB state store."""
+    schema = f"key {dict(rows.dtypes)['key']}, ts long, ord long, {rule.schema}, late boolean"
+    return rows.select("key", "ts", "ord", *rule.inputs).groupBy("key").transformWithStateInPandas(RuleProcessor(rule), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def phase_changes(phases: DataFrame) -> DataFrame:
-    """J5, batch: rows at which the phase differs from the one before (0 at first)."""
-    from pyspark.sql import Window
+def signals(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """Predicates as columns, so that a machine sees booleans only; null is false."""
+    return rows.withColumns({name: F.coalesce(test, F.lit(False)) for name, test in tests.items()})
+
+
+def phase_tests(pose: Column, velocity: Column, gripper: Column, force_z: Column, target: Column, task: str = "default", **limits) -> dict[str, Column]:
+    """The predicates of the phase machine over arrays ``pose`` and ``target`` (x, y, z, ...; a null target is never met) and ``velocity``."""
+    c = LIMITS[task] | limits
+    at = lambda v, k: F.try_element_at(v, F.lit(k))
+    apart = F.sqrt(F.pow(at(pose, 1) - at(target, 1), 2) + F.pow(at(pose, 2) - at(target, 2), 2))
+    speed = F.sqrt(F.pow(at(velocity, 1), 2) + F.pow(at(velocity, 2), 2) + F.pow(at(velocity, 3), 2))
+    force, closed = F.abs(force_z), gripper > 0.5
+    return {
+        "align": (apart < c["align_xy_threshold"]) & (at(pose, 3) < c["hover_z"]),
+        "contact": (force > c["contact_force_threshold"]) | closed,
+        "mate": closed & force.between(*c["mate_force_band"]),
+        "seated": (at(pose, 3) <= at(target, 3) + c["insertion_z_target"]) & force.between(*c["seated_force_band"]),
+        "retract": (gripper < 0.5) & (speed > 0.01),
+    }
+
+
+def rules_of(task: str = "default", **limits) -> PhaseRules:
+    """The phase machine with a task's hysteresis and timeout."""
+    c = LIMITS[task] | limits
+    return PhaseRules(int(c["hysteresis_steps"]), int(c["fine_align_timeout_s"] * c["control_rate_hz"]))
 
-    w = Window.partitionBy("key").orderBy("ts", "ord")
-    return phases.withColumn("from_phase", F.coalesce(F.lag("phase").over(w), F.lit(0))).where(F.col("from_phase") != F.col("phase"))
+
+def phases_batch(rows: DataFrame, rules: PhaseRules = PhaseRules()) -> DataFrame:
+    """J1, batch: (key, ts, ord, signals) -> (key, ts, ord, from_phase, phase). One key's rows are one robot's run."""
+    return in_batch(rows, rules)
+
+
+def phases_stream(rows: DataFrame, rules: PhaseRules = PhaseRules()) -> DataFrame:
+    """J1 on a stream: the same, with ``late``."""
+    return on_stream(rows, rules)
+
+
+def phase_changes(phases: DataFrame) -> DataFrame:
+    """J5, batches and streams: rows at which the phase differs from the one before (0 at first)."""
+    return phases.where(F.col("from_phase") != F.col("phase"))
 
 
 def checked_actions(rows: DataFrame, **limits) -> DataFrame:
@@ -99,6 +194,20 @@ def checked_actions(rows: DataFrame, **limits) -> DataFrame:
     return rows.withColumn("reason", unsafe_reason(F.col("action"), F.col("phase"), F.col("force_z"), **limits))
 
 
+def split_writer(passes: str, good_path: str, rejects_path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: rows for which ``passes`` holds go to one folder, all others (also where it is null) to the rejects; a batch that is run again replaces its own files."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        ok = F.coalesce(F.expr(passes), F.lit(False))
+        for rows, path in ((batch.where(ok), good_path), (batch.where(~ok), rejects_path)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return write
+
+
+@cache
 def butterworth(cutoff: float, rate: float) -> tuple[float, float, float, float, float]:
     """b0, b1, b2, a1, a2 of a second-order low-pass by the bilinear transform."""
     k = math.tan(math.pi * cutoff / rate)
@@ -107,22 +216,11 @@ def butterworth(cutoff: float, rate: float) -> tuple[float, float, float, float,
 
 
 def low_passed(rows: DataFrame, column: str, cutoff: float, rate: float) -> DataFrame:
-    """J4, batch: (key, ts, ord, column) with ``filtered``, from a state of zeros; unchanged where the cutoff isn't positive. A fold over one key's rows."""
-    if cutoff <= 0:
-        return rows.withColumn("filtered", F.col(column))
-    b0, b1, b2, a1, a2 = butterworth(cutoff, rate)
-    items = F.array_sort(F.collect_list(F.struct("ts", "ord", F.col(column).cast("double").alias("x"))))
-    start = F.struct(*[F.lit(0.0).alias(c) for c in ("x1", "x2", "y1", "y2")], F.array().cast("array<struct<ts:bigint,ord:bigint,filtered:double>>").alias("out"))
-
-    def add(s, i):
-        y = b0 * i["x"] + b1 * s["x1"] + b2 * s["x2"] - a1 * s["y1"] - a2 * s["y2"]
-        return F.struct(i["x"].alias("x1"), s["x1"].alias("x2"), y.alias("y1"), s["y1"].alias("y2"), F.concat(s["out"], F.array(F.struct(i["ts"].alias("ts"), i["ord"].alias("ord"), y.alias("filtered")))).alias("out"))
-
-    folded = rows.groupBy("key").agg(items.alias("items")).select("key", F.aggregate("items", start, add)["out"].alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.ts", "o.ord", "o.filtered")
+    """J4, batch: (key, ts, ord, column) -> (key, ts, ord, filtered). ``on_stream(rows, LowPass(...))`` is the same on a stream."""
+    return in_batch(rows.withColumn(column, F.col(column).cast("double")), LowPass(column, cutoff, rate))
 
 
 def phase_trace(steps: DataFrame) -> DataFrame:
-    """(key, step, phase) -> the ordered phases of each run as text."""
+    """(key, step, phase) -> the ordered phases of each run as text; on a stream in update or complete mode. A run's trace is one row, so it must fit into one."""
     listed = F.array_sort(F.collect_list(F.struct("step", "phase")))
     return steps.groupBy("key").agg(F.concat_ws(",", F.transform(listed, lambda x: x["phase"].cast("string"))).alias("trace"))
