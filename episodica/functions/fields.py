@@ -112,27 +112,25 @@ def json_body(raw: Column) -> Column:
 ANNOTATION = "episode_id string, task string, segments array<struct<phase_id:int,phase_name:string,start_t:double,end_t:double,confidence:double,evidence:string>>, overall_confidence double, notes string"
 
 
-def parsed_output(raw: Column, duration: Column, tolerance: float = 0.05) -> Column:
-    """Struct (annotation, error) of a model's answer; of the errors the first in the order no_json, json, schema, segments, duration, null if it is valid.
+def with_parsed(rows: DataFrame, raw: str, duration: Column, tolerance: float = 0.05) -> DataFrame:
+    """Rows with ``annotation`` and ``error`` of the model's answer in column ``raw``; of the errors the first in the order no_json, json, schema, segments, duration, null if it is valid.
 
     no_json: no object in it; json: the object can't be read; schema: a field is missing, has another type or is out of its range; segments: one breaks
-    a rule of its own (F15); duration: they don't cover the episode without gaps (F16).
+    a rule of its own (F15); duration: they don't cover the episode without gaps (F16). The answer is parsed once.
     """
-    body = json_body(raw)
-    a = F.from_json(body, ANNOTATION)
-    s = a["segments"]
-    readable = F.try_parse_json(body).isNotNull()
-    schema = (
-        a["episode_id"].isNotNull() & a["task"].isin("pick_place", "msd_plug") & F.coalesce(F.size(s) > 0, F.lit(False)) & a["overall_confidence"].between(0, 1)
-    )
+    out = rows.withColumn("__body", json_body(F.col(raw)))
+    out = out.withColumn("__a", F.from_json("__body", ANNOTATION)).withColumn("__readable", F.try_parse_json("__body").isNotNull())
+    a, s = F.col("__a"), F.col("__a")["segments"]
+    schema = a["episode_id"].isNotNull() & a["task"].isin("pick_place", "msd_plug") & (F.size(s) > 0) & a["overall_confidence"].between(0, 1)
     own = F.forall(s, lambda x: F.coalesce(x["phase_id"].between(0, 4) & (x["phase_name"] == phase_name(x["phase_id"])) & (x["start_t"] < x["end_t"]) & x["confidence"].between(0, 1) & x["evidence"].isNotNull(), F.lit(False)))
     apart = F.exists(F.zip_with(F.slice(s, 2, F.size(s)), F.slice(s, 1, F.size(s) - 1), lambda x, y: (F.abs(x["start_t"] - y["end_t"]) > tolerance) | (x["start_t"] < y["start_t"])), lambda x: x)
     covers = (F.abs(F.element_at(s, 1)["start_t"]) <= tolerance) & (F.abs(F.element_at(s, -1)["end_t"] - duration) <= tolerance) & ~apart
     error = (
-        F.when(body.isNull(), "no_json").when(~readable, "json").when(~F.coalesce(schema, F.lit(False)), "schema")
+        F.when(F.col("__body").isNull(), "no_json").when(~F.col("__readable"), "json").when(~F.coalesce(schema, F.lit(False)), "schema")
         .when(~own, "segments").when(~covers, "duration")
     )
-    return F.struct(F.when(error.isNull(), a).alias("annotation"), error.alias("error"))
+    out = out.withColumn("error", error)
+    return out.withColumn("annotation", F.when(F.col("error").isNull(), F.col("__a"))).drop("__body", "__a", "__readable")
 
 
 def prompt_text(task: Column, duration: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import asof
 from .intervals import joined
 from .signals import dominant
+from .stored import stored
 
 # How far a camera frame may be from a step, and a text from a frame, in ns.
 CAMERA_TOLERANCE, TEXT_TOLERANCE = 150_000_000, 2_000_000_000
@@ -30,22 +31,30 @@ def video_seconds(frames: DataFrame) -> DataFrame:
     return frames.join(camera_rates(frames).hint("merge"), ["dataset", "camera"]).withColumn("video_s", F.col("rgb_video_frame") / F.col("fps"))
 
 
-def with_frame(steps: DataFrame, frames: DataFrame, name: str, tolerance: int = CAMERA_TOLERANCE, on_unmatched: str = "error") -> DataFrame:
-    """Steps with column ``name``: struct (rgb_video, rgb_video_frame, frame_ts) of one camera's nearest frame.
+def frame_references(keys: DataFrame, frames: DataFrame, name: str, tolerance: int = CAMERA_TOLERANCE) -> DataFrame:
+    """Distinct keys (dataset, ts, ord) -> (__d, __t, __o, name: struct (rgb_video, rgb_video_frame, frame_ts) of the nearest frame, null beyond the tolerance)."""
+    met = asof.nearest(keys, frames.select("dataset", "ts", "ord"), tolerance)
+    reference = frames.select(F.col("dataset").alias("__fd"), F.col("ord").alias("__fo"), F.struct("rgb_video", "rgb_video_frame", F.col("ts").alias("frame_ts")).alias(name))
+    return met.join(reference.hint("merge"), (F.col("dataset") == F.col("__fd")) & (F.col("right_ord") == F.col("__fo")), "left").select(F.col("dataset").alias("__d"), F.col("ts").alias("__t"), F.col("ord").alias("__o"), name)
+
 
-    ``on_unmatched``: a step without a frame within the tolerance is an error, goes (drop) or has null (null).
+def with_frames(steps: DataFrame, cameras: dict[str, DataFrame], tolerance: int = CAMERA_TOLERANCE, on_unmatched: str = "error") -> DataFrame:
+    """A10: steps with a column for each camera: struct (rgb_video, rgb_video_frame, frame_ts) of its nearest frame.
+
+    ``on_unmatched``: a step without a frame of a camera within the tolerance is an error, goes (drop) or has null (null). All cameras are matched to the steps as they
+    are given, so the plan grows with the number of cameras only.
     """
     if on_unmatched not in ("error", "drop", "null"):
         raise ValueError(f"on_unmatched is error, drop or null, not {on_unmatched}")
-    met = asof.nearest(steps.select("dataset", "ts", "ord").distinct(), frames.select("dataset", "ts", "ord"), tolerance)
-    reference = frames.select(F.col("dataset").alias("__fd"), F.col("ord").alias("__fo"), F.struct("rgb_video", "rgb_video_frame", F.col("ts").alias("frame_ts")).alias(name))
-    found = met.join(reference.hint("merge"), (F.col("dataset") == F.col("__fd")) & (F.col("right_ord") == F.col("__fo")), "left").select(F.col("dataset").alias("__d"), F.col("ts").alias("__t"), F.col("ord").alias("__o"), name)
-    out = steps.join(found.hint("merge"), (F.col("dataset") == F.col("__d")) & (F.col("ts") == F.col("__t")) & (F.col("ord") == F.col("__o")), "left").drop("__d", "__t", "__o")
-    if on_unmatched == "drop":
-        return out.where(F.col(name).isNotNull())
-    if on_unmatched == "error":
-        kind = out.schema[name].dataType
-        return out.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.concat(F.lit(f"no frame of {name} within the tolerance of "), F.col("ts").cast("string"))).cast(kind)))
+    keys, out = steps.select("dataset", "ts", "ord").distinct(), steps
+    for name, frames in cameras.items():
+        found = frame_references(keys, frames, name, tolerance)
+        out = out.join(found.hint("merge"), (F.col("dataset") == F.col("__d")) & (F.col("ts") == F.col("__t")) & (F.col("ord") == F.col("__o")), "left").drop("__d", "__t", "__o")
+        if on_unmatched == "drop":
+            out = out.where(F.col(name).isNotNull())
+        elif on_unmatched == "error":
+            missing = F.raise_error(F.concat(F.lit(f"no frame of {name} within the tolerance of "), F.col("ts").cast("string")))
+            out = out.withColumn(name, F.coalesce(F.col(name), missing.cast(out.schema[name].dataType)))
     return out
 
 
@@ -68,10 +77,11 @@ def episode_tasks(steps: DataFrame, cameras: list[str], texts: DataFrame, annota
 
 
 def aligned_frames(steps: DataFrame, cameras: dict[str, DataFrame], texts: DataFrame, annotations: DataFrame, tolerance: int = CAMERA_TOLERANCE, text_tolerance: int = TEXT_TOLERANCE, on_unmatched: str = "error") -> DataFrame:
-    """A10: steps with their episode's task and output index and ``frames``, a map from camera to the reference of its frame. Both indices are kept."""
-    out = steps
-    for name, frames in cameras.items():
-        out = with_frame(out, frames, name, tolerance, on_unmatched)
+    """A10: steps with their episode's task and output index and ``frames``, a map from camera to the reference of its frame. Both indices are kept.
+
+    Steps and matched steps are needed several times, so they are stored (see ``stored``).
+    """
+    out = stored(with_frames(stored(steps), cameras, tolerance, on_unmatched))
     tasks = episode_tasks(out, list(cameras), texts, annotations, text_tolerance)
     pairs = F.map_from_arrays(F.array(*map(F.lit, cameras)), F.array(*map(F.col, cameras)))
     return out.withColumn("frames", pairs).drop(*cameras).join(tasks.hint("merge"), ["dataset", "episode"])

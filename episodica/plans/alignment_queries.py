@@ -213,8 +213,8 @@ def b13_parsed_output(t: Tables):
     segment = lambda p, n, a, z: F.format_string('{"phase_id": %d, "phase_name": "%s", "start_t": %s, "end_t": %s, "confidence": 0.5, "evidence": "x"}', F.lit(p), n, F.lit(str(a)), z)
     end = F.when(kind == 4, "9.0").otherwise("4.0")
     body = F.format_string('```json\n{"episode_id": "%d", "task": "%s", "segments": [%s, %s], "overall_confidence": 0.9%s\n```', "o_orderkey", F.when(kind == 2, "other").otherwise("pick_place"), segment(0, name, 0.0, F.lit("1.5")), segment(1, F.lit("fine_align"), 1.5, end), F.when(kind == 1, ",,}").otherwise("}"))
-    out = fields.parsed_output(F.when(kind == 0, F.lit("no answer")).otherwise(body), F.lit(4.0))
-    return t.orders.select("o_orderkey", out.alias("x")).select("o_orderkey", "x.error", F.when(F.col("x.annotation").isNotNull(), F.size("x.annotation.segments")).alias("n"))
+    out = fields.with_parsed(t.orders.select("o_orderkey", F.when(kind == 0, F.lit("no answer")).otherwise(body).alias("raw")), "raw", F.lit(4.0))
+    return out.select("o_orderkey", "error", F.when(F.col("annotation").isNotNull(), F.size("annotation.segments")).alias("n"))
 
 
 @query("prompt:s", "SELECT a || ' ' || b || ' ' || c || '.' AS prompt FROM (SELECT DISTINCT o_orderpriority AS a FROM orders), (SELECT DISTINCT n_name AS b FROM nation), (SELECT DISTINCT r_name AS c FROM region)")

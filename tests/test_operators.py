@@ -330,10 +330,10 @@ def test_frames_that_are_missing(spark):
 
     steps = spark.createDataFrame([("d", 0, t, t) for t in (100, 200, 900)], "dataset string, episode int, ts long, ord long")
     frames = spark.createDataFrame([("d", 110, 1, "v.mp4", 7), ("d", 190, 2, "v.mp4", 8)], "dataset string, ts long, ord long, rgb_video string, rgb_video_frame long")
-    assert [r.top.rgb_video_frame for r in alignment.with_frame(steps, frames, "top", 10, "drop").orderBy("ts").collect()] == [7, 8]
-    assert [r.top for r in alignment.with_frame(steps, frames, "top", 10, "null").orderBy("ts").collect()][2] is None
+    assert [r.top.rgb_video_frame for r in alignment.with_frames(steps, {"top": frames}, 10, "drop").orderBy("ts").collect()] == [7, 8]
+    assert [r.top for r in alignment.with_frames(steps, {"top": frames}, 10, "null").orderBy("ts").collect()][2] is None
     with pytest.raises(Exception, match="no frame of top"):
-        alignment.with_frame(steps, frames, "top", 10).collect()
+        alignment.with_frames(steps, {"top": frames}, 10).collect()
 
 
 def test_trim_requests(spark):
