@@ -96,7 +96,7 @@ def trim_times(trims: DataFrame, frames: DataFrame) -> DataFrame:
     ends = ok.select("dataset", "episode", F.explode(F.map_from_arrays(F.array(F.lit("from"), F.lit("to")), F.array("trim_start_s", "trim_end_s"))).alias("side", "ts"))
     left = ends.withColumn("ord", F.struct("episode", "side"))
     right = frames.select("dataset", F.col("video_s").alias("ts"), "ord", F.col("ts").alias("frame_ts"))
-    found = asof.nearest_any(left, right, payload="frame_ts")
+    found = asof.nearest_any(left, right, payload="frame_ts", block=600.0)
     out = found.groupBy("dataset", F.col("ord")["episode"].alias("episode")).agg(*[F.max(F.when(F.col("ord")["side"] == s, F.col("frame_ts"))).alias(f"{s}_ts") for s in ("from", "to")])
     return out.where("from_ts is not null and to_ts is not null")
 

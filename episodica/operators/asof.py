@@ -32,26 +32,36 @@ def _timeline(left: DataFrame, right: DataFrame, payload: str | None) -> DataFra
     return asked.unionByName(found.withColumn("ord", F.lit(None).cast(left.schema["ord"].dataType)))
 
 
+def _neighbours(left: DataFrame, right: DataFrame, payload: str | None, block: float) -> DataFrame:
+    """Left rows with the nearest right row at or after them (__a) and at or before them (__b).
+
+    A window spans one block of time of a dataset, not its whole timeline; what blocks before and after hold comes from a table of one row a block.
+    """
+    both = _timeline(left, right, payload).withColumn("__n", F.floor(F.col("ts") / block))
+    place = F.when(F.col("__r").isNotNull(), F.struct("ts", "__o"))
+    blocks = both.groupBy("dataset", "__n").agg(F.min_by("__r", place).alias("lo"), F.max_by("__r", place).alias("hi"))
+    order = Window.partitionBy("dataset").orderBy("__n")
+    before, after = F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("lo", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    blocks = blocks.select(F.col("dataset").alias("__bd"), F.col("__n").alias("__bn"), before.alias("__before"), after.alias("__after"))
+    w = Window.partitionBy("dataset", "__n").orderBy("ts", "__o")
+    near = both.withColumn("__a", F.first("__r", True).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("__b", F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.where("__r is null").join(blocks.hint("merge"), F.col("dataset").eqNullSafe(F.col("__bd")) & F.col("__n").eqNullSafe(F.col("__bn")))
+    return near.withColumn("__a", F.coalesce("__a", "__after")).withColumn("__b", F.coalesce("__b", "__before"))
+
+
 def _out(chosen: DataFrame, payload: str | None) -> DataFrame:
     return chosen.select("dataset", "ts", "ord", (F.col("__x")["p"].alias(payload) if payload else F.col("__x")["ts"].alias("right_ts")))
 
 
-def forward(left: DataFrame, right: DataFrame, payload: str | None = None) -> DataFrame:
-    """The first right row at or after each left row, or the dataset's last one: right_ts, or its ``payload``."""
-    both = _timeline(left, right, payload)
-    w = Window.partitionBy("dataset").orderBy("ts", "__o")
-    nxt = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    last = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return _out(both.withColumn("__x", F.coalesce(nxt, last)).where("__r is null"), payload)
+def forward(left: DataFrame, right: DataFrame, payload: str | None = None, block: float = 3.6e12) -> DataFrame:
+    """The first right row at or after each left row, or the dataset's last one: right_ts, or its ``payload``; null where there is no right row. ``block``: see ``_neighbours``, an hour in ns."""
+    near = _neighbours(left, right, payload, block)
+    return _out(near.withColumn("__x", F.coalesce("__a", "__b")), payload)  # nothing after it: what is before it is the last
 
 
-def nearest_any(left: DataFrame, right: DataFrame, tie: str = "later", payload: str | None = None) -> DataFrame:
-    """The nearest right row without a tolerance: right_ts, or its ``payload``. Of right rows at one time the first one after and the last one before count."""
-    both = _timeline(left, right, payload)
-    w = Window.partitionBy("dataset").orderBy("ts", "__o")
-    after = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    near = both.withColumn("__a", after).withColumn("__b", before).where("__r is null")
+def nearest_any(left: DataFrame, right: DataFrame, tie: str = "later", payload: str | None = None, block: float = 3.6e12) -> DataFrame:
+    """The nearest right row without a tolerance: right_ts, or its ``payload``. Of right rows at one time the first one after and the last one before count. ``block``: see ``_neighbours``."""
+    near = _neighbours(left, right, payload, block)
     up, down = F.col("__a")["ts"] - F.col("ts"), F.col("ts") - F.col("__b")["ts"]
     takes_after = F.col("__b").isNull() | (up < down) | ((up == down) & F.lit(tie == "later"))
     return _out(near.withColumn("__x", F.when(F.col("__a").isNotNull() & takes_after, F.col("__a")).otherwise(F.col("__b"))), payload)

@@ -103,13 +103,13 @@ def d7_nearest_text(t: Tables):
 @query("dataset:l ord:l right_ts:l", f"""WITH {EV}, l AS (SELECT * FROM ev WHERE kind = 'view'), r AS (SELECT * FROM ev WHERE kind = 'click')
 SELECT l.dataset, l.ord, r.ts AS right_ts FROM l LEFT JOIN r ON l.dataset = r.dataset QUALIFY row_number() OVER (PARTITION BY l.dataset, l.ord ORDER BY abs(r.ts - l.ts), r.ts DESC) = 1""")
 def d6_nearest_second(t: Tables):
-    return asof.nearest_any(t.kind("view"), t.kind("click"))
+    return asof.nearest_any(t.kind("view"), t.kind("click"), block=24.0 * HOUR)
 
 
 @query("dataset:l ord:l right_ts:l", f"""WITH {EV}, l AS (SELECT * FROM ev WHERE kind = 'view'), r AS (SELECT * FROM ev WHERE kind = 'click')
 SELECT dataset, ord, coalesce((SELECT min(r.ts) FROM r WHERE r.dataset = l.dataset AND r.ts >= l.ts), (SELECT max(r.ts) FROM r WHERE r.dataset = l.dataset)) AS right_ts FROM l""")
 def d8_forward_asof(t: Tables):
-    return asof.forward(t.kind("view"), t.kind("click"))
+    return asof.forward(t.kind("view"), t.kind("click"), block=24.0 * HOUR)
 
 
 _COVERED = "exists(SELECT 1 FROM ev r WHERE r.dataset = l.dataset AND r.kind = '{k}' AND abs(r.ts - l.ts) <= {tol})"
