@@ -37,10 +37,12 @@ ABOVE, BELOW = 0.08, 0.1
 WORDS, INDEXED = 16, 4
 #: Sketches aimed at in a node, and the most (or about that) below one node that a task searches.
 NODE_ROWS, LEAF_ROWS = 1024, 4096
+#: Standard errors by which the indexed bits of a pair at the least similarity may differ more than expected before the tree leaves it.
+TREE_ERRORS = 4.5
 #: Least bits of a mask.
 LEAST_BITS = 8
 #: Chance that a pair at the least similarity shares a node.
-RECALL = 0.995
+RECALL = 0.999
 #: Most keys (large nodes, texts to compare) that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_NODES = 500_000
 #: Unsure pairs that a task holds before it thins them to a forest.
@@ -194,7 +196,7 @@ def _by_node(rows: DataFrame, edges: Callable, schema: str) -> DataFrame:
 def _close(x: np.ndarray, most: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, differing bits) of the pairs within ``most`` bits, by the tree, of sketches in Gray order."""
     p = share(similarity)
-    reach = round(64 * INDEXED * p + 3 * math.sqrt(64 * INDEXED * p * (1 - p)))
+    reach = round(64 * INDEXED * p + TREE_ERRORS * math.sqrt(64 * INDEXED * p * (1 - p)))
     for a, b in search(np.ascontiguousarray(x[:, :INDEXED]), reach):
         far = ones(x[a] ^ x[b])
         near = far <= most
