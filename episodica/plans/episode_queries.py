@@ -174,7 +174,13 @@ def f5_uniform_keyframes(t: Tables):
     return signals.uniform_keyframes(t.one_episode, 12.0)
 
 
-@query("dataset:l t:d kind:s")
+@query("dataset:l t:d kind:s", f"""WITH RECURSIVE {EV}, p AS (SELECT DISTINCT dataset, ts / 3.6e12 AS t FROM ev), nx AS (SELECT a.dataset, a.t, min(b.t) AS n FROM p a LEFT JOIN p b ON a.dataset = b.dataset AND b.t >= a.t + 12 GROUP BY 1, 2),
+r AS (SELECT dataset, min(t) AS t FROM p GROUP BY 1 UNION ALL SELECT r.dataset, nx.n FROM r JOIN nx ON nx.dataset = r.dataset AND nx.t = r.t WHERE nx.n IS NOT NULL),
+it AS (SELECT dataset, t, 'uniform' AS kind, 1 AS o FROM r UNION ALL SELECT dataset, ts / 3.6e12, 'gripper', 2 FROM (SELECT *, lag(kind) OVER (PARTITION BY dataset ORDER BY ts, ord) AS f FROM ev) WHERE f <> kind),
+io AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY t, o) AS k FROM it),
+s AS (SELECT dataset, k, t AS kt, kind AS kk, 1 AS g FROM io WHERE k = 1 UNION ALL SELECT i.dataset, i.k, CASE WHEN i.t - s.kt >= 2 OR (i.kind <> 'uniform' AND s.kk = 'uniform') THEN i.t ELSE s.kt END,
+ CASE WHEN i.t - s.kt >= 2 OR (i.kind <> 'uniform' AND s.kk = 'uniform') THEN i.kind ELSE s.kk END, CASE WHEN i.t - s.kt >= 2 THEN g + 1 ELSE g END FROM s JOIN io i ON i.dataset = s.dataset AND i.k = s.k + 1)
+SELECT dataset, kt AS t, kk AS kind FROM s QUALIFY row_number() OVER (PARTITION BY dataset, g ORDER BY k DESC) = 1""")
 def f6_deduplicated_keyframes(t: Tables):
     uniform = signals.uniform_keyframes(t.one_episode, 12.0).withColumn("kind", F.lit("uniform"))
     events = signals.transitions(t.one_episode, "kind").select("dataset", "episode", "t", F.lit("gripper").alias("kind"))

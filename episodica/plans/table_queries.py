@@ -77,6 +77,14 @@ def b19_phase_dropout(t: Tables):
     return t.orders.select(fields.dropped_phase(F.col("o_orderkey") % 5, F.col("o_orderkey")).alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("p") == 5).alias("unknown"))
 
 
+@query("n:l near:b kept:l", "SELECT count(*) AS n, true AS near, count(*) AS kept FROM orders")
+def b19_dropout_share(t: Tables):
+    """All samples stay, those that aren't dropped keep their phase, and the share is within five standard deviations of 15 %."""
+    rows = t.orders.select((F.col("o_orderkey") % 5).alias("was"), fields.dropped_phase(F.col("o_orderkey") % 5, F.col("o_orderkey")).alias("p"))
+    out = rows.agg(F.count("*").alias("n"), F.count_if(F.col("p") == fields.UNKNOWN_PHASE).alias("u"), F.count_if(F.col("p").isin(fields.UNKNOWN_PHASE) | (F.col("p") == F.col("was"))).alias("kept"))
+    return out.withColumn("near", F.abs(F.col("u") - 0.15 * F.col("n")) <= 5 * F.sqrt(0.15 * 0.85 * F.col("n")))
+
+
 @query("index:l phase:l", """WITH f AS (SELECT event_id AS index, event_id % 5 AS phase, event_id % 7 - 3 AS o FROM events), b AS (SELECT min(index) AS lo, max(index) AS hi FROM f)
 SELECT f.index, g.phase FROM f, b, f g WHERE g.index = greatest(b.lo, least(b.hi, f.index + f.o))""")
 def b21_phase_jitter(t: Tables):
