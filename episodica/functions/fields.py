@@ -138,6 +138,14 @@ def prompt_text(task: Column, duration: Column) -> Column:
     return F.format_string("Task: %s. Duration: %.2f s.", task, duration)
 
 
+def system_message(descriptions: dict[str, dict[int, str]], cues: dict[int, str], answer_form: str) -> Column:
+    """The system's part of an annotation prompt: each phase with what it looks like in each task and by which cue it is known, then the form of the answer."""
+    parts = ["You annotate videos of robot manipulation.", ""]
+    for phase, name in enumerate(PHASES):
+        parts += [f"Phase {phase}: {name}", *[f"- {task}: {of[phase]}" for task, of in descriptions.items() if phase in of], *([f"- cue: {cues[phase]}"] if phase in cues else []), ""]
+    return F.lit("\n".join([*parts, answer_form]))
+
+
 def user_message(task: Column, episode: Column, duration: Column) -> Column:
     """The user's part of an annotation prompt."""
     return F.format_string("Task: %s\nEpisode ID: %s\nEpisode duration: %.2f seconds\n\nAnnotate each phase segment of the video and answer with the JSON object alone.", task, episode.cast("string"), duration)

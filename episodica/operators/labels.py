@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import phase_name
+from ..functions.fields import phase_name, user_message
 from .intervals import joined
 
 # Phases that may follow each phase, and those that each task's annotation should have.
@@ -154,6 +154,15 @@ def verdicts(keys: DataFrame, issues: list[DataFrame], key: str) -> DataFrame:
     return out.select(key, F.coalesce("n_issues", F.lit(0)).alias("n_issues"), (F.coalesce("n_errors", F.lit(0)) == 0).alias("passed"), F.coalesce("issues", F.array().cast("array<struct<severity:string,rule:string,message:string>>")).alias("issues"))
 
 
+def gold_examples(gold: DataFrame, most: int = 3) -> DataFrame:
+    """Gold rows (task, ord, episode_id, duration_s, annotation: its JSON) -> (task, turns: array of user and assistant texts), the first ``most`` of each task by ord."""
+    w = Window.partitionBy("task").orderBy("ord")
+    first = gold.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most)
+    turn = F.struct("__k", user_message(F.col("task"), F.col("episode_id"), F.col("duration_s")).alias("user"), F.col("annotation").alias("assistant"))
+    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda x: F.struct(x["user"].alias("user"), x["assistant"].alias("assistant")))
+    return first.groupBy("task").agg(turns.alias("turns"))
+
+
 def annotation_summary(annotations: DataFrame, segments: DataFrame, key: str, method: str = "method", passed: str = "passed") -> DataFrame:
     """(item, name, n): the number of episodes, of those that passed, of each method, and of the segments of each phase."""
     row = lambda item, name, n: F.struct(F.lit(item).alias("item"), name.cast("string").alias("name"), n.cast("long").alias("n"))

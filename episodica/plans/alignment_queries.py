@@ -217,6 +217,15 @@ def b13_parsed_output(t: Tables):
     return out.select("o_orderkey", "error", F.when(F.col("annotation").isNotNull(), F.size("annotation.segments")).alias("n"))
 
 
+@query("task:s n:l users:s answers:s", """WITH g AS (SELECT o_orderpriority AS task, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders)
+SELECT task, count(*) AS n, string_agg(printf('Task: %s' || chr(10) || 'Episode ID: %s' || chr(10) || 'Episode duration: %.2f seconds' || chr(10) || chr(10) || 'Annotate each phase segment of the video and answer with the JSON object alone.', task, CAST(o_orderkey AS VARCHAR), o_totalprice), '|' ORDER BY k) AS users,
+ string_agg('{"k": ' || CAST(o_orderkey AS VARCHAR) || '}', '|' ORDER BY k) AS answers FROM g WHERE k <= 3 GROUP BY 1""")
+def b14_gold_examples(t: Tables):
+    gold = t.orders.select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("episode_id"), F.col("o_totalprice").alias("duration_s"), F.format_string('{"k": %d}', "o_orderkey").alias("annotation"))
+    text = lambda c: F.concat_ws("|", F.transform("turns", lambda x: x[c]))
+    return labels.gold_examples(gold).select("task", F.size("turns").alias("n"), text("user").alias("users"), text("assistant").alias("answers"))
+
+
 @query("prompt:s", "SELECT a || ' ' || b || ' ' || c || '.' AS prompt FROM (SELECT DISTINCT o_orderpriority AS a FROM orders), (SELECT DISTINCT n_name AS b FROM nation), (SELECT DISTINCT r_name AS c FROM region)")
 def b15_prompt_vocabulary(t: Tables):
     words = lambda df, c, name: df.select(F.col(c).alias("w")).distinct().agg(F.array_sort(F.collect_list("w")).alias(name)).withColumn("one", F.lit(1))

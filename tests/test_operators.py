@@ -357,6 +357,11 @@ def test_fields_of_short_vectors(spark):
     assert abs(dropped / 20_000 - 0.15) < 0.01
 
 
+def test_system_message(spark):
+    text = spark.range(1).select(fields.system_message({"pick_place": {0: "moves", 2: "touches"}}, {2: "force"}, "Answer in JSON.")).first()[0]
+    assert "Phase 2: contact_establish\n- pick_place: touches\n- cue: force\n" in text and text.endswith("Answer in JSON.") and "Phase 4: verify_release" in text
+
+
 def test_own_sampler(spark):
     rows = spark.createDataFrame([("d", e, t, t) for e in range(3) for t in (3, 1, 2)], "dataset string, episode int, ts long, ord long")
     got = signals.sampled(rows, lambda pdf: pdf.iloc[[0]][["dataset", "episode", "ts"]], "dataset string, episode int, ts long").collect()
