@@ -100,27 +100,27 @@ def _key(id_col: str, text_col: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("\u0000")))
 
 
-def span_table(keyed: DataFrame, least_words: int) -> DataFrame:
-    """(id, k, digest), one row a distinct span of a document."""
+def described(keyed: DataFrame, least_words: int) -> DataFrame:
+    """(id, k, n_chunks, n_words, digests: of its distinct spans) of rows (id, k, text), written, so that texts are cut into chunks once."""
     small_batches(keyed.sparkSession)
 
     def make():
         def step(batch):
             out = []
             for text in batch.column(2).to_pylist():
-                _, words, digests = chunks(text)
-                out.append(np.unique(spans(words, digests, least_words)[2]))
-            return [batch.column(0), batch.column(1), out]
+                ends, words, digests = chunks(text)
+                out.append((len(ends), int(words.sum()), np.unique(spans(words, digests, least_words)[2])))
+            return [batch.column(0), batch.column(1), *([x[k] for x in out] for k in range(3))]
 
         return step
 
     kind = keyed.dtypes[0][1]
-    return map_columns(keyed, make, f"id {kind}, k long, digests array<long>").select("id", "k", F.explode("digests").alias("digest"))
+    return written(map_columns(keyed, make, f"id {kind}, k long, n_chunks int, n_words int, digests array<long>"), "chunks")
 
 
-def repeated_spans(keyed: DataFrame, least_words: int) -> DataFrame:
-    """(digest, owner): digests that several documents hold, and the smallest id that does. Combined before the shuffle, so a frequent span costs a row a task."""
-    counted = span_table(keyed, least_words).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("owner"))
+def repeated_spans(spans_of: DataFrame) -> DataFrame:
+    """(id, k, digest) -> (digest, owner): digests that several documents hold, and the smallest id that does. Combined before the shuffle, so a frequent span costs a row a task."""
+    counted = spans_of.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("owner"))
     return written(counted.where("n > 1").select("digest", "owner"), "spans")
 
 
@@ -132,13 +132,17 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc
     Texts of any length are read whole; an empty table gives an empty result; other columns are carried, whatever their names.
     """
     keyed = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    owners = repeated_spans(keyed, least_words).withColumnRenamed("digest", "d")
-    held = span_table(keyed, least_words).join(owners.hint("merge"), F.col("digest") == F.col("d"))
+    known = described(keyed, least_words)
+    spans_of = known.select("id", "k", F.explode("digests").alias("digest"))
+    owners = repeated_spans(spans_of).withColumnRenamed("digest", "d")
+    held = spans_of.join(owners.hint("merge"), F.col("digest") == F.col("d"))
     mine = F.col("id").eqNullSafe(F.col("owner"))
     # a set, so that rows that repeat add nothing
     found = written(held.groupBy(F.col("k").alias("fk")).agg(F.collect_set(F.when(mine, F.col("digest"))).alias("kept"), F.collect_set(F.when(~mine, F.col("digest"))).alias("cut")), "held")
+    counts = known.select("k", "n_chunks", "n_words").dropDuplicates(["k"])
+    about = written(counts.join(found.hint("merge"), F.col("k") == F.col("fk"), "left").select(F.col("k").alias("ak"), "n_chunks", "n_words", "kept", "cut"), "known")
     rows = docs.select(F.struct("*").alias("r"), _key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    joined = rows.join(found.hint("merge"), F.col("k") == F.col("fk"), "left").select("r", "text", "kept", "cut")
+    joined = rows.join(about.hint("merge"), F.col("k") == F.col("ak")).select("r", "text", "kept", "cut", "n_chunks", "n_words")
     return _cut(joined, least_words)
 
 
@@ -149,11 +153,11 @@ def runs(first: np.ndarray, after: np.ndarray, n: int) -> list[tuple[int, int]]:
     return edges.reshape(-1, 2).tolist()
 
 
-def without_passages(text: str | None, kept: np.ndarray, cut: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[str | None, int, int, int, int]:
-    """(text without the passages to cut, chunks, words, words of repeated passages, words cut)."""
-    ends, words, digests = chunks(text)
+def without_passages(text: str | None, kept: np.ndarray, cut: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[str | None, int, int]:
+    """(text without the passages to cut, words of repeated passages, words cut)."""
     if not len(kept) and not len(cut):
-        return text, len(ends), int(words.sum()), 0, 0
+        return text, 0, 0
+    ends, words, digests = chunks(text)
     first, after, found = spans(words, digests, least_words)
     cuts, repeats = (runs(first[x], after[x], len(ends)) for x in (np.isin(found, cut), np.isin(found, np.r_[kept, cut])))
     raw, starts = (text or "").encode(), [0, *ends]
@@ -161,7 +165,7 @@ def without_passages(text: str | None, kept: np.ndarray, cut: np.ndarray, least_
         edges = [0, *(starts[x] for run in cuts for x in run), len(raw)]
         text = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2])).decode()
     total = lambda found: int(sum(words[i:j].sum() for i, j in found))
-    return text, len(ends), int(words.sum()), total(repeats), total(cuts)
+    return text, total(repeats), total(cuts)
 
 
 def _cut(joined: DataFrame, least_words: int) -> DataFrame:
@@ -175,7 +179,7 @@ def _cut(joined: DataFrame, least_words: int) -> DataFrame:
 
         def step(batch):
             out = [without_passages(t, digests(batch.column(2), k), digests(batch.column(3), k), least_words) for k, t in enumerate(batch.column(1).to_pylist())]
-            return [batch.column(0), *([x[k] for x in out] for k in range(5))]
+            return [batch.column(0), [x[0] for x in out], batch.column(4), batch.column(5), [x[1] for x in out], [x[2] for x in out]]
 
         return step
 
