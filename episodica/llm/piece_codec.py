@@ -275,26 +275,35 @@ class Encoder:
         self.pool = np.concatenate([self.pool, pieces, *bytes_]).astype(np.int32)
 
     def many(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
-        """The pieces of each text."""
-        out, now, held = [], [], 0
-        for text, key in zip(texts, keys):
+        """The pieces of each text. Texts are encoded together, and very long ones in parts, at about TOGETHER units at a time."""
+        out, now, held = [[] for _ in texts], [], 0
+
+        def flush() -> None:
+            for (n, *_), found in zip(now, self._together([x[1:] for x in now])):
+                out[n].append(found)
+            now.clear()
+
+        for n, (text, key) in enumerate(zip(texts, keys)):
             units = UNITS(" " + text) if text else []
-            now.append((units, key))
-            held += len(units)
-            if held >= TOGETHER:
-                out += self._together(now)
-                now, held = [], 0
-        return out + self._together(now)
-
-    def _together(self, texts: list[tuple[list[str], str]]) -> list[np.ndarray]:
+            for at in range(0, len(units) or 1, TOGETHER):
+                now.append((n, units[at : at + TOGETHER], key, at))
+                held += len(now[-1][1])
+                if held >= TOGETHER:
+                    flush()
+                    held = 0
+        flush()
+        return [np.concatenate(parts) for parts in out]
+
+    def _together(self, texts: list[tuple[list[str], str, int]]) -> list[np.ndarray]:
+        """Pieces of (units, key of the text, place of the first unit in it)."""
         seed, bases = self.seed & MASK, []
-        for _, key in texts:
+        for _, key, _ in texts:
             base = xxhash.xxh64_intdigest(key, seed)
             bases.append(xxhash.xxh64_intdigest(str(base % self.variants), seed) if self.variants else base)
-        units = [u for part, _ in texts for u in part]
-        n = np.array([len(part) for part, _ in texts], np.int64)
+        units = [u for part, _, _ in texts for u in part]
+        n = np.array([len(part) for part, _, _ in texts], np.int64)
         ends = np.cumsum(n)
-        place = np.arange(len(units)) - np.repeat(ends - n, n)
+        place = np.arange(len(units)) - np.repeat(ends - n - np.array([at for _, _, at in texts], np.int64), n)
         turns = mixed(np.repeat(np.array(bases, np.uint64), n) + place.astype(np.uint64))
         if len(self.known) > CACHE:
             self._forget()

@@ -536,6 +536,14 @@ def test_dropout_equals_a_plain_agenda(docs):
             assert got.tolist() == want
 
 
+def test_parts_of_a_text_are_encoded_as_one(monkeypatch, docs):
+    texts = [r.text or "" for r in docs.collect()[:30]]
+    keys = [*map(str, range(30))]
+    want = [x.tolist() for x in piece_codec.Encoder(piece_codec.pieces(None), 0.2, 3).many(texts, keys)]
+    monkeypatch.setattr(piece_codec, "TOGETHER", 50)
+    assert [x.tolist() for x in piece_codec.Encoder(piece_codec.pieces(None), 0.2, 3).many(texts, keys)] == want
+
+
 def test_encoding_edges(spark, edges):
     assert piece_codec.encode(edges.limit(0)).count() == 0 and piece_codec.decode(piece_codec.encode(edges.limit(0))).count() == 0
     named = edges.select("doc_id", "text", F.lit("x").alias("pieces"), F.lit(1).alias("lossless"))
