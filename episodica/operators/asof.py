@@ -41,10 +41,12 @@ def _neighbours(left: DataFrame, right: DataFrame, payload: str | None, block: f
     place = F.when(F.col("__r").isNotNull(), F.struct("ts", "__o"))
     blocks = both.groupBy("dataset", "__n").agg(F.min_by("__r", place).alias("lo"), F.max_by("__r", place).alias("hi"))
     order = Window.partitionBy("dataset").orderBy("__n")
-    before, after = F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("lo", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # what follows is looked for in falling order: frames that grow are computed step by step, frames that shrink anew for each row
+    back = Window.partitionBy("dataset").orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, -1)
+    before, after = F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.last("lo", True).over(back)
     blocks = blocks.select(F.col("dataset").alias("__bd"), F.col("__n").alias("__bn"), before.alias("__before"), after.alias("__after"))
-    w = Window.partitionBy("dataset", "__n").orderBy("ts", "__o")
-    near = both.withColumn("__a", F.first("__r", True).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("__b", F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w, grows = Window.partitionBy("dataset", "__n"), (Window.unboundedPreceding, 0)
+    near = both.withColumn("__a", F.last("__r", True).over(w.orderBy(F.desc("ts"), F.desc("__o")).rowsBetween(*grows))).withColumn("__b", F.last("__r", True).over(w.orderBy("ts", "__o").rowsBetween(*grows)))
     near = near.where("__r is null").join(blocks.hint("merge"), F.col("dataset").eqNullSafe(F.col("__bd")) & F.col("__n").eqNullSafe(F.col("__bn")))
     return near.withColumn("__a", F.coalesce("__a", "__after")).withColumn("__b", F.coalesce("__b", "__before"))
 

@@ -23,15 +23,16 @@ def nearest_phase(rows: DataFrame, phases: DataFrame, key: str, bucket: float) -
     """
     p = phases.select(F.col(key).alias("__k"), "pos", "phase", "start_t", "end_t")
     inside = (F.col("ts") >= F.col("start_t")) & (F.col("ts") <= F.col("end_t"))
-    first = joined(rows.select(key, "ts", "ord").distinct(), p, key, "ts", bucket, inside, "start_t", "end_t", "left").groupBy(key, "ts", "ord").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("pos", "phase"))).alias("hit"))
+    first = joined(rows.select(key, "ts", "ord"), p, key, "ts", bucket, inside, "start_t", "end_t", "left").groupBy(key, "ts", "ord").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("pos", "phase"))).alias("hit"))
     edge = phases.select(key, F.explode(F.array("start_t", "end_t")).alias("ts"), "pos", "phase").groupBy(key, "ts").agg(F.min(F.struct("pos", "phase")).alias("e"))
     no = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
     both = first.withColumn("e", no(edge, "e")).withColumn("is_row", F.lit(True)).unionByName(
         edge.select(key, "ts", no(first, "ord").alias("ord"), no(first, "hit").alias("hit"), "e", F.lit(False).alias("is_row"))
     )
-    w = Window.partitionBy(key).orderBy("ts")
-    at = F.when(~F.col("is_row"), F.struct("ts", "e"))
-    both = both.withColumn("a", F.last(at, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(at, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    # both windows grow, the second one in falling order, as a frame that shrinks would be computed anew for each row
+    w, at = Window.partitionBy(key), F.when(~F.col("is_row"), F.struct("ts", "e"))
+    before, after = (w.orderBy(order).rangeBetween(Window.unboundedPreceding, 0) for order in ("ts", F.desc("ts")))
+    both = both.withColumn("a", F.last(at, True).over(before)).withColumn("b", F.last(at, True).over(after))
     choice = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col("ts") - F.col(x)["ts"]).alias("d"), F.col(x)["e"]["pos"].alias("pos"), F.col(x)["e"]["phase"].alias("phase")))
     return both.where("is_row").select(key, "ts", "ord", F.coalesce(F.col("hit")["phase"], F.least(choice("a"), choice("b"))["phase"]).alias("phase"))
 
