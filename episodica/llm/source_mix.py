@@ -54,7 +54,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     # sources stop in the order of the level that fills them; the level is that of the first source that it doesn't fill
     in_order = Window.orderBy("full_at", "k")
     stopped_before = F.coalesce(F.sum("source_size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
-    weight_left = F.sum("weight").over(in_order.rowsBetween(0, Window.unboundedFollowing))
+    # from the last to the first, as a frame that shrinks would be summed anew for each source
+    weight_left = F.sum("weight").over(Window.orderBy(F.desc("full_at"), F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("source_size").over(Window.partitionBy())
     levels = ranked.withColumn("level", (total - stopped_before) / weight_left).withColumn("place", F.row_number().over(in_order))
     level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("place", "level"))).over(Window.partitionBy())["level"]
