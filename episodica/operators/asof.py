@@ -69,6 +69,12 @@ def nearest_any(left: DataFrame, right: DataFrame, tie: str = "later", payload:
     return _out(near.withColumn("__x", F.when(F.col("__a").isNotNull() & takes_after, F.col("__a")).otherwise(F.col("__b"))), payload)
 
 
+def around(left: DataFrame, right: DataFrame, payload: str, block: float = 3.6e12) -> DataFrame:
+    """Left rows (dataset, ts, ord) with the nearest right rows at or after and at or before them: after_ts, before_ts, and their ``payload`` as after_ and before_; nulls where there is none. ``block``: see ``_neighbours``."""
+    near = _neighbours(left, right, payload, block)
+    return near.select("dataset", "ts", "ord", *[F.col(c)[f].alias(n) for s, c in (("after", "__a"), ("before", "__b")) for f, n in (("ts", f"{s}_ts"), ("p", f"{s}_{payload}"))])
+
+
 def covered(left: DataFrame, cameras: list[DataFrame], tolerance: int) -> DataFrame:
     """Left rows with ``covered``, whether every camera has a frame within the tolerance."""
     out = left.select("dataset", "ts", "ord").withColumn("covered", F.lit(True))

@@ -1,6 +1,7 @@
 """Episodes: cutting a telemetry log by start and end events.
 
-Telemetry is (dataset, ord, ts, ...), events are (dataset, ord, ts, name with values start and end). Order is by (ts, ord).
+Telemetry is (dataset, ord, ts, ...), events are (dataset, ord, ts, name with values start and end). Order is by (ts, ord). An episode is a stretch of telemetry rows,
+told by their numbers: where an event falls between rows, it is its nearest rows that count, not its time.
 """
 
 from __future__ import annotations
@@ -8,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import asof
 from .intervals import joined
+from .scans import scanned
+from .stored import stored
 
 STARTS = ("episode_start",)
 ENDS = ("episode_end", "episode_stop", "episode_finish", "episode_finished")
@@ -21,45 +25,99 @@ def normalised_events(raw: DataFrame, name: Column, starts=STARTS, ends=ENDS) ->
     return raw.withColumn("name", kind).where("name is not null and ts is not null")
 
 
-def paired_intervals(events: DataFrame) -> DataFrame:
-    """(dataset, start_ts, end_ts, implicit): every start with the next event. A next start ends it exclusively, a next end inclusively, none at all leaves it open."""
-    w = Window.partitionBy("dataset").orderBy("ts", "ord")
-    nxt = events.withColumn("next_name", F.lead("name").over(w)).withColumn("next_ts", F.lead("ts").over(w))
+HOUR = 3.6e12
+
+
+def numbered_rows(telemetry: DataFrame, block: float = HOUR) -> DataFrame:
+    """Telemetry with ``row``, the number of each row in its dataset from 0. ``block``: see ``scanned``, an hour in ns."""
+    return scanned(telemetry, ["dataset"], ["ts", "ord"], block, place="row")
+
+
+def boundaries(rows: DataFrame, events: DataFrame, block: float = HOUR) -> DataFrame:
+    """(dataset, episode, start_row, end_row, mode): episodes as half-open stretches of the ``rows`` of ``numbered_rows``, numbered from 0 in each dataset.
+
+    A dataset with starts and ends is *paired*: each start, from the first row at or after it, goes with the event that follows. A start ends it before the first row at or after
+    that start; an end ends it with the row nearest to it, the later one of two as near; the last start without an end goes up to the last row's time. Ends that no
+    start goes before count for nothing, and episodes without rows are left out before they are numbered. A dataset with events of one kind only is *split* at the first
+    row at or after each event; rows before the first one are an episode too. Any other dataset, also one whose pairs all are empty, is *whole*: one episode. Events of datasets without rows count for nothing.
+    What events and datasets come to (a few rows each) is stored, see ``stored``.
+    """
+    sizes = rows.groupBy("dataset").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    kinds = events.groupBy(F.col("dataset").alias("__d")).agg(F.max((F.col("name") == "start").cast("int")).alias("starts"), F.max((F.col("name") == "end").cast("int")).alias("ends"))
+    modes = sizes.join(kinds.hint("merge"), F.col("dataset") == F.col("__d"), "left").drop("__d")
+    modes = modes.withColumn("mode", F.when((F.col("starts") == 1) & (F.col("ends") == 1), "paired").when(F.col("starts").isNotNull(), "split").otherwise("whole")).drop("starts", "ends")
+    modes = stored(modes)
+    walked = scanned(events.select("dataset", "ts", "ord", "name"), ["dataset"], ["ts", "ord"], block, after={"next_name": F.col("name"), "next_ts": F.col("ts")})
+    known = walked.join(modes.select(F.col("dataset").alias("__d"), "n", "last_ts", "mode").hint("merge"), F.col("dataset") == F.col("__d")).drop("__d")
+    # where each start, end and split point stands among the rows
+    starts = known.where("mode = 'paired' and name = 'start'").withColumn("end_ts", F.coalesce("next_ts", "last_ts")).withColumn("nearest", F.coalesce(F.col("next_name") == "end", F.lit(True)))
+    point = lambda side, ts: F.struct(F.lit(side).alias("side"), F.col(ts).alias("at"))
+    asked = starts.select("dataset", "n", "mode", "nearest", F.struct("ts", "ord").alias("event"), F.explode(F.array(point("start", "ts"), point("end", "end_ts"))).alias("p"))
+    asked = asked.unionByName(known.where("mode = 'split'").select("dataset", "n", "mode", F.lit(False).alias("nearest"), F.struct("ts", "ord").alias("event"), point("start", "ts").alias("p")))
+    left = asked.select("dataset", F.col("p")["at"].alias("ts"), F.struct("n", "mode", "nearest", "event", F.col("p")["side"].alias("side")).alias("ord"))
+    met = asof.around(left, rows, "row", block)
+    first = F.coalesce("after_row", "n")
+    close = F.when(F.col("after_row").isNull(), F.col("n")).when(F.col("before_row").isNull(), F.lit(1)).when(F.col("after_ts") - F.col("ts") <= F.col("ts") - F.col("before_ts"), F.col("after_row") + 1).otherwise(F.col("after_row"))
+    placed = met.select("dataset", "ts", "ord.*", "after_row", "after_ts", "before_row", "before_ts")
+    placed = placed.withColumn("row", F.when(F.col("nearest") & (F.col("side") == "end"), close).otherwise(first)).select("dataset", "n", "mode", "event", "side", "row")
+    placed = stored(placed)
+    pairs = placed.where("mode = 'paired'").groupBy("dataset", "event").agg(F.max(F.when(F.col("side") == "start", F.col("row"))).alias("start_row"), F.max(F.when(F.col("side") == "end", F.col("row"))).alias("end_row"))
+    pairs = pairs.where("end_row > start_row").select("dataset", F.col("event.ts").alias("ts"), F.col("event.ord").alias("ord"), "start_row", "end_row")
+    paired = scanned(pairs, ["dataset"], ["ts", "ord"], block, place="episode").select("dataset", "episode", "start_row", "end_row", F.lit("paired").alias("mode"))
+    ends = modes.where("mode = 'split'").select("dataset", F.explode(F.array(F.lit(0).cast("long"), "n")).alias("start_row"))
+    points = placed.where("mode = 'split'").select("dataset", F.col("row").alias("start_row")).unionByName(ends).distinct()
+    split = scanned(points, ["dataset"], ["start_row"], 1e5, after={"end_row": F.col("start_row")}, place="episode").where("end_row is not null")
+    split = split.select("dataset", "episode", "start_row", "end_row", F.lit("split").alias("mode"))
+    kept = pairs.select(F.col("dataset").alias("__d")).distinct()
+    whole = modes.where("mode = 'whole'").unionByName(modes.where("mode = 'paired'").join(kept.hint("merge"), F.col("dataset") == F.col("__d"), "left_anti"))
+    whole = whole.select("dataset", F.lit(0).cast("long").alias("episode"), F.lit(0).cast("long").alias("start_row"), F.col("n").alias("end_row"), F.lit("whole").alias("mode"))
+    return paired.unionByName(split).unionByName(whole)
+
+
+def rows_of_boundaries(rows: DataFrame, bounds: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """The ``rows`` of ``numbered_rows`` with the episodes of ``boundaries`` that they lie in; a row may lie in two. ``bucket``: about how many rows an episode has."""
+    e = bounds.select(F.col("dataset").alias("__k"), "episode", "start_row", (F.col("end_row") - 1).alias("__last"))
+    inside = F.col("row").between(F.col("start_row"), F.col("__last"))
+    return joined(rows, e, "dataset", "row", bucket, inside, "start_row", "__last").drop("__k", "start_row", "__last")
+
+
+def episode_rows(telemetry: DataFrame, events: DataFrame, block: float = HOUR, bucket: int = 10_000) -> DataFrame:
+    """Telemetry rows with their number and the episodes that they lie in, whichever way the dataset's events cut it. The numbered rows are stored (see ``stored``), as they are needed several times."""
+    rows = stored(numbered_rows(telemetry, block))
+    return rows_of_boundaries(rows, stored(boundaries(rows, events, block)), bucket)
+
+
+def paired_intervals(events: DataFrame, block: float = HOUR) -> DataFrame:
+    """(dataset, start_ts, end_ts, implicit): every start with the time of the next event, whether or not there are rows between. A next start is an implicit end; none at all leaves it open."""
+    nxt = scanned(events.select("dataset", "ts", "ord", "name"), ["dataset"], ["ts", "ord"], block, after={"next_name": F.col("name"), "next_ts": F.col("ts")})
     return nxt.where("name = 'start'").select("dataset", F.col("ts").alias("start_ts"), F.col("next_ts").alias("end_ts"), (F.col("next_name") == "start").alias("implicit"))
 
 
 def numbered(intervals: DataFrame) -> DataFrame:
-    """Episodes numbered from 0 in each dataset, by start."""
+    """Intervals numbered from 0 in each dataset, by start."""
     return intervals.withColumn("episode", F.row_number().over(Window.partitionBy("dataset").orderBy("start_ts", F.col("end_ts").asc_nulls_last())) - 1)
 
 
-def rows_of_episodes(telemetry: DataFrame, episodes: DataFrame, bucket_s: float = 60.0) -> DataFrame:
-    """Telemetry rows with the episodes they lie in; a row at an end that is another's start lies in both.
+def rows_between(telemetry: DataFrame, intervals: DataFrame, bucket_s: float = 60.0) -> DataFrame:
+    """Telemetry rows with the intervals (dataset, episode, start_ts, end_ts, and ``implicit`` if the end itself may not belong to it) that hold their time; of those that overlap a row meets each.
 
-    A row meets the episodes that touch its bucket of ``bucket_s`` seconds, which should be about as long as an episode; only those that nothing ends meet all later rows.
+    A row meets the intervals that touch its bucket of ``bucket_s`` seconds, which should be about as long as an interval; only those that nothing ends meet all later rows.
     """
-    e = episodes.select(F.col("dataset").alias("__k"), "episode", "start_ts", "end_ts", "implicit")
+    implicit = F.col("implicit") if "implicit" in intervals.columns else F.lit(False)
+    e = intervals.select(F.col("dataset").alias("__k"), "episode", "start_ts", "end_ts", implicit.alias("implicit"))
     inside = (F.col("ts") >= F.col("start_ts")) & (F.col("end_ts").isNull() | F.when(F.col("implicit"), F.col("ts") < F.col("end_ts")).otherwise(F.col("ts") <= F.col("end_ts")))
     return joined(telemetry, e, "dataset", "ts", bucket_s * 1e9, inside, "start_ts", "end_ts").drop("__k")
 
 
-def split_episodes(telemetry: DataFrame, events: DataFrame) -> DataFrame:
-    """With only starts or only ends, rows split before every event; rows before the first event are episode 0."""
-    both = telemetry.select("dataset", "ts", "ord", F.lit(0).alias("is_event")).unionByName(events.select("dataset", "ts", "ord", F.lit(1).alias("is_event")))
-    # an event's point is the first row at or after it, so events sort before rows of their time; points that coincide count once
-    w = Window.partitionBy("dataset").orderBy("ts", F.desc("is_event"), "ord")
-    marked = both.withColumn("opens", (F.col("is_event") == 0) & (F.lag("is_event").over(w) == 1))
-    first = F.min(F.when(F.col("is_event") == 0, F.struct("ts", "ord"))).over(Window.partitionBy("dataset"))
-    opened = marked.withColumn("first", first).withColumn("opens", F.col("opens") & (F.struct("ts", "ord") != F.col("first")))
-    return opened.withColumn("episode", F.sum(F.col("opens").cast("int")).over(w)).where("is_event = 0").select("dataset", "ts", "ord", "episode")
+def annotator_intervals(events: DataFrame, least_s: float = 1.0, host: str = "ts", block: float = 1e5) -> DataFrame:
+    """D3: in file order, a start directly followed by an end, at least ``least_s`` apart by the host's time; numbered from 0: (dataset, episode, start_ts, end_ts, start_host_ts, end_host_ts, duration_s).
 
-
-def annotator_intervals(events: DataFrame, least_s: float = 1.0) -> DataFrame:
-    """D3: in file order, a start directly followed by an end, at least ``least_s`` apart; numbered from 0."""
-    w = Window.partitionBy("dataset").orderBy("ord")
-    nxt = events.withColumn("next_name", F.lead("name").over(w)).withColumn("end_ts", F.lead("ts").over(w))
-    pairs = nxt.where("name = 'start' and next_name = 'end'").where((F.col("end_ts") - F.col("ts")) / 1e9 >= least_s)
-    return pairs.select("dataset", (F.row_number().over(w) - 1).alias("episode"), F.col("ts").alias("start_ts"), "end_ts")
+    ``host``: the column with the host's time. Only the plain names of a start and an end count here, so other ends are to be left out before. ``block``: events by ord. The rows of an episode are those of ``rows_between``.
+    """
+    e = events.select("dataset", "ord", "name", "ts", F.col(host).alias("host"))
+    nxt = scanned(e, ["dataset"], ["ord"], block, after={"next_name": F.col("name"), "end_ts": F.col("ts"), "end_host_ts": F.col("host")})
+    pairs = nxt.where("name = 'start' and next_name = 'end'").withColumn("duration_s", (F.col("end_host_ts") - F.col("host")) / 1e9).where(F.col("duration_s") >= least_s)
+    return scanned(pairs, ["dataset"], ["ord"], block, place="episode").select("dataset", "episode", F.col("ts").alias("start_ts"), "end_ts", F.col("host").alias("start_host_ts"), "end_host_ts", "duration_s")
 
 
 def quality(rows: DataFrame, command: str = "value", width: str = "value", active_command: float = 0.1, active_span: float = 0.002, blank_steps: int = 1000) -> DataFrame:

@@ -61,7 +61,7 @@ class Tables:
     def episode_rows(self) -> DataFrame:
         from ..operators import episodes
 
-        return episodes.rows_of_episodes(self.kind("view", "click", "error"), episodes.numbered(episodes.paired_intervals(self.marks)), 86_400.0)
+        return episodes.episode_rows(self.kind("view", "click", "error"), self.marks, 8.64e13, 10)
 
     @property
     def one_episode(self) -> DataFrame:
@@ -87,8 +87,17 @@ EV = "ev AS (SELECT user_id AS dataset, event_id AS ord, epoch_us(ts) * 1000 AS
 MARKS = EV + ", marks AS (SELECT *, CASE kind WHEN 'signup' THEN 'start' ELSE 'end' END AS name FROM ev WHERE kind IN ('signup', 'purchase'))"
 PAIRS = MARKS + """, nx AS (SELECT *, lead(name) OVER w AS nn, lead(ts) OVER w AS nts FROM marks WINDOW w AS (PARTITION BY dataset ORDER BY ts, ord)),
 eps AS (SELECT dataset, ts AS start_ts, nts AS end_ts, nn = 'start' AS implicit, row_number() OVER (PARTITION BY dataset ORDER BY ts, nts NULLS LAST) - 1 AS episode FROM nx WHERE name = 'start')"""
-EPISODE_ROWS = PAIRS + """, er AS (SELECT e.dataset, e.ord, e.ts, e.kind, e.value, p.episode FROM ev e JOIN eps p ON e.dataset = p.dataset AND e.ts >= p.start_ts
- AND (p.end_ts IS NULL OR (p.implicit AND e.ts < p.end_ts) OR (NOT p.implicit AND e.ts <= p.end_ts)) WHERE e.kind IN ('view', 'click', 'error'))"""
+BOUNDS = MARKS + """, fr0 AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ts, ord) - 1 AS rw FROM ev WHERE kind IN ('view', 'click', 'error')),
+md AS (SELECT c.dataset, n, last_ts, coalesce(bool_or(name = 'start'), false) AS hs, coalesce(bool_or(name = 'end'), false) AS he FROM (SELECT dataset, count(*) AS n, max(ts) AS last_ts FROM fr0 GROUP BY 1) c LEFT JOIN marks m ON m.dataset = c.dataset GROUP BY 1, 2, 3),
+wk AS (SELECT *, lead(name) OVER w AS nn, lead(ts) OVER w AS nts FROM marks WINDOW w AS (PARTITION BY dataset ORDER BY ts, ord)),
+pr AS (SELECT wk.dataset, wk.ts AS st, wk.ord AS so, n, coalesce(nts, last_ts) AS et, coalesce(nn = 'end', true) AS incl FROM wk JOIN md ON md.dataset = wk.dataset WHERE hs AND he AND name = 'start'),
+px AS (SELECT *, (SELECT count(*) FROM fr0 f WHERE f.dataset = pr.dataset AND f.ts < st) AS si, (SELECT count(*) FROM fr0 f WHERE f.dataset = pr.dataset AND f.ts < et) AS pos FROM pr),
+pl AS (SELECT px.dataset, st, so, si, CASE WHEN NOT incl THEN pos WHEN pos >= n THEN n WHEN pos = 0 THEN 1 WHEN a.ts - et <= et - b.ts THEN pos + 1 ELSE pos END AS ei FROM px LEFT JOIN fr0 a ON a.dataset = px.dataset AND a.rw = pos LEFT JOIN fr0 b ON b.dataset = px.dataset AND b.rw = pos - 1),
+pt AS (SELECT m.dataset, (SELECT count(*) FROM fr0 f WHERE f.dataset = m.dataset AND f.ts < m.ts) AS pos FROM marks m JOIN md ON md.dataset = m.dataset WHERE hs <> he UNION SELECT dataset, 0 FROM md WHERE hs <> he UNION SELECT dataset, n FROM md WHERE hs <> he),
+bd AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY st, so) - 1 AS episode, si AS start_row, ei AS end_row, 'paired' AS mode FROM pl WHERE ei > si
+ UNION ALL SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY pos) - 1, pos, nx, 'split' FROM (SELECT *, lead(pos) OVER (PARTITION BY dataset ORDER BY pos) AS nx FROM pt) WHERE nx IS NOT NULL
+ UNION ALL SELECT dataset, 0, 0, n, 'whole' FROM md WHERE (NOT hs AND NOT he) OR (hs AND he AND dataset NOT IN (SELECT dataset FROM pl WHERE ei > si)))"""
+EPISODE_ROWS = BOUNDS + """, er AS (SELECT f.dataset, f.ord, f.ts, f.kind, f.value, f.rw, b.episode FROM fr0 f JOIN bd b ON f.dataset = b.dataset AND f.rw >= b.start_row AND f.rw < b.end_row)"""
 SEGMENTS = """seg AS (SELECT o_custkey AS k, row_number() OVER w - 1 AS pos, o_orderkey % 6 AS phase, epoch_us(o_orderdate) / 86400e6 AS start_t,
  coalesce(lead(epoch_us(o_orderdate) / 86400e6) OVER w, epoch_us(o_orderdate) / 86400e6 + 10) AS end_t, (o_orderkey % 100) / 100.0 AS confidence
  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""

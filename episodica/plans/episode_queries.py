@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators import asof, episodes, signals
-from .binding import EPISODE_ROWS, EV, MARKS, PAIRS, Tables, query
+from ..operators.stored import stored
+from .binding import BOUNDS, EPISODE_ROWS, EV, MARKS, PAIRS, Tables, query
 
 HOUR = 3_600_000_000_000
 
@@ -21,21 +22,36 @@ def a5_latest_sidecar(t: Tables):
     return episodes.latest(t.ev, ["dataset", "kind"], [F.desc("ts"), F.desc("ord")])
 
 
-@query("dataset:l episode:l start_ts:l end_ts:l implicit:b", f"WITH {PAIRS} SELECT * FROM eps")
+@query("dataset:l episode:l start_row:l end_row:l mode:s", f"WITH {BOUNDS} SELECT * FROM bd")
 def d1_episode_boundaries(t: Tables):
-    return episodes.numbered(episodes.paired_intervals(t.marks))
+    """Paired, split and whole datasets side by side, as each user's marks have it."""
+    rows = stored(episodes.numbered_rows(t.kind("view", "click", "error"), 8.64e13))
+    return episodes.boundaries(rows, t.marks, 8.64e13)
 
 
 @query("dataset:l ord:l episode:l", f"""WITH {EV}, f AS (SELECT * FROM ev WHERE kind IN ('view', 'click')), s AS (SELECT DISTINCT p.dataset, (SELECT min((f.ts, f.ord)) FROM f WHERE f.dataset = p.dataset AND f.ts >= p.ts) AS point FROM ev p WHERE p.kind = 'signup')
 SELECT f.dataset, f.ord, (SELECT count(*) FROM s WHERE s.dataset = f.dataset AND s.point <= (f.ts, f.ord) AND s.point > (SELECT min((g.ts, g.ord)) FROM f g WHERE g.dataset = f.dataset)) AS episode FROM f""")
 def d2_split_episodes(t: Tables):
-    return episodes.split_episodes(t.kind("view", "click"), t.kind("signup"))
+    return episodes.episode_rows(t.kind("view", "click"), t.kind("signup").withColumn("name", F.lit("start")), 8.64e13, 10)
 
 
-@query("dataset:l episode:l start_ts:l end_ts:l", f"""WITH {MARKS}, nx AS (SELECT *, lead(name) OVER w AS nn, lead(ts) OVER w AS nts FROM marks WINDOW w AS (PARTITION BY dataset ORDER BY ord))
-SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY ord) - 1 AS episode, ts AS start_ts, nts AS end_ts FROM nx WHERE name = 'start' AND nn = 'end' AND (nts - ts) / 1e9 >= 1""")
+# the host's clock is late by some seconds of its own
+_ANNOTATED = MARKS + """, hm AS (SELECT *, ts + (ord % 5) * 60000000000 AS host FROM marks), an AS (SELECT *, lead(name) OVER w AS nn, lead(ts) OVER w AS nts, lead(host) OVER w AS nhost FROM hm WINDOW w AS (PARTITION BY dataset ORDER BY ord)),
+ap AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY ord) - 1 AS episode, ts AS start_ts, nts AS end_ts, host AS start_host_ts, (nhost - host) / 1e9 AS duration_s FROM an WHERE name = 'start' AND nn = 'end' AND (nhost - host) / 1e9 >= 3600)"""
+
+
+def _annotated(t: Tables):
+    return episodes.annotator_intervals(t.marks.withColumn("host", F.col("ts") + F.col("ord") % 5 * 60_000_000_000), 3600.0, "host")
+
+
+@query("dataset:l episode:l start_ts:l end_ts:l start_host_ts:l duration_s:d", f"WITH {_ANNOTATED} SELECT * FROM ap")
 def d3_annotator_pairs(t: Tables):
-    return episodes.annotator_intervals(t.marks)
+    return _annotated(t)
+
+
+@query("dataset:l episode:l ord:l", f"WITH {_ANNOTATED} SELECT ap.dataset, episode, ev.ord FROM ap JOIN ev ON ev.dataset = ap.dataset AND ev.ts BETWEEN start_ts AND end_ts")
+def d3_annotator_rows(t: Tables):
+    return episodes.rows_between(t.ev, _annotated(t), 86_400.0)
 
 
 @query("dataset:l episode:l ord:l", f"WITH {EPISODE_ROWS} SELECT * FROM er")

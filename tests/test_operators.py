@@ -38,8 +38,8 @@ def test_nearest_ties_and_tolerance(spark):
 
 def test_split_before_every_event(spark):
     rows = spark.createDataFrame([("d", t, t) for t in range(0, 60, 10)], "dataset string, ts long, ord long")
-    events = spark.createDataFrame([("d", 15, 1), ("d", 17, 2), ("d", 40, 3)], "dataset string, ts long, ord long")
-    assert [r.episode for r in episodes.split_episodes(rows, events).orderBy("ts").collect()] == [0, 0, 1, 1, 2, 2]
+    events = spark.createDataFrame([("d", 15, 1, "end"), ("d", 17, 2, "end"), ("d", 40, 3, "end")], "dataset string, ts long, ord long, name string")
+    assert [r.episode for r in episodes.episode_rows(rows, events).orderBy("ts").collect()] == [0, 0, 1, 1, 2, 2]
 
 
 def keyframes(times, every):
@@ -224,7 +224,7 @@ def test_rows_of_episodes_share_an_end(spark):
     eps = spark.createDataFrame([("d", 0, 10, 30, False), ("d", 1, 30, 30, False), ("d", 2, 30, 50, True), ("d", 3, 70, None, None), ("e", 0, 6, None, None)], "dataset string, episode int, start_ts long, end_ts long, implicit boolean")
     want = {(0, 10), (0, 20), (0, 30), (1, 30), (2, 30), (2, 40), (3, 70), (3, 80), (3, 90)}
     for bucket in (7e-9, 1e-6):
-        assert {(r.episode, r.ts) for r in episodes.rows_of_episodes(rows, eps, bucket).collect()} == want
+        assert {(r.episode, r.ts) for r in episodes.rows_between(rows, eps, bucket).collect()} == want
 
 
 def test_interval_lookups_equal_loops(spark):
