@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Names under which logs keep a row's time and a text, first wins.
@@ -97,9 +97,13 @@ def step_task(subtask: Column, task: Column, sentences: dict[str, str] = SUBTASK
     return F.coalesce(F.try_element_at(known, subtask), task)
 
 
+# Fixed value: a step in the name of a checkpoint's folder.
+CHECKPOINT_STEP = r"([0-9]{3,})"
+
+
 def checkpoint_step(folder: Column) -> Column:
     """The first run of three digits or more in a folder's name; null without one."""
-    return F.nullif(F.regexp_extract(folder, r"([0-9]{3,})", 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(folder, CHECKPOINT_STEP, 1), F.lit("")).cast("long")
 
 
 def json_body(raw: Column) -> Column:
@@ -176,11 +180,22 @@ def phase_or_unknown(rows: DataFrame, phase: str = "phase") -> DataFrame:
     return rows if phase in rows.columns else rows.withColumn(phase, F.lit(UNKNOWN_PHASE))
 
 
-def filled_task(task: Column, fallback: str = "Perform the task.") -> Column:
-    """B23."""
+# Fixed value: the task of samples that have none.
+FALLBACK_TASK = "Picking up a soup can and placing it on a cardboard surface"
+
+
+def filled_task(task: Column, fallback: str = FALLBACK_TASK) -> Column:
+    """The task, or the fallback where it is null."""
     return F.coalesce(task, F.lit(fallback))
 
 
+def filled_tasks(rows: DataFrame, task: str = "task", fallback: str = FALLBACK_TASK) -> tuple[DataFrame, Observation]:
+    """Rows with the fallback in place of missing tasks, and an observation of ``n_rows`` and ``n_filled``, which Spark counts while the rows are computed."""
+    seen = Observation("filled tasks")
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(task).isNull()).alias("n_filled"))
+    return counted.withColumn(task, filled_task(F.col(task), fallback)), seen
+
+
 def unsafe_reason(action: Column, phase: Column, force_z: Column, low: tuple = (-1.3, -1.3, -0.55), high: tuple = (1.3, 1.3, 1.7), velocity: float = 2.0, force: float = 30.0, grip: float = 0.7) -> Column:
     """The first safety rule that an action breaks, null for a safe one. Rules: null, NaN, Inf, workspace, velocity, force, gripper.
 

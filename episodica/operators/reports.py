@@ -51,14 +51,21 @@ def progress(points: DataFrame, key: str, goal: int) -> DataFrame:
     return last.withColumn("rate", F.when(F.col("t") > F.col("prev_t"), rate)).select(key, "step", "rate", (100.0 * F.col("step") / goal).alias("percent"), ((goal - F.col("step")) / F.col("rate") / 3600).alias("hours_left"))
 
 
+# What a log's errors are known by, and the line that ends a traceback's block.
+TRACEBACK = "Traceback (most recent call last):"
+ERROR_WORDS = "(?i)(error|exception|traceback|killed|oom|cuda)"
+SEPARATOR = "=" * 65
+
+
 def log_errors(lines: DataFrame, key: str = "path", most_matches: int = 40, most_lines: int = 200) -> DataFrame:
-    """lines (key, pos, line) of each log that tell of its failure: the last traceback block up to the next separator, else the last error lines, else its tail."""
+    """lines (key, pos, line) of each log that tell of its failure: from the last traceback (anywhere in its line) up to the next separator, else the last lines with an error word, else its tail."""
     w = Window.partitionBy(key).orderBy(F.desc("pos"))
-    block_start = F.max(F.when(F.col("line").startswith("Traceback"), F.col("pos"))).over(Window.partitionBy(key))
-    marked = lines.withColumn("tb", block_start).withColumn("is_error", F.col("line").rlike("(?i)error|exception|failed"))
-    stop = F.min(F.when((F.col("pos") > F.col("tb")) & F.col("line").rlike("^[=-]{5,}"), F.col("pos"))).over(Window.partitionBy(key))
-    marked = marked.withColumn("stop", stop).withColumn("any_error", F.max("is_error").over(Window.partitionBy(key)))
-    in_block = F.col("tb").isNotNull() & (F.col("pos") >= F.col("tb")) & (F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
+    whole = Window.partitionBy(key)
+    block_start = F.max(F.when(F.col("line").contains(TRACEBACK), F.col("pos"))).over(whole)
+    marked = lines.withColumn("tb", block_start).withColumn("is_error", F.col("line").rlike(ERROR_WORDS))
+    stop = F.min(F.when((F.col("pos") > F.col("tb")) & F.col("line").startswith(SEPARATOR), F.col("pos"))).over(whole)
+    marked = marked.withColumn("stop", stop).withColumn("any_error", F.max("is_error").over(whole))
+    in_block = (F.col("pos") >= F.col("tb")) & (F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
     errors = F.col("is_error") & (F.sum(F.col("is_error").cast("int")).over(w) <= most_matches)
     chosen = F.when(F.col("tb").isNotNull(), in_block).when(F.col("any_error"), errors).otherwise(F.row_number().over(w) <= most_lines)
     return marked.withColumn("chosen", chosen).where("chosen").select(key, "pos", "line")

@@ -72,11 +72,6 @@ def b17_training_log(t: Tables):
     return t.orders.select("o_orderkey", fields.log_step(line).alias("step"), fields.log_loss(line).alias("loss"))
 
 
-@query("n:l unknown:l", None)
-def b19_phase_dropout(t: Tables):
-    return t.orders.select(fields.dropped_phase(F.col("o_orderkey") % 5, F.col("o_orderkey")).alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("p") == 5).alias("unknown"))
-
-
 @query("n:l near:b kept:l", "SELECT count(*) AS n, true AS near, count(*) AS kept FROM orders")
 def b19_dropout_share(t: Tables):
     """All samples stay, those that aren't dropped keep their phase, and the share is within five standard deviations of 15 %."""
@@ -85,6 +80,13 @@ def b19_dropout_share(t: Tables):
     return out.withColumn("near", F.abs(F.col("u") - 0.15 * F.col("n")) <= 5 * F.sqrt(0.15 * 0.85 * F.col("n")))
 
 
+@query("source:s n:l n_filled:l", """SELECT source, count(*) AS n, count(*) FILTER (task = 'Picking up a soup can and placing it on a cardboard surface') AS n_filled FROM (SELECT source, coalesce(lang, 'Picking up a soup can and placing it on a cardboard surface') AS task FROM documents) GROUP BY 1""")
+def b23_filled_tasks(t: Tables):
+    """Documents' languages as tasks; those without one get the fallback."""
+    rows, _ = fields.filled_tasks(t.documents.select("source", F.col("lang").alias("task")))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("task") == fields.FALLBACK_TASK).alias("n_filled"))
+
+
 @query("index:l phase:l", """WITH f AS (SELECT event_id AS index, event_id % 5 AS phase, event_id % 7 - 3 AS o FROM events), b AS (SELECT min(index) AS lo, max(index) AS hi FROM f)
 SELECT f.index, g.phase FROM f, b, f g WHERE g.index = greatest(b.lo, least(b.hi, f.index + f.o))""")
 def b21_phase_jitter(t: Tables):
@@ -271,33 +273,56 @@ def d15_task_remap(t: Tables):
     return merging.remapped_tasks(frames, tasks, merging.task_registry(tasks))
 
 
-@query("dataset:l file_index:l global_file:l", "WITH f AS (SELECT DISTINCT s_nationkey AS dataset, s_suppkey AS file_index FROM supplier) SELECT *, row_number() OVER (ORDER BY dataset, file_index) - 1 AS global_file FROM f")
+_VIDEOS = "f AS (SELECT s_nationkey AS dataset, CASE WHEN s_suppkey % 3 = 0 THEN 'top' ELSE 'wrist' END AS video_key, s_suppkey AS file_index, 25 - s_nationkey AS nth FROM supplier), g AS (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY nth, file_index) - 1 AS global_file FROM f)"
+
+
+def _videos(t: Tables):
+    """Suppliers as video files of two cameras, their nations as datasets, the last one first."""
+    return t.supplier.select(F.col("s_nationkey").alias("dataset"), F.when(F.col("s_suppkey") % 3 == 0, "top").otherwise("wrist").alias("video_key"), F.col("s_suppkey").alias("file_index"), (25 - F.col("s_nationkey")).alias("nth"))
+
+
+@query("dataset:l video_key:s file_index:l global_file:l", f"WITH {_VIDEOS} SELECT * FROM g")
 def d16_file_remap(t: Tables):
-    return merging.remapped_files(t.supplier.select(F.col("s_nationkey").alias("dataset"), F.col("s_suppkey").alias("file_index")).distinct())
+    return merging.remapped_files(_videos(t), "nth", "video_key")
 
 
-@query("c_custkey:l", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("path:s target:s", f"WITH {_VIDEOS} SELECT CAST(file_index AS VARCHAR) AS path, printf('videos/%s/chunk-000/file-%03d.mp4', video_key, global_file) AS target FROM g")
+def d16_copy_manifest(t: Tables):
+    return merging.copy_manifest(merging.remapped_files(_videos(t), "nth", "video_key").withColumn("path", F.col("file_index").cast("string")))
+
+
+@query("c_custkey:l", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def d17_missing_items(t: Tables):
-    return merging.missing_items(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return merging.missing_items(t.customer.select("c_custkey"), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("stat:s pos:l value:d", """WITH e AS (SELECT label, i AS pos, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range((SELECT max(len(embedding)) FROM embeddings)) r(i) WHERE i < len(embedding)), s AS (SELECT label, pos, avg(x) AS mean, min(x) AS lo, max(x) AS hi, count(*) AS n FROM e GROUP BY 1, 2)
-SELECT 'mean' AS stat, pos, sum(mean * n) / sum(n) AS value FROM s GROUP BY 2 UNION ALL SELECT 'min', pos, min(lo) FROM s GROUP BY 2 UNION ALL SELECT 'max', pos, max(hi) FROM s GROUP BY 2 UNION ALL SELECT 'count', pos, sum(n) FROM s GROUP BY 2""")
-def e9_merged_stats(t: Tables):
-    return _merged_stats(t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")))
+# each label's vectors are a dataset of so many frames; of the features the second one is there in some datasets only
+_STATS = """e AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), fr AS (SELECT label, count(*) AS frames FROM embeddings GROUP BY 1),
+s AS (SELECT label, pos, frames, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.25) AS q25, count(*) AS n FROM e JOIN fr USING (label) GROUP BY 1, 2, 3),
+l AS (SELECT label, frames, f.feature, pos, unnest(['mean', 'std', 'min', 'max', 'q25', 'count', 'dim']) AS stat, unnest([mean, std, lo, hi, q25, CAST(n AS DOUBLE), CAST(label AS DOUBLE)]) AS value FROM s, (SELECT unnest(['state', 'some']) AS feature) f WHERE f.feature = 'state' OR label % 2 = 0)"""
+_MERGED = _STATS + """, m AS (SELECT feature, stat, pos, CASE WHEN stat = 'min' THEN min(value) WHEN stat = 'max' THEN max(value) WHEN stat = 'count' THEN sum(value) WHEN stat = 'dim' THEN min(value) ELSE sum(value * frames) / (SELECT sum(frames) FROM fr) END AS value FROM l GROUP BY feature, stat, pos)"""
+
 
+def _stats(t: Tables):
+    e = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
+    frames = t.embeddings.groupBy(F.col("label").alias("dataset")).agg(F.count("*").alias("frames"))
+    by = {"mean": F.avg("x"), "std": F.stddev_pop("x"), "min": F.min("x"), "max": F.max("x"), "q25": F.percentile("x", 0.25), "count": F.count("*").cast("double"), "dim": F.first("label").cast("double")}
+    s = e.groupBy(F.col("label").alias("dataset"), "pos").agg(*[c.alias(n) for n, c in by.items()]).join(frames.hint("merge"), "dataset")
+    long = s.select("dataset", "frames", "pos", F.explode(F.create_map(*[x for n in by for x in (F.lit(n), F.col(n))])).alias("stat", "value"))
+    return long.withColumn("feature", F.explode(F.when(F.col("dataset") % 2 == 0, F.array(F.lit("state"), F.lit("some"))).otherwise(F.array(F.lit("state")))))
 
-@query("stat:s pos:l value:d", """WITH e AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT label, pos, avg(x) AS mean, min(x) AS lo, max(x) AS hi, count(*) AS n FROM e GROUP BY 1, 2)
-SELECT 'mean' AS stat, pos, sum(mean * n) / sum(n) AS value FROM s GROUP BY 2 UNION ALL SELECT 'min', pos, min(lo) FROM s GROUP BY 2 UNION ALL SELECT 'max', pos, max(hi) FROM s GROUP BY 2 UNION ALL SELECT 'count', pos, sum(n) FROM s GROUP BY 2""")
-def e9_whole_merged_stats(t: Tables):
-    """All dimensions, as e9_merged_stats; its SQL takes them by another way."""
-    return _merged_stats(t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")))
+
+@query("feature:s stat:s pos:l value:d", f"WITH {_MERGED} SELECT * FROM m")
+def e9_merged_stats(t: Tables):
+    """Every dimension, with all kinds of statistics."""
+    return merging.merged_stats(_stats(t))
 
 
-def _merged_stats(e):
-    s = e.groupBy("label", "pos").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("frames"))
-    stats = s.select(F.col("label").alias("dataset"), "frames", F.lit("v").alias("feature"), "pos", F.explode(F.create_map(F.lit("mean"), "mean", F.lit("min"), "min", F.lit("max"), "max", F.lit("count"), F.col("frames").cast("double"))).alias("stat", "value"))
-    return merging.merged_stats(stats)
+@query("feature:s stat:s pos:l value:d", f"""WITH {_MERGED}, p AS (SELECT f.feature, pos, avg(x) AS mean, stddev_pop(x) AS std FROM e, (SELECT unnest(['state', 'some']) AS feature) f WHERE f.feature = 'state' OR label % 2 = 0 GROUP BY 1, 2)
+SELECT m.feature, stat, m.pos, CASE stat WHEN 'mean' THEN mean WHEN 'std' THEN std ELSE value END AS value FROM m JOIN p USING (feature, pos)""")
+def e9_pooled_stats(t: Tables):
+    """Mean and std are those of all vectors together."""
+    return merging.merged_stats(_stats(t), mode="pooled")
 
 
 @query("total_episodes:l total_frames:l train:s", f"WITH {_SOURCES} SELECT sum(n_episodes) AS total_episodes, sum(n_frames) AS total_frames, '0:' || CAST(CAST(sum(n_episodes) AS BIGINT) AS VARCHAR) AS train FROM sizes")
@@ -311,11 +336,16 @@ def e11_catalogue(t: Tables):
     return reports.catalogue(o, o.where("o_orderstatus = 'F'"))
 
 
-@query("dataset:l rule:s severity:s", """WITH i AS (SELECT o_custkey AS dataset, CASE WHEN o_custkey % 4 = 0 THEN 'v2.1' ELSE 'v3.0' END AS v, count(*) FILTER (o_orderstatus = 'F') AS e, count(*) FILTER (o_orderstatus = 'O') AS f FROM orders GROUP BY 1)
-SELECT dataset, 'version' AS rule, 'error' AS severity FROM i WHERE v <> 'v3.0' UNION ALL SELECT dataset, 'episodes', 'error' FROM i WHERE e = 0 UNION ALL SELECT dataset, 'frames', 'error' FROM i WHERE f = 0 UNION ALL SELECT dataset, 'stats', 'warning' FROM i WHERE dataset % 3 = 0""")
+@query("dataset:l rule:s severity:s", """WITH i AS (SELECT o_custkey AS d, CASE WHEN o_custkey % 4 = 0 THEN 'v2.1' WHEN o_custkey % 4 <> 1 THEN 'v3.0' END AS v, count(*) FILTER (o_orderstatus = 'F') AS e, count(*) FILTER (o_orderstatus = 'O') AS f, count(*) FILTER (o_orderpriority LIKE '1%') AS t FROM orders GROUP BY 1),
+k AS (SELECT * FROM i WHERE d % 13 <> 0 AND d % 17 <> 0)
+SELECT d AS dataset, 'info' AS rule, 'error' AS severity FROM i WHERE d % 13 = 0 UNION ALL SELECT d, 'info_json', 'error' FROM i WHERE d % 13 <> 0 AND d % 17 = 0 UNION ALL SELECT d, 'version', 'error' FROM k WHERE v IS DISTINCT FROM 'v3.0' UNION ALL SELECT d, 'episodes', 'error' FROM k WHERE e = 0
+UNION ALL SELECT d, 'frames', 'error' FROM k WHERE f = 0 UNION ALL SELECT d, 'tasks', 'error' FROM k WHERE t = 0 UNION ALL SELECT d, 'tasks_file', 'error' FROM k WHERE d % 5 = 0 UNION ALL SELECT d, 'data', 'error' FROM k WHERE d % 6 = 0 UNION ALL SELECT d, 'videos', 'error' FROM k WHERE d % 7 = 0 UNION ALL SELECT d, 'stats', 'warning' FROM k WHERE d % 3 = 0""")
 def e15_readiness(t: Tables):
-    i = t.orders.groupBy(F.col("o_custkey").alias("dataset")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_episodes"), F.count_if(F.col("o_orderstatus") == "O").alias("n_frames"), F.count("*").alias("n_tasks"))
-    return merging.readiness(i.withColumn("version", F.when(F.col("dataset") % 4 == 0, "v2.1").otherwise("v3.0")).withColumn("has_stats", F.col("dataset") % 3 != 0))
+    status = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    i = t.orders.groupBy(F.col("o_custkey").alias("dataset")).agg(status("F").alias("n_episodes"), status("O").alias("n_frames"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("n_tasks"))
+    d = F.col("dataset")
+    facts = {"has_info": d % 13 != 0, "info_readable": d % 17 != 0, "version": F.when(d % 4 == 0, "v2.1").when(d % 4 != 1, "v3.0"), "has_tasks": d % 5 != 0, "n_data_files": d % 6, "n_videos": F.when(d % 7 != 0, d), "has_stats": d % 3 != 0}
+    return merging.readiness(i.withColumns(facts))
 
 
 @query("dataset:s field:s value:s", "WITH i AS (SELECT p_brand AS dataset, CAST(min(p_size) AS VARCHAR) AS fps, CAST(count(DISTINCT p_type) > 2 AS VARCHAR) AS features FROM part GROUP BY 1), u AS (SELECT dataset, 'fps' AS field, fps AS value FROM i UNION ALL SELECT dataset, 'features', features FROM i) SELECT * FROM u WHERE value <> (SELECT min_by(value, dataset) FROM u v WHERE v.field = u.field)")
@@ -355,18 +385,26 @@ def f22_run_progress(t: Tables):
     return reports.progress(p, "k", 1_000_000).withColumn("hours_left", F.round(F.col("hours_left") / 1e6, 2))
 
 
-@query("path:l pos:l", """WITH l AS (SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey % 11 = 0 AS tb, o_orderkey % 13 = 0 AS sep, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS err FROM orders),
-m AS (SELECT *, max(pos) FILTER (tb) OVER (PARTITION BY path) AS last_tb FROM l), s AS (SELECT *, min(pos) FILTER (sep AND NOT tb AND pos > last_tb) OVER (PARTITION BY path) AS stop FROM m)
-SELECT path, pos FROM s WHERE last_tb IS NOT NULL AND pos >= last_tb AND (stop IS NULL OR pos < stop) UNION ALL
-SELECT path, pos FROM (SELECT path, pos, row_number() OVER (PARTITION BY path ORDER BY pos DESC) AS r FROM s WHERE last_tb IS NULL AND o_err(err)) WHERE r <= 40 UNION ALL
-SELECT path, pos FROM (SELECT path, pos, row_number() OVER (PARTITION BY path ORDER BY pos DESC) AS r FROM (SELECT *, bool_or(err) OVER (PARTITION BY path) AS any_err FROM s) WHERE last_tb IS NULL AND NOT any_err) WHERE r <= 200""".replace("o_err(err)", "err"))
+# orders of a customer as the lines of a log: rank0 tracebacks, short and long rules of dashes, words of trouble
+_LINES = """l AS (SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CASE WHEN o_orderkey % 11 = 0 THEN '[rank0]: Traceback (most recent call last):' WHEN o_orderkey % 13 = 0 THEN repeat('=', 65) WHEN o_orderkey % 13 = 1 THEN '-----'
+ WHEN o_orderkey % 7 = 0 THEN 'Killed' WHEN o_orderkey % 7 = 1 THEN 'CUDA is out of memory' WHEN o_orderkey % 7 = 2 THEN 'RuntimeError: x' ELSE 'the step failed' END AS line FROM orders)"""
+
+
+@query("path:l pos:l", f"""WITH {_LINES}, m AS (SELECT *, regexp_matches(line, '(error|exception|traceback|killed|oom|cuda)', 'i') AS err, max(pos) FILTER (contains(line, 'Traceback (most recent call last):')) OVER (PARTITION BY path) AS tb FROM l),
+s AS (SELECT *, min(pos) FILTER (starts_with(line, repeat('=', 65)) AND pos > tb) OVER (PARTITION BY path) AS stop, bool_or(err) OVER (PARTITION BY path) AS any_err FROM m)
+SELECT path, pos FROM s WHERE pos >= tb AND (stop IS NULL OR pos < stop) UNION ALL
+SELECT path, pos FROM (SELECT path, pos, row_number() OVER (PARTITION BY path ORDER BY pos DESC) AS r FROM s WHERE tb IS NULL AND err) WHERE r <= 3 UNION ALL
+SELECT path, pos FROM (SELECT path, pos, row_number() OVER (PARTITION BY path ORDER BY pos DESC) AS r FROM s WHERE tb IS NULL AND NOT any_err) WHERE r <= 2""")
 def f23_log_errors(t: Tables):
     from pyspark.sql import Window
 
     key = F.col("o_orderkey")
-    line = F.when(key % 11 == 0, "Traceback (most recent call last):").when(key % 13 == 0, F.when(key % 7 == 0, "===== failed").otherwise("=====")).when(key % 7 == 0, "RuntimeError: x").otherwise("step")
-    lines = t.orders.select(F.col("o_custkey").alias("path"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("pos"), line.alias("line")).withColumn("line", F.when(F.col("line").startswith("Traceback"), F.concat("line", F.lit(" error"))).otherwise(F.col("line")))
-    return reports.log_errors(lines)
+    line = (
+        F.when(key % 11 == 0, "[rank0]: Traceback (most recent call last):").when(key % 13 == 0, "=" * 65).when(key % 13 == 1, "-----")
+        .when(key % 7 == 0, "Killed").when(key % 7 == 1, "CUDA is out of memory").when(key % 7 == 2, "RuntimeError: x").otherwise("the step failed")
+    )
+    lines = t.orders.select(F.col("o_custkey").alias("path"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("pos"), line.alias("line"))
+    return reports.log_errors(lines, most_matches=3, most_lines=2)
 
 
 def _signals(t: Tables):

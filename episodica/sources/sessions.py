@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import ANNOTATION, TEXT_FIELDS, first_text
 from ..operators.episodes import latest
+from ..operators.stored import stored
 
 TIMES = "host_timestamp_ns long, timestamp_ns long, robot_timestamp_ns long, receive_host_time_ns long, created_unix_time_ns long"
 TELEMETRY = TIMES + ", robot_state struct<q:array<double>,dq:array<double>,q_cmd:array<double>,tcp_position_xyz:array<double>,tcp_orientation_xyzw:array<double>,gripper_width:double,gripper_state:string>, executed_action struct<cartesian_delta_translation:array<double>,cartesian_delta_rotation:array<double>,gripper_command:double>, backfilled_q_cmd array<double>"
@@ -54,8 +57,6 @@ def camera_frames(spark: SparkSession, path: str) -> DataFrame:
 
 def first_source(candidates: list[DataFrame]) -> DataFrame:
     """A4: of several alternatives each dataset's first one that has rows."""
-    from functools import reduce
-
     ranked = [df.withColumn("__rank", F.lit(k)) for k, df in enumerate(candidates)]
     all_ = reduce(DataFrame.unionByName, ranked)
     best = all_.groupBy(F.col("dataset").alias("d")).agg(F.min("__rank").alias("r"))
@@ -125,11 +126,77 @@ def _documents(spark: SparkSession, path: str, depth: int, schema: str | None =
     return (reader.schema(schema) if schema else reader).json(path).withColumn("dataset", dataset_of(depth))
 
 
+def _variants(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, v): whole JSON documents below a dataset's meta folder, null where one can't be read."""
+    whole = spark.read.option("wholetext", True).text(path).withColumn("dataset", dataset_of(2))
+    return whole.select("dataset", F.try_parse_json("value").alias("v"))
+
+
+def _entries(rows: DataFrame, keep: list, name: str) -> DataFrame:
+    """One row an entry of the variant ``v``: what is kept, the entry's key or place, and its value as ``v``."""
+    named = rows.select(*[F.col(c).alias(f"__{c}") for c in keep], "v")  # apart from the names that exploding gives
+    met = named.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return met.select(*[F.col(f"__{c}").alias(c) for c in keep], F.coalesce(F.col("key"), F.col("pos").cast("string")).alias(name), F.col("value").alias("v"))
+
+
+def _is(kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant("v").startswith(kind), F.lit(False))
+
+
+def flattened(rows: DataFrame) -> DataFrame:
+    """Rows with a variant ``v`` -> one row a leaf of its nested lists: ``pos`` (array of the places that lead there, empty for what is no list), ``value`` (a number, or null) and ``json`` (the leaf as text).
+
+    Each round opens one level of the lists that are left, as deep as they go. An empty list is a leaf, as is an object.
+    """
+    keep = [c for c in rows.columns if c != "v"]
+    rest, out = stored(rows.withColumn("pos", F.array().cast("array<int>"))), []
+    while True:
+        is_list = _is("ARRAY") & (F.to_json("v") != "[]")
+        out.append(rest.where(~is_list | F.col("v").isNull()))
+        lists = rest.where(is_list)
+        if lists.isEmpty():
+            break
+        deeper = _entries(lists, [*keep, "pos"], "__at")
+        rest = stored(deeper.select(*keep, F.concat("pos", F.array(F.col("__at").cast("int"))).alias("pos"), "v"))
+    leaves = reduce(DataFrame.unionByName, out)
+    number = F.when(_is("BIGINT") | _is("DECIMAL") | _is("DOUBLE") | _is("FLOAT"), F.try_variant_get("v", "$", "double"))
+    return leaves.select(*keep, "pos", number.alias("value"), F.coalesce(F.to_json("v"), F.lit("null")).alias("json"))
+
+
 def stats(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset, feature, stat, pos, value) of the stats documents, which hold lists of numbers by feature and stat."""
-    raw = spark.read.option("wholetext", True).text(f"{path}/*/meta/stats.json").withColumn("dataset", dataset_of(2))
-    features = raw.select("dataset", F.explode(F.from_json("value", "map<string,map<string,array<double>>>")).alias("feature", "by_stat"))
-    return features.select("dataset", "feature", F.explode("by_stat").alias("stat", "values")).select("dataset", "feature", "stat", F.posexplode("values").alias("pos", "value"))
+    """(dataset, feature, stat, pos, value, json) of the stats documents, one row a number, however deep its lists are (``pos``, see ``flattened``).
+
+    A feature that is no object has a null ``stat``. Documents that can't be read have no rows here: see ``unreadable_stats``.
+    """
+    features = _entries(_variants(spark, f"{path}/*/meta/stats.json").where(_is("OBJECT")), ["dataset"], "feature")
+    plain = features.where(~_is("OBJECT")).select("dataset", "feature", F.lit(None).cast("string").alias("stat"), "v")
+    return flattened(_entries(features.where(_is("OBJECT")), ["dataset", "feature"], "stat").unionByName(plain))
+
+
+def unreadable_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, reason) of the stats documents that can't be read, for the rejects."""
+    bad = _variants(spark, f"{path}/*/meta/stats.json").where(~_is("OBJECT"))
+    return bad.select("dataset", F.when(F.col("v").isNull(), "stats.json is no JSON").otherwise("stats.json is no object").alias("reason"))
+
+
+def dataset_facts(spark: SparkSession, path: str) -> DataFrame:
+    """A15 with A9: what ``merging.readiness`` asks of each dataset folder, from the names of its files and its info document; no other file is opened."""
+    found = inventory(spark, path).withColumn("file", F.element_at(F.split("path", F.lit(path.rstrip("/").rsplit("/", 1)[-1] + "/"), 2), 2))
+    parts = F.split("file", "/")
+    found = found.select(parts[0].alias("dataset"), F.concat_ws("/", F.slice(parts, 2, F.size(parts))).alias("file")).where("file != ''")
+    has = lambda name: F.max((F.col("file") == name)).alias(f"has_{name.split('/')[-1].split('.')[0]}")
+    counts = found.groupBy("dataset").agg(
+        has("meta/info.json"), has("meta/tasks.parquet"), has("meta/stats.json"), F.count_if(F.col("file").like("data/%.parquet")).alias("n_data_files"), F.count_if(F.col("file").like("videos/%.mp4")).alias("n_videos")
+    )
+    try:
+        infos = _variants(spark, f"{path}/*/meta/info.json")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        infos = spark.createDataFrame([], "dataset string, v variant")
+    at = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    infos = infos.select(F.col("dataset").alias("__d"), F.col("v").isNotNull().alias("info_readable"), at("codebase_version", "string").alias("version"), *[at(f"total_{n}", "long").alias(f"n_{n}") for n in ("episodes", "frames", "tasks")])
+    return counts.join(infos.hint("merge"), F.col("dataset") == F.col("__d"), "left").drop("__d")
 
 
 def write_info(infos: DataFrame, path: str) -> None:
@@ -137,12 +204,31 @@ def write_info(infos: DataFrame, path: str) -> None:
     infos.repartition("dataset").write.partitionBy("dataset").json(path)
 
 
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def nested(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, json) leaves, as ``flattened`` gives them -> (keys, json): the lists built up again, level by level, from the deepest."""
+    rest = stored(rows.select(*keys, "pos", "json"))
+    for depth in range(rest.agg(F.max(F.size("pos"))).first()[0] or 0, 0, -1):
+        entries = F.array_sort(F.collect_list(F.struct(F.element_at("pos", -1).alias("at"), "json")))
+        lists = rest.where(F.size("pos") == depth).groupBy(*keys, F.slice("pos", 1, depth - 1).alias("pos")).agg(F.concat(F.lit("["), F.concat_ws(",", F.transform(entries, lambda x: x["json"])), F.lit("]")).alias("json"))
+        rest = stored(rest.where(F.size("pos") < depth).unionByName(lists.select(*keys, "pos", "json")))
+    return rest.select(*keys, "json")
+
+
 def write_stats(merged: DataFrame, path: str) -> None:
-    """Merged stats (feature, stat, pos, value) as one document of lists by feature and stat; it has a number a dimension, so it is small."""
-    lists = merged.groupBy("feature", "stat").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
-    by_feature = lists.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("stat", "values"))).alias("by_stat"))
-    document = by_feature.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("feature", "by_stat")))).alias("value"))
-    document.write.text(path)
+    """Merged stats (feature, stat, pos, value[, json]) as one document of lists, nested as they were; it has a number a dimension, so it is small. A value that is no finite number is null."""
+    value = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value").cast("string"))
+    json = F.coalesce(value, F.when(F.col("value").isNull(), F.col("json")), F.lit("null")) if "json" in merged.columns else F.coalesce(value, F.lit("null"))
+    pos = F.col("pos") if merged.schema["pos"].dataType.typeName() == "array" else F.array(F.col("pos").cast("int"))
+    lists = nested(merged.select("feature", "stat", pos.alias("pos"), json.alias("json")), ["feature", "stat"])
+    entry = lambda name: F.concat(_quoted(F.col(name)), F.lit(":"), F.col("json"))
+    whole = lambda c: F.concat(F.lit("{"), F.concat_ws(",", F.array_sort(F.collect_list(c))), F.lit("}"))
+    features = lists.where("stat is not null").groupBy("feature").agg(whole(entry("stat")).alias("json")).unionByName(lists.where("stat is null").select("feature", "json"))
+    features.agg(whole(entry("feature")).alias("value")).write.text(path)
 
 
 META = "method string, duration_s double, n_robot_frames long, validation_passed boolean, validation_warnings long"
@@ -160,8 +246,8 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def quarantine(rows: DataFrame, reason: Column, path: str) -> DataFrame:
-    """Append rows with a reason to the rejects; returns the others. The rows are computed once and kept until then. On streams: ``control.split_writer``."""
-    marked = rows.withColumn("reason", reason).persist()
+    """Append rows with a reason to the rejects; returns the others. The rows are written once and read back (see ``stored``), so a lost executor makes no row a reject twice. On streams: ``control.split_writer``."""
+    marked = stored(rows.withColumn("reason", reason))
     marked.where("reason is not null").write.mode("append").json(path)
     return marked.where("reason is null").drop("reason")
 

@@ -32,13 +32,12 @@ def test_query_equals_sql(spark, db, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_merged_stats_of_every_dimension(spark, db):
-    got = catalog.QUERIES["e9_whole_merged_stats"](spark, DATA).where("stat = 'count'").collect()
+    got = catalog.QUERIES["e9_merged_stats"](spark, DATA).where("stat = 'count' and feature = 'state'").collect()
     want = db.execute("SELECT max(len(embedding)), count(*) FROM embeddings").fetchone()
     assert sorted(r.pos for r in got) == list(range(want[0])) and {r.value for r in got} == {want[1]}
 
