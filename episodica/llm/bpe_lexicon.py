@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, shared_dir, small_batches
+from .common import map_columns, shared_dir, small_batches, written
 from .token_count import PATTERN, Merges, byte_symbols
 
 #: Words that the automaton holds, and the bytes that such a word may have.
@@ -234,7 +234,10 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, most: int, vocabulary: str | None, text_col: str) -> DataFrame:
-    """(word, n): the ``most`` most frequent words of at most WORD_BYTES bytes in all texts, ties to the smaller word. Workers count first, so the shuffle has each word once a task, or a few times."""
+    """(word, n): words of at most WORD_BYTES bytes that are more frequent in all texts than all others, ``most`` at most; words of about one frequency are in or out together, and one that occurs once is out.
+
+    Workers count first, so the shuffle has each word once a task, or a few times. The counts are written, and how often they fall into steps of about one percent tells the least frequency.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -253,13 +256,20 @@ def frequent_words(docs: DataFrame, most: int, vocabulary: str | None, text_col:
         yield batch_of()
 
     seen = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
-    return seen.where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counts = written(seen.where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(64 * F.log2("n"))), "word-counts")
+    least, left = None, most
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("k")).collect(), key=lambda r: -r.step):
+        left -= r.k
+        if left < 0:
+            break
+        least = r.step
+    return counts.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "n")
 
 
 def compile_lexicon(docs: DataFrame, vocabulary: str | None = None, most: int = WORDS, text_col: str = "text") -> str:
     """Compiles the frequent words of ``docs``, puts the file into the shared folder and gives it to all executors; returns its name for ``encode``.
 
-    The driver gets ``most`` words at most. With no texts, the automaton has no words.
+    The driver gets ``most`` words at most (see ``frequent_words``). With no texts, the automaton has no words.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -300,10 +310,11 @@ class Encoder:
         special, merged = self.tokens.special_ids, self.merged
         if len(merged) > REMEMBERED:
             merged.clear()
-        cut = [[] if w in special else self.pieces(w) for w in words]
+        # a word of plain letters is one piece
+        cut = [(w,) if w[1:].isalpha() and w.isascii() and (w[0] == " " or w[0].isalpha()) else () if w in special else self.pieces(w) for w in words]
         new = [p for p in set().union(*cut) if p not in merged]
         merged.update(zip(new, self.tokens.encode([p.encode() for p in new])))
-        return [special[w].to_bytes(4, "little") if w in special else b"".join(map(merged.__getitem__, ps)) for w, ps in zip(words, cut)]
+        return [merged[w] if len(ps) == 1 else b"".join(map(merged.__getitem__, ps)) if ps else special[w].to_bytes(4, "little") for w, ps in zip(words, cut)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
