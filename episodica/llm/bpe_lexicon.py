@@ -23,7 +23,7 @@ from .token_count import PATTERN, Merges, byte_symbols
 
 #: Words that the automaton holds, and the bytes that such a word may have.
 WORDS, WORD_BYTES = 1 << 17, 48
-#: Words and pieces whose ids a worker remembers, and different words that it counts before it passes its counts on.
+#: Merged pieces whose ids a worker remembers, and different words that it counts before it passes its counts on.
 REMEMBERED, COUNTED = 250_000, 200_000
 NONE = 1 << 30
 
@@ -297,7 +297,7 @@ def _mapped(name: str) -> Lexicon:
 
 
 class Encoder:
-    """Ids of texts: words of the lexicon by the automaton, special strings by their id, all others by merges. It remembers what the last words and pieces became, within bounds."""
+    """Ids of texts: words of the lexicon by the automaton, special strings by their id, all others by merges. It remembers words of the lexicon, and the last pieces that were merged, within bounds."""
 
     def __init__(self, path: str, lexicon: Lexicon):
         self.tokens, self.lexicon = tokens_of(path), lexicon
@@ -319,18 +319,21 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [*map(self.split, texts)]
-        seen, of = set().union(*split), self.words
-        if len(of) > REMEMBERED:
-            of.clear()
-        words = [w for w in seen if w not in of]
+        of = self.words
+        words = [w for w in set().union(*split) if w not in of]
         data, starts = self.lexicon.packed, self.lexicon.starts
         numbers = self.lexicon.numbers([w.encode() for w in words])
+        others = []
         for word, number, a, z in zip(words, numbers.tolist(), (4 * starts[numbers]).tolist(), (4 * starts[numbers + 1]).tolist()):
             if number >= 0:
                 of[word] = bytes(data[a:z])
-        others = [words[k] for k in np.flatnonzero(numbers < 0)]
+            else:
+                others.append(word)
         of.update(zip(others, self._merge(others)))
-        return [b"".join(map(of.__getitem__, ws)) for ws in split]
+        out = [b"".join(map(of.__getitem__, ws)) for ws in split]
+        for word in others:  # most of them don't come again
+            del of[word]
+        return out
 
 
 def encode(docs: DataFrame, lexicon: str | None = None, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

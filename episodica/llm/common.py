@@ -73,6 +73,12 @@ def row_hash(*columns: str, seed: int = 0):
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns], F.lit(seed))
 
 
+def row_key(*columns: str):
+    """A key of 128 bits for rows of the same values, so that of any number of rows no two others share one; nulls count as a value of their own."""
+    parts = [x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("\u0000")), F.lit("\u0001"))]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def hash_share(column, share) :
     """Whether a signed 64-bit hash falls into the lowest ``share`` of all values."""
     return column.cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * share

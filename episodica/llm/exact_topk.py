@@ -8,8 +8,10 @@ can't reach the cutoff. Phase 3 drops rows whose upper bound is too low and reso
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,36 @@ def resolved(query: Block, block: Block, k: int, factor: float) -> Iterator[tupl
                 yield int(query.ids[start + i]), int(query.keys[start + i]), block.ids[at][best], score[best]
 
 
+def exact(v: np.ndarray, factor: float) -> np.ndarray:
+    """floor(factor * component) as Python integers, also where the product is beyond the range of doubles."""
+    return np.array([math.floor(y) if math.isfinite(y := factor * x) else math.floor(Fraction(x) * Fraction(factor)) for x in v.ravel().tolist()], object).reshape(v.shape)
+
+
+def wide_lists(query: Block, block: Block, k: int, factor: float) -> Iterator[tuple]:
+    """(query_id, key, ids, scores as text): the best k of one block where scores may not fit into 64 bits.
+
+    Doubles with a bound of their error leave few rows that can be among them; these are computed in whole numbers of any size.
+    """
+    q, c = exact(query.v, factor), exact(block.v, factor)
+    with np.errstate(all="ignore"):
+        qf, cf = np.floor(factor * query.v), np.floor(factor * block.v)
+        for start in range(0, len(qf), STRIP):
+            rows = qf[start : start + STRIP]
+            score = rows @ cf.T
+            slack = (np.abs(rows) @ np.abs(cf).T) * ((qf.shape[1] + 8) * 2.0**-52)
+            low, high = score - slack, score + slack
+            unsure = ~(np.isfinite(low) & np.isfinite(high))
+            low[unsure], high[unsure] = -np.inf, np.inf
+            own = query.ids[start : start + STRIP, None] == block.ids
+            low[own] = high[own] = -np.inf
+            edge = np.partition(low, -k, axis=1)[:, -k] if k < low.shape[1] else np.full(len(low), -np.inf)
+            for i in range(len(rows)):
+                at = np.flatnonzero((high[i] >= edge[i]) & ~own[i])
+                best = sorted((-sum(a * b for a, b in zip(q[start + i], c[j])), block.ids[j]) for j in at)[:k]
+                if best:
+                    yield int(query.ids[start + i]), int(query.keys[start + i]), [int(j) for _, j in best], [str(-s) for s, _ in best]
+
+
 def top_scores(table: DataFrame, k: int = 20, every: int = 20, factor: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of floor(factor * component), ties to the smaller id.
 
@@ -115,12 +147,15 @@ def top_scores(table: DataFrame, k: int = 20, every: int = 20, factor: float = 6
     part; zero vectors do; vectors of another dimension aren't compared; with fewer candidates all are returned. Rows that
     share a query's id count as its own, however many; a query row that repeats answers once, and of an id with several vectors each is a
     query; a candidate that repeats is found as often as it occurs; one without an id is returned without
-    one, after ties that have one. Scores beyond 2**53 are computed in 64-bit integers; a vector of n components with one of
-    which floor(factor * component) is beyond sqrt(2**62 / n) takes no part, as its scores may not fit into 64 bits. An empty table
-    gives an empty result. Other columns are ignored, whatever their names.
+    one, after ties that have one. Scores beyond 2**53 are computed in 64-bit integers, and those of wide vectors, of n components with one of
+    which floor(factor * component) is beyond sqrt(2**62 / n), in whole numbers of any size (see ``wide_lists``); only a score among a query's k largest that doesn't
+    fit into a long is an error. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     rows = vectors(table, id_col, vector_col)
-    rows = rows.where(F.array_max(F.transform("v", lambda x: F.abs(x * factor))) + 1 <= F.sqrt(F.lit(2.0**62) / F.size("v")))
+    fits = F.array_max(F.transform("v", lambda x: F.abs(x * factor))) + 1 <= F.sqrt(F.lit(2.0**62) / F.size("v"))
+    every_row, rows = rows, rows.where(fits)
+    wide = every_row.where(~fits)
+    has_wide = not wide.isEmpty()
     queries = query_rows(rows, every)
     asked, candidates, slots = laid_out(rows, queries)
     candidates = cut(candidates)
@@ -129,4 +164,12 @@ def top_scores(table: DataFrame, k: int = 20, every: int = 20, factor: float = 6
     known = queries.join(cuts.hint("merge"), F.col("key") == F.col("cut_key")).select("id", "v", "key", "extra")
     asked = packed(known, 1, max(1, -(-cuts.count() // 2048)), 2048)
     found = tiles(asked, candidates, slots, k, lambda q, c: resolved(q, c, k, factor), "query_id long, key long, ids array<long>, scores array<long>")
-    return merged(found, k, "long")
+    if not has_wide:
+        return merged(found, k, "long")
+    # pairs with a wide vector on either side, apart from all others: each pair is in one of the three
+    text = "query_id long, key long, ids array<long>, scores array<string>"
+    lists = found.withColumn("scores", F.col("scores").cast("array<string>"))
+    for these, those in ((queries, wide), (query_rows(wide, every), every_row)):
+        asked, candidates, slots = laid_out(those, these)
+        lists = lists.unionByName(tiles(asked, candidates, slots, k, lambda q, c: wide_lists(q, c, k, factor), text))
+    return merged(lists, k, "long", int)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_share, map_columns, row_hash, small_batches
@@ -127,10 +127,20 @@ def features(docs: DataFrame, s: Settings) -> DataFrame:
     return map_columns(docs, make, "lang string, ids array<int>, counts array<int>")
 
 
+def sampled(labelled: DataFrame, sizes: dict[str, int], quota: int, seed: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text): of each language the first ``quota`` texts by a hash of id and text, all of a smaller one. ``sizes``: how many texts each language has."""
+    # few rows of each language pass, so that the order of the others needn't be told: about twice the quota by their hash, or all of a small language
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2.0 * quota + 20) / n))]), F.col(lang_col))
+    h = row_hash(id_col, text_col, seed=seed)
+    drawn = labelled.where(hash_share(h, share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
+    w = Window.partitionBy("lang").orderBy("h", "text")
+    return drawn.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= quota).select("lang", "text")
+
+
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a hash-chosen sample of the labelled texts, about ``s.train_docs`` in all and as many of each language.
+    """Learn from a hash-chosen sample of the labelled texts, about ``s.train_docs`` in all and as many of each language, one at least.
 
-    The driver gets one row a language and the sample. Rows of the same id and text are chosen together; without any labelled text
+    The texts of a language are taken in the order of a hash of id and text. The driver gets one row a language and the sample; without any labelled text
     with a letter every language is as likely. Languages of any number are learned.
     """
     small_batches(docs.sparkSession)
@@ -140,9 +150,8 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
     if not langs:
         return Model(["und"], s, np.zeros((s.buckets, 1), np.float32), np.zeros(1, np.float32))
     quota = max(1, s.train_docs // len(langs))
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, quota / r["n"]))]), F.col(lang_col))
-    picked = labelled.where(hash_share(row_hash(id_col, text_col, seed=s.seed), share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = features(picked, s).limit(4 * max(s.train_docs, len(langs))).toArrow()
+    picked = sampled(labelled, {r["l"]: r["n"] for r in sizes}, quota, s.seed, id_col, text_col, lang_col)
+    rows = features(picked, s).toArrow()
     order = sorted(range(rows.num_rows), key=lambda k: (rows["lang"][k].as_py(), rows["ids"][k].as_py()))
     at = {x: k for k, x in enumerate(langs)}
     cases = [(at[rows["lang"][k].as_py()], rows["ids"][k].values.to_numpy(), rows["counts"][k].values.to_numpy()) for k in order if len(rows["ids"][k])]

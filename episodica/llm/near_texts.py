@@ -113,7 +113,7 @@ def sketches(keyed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         return step
 
-    return map_columns(keyed, make, f"id {keyed.dtypes[0][1]}, k long, fp long, sketch binary, small array<long>")
+    return map_columns(keyed, make, f"id {keyed.dtypes[0][1]}, k {keyed.dtypes[1][1]}, fp long, sketch binary, small array<long>")
 
 
 def _routed(rows: DataFrame, level: int, width: int, tables: int) -> DataFrame:
@@ -402,7 +402,25 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     """
     rows, keyed = keyed_rows(docs, id_col, text_col)
     prints = cut(sketches(keyed, shingle))
+    prints, odd = told_apart(prints)
     nodes = cut(prints.groupBy("fp").agg(F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.min("k").alias("k")))
     roots = classes(nodes, keyed, similarity, shingle, recall)
     member = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"))
-    return owned_rows(rows, prints.select("id", "k", "fp"), cut(member))
+    kept = owned_rows(rows, prints.select("id", "k", "fp"), cut(member))
+    return kept if odd is None else kept.unionByName(rows.join(odd.hint("merge"), F.col("k") == F.col("odd_k"), "left_semi").dropDuplicates(["k"]).select("r.*"))
+
+
+def told_apart(prints: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The prints whose fp stands for one sketch, and (odd_k) the rows to keep of the others, if there are any: sketches that share the 64 bits of another one's fp.
+
+    Among very many texts a few such pairs are to be expected. All but one sketch of each fp keep a row of their own, so that none is lost for another's sake; near copies of theirs may stay.
+    """
+    checked = prints.withColumn("__check", F.xxhash64("sketch"))
+    shared = cut(checked.groupBy(F.col("fp").alias("__f")).agg(F.min("__check").alias("__least"), F.max("__check").alias("__most")).where("__least != __most").select("__f", "__least"))
+    if shared.isEmpty():
+        return prints, None
+    met = checked.join(shared.hint("merge"), F.col("fp") == F.col("__f"), "left")
+    odd = F.col("__f").isNotNull() & (F.col("__check") != F.col("__least"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("k").alias("k"))
+    owners = cut(met.where(odd).groupBy("fp", "__check").agg(F.min(order).alias("first")).select(F.col("first")["k"].alias("odd_k")))
+    return cut(met.where(~odd).select(*prints.columns)), owners

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, small_batches, written
+from .common import cut, map_columns, row_key, small_batches, written
 from .components import components
 
 BITS = 2
@@ -199,7 +199,7 @@ def map_prints(keyed: DataFrame, shingle: int) -> DataFrame:
 
         return step
 
-    return map_columns(keyed, make, f"id {keyed.dtypes[0][1]}, k long, fp long")
+    return map_columns(keyed, make, f"id {keyed.dtypes[0][1]}, k {keyed.dtypes[1][1]}, fp long")
 
 
 def class_of_print(prints: DataFrame, bits: int) -> DataFrame:
@@ -240,7 +240,7 @@ def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, id_co
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """((r: the row, k), (id, k, text)), where k is the same for rows of the same id and text."""
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("\u0000")))
+    key = row_key(id_col, text_col)
     return docs.select(F.struct("*").alias("r"), key.alias("k")), docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text_col).alias("text"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, written
+from .common import cut, row_key, written
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -212,7 +212,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
     Rows with the same id, source and text are one unit, so all of them are taken equally often.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(source_col), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("\u0000")))
+    key = row_key(id_col, source_col, text_col)
     keyed = docs.select(F.struct("*").alias("r"), key.alias("k"))
     frame = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     frame = frame.groupBy("id", "k", "source", "size").agg(F.count("*").alias("n"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, small_batches, written
+from .common import map_columns, row_key, small_batches, written
 
 #: Bytes of a chunk: least, most; of 2**SPREAD_BITS white-space positions one ends a chunk.
 LEAST, MOST, SPREAD_BITS = 16, 256, 2
@@ -28,6 +28,10 @@ GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(2
 #: Multiplier of the digests of spans, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+CHECK = 0xC2B2AE3D27D4EB4F
+CHECK_INVERSE = pow(CHECK, -1, 1 << 64)
+#: A span's digest has 96 bits, so that of any number of spans hardly two share one.
+SPAN = np.dtype([("d", "<i8"), ("c", "<i4")])
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -60,7 +64,7 @@ def boundaries(data: np.ndarray) -> list[int]:
 
 
 def chunks(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(ends in bytes, words, digests) of the text's chunks.
+    """(ends in bytes, words, digests: two columns of 64 bits) of the text's chunks.
 
     Of a run of over WORD_CHARS characters without white space each EACH characters beyond them count as a word more, so that texts in scripts
     without white space have words to count as well.
@@ -69,7 +73,7 @@ def chunks(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     data = np.frombuffer(raw, np.uint8)
     ends = boundaries(data)
     if not ends:
-        return ends, np.empty(0, np.int64), np.empty(0, np.int64)
+        return ends, np.empty(0, np.int64), np.empty((0, 2), np.uint64)
     space = SPACE[data]
     starts = ~space & np.r_[True, space[:-1]]
     if len(data) > WORD_CHARS and np.diff(np.r_[-1, np.flatnonzero(space), len(data)]).max() > WORD_CHARS:
@@ -80,7 +84,7 @@ def chunks(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     before = np.r_[0, np.cumsum(starts)]
     words = np.diff(before[np.r_[0, ends]])
     digest = xxhash.xxh3_64_intdigest
-    return ends, words, np.array([digest(raw[i:j]) for i, j in zip([0, *ends], ends)], dtype=np.uint64).view(np.int64)
+    return ends, words, np.array([(digest(x := raw[i:j]), digest(x, 1)) for i, j in zip([0, *ends], ends)], dtype=np.uint64)
 
 
 def spans(words: np.ndarray, digests: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,18 +94,17 @@ def spans(words: np.ndarray, digests: np.ndarray, least_words: int) -> tuple[np.
     before = np.searchsorted(total, total - least, "right") - 1
     first, last = np.flatnonzero(after < n), np.flatnonzero(before >= 0)
     first, after = np.divmod(np.unique(np.r_[first * n + after[first], before[last] * n + last]), n)
-    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(words), x, np.uint64)]) for x in (BASE, INVERSE))
-    sums = np.r_[np.uint64(0), np.cumsum(digests.view(np.uint64) * power[:-1])]
-    return first, after, ((sums[after] - sums[first]) * back[first]).view(np.int64)
-
-
-def _key(id_col: str, text_col: str):
-    """A key that tells texts with the same id apart."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.coalesce(F.col(text_col), F.lit("\u0000")))
+    found = np.empty(len(first), SPAN)
+    for column, (name, base, inverse) in enumerate((("d", BASE, INVERSE), ("c", CHECK, CHECK_INVERSE))):
+        power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(words), x, np.uint64)]) for x in (base, inverse))
+        sums = np.r_[np.uint64(0), np.cumsum(digests[:, column] * power[:-1])]
+        value = (sums[after] - sums[first]) * back[first]
+        found[name] = value.view(np.int64) if name == "d" else (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return first, after, found
 
 
 def described(keyed: DataFrame, least_words: int) -> DataFrame:
-    """(id, k, n_chunks, n_words, digests: of its distinct spans) of rows (id, k, text), written, so that texts are cut into chunks once."""
+    """(id, k, n_chunks, n_words, digests and checks: of its distinct spans) of rows (id, k, text), written, so that texts are cut into chunks once."""
     small_batches(keyed.sparkSession)
 
     def make():
@@ -109,19 +112,21 @@ def described(keyed: DataFrame, least_words: int) -> DataFrame:
             out = []
             for text in batch.column(2).to_pylist():
                 ends, words, digests = chunks(text)
-                out.append((len(ends), int(words.sum()), np.unique(spans(words, digests, least_words)[2])))
-            return [batch.column(0), batch.column(1), *([x[k] for x in out] for k in range(3))]
+                found = np.unique(spans(words, digests, least_words)[2])
+                out.append((len(ends), int(words.sum()), found["d"], found["c"]))
+            return [batch.column(0), batch.column(1), *([x[k] for x in out] for k in range(4))]
 
         return step
 
     kind = keyed.dtypes[0][1]
-    return written(map_columns(keyed, make, f"id {kind}, k long, n_chunks int, n_words int, digests array<long>"), "chunks")
+    return written(map_columns(keyed, make, f"id {kind}, k binary, n_chunks int, n_words int, digests array<long>, checks array<int>"), "chunks")
 
 
 def repeated_spans(spans_of: DataFrame) -> DataFrame:
-    """(id, k, digest) -> (digest, owner): digests that several documents hold, and the smallest id that does. Combined before the shuffle, so a frequent span costs a row a task."""
-    counted = spans_of.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("owner"))
-    return written(counted.where("n > 1").select("digest", "owner"), "spans")
+    """(id, k, digest, check) -> (digest, check, owner): digests that several documents hold, and the smallest id that does. Combined before the shuffle, so a frequent span costs a row a task."""
+    # a null id is a document of its own beside those with ids; rows of one id are one document
+    counted = spans_of.groupBy("digest", "check").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.max(F.col("id").isNull().cast("int")).alias("none"))
+    return written(counted.where("owner != last or (owner is not null and none = 1)").select("digest", "check", "owner"), "spans")
 
 
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,17 +136,18 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc
     span only where no other holder has an id, and then no holder loses it. Of a passage repeated within one document nothing is cut.
     Texts of any length are read whole; an empty table gives an empty result; other columns are carried, whatever their names.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     known = described(keyed, least_words)
-    spans_of = known.select("id", "k", F.explode("digests").alias("digest"))
-    owners = repeated_spans(spans_of).withColumnRenamed("digest", "d")
-    held = spans_of.join(owners.hint("merge"), F.col("digest") == F.col("d"))
+    spans_of = known.select("id", "k", F.explode(F.arrays_zip("digests", "checks")).alias("s")).select("id", "k", F.col("s.digests").alias("digest"), F.col("s.checks").alias("check"))
+    owners = repeated_spans(spans_of).withColumnsRenamed({"digest": "d", "check": "c"})
+    held = spans_of.join(owners.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("check") == F.col("c")))
+    span = F.struct("digest", "check")
     mine = F.col("id").eqNullSafe(F.col("owner"))
     # a set, so that rows that repeat add nothing
-    found = written(held.groupBy(F.col("k").alias("fk")).agg(F.collect_set(F.when(mine, F.col("digest"))).alias("kept"), F.collect_set(F.when(~mine, F.col("digest"))).alias("cut")), "held")
+    found = written(held.groupBy(F.col("k").alias("fk")).agg(F.collect_set(F.when(mine, span)).alias("kept"), F.collect_set(F.when(~mine, span)).alias("cut")), "held")
     counts = known.select("k", "n_chunks", "n_words").dropDuplicates(["k"])
     about = written(counts.join(found.hint("merge"), F.col("k") == F.col("fk"), "left").select(F.col("k").alias("ak"), "n_chunks", "n_words", "kept", "cut"), "known")
-    rows = docs.select(F.struct("*").alias("r"), _key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("r"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     joined = rows.join(about.hint("merge"), F.col("k") == F.col("ak")).select("r", "text", "kept", "cut", "n_chunks", "n_words")
     return _cut(joined, least_words)
 
@@ -172,10 +178,12 @@ def _cut(joined: DataFrame, least_words: int) -> DataFrame:
     small_batches(joined.sparkSession)
 
     def make():
-        empty = np.empty(0, np.int64)
-
         def digests(column, k):
-            return column[k].values.to_numpy() if column[k].is_valid and len(column[k]) else empty
+            n = len(column[k]) if column[k].is_valid else 0
+            out = np.empty(n, SPAN)
+            if n:
+                out["d"], out["c"] = (x.to_numpy() for x in column[k].values.flatten())
+            return out
 
         def step(batch):
             out = [without_passages(t, digests(batch.column(2), k), digests(batch.column(3), k), least_words) for k, t in enumerate(batch.column(1).to_pylist())]

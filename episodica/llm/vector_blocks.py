@@ -127,8 +127,8 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def merged(lists: DataFrame, k: int, kind: str) -> DataFrame:
-    """(query_id, key, ids, scores) lists -> query_id, rank, vec_id, score: a heap of k entries a query, one query at a time."""
+def merged(lists: DataFrame, k: int, kind: str, score_of: Callable | None = None) -> DataFrame:
+    """(query_id, key, ids, scores) lists -> query_id, rank, vec_id, score: a heap of k entries a query, one query at a time. ``score_of`` makes a number of a score that comes in another form."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -147,7 +147,7 @@ def merged(lists: DataFrame, k: int, kind: str) -> DataFrame:
                 if (query, key) != now:
                     out += flush() if now else []
                     now, heap = (query, key), []
-                for i, s in zip(ids, scores):
+                for i, s in zip(ids, map(score_of, scores) if score_of else scores):
                     if len(heap) < k:
                         heapq.heappush(heap, (s, -i))
                     elif (s, -i) > heap[0]:
