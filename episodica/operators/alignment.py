@@ -12,18 +12,16 @@ from pyspark.sql import functions as F
 
 from . import asof
 from .intervals import joined
-from .signals import dominant
+from .signals import dominant, rates
 from .stored import stored
 
 # How far a camera frame may be from a step, and a text from a frame, in ns.
 CAMERA_TOLERANCE, TEXT_TOLERANCE = 150_000_000, 2_000_000_000
 
 
-def camera_rates(frames: DataFrame) -> DataFrame:
-    """E4 by camera: (dataset, camera, fps)."""
-    dt = F.col("ts") - F.lag("ts").over(Window.partitionBy("dataset", "camera").orderBy("ts", "ord"))
-    mid = frames.withColumn("__dt", dt).groupBy("dataset", "camera").agg(F.median(F.when(F.col("__dt") > 0, F.col("__dt"))).alias("m"))
-    return mid.select("dataset", "camera", F.coalesce(F.greatest(F.lit(1), F.bround(1e9 / F.col("m"))), F.lit(30)).cast("long").alias("fps"))
+def camera_rates(frames: DataFrame, block: float = 3.6e12) -> DataFrame:
+    """E4 by camera: (dataset, camera, fps), see ``signals.rates``."""
+    return rates(frames, ["dataset", "camera"], block)
 
 
 def video_seconds(frames: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import phase_name, user_message
+from . import asof
 from .intervals import joined
 
 # Phases that may follow each phase, and those that each task's annotation should have.
@@ -18,23 +19,17 @@ EXPECTED = {"pick_place": (0, 1, 2, 3, 4), "msd_plug": (0, 1, 2, 3, 4)}
 def nearest_phase(rows: DataFrame, phases: DataFrame, key: str, bucket: float) -> DataFrame:
     """For each row (key, ts, ord) the first phase (by pos) whose closed interval holds it, else the one with the nearest edge.
 
-    ``bucket``: about the length of a phase. The nearest edges are the last one before a row and the first one after it, found by windows over rows and
-    edges in time, so rows and phases of a key are never paired.
+    ``bucket``: about the length of a phase. The nearest edges are the last one before a row and the first one after it; they are looked for by blocks of about
+    a hundred phases (``asof.around``), so rows and phases of a key are never paired, and no task holds a whole key.
     """
     p = phases.select(F.col(key).alias("__k"), "pos", "phase", "start_t", "end_t")
     inside = (F.col("ts") >= F.col("start_t")) & (F.col("ts") <= F.col("end_t"))
     first = joined(rows.select(key, "ts", "ord"), p, key, "ts", bucket, inside, "start_t", "end_t", "left").groupBy(key, "ts", "ord").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("pos", "phase"))).alias("hit"))
-    edge = phases.select(key, F.explode(F.array("start_t", "end_t")).alias("ts"), "pos", "phase").groupBy(key, "ts").agg(F.min(F.struct("pos", "phase")).alias("e"))
-    no = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
-    both = first.withColumn("e", no(edge, "e")).withColumn("is_row", F.lit(True)).unionByName(
-        edge.select(key, "ts", no(first, "ord").alias("ord"), no(first, "hit").alias("hit"), "e", F.lit(False).alias("is_row"))
-    )
-    # both windows grow, the second one in falling order, as a frame that shrinks would be computed anew for each row
-    w, at = Window.partitionBy(key), F.when(~F.col("is_row"), F.struct("ts", "e"))
-    before, after = (w.orderBy(order).rangeBetween(Window.unboundedPreceding, 0) for order in ("ts", F.desc("ts")))
-    both = both.withColumn("a", F.last(at, True).over(before)).withColumn("b", F.last(at, True).over(after))
-    choice = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col("ts") - F.col(x)["ts"]).alias("d"), F.col(x)["e"]["pos"].alias("pos"), F.col(x)["e"]["phase"].alias("phase")))
-    return both.where("is_row").select(key, "ts", "ord", F.coalesce(F.col("hit")["phase"], F.least(choice("a"), choice("b"))["phase"]).alias("phase"))
+    edge = phases.select(F.col(key).alias("dataset"), F.explode(F.array("start_t", "end_t")).alias("ts"), "pos", "phase").where("ts is not null").groupBy("dataset", "ts").agg(F.min(F.struct("pos", "phase")).alias("e"))
+    left = first.select(F.col(key).alias("dataset"), "ts", F.struct("ord", "hit").alias("ord"))
+    met = asof.around(left, edge.withColumn("ord", F.lit(0).cast("long")), "e", 100.0 * bucket)
+    choice = lambda s: F.when(F.col(f"{s}_e").isNotNull(), F.struct(F.abs(F.col("ts") - F.col(f"{s}_ts")).alias("d"), F.col(f"{s}_e")["pos"].alias("pos"), F.col(f"{s}_e")["phase"].alias("phase")))
+    return met.select(F.col("dataset").alias(key), "ts", F.col("ord")["ord"].alias("ord"), F.coalesce(F.col("ord")["hit"]["phase"], F.least(choice("before"), choice("after"))["phase"]).alias("phase"))
 
 
 def half_open_phase(rows: DataFrame, segments: DataFrame, key: str, bucket: float) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import folded
+from .quantiles import exact_quantiles
+from .scans import scanned
 
 EPISODE = ("dataset", "episode")
 
@@ -71,22 +73,29 @@ def cleaned_events(kept: DataFrame) -> DataFrame:
     return ends.select(*EPISODE, event.alias("e")).select(*EPISODE, "e.*")
 
 
-def transitions(rows: DataFrame, state: str, time: str = "ts") -> DataFrame:
-    """rows at which ``state`` differs from the row before, with from_state."""
-    return rows.withColumn("from_state", F.lag(state).over(by_time(time))).where(F.col("from_state") != F.col(state))
+#: How much of each time column a block of a long episode holds: an hour.
+BLOCKS = {"ts": 3.6e12, "t": 3600.0}
 
 
-def spikes(rows: DataFrame, force: Column, limit: float = 5.0, time: str = "ts") -> DataFrame:
+def transitions(rows: DataFrame, state: str, time: str = "ts", block: float | None = None) -> DataFrame:
+    """rows at which ``state`` differs from the row before, with from_state. Here and below, ``block``: see ``scanned``; however long an episode is, a task holds a block of it."""
+    return scanned(rows, [*EPISODE], [time, "ord"], block or BLOCKS[time], before={"from_state": F.col(state)}).where(F.col("from_state") != F.col(state))
+
+
+def spikes(rows: DataFrame, force: Column, limit: float = 5.0, time: str = "ts", block: float | None = None) -> DataFrame:
     """rows whose force differs from the row before by more than ``limit``."""
-    return rows.withColumn("__f", force).withColumn("jump", F.abs(F.col("__f") - F.lag("__f").over(by_time(time)))).where(F.col("jump") > limit).drop("__f")
+    out = scanned(rows.withColumn("__f", force), [*EPISODE], [time, "ord"], block or BLOCKS[time], before={"__p": F.col("__f")})
+    return out.withColumn("jump", F.abs(F.col("__f") - F.col("__p"))).where(F.col("jump") > limit).drop("__f", "__p")
 
 
-def zero_crossings(rows: DataFrame, axes: list[str], time: str = "ts") -> DataFrame:
+def zero_crossings(rows: DataFrame, axes: list[str], time: str = "ts", block: float | None = None) -> DataFrame:
     """rows where the velocity of the episode's dominant axis changes sign; ties of dominance go to the first axis."""
-    all_rows = Window.partitionBy(*EPISODE)
-    sums = F.array(*[F.sum(F.abs(F.col(a))).over(all_rows) for a in axes])
-    out = rows.withColumn("__axis", F.array_position(sums, F.array_max(sums)).cast("int")).withColumn("__v", F.element_at(F.array(*map(F.col, axes)), F.col("__axis")))
-    return out.withColumn("__p", F.lag("__v").over(by_time(time))).where(F.col("__p") * F.col("__v") < 0).withColumn("axis", F.col("__axis") - 1).drop("__axis", "__v", "__p")
+    sums = F.array(*[F.sum(F.abs(F.col(a))) for a in axes])
+    main = rows.groupBy(F.col("dataset").alias("__d"), F.col("episode").alias("__e")).agg(sums.alias("__sums")).select("__d", "__e", F.array_position("__sums", F.array_max("__sums")).cast("int").alias("__axis"))
+    met = rows.join(main.hint("merge"), F.col("dataset").eqNullSafe(F.col("__d")) & F.col("episode").eqNullSafe(F.col("__e"))).drop("__d", "__e")
+    met = met.withColumn("__v", F.element_at(F.array(*map(F.col, axes)), F.col("__axis")))
+    out = scanned(met, [*EPISODE], [time, "ord"], block or BLOCKS[time], before={"__p": F.col("__v")})
+    return out.where(F.col("__p") * F.col("__v") < 0).withColumn("axis", F.col("__axis") - 1).drop("__axis", "__v", "__p")
 
 
 class _Uniform:
@@ -172,10 +181,14 @@ def velocity(rows: DataFrame, column: str, time: str = "t") -> DataFrame:
     return rows.withColumn("v", diff / F.greatest(F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0.0)), F.lit(1e-6)))
 
 
-def thresholds(rows: DataFrame, speed: str, z: str, time: str = "t") -> DataFrame:
-    """speed and height thresholds and the rate in Hz of each episode."""
-    dt = rows.withColumn("__dt", F.col(time) - F.lag(time).over(by_time(time)))
-    return dt.groupBy(*EPISODE).agg((F.percentile(speed, 0.2) + 0.005).alias("speed_limit"), F.percentile(z, 0.3).alias("z_limit"), (1 / F.median("__dt")).alias("hz"))
+def thresholds(rows: DataFrame, speed: str, z: str, time: str = "t", block: float | None = None) -> DataFrame:
+    """speed and height thresholds and the rate in Hz of each episode, by exact quantiles; rate and thresholds are null where an episode has no values of their kind."""
+    steps = scanned(rows, [*EPISODE], [time, "ord"], block or BLOCKS[time], before={"__p": F.col(time)}).withColumn("__dt", F.col(time) - F.col("__p"))
+    out = rows.select(*EPISODE).distinct()
+    for column, values, share in (("speed_limit", rows.withColumn("__s", F.col(speed)), 0.2), ("z_limit", rows.withColumn("__s", F.col(z)), 0.3), ("hz", steps.withColumn("__s", F.col("__dt")), 0.5)):
+        of = exact_quantiles(values, [*EPISODE], "__s", {"__q": share}).select(F.col("dataset").alias("__d"), F.col("episode").alias("__e"), F.col("__q").alias(column))
+        out = out.join(of.hint("merge"), F.col("dataset").eqNullSafe(F.col("__d")) & F.col("episode").eqNullSafe(F.col("__e")), "left").drop("__d", "__e")
+    return out.select(*EPISODE, (F.col("speed_limit") + 0.005).alias("speed_limit"), "z_limit", (1 / F.col("hz")).alias("hz"))
 
 
 def first_cycle(changes: DataFrame, apart_s: float = 0.1) -> DataFrame:
@@ -190,11 +203,19 @@ def first_cycle(changes: DataFrame, apart_s: float = 0.1) -> DataFrame:
     return first.groupBy(*EPISODE).agg(F.min("__close").alias("t_close"), opened.alias("t_open")).where("t_close is not null")
 
 
-def frame_rate(frames: DataFrame) -> DataFrame:
-    """Frames a second of each dataset: from the median positive step in ns, half to even, at least 1; 30 when there is none."""
-    dt = F.col("ts") - F.lag("ts").over(Window.partitionBy("dataset").orderBy("ts", "ord"))
-    mid = frames.withColumn("__dt", dt).groupBy("dataset").agg(F.median(F.when(F.col("__dt") > 0, F.col("__dt"))).alias("m"))
-    return mid.select("dataset", F.coalesce(F.greatest(F.lit(1), F.bround(1e9 / F.col("m"))), F.lit(30)).cast("long").alias("fps"))
+def rates(frames: DataFrame, keys: list[str], block: float = 3.6e12) -> DataFrame:
+    """(keys, fps): frames a second from the exact median of the positive steps in ns, half to even, at least 1; 30 when there is none."""
+    steps = scanned(frames.select(*keys, "ts", "ord"), keys, ["ts", "ord"], block, before={"__p": F.col("ts")}).withColumn("__dt", F.col("ts") - F.col("__p"))
+    mid = exact_quantiles(steps.where("__dt > 0"), keys, "__dt", {"m": 0.5}).select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], "m")
+    same = [F.col(k).eqNullSafe(F.col(f"__m{i}")) for i, k in enumerate(keys)]
+    on = same[0] if len(same) == 1 else same[0] & same[1]
+    out = frames.select(*keys).distinct().join(mid.hint("merge"), on, "left")
+    return out.select(*keys, F.coalesce(F.greatest(F.lit(1), F.bround(1e9 / F.col("m"))), F.lit(30)).cast("long").alias("fps"))
+
+
+def frame_rate(frames: DataFrame, block: float = 3.6e12) -> DataFrame:
+    """(dataset, fps), see ``rates``."""
+    return rates(frames, ["dataset"], block)
 
 
 def dimension_spread(rows: DataFrame, vector: str, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import ANNOTATION, TEXT_FIELDS, first_text
@@ -27,22 +27,49 @@ def dataset_of(depth: int = 1) -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - depth)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): lines of text files with their number from 1, whichever way Spark cuts and packs the files.
+
+    Spark reads a block of a file in one task and in order. So a line's number within its block comes from its place among the block's rows, and the lines of earlier blocks are
+    counted: a window spans a block of a file (at most spark.sql.files.maxPartitionBytes), never a file.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("__id"))
+    blocks = raw.groupBy("path", "start").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("path").alias("__p"), F.col("start").alias("__s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    own = F.row_number().over(Window.partitionBy("path", "start").orderBy("__id"))
+    placed = raw.withColumn("__own", own).join(blocks.hint("merge"), (F.col("path") == F.col("__p")) & (F.col("start") == F.col("__s")))
+    return placed.select("path", (F.col("__first") + F.col("__own")).alias("line"), "value")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, depth: int = 1, strict: bool = True) -> DataFrame:
-    """JSON lines of many sessions in one read, with dataset and ord. Blank lines don't count; a bad line is an error, or with ``strict`` off a row with _corrupt_record.
+    """JSON lines of many sessions in one read, with ``dataset`` and ``ord``, the number of the line in its file. Blank lines don't count but are numbered.
 
-    ``ord`` rises with a row's place in its file: it is the start of the row's block in bytes plus the row's number in the task. A row takes a byte at least, so
-    blocks of one file can't overlap unless a task reads other files before: ``ord`` then starts later, and small files that are one block stay in order.
+    A bad line is an error that names file and line, or with ``strict`` off a row with _corrupt_record. A line is bad if it is no JSON object, or if a value has
+    another type than the schema.
     """
-    reader = spark.read.schema(schema if strict else schema + ", _corrupt_record string").option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    return reader.json(path).withColumn("dataset", dataset_of(depth)).withColumn("ord", F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % F.lit(1 << 33))
+    lines = numbered_lines(spark, path).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+    at = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.withColumn("j", at)
+    bad = F.col("j._corrupt_record")
+    if strict:
+        message = F.format_string("bad JSON on line %d of %s", "line", "path")
+        rows = rows.withColumn("line", F.when(bad.isNotNull() | F.col("j").isNull(), F.raise_error(message).cast("long")).otherwise(F.col("line")))
+    names = [f.name for f in rows.schema["j"].dataType.fields if f.name != "_corrupt_record" or not strict]
+    folder = F.element_at(F.split("path", "/"), -1 - depth)
+    return rows.select(*[F.col("j")[n].alias(n) for n in names], folder.alias("dataset"), F.col("line").alias("ord"), F.col("path").alias("__path"))
+
+
+def without_path(rows: DataFrame) -> DataFrame:
+    return rows.drop("__path")
 
 
 def telemetry(spark: SparkSession, path: str) -> DataFrame:
-    return read_lines(spark, f"{path}/*/robot.jsonl", TELEMETRY)
+    return without_path(read_lines(spark, f"{path}/*/robot.jsonl", TELEMETRY))
 
 
 def episode_events(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_lines(spark, f"{path}/*/episode_events.jsonl", EVENTS)
+    raw = without_path(read_lines(spark, f"{path}/*/episode_events.jsonl", EVENTS))
     return raw.withColumn("raw_name", F.coalesce(F.nullif(F.trim("event"), F.lit("")), F.col("episode_event")))
 
 
@@ -51,8 +78,9 @@ def camera_frames(spark: SparkSession, path: str) -> DataFrame:
     raw = read_lines(spark, f"{path}/*/cameras/*/frames.jsonl", CAMERA, depth=3)
     if raw.isEmpty():
         raise ValueError(f"no camera frames below {path}")
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return raw.withColumn("camera", F.coalesce("camera", folder)).withColumn("rgb_video", F.coalesce("rgb_video", F.lit("rgb.mp4"))).withColumn("rgb_video_frame", F.coalesce("rgb_video_frame", "frame_index"))
+    folder = F.element_at(F.split("__path", "/"), -2)
+    raw = raw.withColumn("folder", folder)
+    return without_path(raw).withColumn("camera", F.coalesce("camera", "folder")).withColumn("rgb_video", F.coalesce("rgb_video", F.lit("rgb.mp4"))).withColumn("rgb_video_frame", F.coalesce("rgb_video_frame", "frame_index"))
 
 
 def first_source(candidates: list[DataFrame]) -> DataFrame:
@@ -60,7 +88,7 @@ def first_source(candidates: list[DataFrame]) -> DataFrame:
     ranked = [df.withColumn("__rank", F.lit(k)) for k, df in enumerate(candidates)]
     all_ = reduce(DataFrame.unionByName, ranked)
     best = all_.groupBy(F.col("dataset").alias("d")).agg(F.min("__rank").alias("r"))
-    return all_.join(best, (F.col("dataset") == F.col("d")) & (F.col("__rank") == F.col("r"))).drop("d", "r", "__rank")
+    return all_.join(best.hint("merge"), (F.col("dataset") == F.col("d")) & (F.col("__rank") == F.col("r"))).drop("d", "r", "__rank")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +96,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     found = []
     for pattern, depth in (("*/text.jsonl", 1), ("*/language.jsonl", 1), ("*/text/text.jsonl", 2)):
         try:
-            found.append(read_lines(spark, f"{path}/{pattern}", TEXT, depth))
+            found.append(without_path(read_lines(spark, f"{path}/{pattern}", TEXT, depth)))
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -80,7 +108,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 def sidecar(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A5: annotations, trims or subtasks: (dataset, episode, ...), the last row of each episode; rows without an episode, and subtasks that are no list, don't count."""
     schema, needs = {"annotations": (ANNOTATIONS, "task is not null"), "trims": (TRIMS, "true"), "subtasks": (SUBTASKS, "subtasks is not null")}[name]
-    rows = read_lines(spark, f"{path}/*/{name}.jsonl", schema, strict=False).where("episode_index is not null").where(needs)
+    rows = without_path(read_lines(spark, f"{path}/*/{name}.jsonl", schema, strict=False)).where("episode_index is not null").where(needs)
     rows = latest(rows.drop("_corrupt_record"), ["dataset", "episode_index"], [F.desc("ord")]).withColumnRenamed("episode_index", "episode").drop("ord")
     return rows.fillna(0.0, ["trim_start_s", "trim_end_s"]) if name == "trims" else rows
 
