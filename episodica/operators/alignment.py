@@ -62,18 +62,49 @@ def episode_tasks(steps: DataFrame, cameras: list[str], texts: DataFrame, annota
     Texts are (dataset, ts, ord, text); ties of the count go to the text seen first, camera by camera.
     """
     seen = [steps.select("dataset", "episode", F.lit(k).cast("long").alias("n"), "ord", F.col(c)["frame_ts"].alias("ts")).where("ts is not null") for k, c in enumerate(cameras)]
-    frames = reduce(DataFrame.unionByName, seen)
+    return tasks_of_frames(steps.select("dataset", "episode").distinct(), reduce(DataFrame.unionByName, seen), texts, annotations, tolerance)
+
+
+def tasks_of_frames(episodes: DataFrame, frames: DataFrame, texts: DataFrame, annotations: DataFrame, tolerance: int = TEXT_TOLERANCE) -> DataFrame:
+    """As ``episode_tasks``, from the frames (dataset, episode, n: the camera's place, ord: the step's, ts: the frame's time) that steps were matched with."""
     met = asof.nearest(frames.select("dataset", "ts", "ord").distinct(), texts.select("dataset", "ts", "ord"), tolerance)
     said = texts.select(F.col("dataset").alias("__d"), F.col("ord").alias("__o"), F.nullif(F.trim("text"), F.lit("")).alias("text"))
     found = met.join(said.hint("merge"), (F.col("dataset") == F.col("__d")) & (F.col("right_ord") == F.col("__o"))).select("dataset", "ts", "ord", "text")
     main = dominant(frames.join(found.hint("merge"), ["dataset", "ts", "ord"]).withColumn("ts", F.col("n")), "text").select("dataset", "episode", F.col("task").alias("__said"))
     w = Window.partitionBy("dataset").orderBy("episode")
-    all_ = steps.select("dataset", "episode").distinct().withColumn("output_index", F.row_number().over(w) - 1)
+    all_ = episodes.withColumn("output_index", F.row_number().over(w) - 1)
     noted = annotations.select("dataset", "episode", F.col("task").alias("__noted"))
     out = all_.join(main.hint("merge"), ["dataset", "episode"], "left").join(noted.hint("merge"), ["dataset", "episode"], "left")
     return out.select("dataset", "episode", "output_index", F.coalesce("__noted", "__said", F.format_string("episode_%06d", "output_index")).alias("task"))
 
 
+def with_all_frames(steps: DataFrame, frames: DataFrame, tolerance: int = CAMERA_TOLERANCE, strict: bool = True) -> DataFrame:
+    """A10: steps with ``frames``, a map from each camera of their dataset to its nearest frame (rgb_video, rgb_video_frame, frame_ts); cameras may differ from dataset to dataset.
+
+    A step without a frame of a camera within the tolerance is an error, or goes if not ``strict``.
+    """
+    keys = steps.select("dataset", "ts", "ord").distinct()
+    met = asof.nearest_of_cameras(keys, frames, tolerance)
+    reference = frames.select(F.col("dataset").alias("__d"), F.col("camera").alias("__c"), F.col("ord").alias("__o"), F.struct("rgb_video", "rgb_video_frame", F.col("ts").alias("frame_ts")).alias("frame"))
+    met = met.join(reference.hint("merge"), (F.col("dataset") == F.col("__d")) & (F.col("camera") == F.col("__c")) & (F.col("right_ord") == F.col("__o")), "left")
+    if strict:
+        missing = F.raise_error(F.format_string("no frame of %s within the tolerance of %d in %s", F.coalesce("camera", F.lit("any camera")), "ts", F.col("dataset").cast("string")))
+        met = met.withColumn("frame", F.coalesce("frame", missing.cast(met.schema["frame"].dataType)))
+    maps = met.groupBy(F.col("dataset").alias("__kd"), F.col("ts").alias("__kt"), F.col("ord").alias("__ko")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("camera", "frame")))).alias("frames"), F.bool_and(F.col("frame").isNotNull()).alias("__all")).where("__all")
+    return steps.join(maps.hint("merge"), (F.col("dataset") == F.col("__kd")) & (F.col("ts") == F.col("__kt")) & (F.col("ord") == F.col("__ko"))).drop("__kd", "__kt", "__ko", "__all")
+
+
+def subtask_times(subtasks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Subtasks (dataset, episode, subtasks: array of phase, start_s, end_s) -> (dataset, episode, pos, phase, start_ts, end_ts) by the frames of the primary camera (dataset, ord, ts, video_s); datasets without frames have none."""
+    one = subtasks.select("dataset", "episode", F.posexplode("subtasks").alias("pos", "s"))
+    ends = one.select("dataset", "episode", "pos", "s.phase", F.explode(F.map_from_arrays(F.array(F.lit("start"), F.lit("end")), F.array("s.start_s", "s.end_s"))).alias("side", "ts"))
+    left = ends.select("dataset", "ts", F.struct("episode", "pos", "phase", "side").alias("ord"))
+    right = frames.select("dataset", F.col("video_s").alias("ts"), "ord", F.col("ts").alias("frame_ts"))
+    found = asof.nearest_any(left, right, payload="frame_ts", block=600.0).select("dataset", "ord.*", "frame_ts")
+    out = found.groupBy("dataset", "episode", "pos", "phase").agg(*[F.max(F.when(F.col("side") == s, F.col("frame_ts"))).alias(f"{s}_ts") for s in ("start", "end")])
+    return out.where("start_ts is not null and end_ts is not null")
+
+
 def aligned_frames(steps: DataFrame, cameras: dict[str, DataFrame], texts: DataFrame, annotations: DataFrame, tolerance: int = CAMERA_TOLERANCE, text_tolerance: int = TEXT_TOLERANCE, on_unmatched: str = "error") -> DataFrame:
     """A10: steps with their episode's task and output index and ``frames``, a map from camera to the reference of its frame. Both indices are kept.
 

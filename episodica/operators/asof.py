@@ -82,3 +82,18 @@ def covered(left: DataFrame, cameras: list[DataFrame], tolerance: int) -> DataFr
         m = nearest(left.select("dataset", "ts", "ord"), camera, tolerance).select(F.col("dataset").alias("d"), F.col("ord").alias("o"), F.col("right_ord").isNotNull().alias("has"))
         out = out.join(m.hint("merge"), (F.col("dataset") == F.col("d")) & (F.col("ord") == F.col("o"))).withColumn("covered", F.col("covered") & F.col("has")).drop("d", "o", "has")
     return out
+
+
+def covered_by_all(left: DataFrame, frames: DataFrame, tolerance: int) -> DataFrame:
+    """Distinct left rows (dataset, ts, ord) with ``covered``: whether each camera of their own dataset (frames: dataset, camera, ts, ord) has a frame within the tolerance. Without a camera nothing is covered."""
+    keys = left.select("dataset", "ts", "ord").distinct()
+    met = nearest_of_cameras(keys, frames, tolerance)
+    return met.groupBy("dataset", "ts", "ord").agg(F.bool_and(F.col("right_ord").isNotNull()).alias("covered"))
+
+
+def nearest_of_cameras(keys: DataFrame, frames: DataFrame, tolerance: int) -> DataFrame:
+    """Keys (dataset, ts, ord) with each camera of their dataset and its nearest frame: (dataset, ts, ord, camera, right_ord), right_ord null beyond the tolerance; camera null where a dataset has none."""
+    cameras = frames.select(F.col("dataset").alias("__d"), "camera").distinct()
+    asked = keys.join(cameras.hint("merge"), F.col("dataset") == F.col("__d"), "left").select(F.struct("dataset", "camera").alias("dataset"), "ts", "ord")
+    met = nearest(asked, frames.select(F.struct("dataset", "camera").alias("dataset"), "ts", "ord"), tolerance)
+    return met.select(F.col("dataset")["dataset"].alias("dataset"), "ts", "ord", F.col("dataset")["camera"].alias("camera"), "right_ord")

@@ -150,7 +150,7 @@ def steps(rows: DataFrame) -> DataFrame:
 def long_enough(rows: DataFrame, least_s: float = 2.0) -> DataFrame:
     """Rows of episodes that last at least ``least_s`` seconds."""
     ok = rows.groupBy(F.col("dataset").alias("d"), F.col("episode").alias("e")).agg(((F.max("ts") - F.min("ts")) / 1e9).alias("s")).where(F.col("s") >= least_s)
-    return rows.join(ok.drop("s"), (F.col("dataset") == F.col("d")) & (F.col("episode") == F.col("e")), "left_semi")
+    return rows.join(ok.drop("s").hint("merge"), (F.col("dataset") == F.col("d")) & (F.col("episode") == F.col("e")), "left_semi")
 
 
 def limited(rows: DataFrame, max_episodes: int | None = None, max_steps: int | None = None) -> DataFrame:
@@ -162,13 +162,20 @@ def limited(rows: DataFrame, max_episodes: int | None = None, max_steps: int | N
     return out.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= max_steps).drop("__k")
 
 
-def without_episodes(sidecar: DataFrame, deleted: DataFrame) -> DataFrame:
-    """H5: rows of deleted (dataset, episode) go and later episodes move down."""
-    gone = deleted.select(F.col("dataset").alias("d"), F.col("episode").alias("gone")).distinct()
-    lists = gone.groupBy("d").agg(F.collect_set("gone").alias("gone"))
-    joined = sidecar.join(lists, F.col("dataset") == F.col("d"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = joined.where(~F.array_contains("gone", F.col("episode")))
-    return kept.withColumn("episode", F.col("episode") - F.size(F.filter("gone", lambda g: g < F.col("episode")))).drop("d", "gone")
+def without_episodes(sidecar: DataFrame, deleted: DataFrame, block: float = 1e5) -> DataFrame:
+    """H5: rows of deleted (dataset, episode) go and later episodes move down by the number of deleted ones before them.
+
+    Deletions and rows are scanned together in order of their episodes, ``block`` episodes a block: the deletions so far are a running sum, so no list of them stands on a row. Each sidecar
+    of a dataset (annotations, trims, subtasks) is shifted by the same deletions. A row without an episode stays as it is.
+    """
+    gone = deleted.where("episode is not null").select("dataset", "episode").distinct()
+    rows = sidecar.select("dataset", "episode", F.struct(*sidecar.columns).alias("__r"), F.lit(1).alias("__o"))
+    both = rows.unionByName(gone.select(F.col("dataset").cast(sidecar.schema["dataset"].dataType).alias("dataset"), F.col("episode").cast(sidecar.schema["episode"].dataType).alias("episode"), F.lit(None).cast(rows.schema["__r"].dataType).alias("__r"), F.lit(0).alias("__o")))
+    is_gone = F.col("__o") == 0
+    met = scanned(both, ["dataset"], ["episode", "__o"], block, running={"__before": is_gone.cast("int")}, last={"__last": F.when(is_gone, F.col("episode"))})
+    kept = met.where((F.col("__o") == 1) & (F.col("__last").isNull() | F.col("episode").isNull() | (F.col("__last") != F.col("episode"))))
+    shifted = F.col("__r")["episode"] - F.when(F.col("episode").isNull(), 0).otherwise(F.col("__before"))
+    return kept.select(*[shifted.cast(sidecar.schema[c].dataType).alias(c) if c == "episode" else F.col("__r")[c].alias(c) for c in sidecar.columns])
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

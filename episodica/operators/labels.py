@@ -150,6 +150,11 @@ def verdicts(keys: DataFrame, issues: list[DataFrame], key: str) -> DataFrame:
     return out.select(key, F.coalesce("n_issues", F.lit(0)).alias("n_issues"), (F.coalesce("n_errors", F.lit(0)) == 0).alias("passed"), F.coalesce("issues", F.array().cast("array<struct<severity:string,rule:string,message:string>>")).alias("issues"))
 
 
+def cyclic_prompts(episodes: DataFrame, prompts: list[str], key: str = "episode") -> DataFrame:
+    """Episodes with ``task``, the prompts in turn by their number. The list is short: it is one literal of the plan."""
+    return episodes.withColumn("task", F.element_at(F.array(*map(F.lit, prompts)), (F.pmod(F.col(key), F.lit(len(prompts))) + 1).cast("int")))
+
+
 def gold_examples(gold: DataFrame, most: int = 3) -> DataFrame:
     """Gold rows (task, ord, episode_id, duration_s, annotation: its JSON) -> (task, turns: array of user and assistant texts), the first ``most`` of each task by ord."""
     w = Window.partitionBy("task").orderBy("ord")

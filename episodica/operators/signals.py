@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .folds import folded
@@ -49,21 +49,42 @@ def trim_counts(rows: DataFrame, flag: str) -> DataFrame:
     return out.groupBy(*EPISODE).agg(F.count_if(F.col("__a").isNull() | (place < F.col("__a"))).alias("n_leading"), F.count_if(place > F.col("__z")).alias("n_trailing"))
 
 
+def judged(rows: DataFrame, moving_col: str, covered_col: str, least_s: float = 2.0) -> DataFrame:
+    """Rows with ``reason`` (why cleaning skips their episode: static, no_coverage, too_short, or kept) and ``__in``, whether cleaning keeps the row.
+
+    Windows of one partitioning follow each other, so rows are computed and shuffled once.
+    """
+    w, place = Window.partitionBy(*EPISODE), F.struct("ts", "ord")
+    out = rows.withColumn("__a", F.min(F.when(F.col(moving_col), place)).over(w)).withColumn("__z", F.max(F.when(F.col(moving_col), place)).over(w))
+    seen = F.col(covered_col) & (place >= F.col("__a")) & (place <= F.col("__z"))
+    out = out.withColumn("__c", F.min(F.when(seen, place)).over(w)).withColumn("__y", F.max(F.when(seen, place)).over(w))
+    lasts = (F.col("__y")["ts"] - F.col("__c")["ts"]) / 1e9
+    reason = F.when(F.col("__a").isNull(), "static").when(F.col("__c").isNull(), "no_coverage").when(lasts < least_s, "too_short").otherwise("kept")
+    out = out.withColumn("reason", reason)
+    return out.withColumn("__in", (F.col("reason") == "kept") & (place >= F.col("__c")) & (place <= F.col("__y"))).drop("__a", "__z", "__c", "__y")
+
+
 def skip_reasons(rows: DataFrame, moving_col: str, covered_col: str, least_s: float = 2.0) -> DataFrame:
     """For each episode why cleaning skips it: static, no_coverage, too_short, or kept."""
-    m = trimmed(rows, moving_col)
-    c = trimmed(m, covered_col)
-    n = lambda df, name: df.groupBy(*EPISODE).agg(((F.max("ts") - F.min("ts")) / 1e9).alias(name))
-    all_, moved, cov = n(rows, "s0"), n(m, "s1"), n(c, "s2")
-    reason = F.when(F.col("s1").isNull(), "static").when(F.col("s2").isNull(), "no_coverage").when(F.col("s2") < least_s, "too_short").otherwise("kept")
-    return all_.join(moved, list(EPISODE), "left").join(cov, list(EPISODE), "left").withColumn("reason", reason).select(*EPISODE, "reason")
+    return judged(rows, moving_col, covered_col, least_s).groupBy(*EPISODE).agg(F.first("reason").alias("reason"))
 
 
 def cleaned(rows: DataFrame, moving_col: str, covered_col: str, least_s: float = 2.0) -> DataFrame:
     """H8: rows that cleaning keeps."""
-    out = trimmed(trimmed(rows, moving_col), covered_col)
-    s = (F.max("ts").over(Window.partitionBy(*EPISODE)) - F.min("ts").over(Window.partitionBy(*EPISODE))) / 1e9
-    return out.withColumn("__s", s).where(F.col("__s") >= least_s).drop("__s")
+    return judged(rows, moving_col, covered_col, least_s).where("__in").drop("__in", "reason")
+
+
+#: Why cleaning skips an episode, or not.
+REASONS = ("static", "no_coverage", "too_short", "kept")
+
+
+def cleaned_and_counted(rows: DataFrame, moving_col: str, covered_col: str, least_s: float = 2.0) -> tuple[DataFrame, Observation]:
+    """H8 with E14: rows that cleaning keeps, and an observation of how many episodes there are of each reason, which Spark counts while the kept rows are written."""
+    seen = Observation("cleaning")
+    first = F.row_number().over(Window.partitionBy(*EPISODE).orderBy("ts", "ord")) == 1
+    marked = judged(rows, moving_col, covered_col, least_s).withColumn("__first", first)
+    counted = marked.observe(seen, *[F.count_if(F.col("__first") & (F.col("reason") == r)).alias(r) for r in REASONS])
+    return counted.where("__in").drop("__in", "reason", "__first"), seen
 
 
 def cleaned_events(kept: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ def nested(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rest.select(*keys, "json")
 
 
-def write_stats(merged: DataFrame, path: str) -> None:
+def write_stats(merged: DataFrame, path: str, overwrite: bool = False) -> None:
     """Merged stats (feature, stat, pos, value[, json]) as one document of lists, nested as they were; it has a number a dimension, so it is small. A value that is no finite number is null."""
     value = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value").cast("string"))
     json = F.coalesce(value, F.when(F.col("value").isNull(), F.col("json")), F.lit("null")) if "json" in merged.columns else F.coalesce(value, F.lit("null"))
@@ -256,7 +256,7 @@ def write_stats(merged: DataFrame, path: str) -> None:
     entry = lambda name: F.concat(_quoted(F.col(name)), F.lit(":"), F.col("json"))
     whole = lambda c: F.concat(F.lit("{"), F.concat_ws(",", F.array_sort(F.collect_list(c))), F.lit("}"))
     features = lists.where("stat is not null").groupBy("feature").agg(whole(entry("stat")).alias("json")).unionByName(lists.where("stat is null").select("feature", "json"))
-    features.agg(whole(entry("feature")).alias("value")).write.text(path)
+    features.agg(whole(entry("feature")).alias("value")).write.mode("overwrite" if overwrite else "error").text(path)
 
 
 META = "method string, duration_s double, n_robot_frames long, validation_passed boolean, validation_warnings long"
