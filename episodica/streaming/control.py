@@ -113,18 +113,26 @@ def in_batch(rows: DataFrame, rule) -> DataFrame:
     return folded(rows.select("key", "ts", "ord", *rule.inputs), ["key"], ["ts", "ord"], lambda: _Machine(rule), f"key {dict(rows.dtypes)['key']}, ts long, ord long, {rule.schema}")
 
 
+def _renewed(handle: StatefulProcessorHandle, last_ms: int, idle_ms: int) -> None:
+    """One timer a key: ``idle_ms`` after its last row."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(last_ms + idle_ms)
+
+
 class RuleProcessor(StatefulProcessor):
-    """Keeps a rule's state and the last time and place of each key."""
+    """Keeps a rule's state and the last time and place of each key; with ``idle_ms`` until the watermark is that far beyond the key's last row (its ``seen_ms``)."""
 
-    def __init__(self, rule):
-        self.rule, self.names = rule, [c.split()[0] for c in rule.schema.split(", ")]
+    def __init__(self, rule, idle_ms: int | None = None):
+        self.rule, self.idle_ms, self.names = rule, idle_ms, [c.split()[0] for c in rule.schema.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("machine", "state array<double>, ts long, ord long")
+        self.handle = handle
+        self.saved = handle.getValueState("machine", "state array<double>, ts long, ord long, ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         old = self.saved.get() if self.saved.exists() else None
-        state, last = (list(old[0]), (old[1], old[2])) if old else (self.rule.start(), (-(2**63), -(2**63)))
+        state, last, ms = (list(old[0]), (old[1], old[2]), old[3]) if old else (self.rule.start(), (-(2**63), -(2**63)), 0)
         pdf = pd.concat(rows).sort_values(["ts", "ord"])
         out = []
         for ts, ord_, *given in pdf[["ts", "ord", *self.rule.inputs]].itertuples(index=False):
@@ -132,19 +140,70 @@ class RuleProcessor(StatefulProcessor):
             found = (None,) * len(self.names) if late else self.rule.step(state, tuple(None if isinstance(x, float) and x != x else x for x in given))
             last = max(last, (ts, ord_))
             out.append((key[0], ts, ord_, *found, late))
+        if self.idle_ms is not None and len(pdf):
+            ms = max(ms, int(pdf["seen_ms"].max()))
+            _renewed(self.handle, ms, self.idle_ms)
         if out:
-            self.saved.update((state, int(last[0]), int(last[1])))
+            self.saved.update((state, int(last[0]), int(last[1]), ms))
         frame = pd.DataFrame(out, columns=["key", "ts", "ord", *self.names, "late"])
         yield frame.astype({c: "Int32" for c in self.names if f"{c} int" in self.rule.schema})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.saved.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
 
-def on_stream(rows: DataFrame, rule) -> DataFrame:
-    """As ``in_batch`` on a stream, with ``late``; needs the RocksDB state store."""
+def on_stream(rows: DataFrame, rule, time: str | None = None, idle_ms: int | None = None) -> DataFrame:
+    """As ``in_batch`` on a stream, with ``late``; needs the RocksDB state store.
+
+    With ``time``, a timestamp column that has a watermark, and ``idle_ms``, a key's state goes once the watermark is so far beyond its last row; should the key come again, it starts anew. The
+    watermark serves for nothing else, but Spark drops rows that are older than it.
+    """
     schema = f"key {dict(rows.dtypes)['key']}, ts long, ord long, {rule.schema}, late boolean"
-    return rows.select("key", "ts", "ord", *rule.inputs).groupBy("key").transformWithStateInPandas(RuleProcessor(rule), outputStructType=schema, outputMode="Append", timeMode="None")
+    if (time is None) != (idle_ms is None):
+        raise ValueError("time and idle_ms go together")
+    timed = [] if time is None else [F.col(time), F.unix_millis(time).alias("seen_ms")]
+    mode = "None" if time is None else "EventTime"
+    return rows.select("key", "ts", "ord", *rule.inputs, *timed).groupBy("key").transformWithStateInPandas(RuleProcessor(rule, idle_ms), outputStructType=schema, outputMode="Append", timeMode=mode)
+
+
+class TraceProcessor(StatefulProcessor):
+    """Collects the steps of a run, and gives its trace out once, when the run has ended: ``idle_ms`` after its last step by the watermark."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps, self.last = handle.getListState("steps", "step long, phase int"), handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms = self.last.get()[0] if self.last.exists() else 0
+        for pdf in rows:
+            self.steps.appendList([(int(a), int(b)) for a, b in zip(pdf["step"], pdf["phase"])])
+            ms = max(ms, int(pdf["seen_ms"].max()))
+        self.last.update((ms,))
+        _renewed(self.handle, ms, self.idle_ms)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        steps = sorted(tuple(x) for x in self.steps.get())
+        self.steps.clear()
+        self.last.clear()
+        yield pd.DataFrame({"key": [key[0]], "trace": [",".join(str(p) for _, p in steps)]})
+
+    def close(self) -> None:
+        pass
+
+
+def phase_traces_stream(steps: DataFrame, time: str, idle_ms: int) -> DataFrame:
+    """J6 on a stream: (key, step, phase, time: with a watermark) -> (key, trace), one row a run when it ends, that is when no step came for ``idle_ms``; its steps leave the state then."""
+    schema = f"key {dict(steps.dtypes)['key']}, trace string"
+    rows = steps.select("key", F.col("step").cast("long").alias("step"), F.col("phase").cast("int").alias("phase"), F.col(time), F.unix_millis(time).alias("seen_ms"))
+    return rows.groupBy("key").transformWithStateInPandas(TraceProcessor(idle_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def signals(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
@@ -179,9 +238,9 @@ def phases_batch(rows: DataFrame, rules: PhaseRules = PhaseRules()) -> DataFrame
     return in_batch(rows, rules)
 
 
-def phases_stream(rows: DataFrame, rules: PhaseRules = PhaseRules()) -> DataFrame:
-    """J1 on a stream: the same, with ``late``."""
-    return on_stream(rows, rules)
+def phases_stream(rows: DataFrame, rules: PhaseRules = PhaseRules(), time: str | None = None, idle_ms: int | None = None) -> DataFrame:
+    """J1 on a stream: the same, with ``late``; for ``time`` and ``idle_ms`` see ``on_stream``."""
+    return on_stream(rows, rules, time, idle_ms)
 
 
 def phase_changes(phases: DataFrame) -> DataFrame:
@@ -221,6 +280,6 @@ def low_passed(rows: DataFrame, column: str, cutoff: float, rate: float) -> Data
 
 
 def phase_trace(steps: DataFrame) -> DataFrame:
-    """(key, step, phase) -> the ordered phases of each run as text; on a stream in update or complete mode. A run's trace is one row, so it must fit into one."""
+    """(key, step, phase) -> the ordered phases of each run as text. A run's trace is one row, so it must fit into one. On a stream ``phase_traces_stream`` gives each out once and forgets it."""
     listed = F.array_sort(F.collect_list(F.struct("step", "phase")))
     return steps.groupBy("key").agg(F.concat_ws(",", F.transform(listed, lambda x: x["phase"].cast("string"))).alias("trace"))
