@@ -103,6 +103,24 @@ def spans(words: np.ndarray, digests: np.ndarray, least_words: int) -> tuple[np.
     return first, after, found
 
 
+def distinct(found: np.ndarray) -> np.ndarray:
+    """The distinct digests; sorted by their first part alone, which seldom has two second parts."""
+    x = found[np.argsort(found["d"], kind="stable")]
+    same = x["d"][1:] == x["d"][:-1]
+    if (same & (x["c"][1:] != x["c"][:-1])).any():
+        return np.unique(found)
+    return x[np.r_[True, ~same]] if len(x) else x
+
+
+def among(found: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which digests are among some."""
+    out = np.isin(found["d"], some["d"])
+    if out.any():
+        pairs, at = set(some.tolist()), np.flatnonzero(out)
+        out[at] = [x in pairs for x in found[at].tolist()]
+    return out
+
+
 def described(keyed: DataFrame, least_words: int) -> DataFrame:
     """(id, k, n_chunks, n_words, digests and checks: of its distinct spans) of rows (id, k, text), written, so that texts are cut into chunks once."""
     small_batches(keyed.sparkSession)
@@ -112,7 +130,7 @@ def described(keyed: DataFrame, least_words: int) -> DataFrame:
             out = []
             for text in batch.column(2).to_pylist():
                 ends, words, digests = chunks(text)
-                found = np.unique(spans(words, digests, least_words)[2])
+                found = distinct(spans(words, digests, least_words)[2])
                 out.append((len(ends), int(words.sum()), found["d"], found["c"]))
             return [batch.column(0), batch.column(1), *([x[k] for x in out] for k in range(4))]
 
@@ -165,7 +183,7 @@ def without_passages(text: str | None, kept: np.ndarray, cut: np.ndarray, least_
         return text, 0, 0
     ends, words, digests = chunks(text)
     first, after, found = spans(words, digests, least_words)
-    cuts, repeats = (runs(first[x], after[x], len(ends)) for x in (np.isin(found, cut), np.isin(found, np.r_[kept, cut])))
+    cuts, repeats = (runs(first[x], after[x], len(ends)) for x in (among(found, cut), among(found, np.r_[kept, cut])))
     raw, starts = (text or "").encode(), [0, *ends]
     if cuts:
         edges = [0, *(starts[x] for run in cuts for x in run), len(raw)]

@@ -706,7 +706,9 @@ def test_spans_that_share_a_digest_are_told_apart(spark):
     spans = spark.createDataFrame([(1, 5, 7), (2, 5, 8), (3, 5, 8), (3, 5, 8)], "id long, digest long, check int")
     assert [tuple(r) for r in substring_dedup.repeated_spans(spans).collect()] == [(5, 8, 2)]
     found = np.array([(5, 7), (5, 8), (6, 8)], substring_dedup.SPAN)
-    assert np.isin(found, np.array([(5, 8)], substring_dedup.SPAN)).tolist() == [False, True, False]
+    assert substring_dedup.among(found, np.array([(5, 8)], substring_dedup.SPAN)).tolist() == [False, True, False]
+    for rows in ([(5, 7), (6, 1), (5, 7)], [(5, 7), (5, 8), (5, 7)], []):
+        assert sorted(substring_dedup.distinct(np.array(rows, substring_dedup.SPAN)).tolist()) == sorted(set(rows))
 
 
 def test_sketches_that_share_a_name_keep_their_rows(spark):
