@@ -348,7 +348,8 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed
 
     ``model``: path of the model on each worker, by default that of the installed public tokenizers. With dropout 0 the pieces are
     the library's (but for a literal U+2581, which goes as bytes). Otherwise the hash's key is the seed, the id (or which of
-    ``variants`` it falls to, if given) and the place of the unit: reruns agree, documents and occurrences differ. Null and empty texts have no pieces; rows that repeat get
+    ``variants`` it falls to, if given) and the place of the unit: reruns agree, documents and occurrences differ. One keyed hash draws how many candidates come up until the next one is skipped, so that
+    each is skipped with the share of ``dropout``, as if it had a hash of its own. Null and empty texts have no pieces; rows that repeat get
     the same ones; a null id is a key of its own; texts may be of any length and are read whole; an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)

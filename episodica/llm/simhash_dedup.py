@@ -213,7 +213,8 @@ def classes(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, id_col: s
     """One row a document: id, fp, component_id, the smallest id that links of at most ``bits`` differing bits reach.
 
     A text without words (null, empty, white space) has fingerprint 0 and is linked like any other. Rows that repeat are rows of
-    one class; a null id counts only where a class has no other; an empty table gives an empty result. Other columns are ignored.
+    one class; a null id counts only where a class has no other; an empty table gives an empty result. Other columns are ignored. Texts are read
+    whole, whatever their length; a bit that is set in exactly half of the shingles is 0.
     """
     prints = cut(map_prints(docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("k"), F.col(text_col).alias("text")), shingle).drop("k"))
     member = cut(class_of_print(prints, bits))

@@ -201,7 +201,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     """Words that the mix takes of each document: id, size, source_size, target, taken, copies.
 
     A null or empty text has size 0 and gives 0 words; a null source is a source of its own, the last one; each of several equal
-    rows is drawn on its own; an empty table gives an empty result. Other columns of ``docs`` are ignored.
+    rows is drawn on its own, and rows of one size and source are told apart by a hash alone, so ties fall the same way in every run; a text of any length
+    is one unit with its whole size, which the flight balances like any other; an empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     frame = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.lit(1).alias("n"))
     return plan_mix(frame, weights, most).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

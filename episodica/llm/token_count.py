@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
 
     ``vocabulary``: path of a byte-level BPE file on each worker; by default that of the installed public tokenizers.
     A null or empty text has 0 bytes and 0 tokens; rows that repeat are counted each, and a null id stays null.
-    Special strings inside a text count as one token each. Other columns of ``docs`` are ignored.
+    Special strings inside a text count as one token each. Texts of any length are counted whole; an empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     small_batches(docs.sparkSession)
 

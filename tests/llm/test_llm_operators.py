@@ -737,6 +737,10 @@ def test_token_counts_equal_the_library(spark, docs, edges):
         assert sorted((str(r[0]), *r[1:]) for r in token_count.count_tokens(df).collect()) == want
 
 
+def test_no_texts_have_no_counts(spark, edges):
+    assert token_count.count_tokens(edges.limit(0)).count() == 0
+
+
 def test_any_text_counts():
     import public_tokenizers
     from tokenizers import Tokenizer
