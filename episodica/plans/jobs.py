@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import alignment, asof, episodes, labels, merging, quantiles, signals
+from ..operators import alignment, asof, episodes, labels, merging, quantiles, reports, signals
 from ..operators.scans import scanned
 from ..operators.stored import stored
 from ..sources import sessions
+from ..streaming import control
 
 #: Quantiles in the statistics of a converted dataset.
 QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
@@ -175,6 +176,15 @@ def _statistics(frames: DataFrame) -> DataFrame:
     return both.join(sizes.hint("merge"), "dataset").select("dataset", "frames", "feature", "pos", stat.alias("stat", "value"))
 
 
+def machine_against_labels(rows: DataFrame, segments: DataFrame, rules: control.PhaseRules, bucket: float) -> DataFrame:
+    """(key, ts, ord, from_phase, phase, label, match): the machine's phases over the rows (key, ts, ord, signals), beside the label of the segment (key, pos, phase, start_t, end_t) that holds each, -1 and a
+    null match where none does. ``bucket``: about the length of a segment. ``reports.agreement`` counts them, and ``control.phase_changes`` lists the transitions.
+    """
+    found = labels.half_open_phase(rows.select("key", "ts", "ord"), segments, "key", bucket).select(F.col("key").alias("__k"), F.col("ts").alias("__t"), F.col("ord").alias("__o"), F.col("phase").alias("label"))
+    on = F.col("key").eqNullSafe(F.col("__k")) & (F.col("ts") == F.col("__t")) & (F.col("ord") == F.col("__o"))
+    return reports.matched(control.phases_batch(rows, rules).join(found.hint("merge"), on).drop("__k", "__t", "__o"), "label", "phase")
+
+
 def merge(spark: SparkSession, converted: str, names: list[str], out: str, mode: str = "weighted") -> dict[str, int]:
     """The datasets ``names`` of what ``convert`` wrote, in the given order, as one: frames and episodes with shifted keys, one task registry (tasks of unknown indices get names), info and a stats document.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import labels, merging, reports
+from ..operators import episodes, labels, merging, reports
 from ..operators import signals as sig
 from ..streaming import control
+from . import jobs
 from .binding import EV, SEGMENTS, SHIPMENTS, Tables, query
 
 
@@ -72,6 +73,11 @@ def b17_training_log(t: Tables):
     return t.orders.select("o_orderkey", fields.log_step(line).alias("step"), fields.log_loss(line).alias("loss"))
 
 
+@query("n:l unknown:l", None)
+def b19_phase_dropout(t: Tables):
+    return t.orders.select(fields.dropped_phase(F.col("o_orderkey") % 5, F.col("o_orderkey")).alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("p") == 5).alias("unknown"))
+
+
 @query("n:l near:b kept:l", "SELECT count(*) AS n, true AS near, count(*) AS kept FROM orders")
 def b19_dropout_share(t: Tables):
     """All samples stay, those that aren't dropped keep their phase, and the share is within five standard deviations of 15 %."""
@@ -325,6 +331,13 @@ def e9_pooled_stats(t: Tables):
     return merging.merged_stats(_stats(t), mode="pooled")
 
 
+@query("stat:s pos:l value:d", """WITH e AS (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT label, pos, avg(x) AS mean, min(x) AS lo, max(x) AS hi, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT 'mean' AS stat, pos, sum(mean * n) / sum(n) AS value FROM s GROUP BY 2 UNION ALL SELECT 'min', pos, min(lo) FROM s GROUP BY 2 UNION ALL SELECT 'max', pos, max(hi) FROM s GROUP BY 2 UNION ALL SELECT 'count', pos, sum(n) FROM s GROUP BY 2""")
+def e9_whole_merged_stats(t: Tables):
+    """The feature that all datasets have; its SQL takes the dimensions by another way."""
+    return merging.merged_stats(_stats(t).where("feature = 'state' and stat in ('mean', 'min', 'max', 'count')"))
+
+
 @query("total_episodes:l total_frames:l train:s", f"WITH {_SOURCES} SELECT sum(n_episodes) AS total_episodes, sum(n_frames) AS total_frames, '0:' || CAST(CAST(sum(n_episodes) AS BIGINT) AS VARCHAR) AS train FROM sizes")
 def e10_dataset_totals(t: Tables):
     return merging.totals(t.lineitem.groupBy(F.col("l_returnflag").alias("dataset")).agg(F.countDistinct("l_orderkey").alias("n_episodes"), F.count("*").alias("n_frames")))
@@ -442,3 +455,16 @@ def j4_low_pass(t: Tables):
 @query("key:l trace:s", f"WITH {EV} SELECT dataset AS key, string_agg(CAST(ord % 5 AS VARCHAR), ',' ORDER BY ord) AS trace FROM ev GROUP BY 1")
 def j6_phase_trace(t: Tables):
     return control.phase_trace(t.ev.select(F.col("dataset").alias("key"), F.col("ord").alias("step"), (F.col("ord") % 5).alias("phase")))
+
+
+@query("label:l phase:l n:l share:d n_matches:l", f"""{_MACHINE}, mk AS (SELECT *, lead(ts) OVER (PARTITION BY dataset ORDER BY ts, ord) AS nts FROM ev WHERE kind IN ('signup', 'purchase')),
+sg AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY ts, nts) - 1 AS pos, ts AS a, nts AS z FROM mk WHERE kind = 'signup' AND nts IS NOT NULL),
+lb AS (SELECT e.dataset, e.ord, coalesce(min_by(pos % 5, pos), -1) AS label FROM ev e LEFT JOIN sg ON sg.dataset = e.dataset AND e.ts >= a AND e.ts < z GROUP BY 1, 2)
+SELECT label, phase, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY label) AS share, count(*) FILTER (label >= 0 AND label = phase) AS n_matches FROM r JOIN lb ON lb.dataset = r.dataset AND lb.ord = r.ord WHERE r.i > 0 GROUP BY 1, 2""")
+def e17_machine_against_labels(t: Tables):
+    """The machine's replay of each user's log against the stretches from a signup to the next mark, labelled in turn."""
+    marks = episodes.numbered(episodes.paired_intervals(t.marks, 8.64e13)).where("end_ts is not null")
+    segments = marks.select(F.col("dataset").alias("key"), F.col("episode").alias("pos"), (F.col("episode") % 5).alias("phase"), F.col("start_ts").alias("start_t"), F.col("end_ts").alias("end_t"))
+    rows = jobs.machine_against_labels(_signals(t), segments, control.PhaseRules(1, 5), 8.64e13)
+    hits = rows.groupBy(F.col("label").alias("__l"), F.col("phase").alias("__p")).agg(F.count_if("match").alias("n_matches"))
+    return reports.agreement(rows, "label", "phase").join(hits.hint("merge"), (F.col("label") == F.col("__l")) & (F.col("phase") == F.col("__p")))
