@@ -36,18 +36,18 @@ def output_indices(episodes: DataFrame, kept: str = "kept") -> DataFrame:
 
 def united(frames: DataFrame, shift: DataFrame) -> DataFrame:
     """H1: frames (dataset, episode_index, index, ...) with keys shifted by their dataset's offsets."""
-    s = shift.select(F.col("dataset").alias("d"), "episode_offset", "frame_offset")
-    return _shifted(frames.join(s.hint("merge"), F.col("dataset") == F.col("d")), {"episode_index": "episode_offset", "index": "frame_offset"})
+    return _shifted(frames, shift, {"episode_index": "episode_offset", "index": "frame_offset"})
 
 
 def united_episodes(episodes: DataFrame, shift: DataFrame) -> DataFrame:
     """H1: episode rows (dataset, episode_index, dataset_from_index, dataset_to_index, ...) with their keys shifted."""
-    s = shift.select(F.col("dataset").alias("d"), "episode_offset", "frame_offset")
-    return _shifted(episodes.join(s.hint("merge"), F.col("dataset") == F.col("d")), {"episode_index": "episode_offset", "dataset_from_index": "frame_offset", "dataset_to_index": "frame_offset"})
+    return _shifted(episodes, shift, {"episode_index": "episode_offset", "dataset_from_index": "frame_offset", "dataset_to_index": "frame_offset"})
 
 
-def _shifted(rows: DataFrame, by: dict[str, str]) -> DataFrame:
-    return rows.withColumns({c: F.col(c) + F.col(o) for c, o in by.items()}).drop("d", "episode_offset", "frame_offset")
+def _shifted(rows: DataFrame, shift: DataFrame, by: dict[str, str]) -> DataFrame:
+    """``shift`` has one row a dataset and goes to all tasks: a shuffle by dataset would put a dataset's rows into one."""
+    s = F.broadcast(shift.select(F.col("dataset").alias("d"), "episode_offset", "frame_offset"))
+    return rows.join(s, F.col("dataset") == F.col("d")).withColumns({c: F.col(c) + F.col(o) for c, o in by.items()}).drop("d", "episode_offset", "frame_offset")
 
 
 def task_registry(tasks: DataFrame, order: str = "dataset") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators import alignment, annotate, episodes, labels, merging, reports, signals
+from ..operators.scans import scanned
 from ..streaming import control
 from .binding import EPISODE_ROWS, EV, PAIRS, SEGMENTS, Tables, query
 
@@ -247,9 +248,9 @@ def b20_unknown_phase(t: Tables):
 s AS (SELECT dataset, count(*) AS ne, sum(n) AS nf FROM e GROUP BY 1), o AS (SELECT dataset, coalesce(sum(ne) OVER w, 0) AS eo, coalesce(sum(nf) OVER w, 0) AS fo FROM s WINDOW w AS (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT e.dataset, i + eo AS episode_index, z - n + fo AS dataset_from_index, z + fo AS dataset_to_index FROM e JOIN o USING (dataset)""")
 def h1_united_episodes(t: Tables):
-    w = Window.partitionBy("dataset").orderBy("o_orderkey")
-    e = t.orders.select(F.col("o_orderpriority").alias("dataset"), "o_orderkey", F.col("o_custkey").alias("n")).withColumn("episode_index", F.row_number().over(w) - 1).withColumn("dataset_to_index", F.sum("n").over(w))
-    sizes = e.groupBy("dataset").agg(F.count("*").alias("n_episodes"), F.sum("n").alias("n_frames"))
+    o = t.orders.select(F.col("o_orderpriority").alias("dataset"), "o_orderkey", F.col("o_custkey").alias("n"))
+    e = scanned(o, ["dataset"], ["o_orderkey"], 10_000, running={"dataset_to_index": F.col("n")}, place="episode_index")
+    sizes = o.groupBy("dataset").agg(F.count("*").alias("n_episodes"), F.sum("n").alias("n_frames"))
     return merging.united_episodes(e.withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("n")), merging.offsets(sizes))
 
 

@@ -222,32 +222,36 @@ _SOURCES = """src AS (SELECT l_returnflag AS dataset, dense_rank() OVER (PARTITI
 sizes AS (SELECT dataset, max(episode_index) + 1 AS n_episodes, count(*) AS n_frames FROM src GROUP BY 1), offs AS (SELECT dataset, coalesce(sum(n_episodes) OVER w, 0) AS eo, coalesce(sum(n_frames) OVER w, 0) AS fo FROM sizes WINDOW w AS (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
+def _parts(t: Tables):
+    """Lines with the part of their dataset that they lie in: a thousand order keys."""
+    lines = t.lineitem.select(F.col("l_returnflag").alias("dataset"), "l_orderkey", "l_linenumber", "l_partkey")
+    return lines.withColumn("part", F.floor(F.col("l_orderkey") / 1000))
+
+
+def _part_sizes(t: Tables):
+    """(dataset, part, e, f): its orders and lines."""
+    return _parts(t).groupBy("dataset", "part", "l_orderkey").agg(F.count("*").alias("n")).groupBy("dataset", "part").agg(F.count("*").alias("e"), F.sum("n").alias("f"))
+
+
 def _source(t: Tables):
-    """Orders of a return flag with places that earlier orders leave; lines are placed within their order, so no window spans a dataset's frames."""
+    """Orders of a return flag with places that earlier orders leave; lines are placed within their part, so no window spans a dataset's frames."""
     from pyspark.sql import Window
 
-    lines = t.lineitem.select(F.col("l_returnflag").alias("dataset"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    counts = lines.groupBy("dataset", "l_orderkey").agg(F.count("*").alias("n"))
-    spread = counts.withColumn("part", F.floor(F.col("l_orderkey") / 1000))
-    inner = Window.partitionBy("dataset", "part").orderBy("l_orderkey")
-    base = spread.groupBy("dataset", "part").agg(F.count("*").alias("e"), F.sum("n").alias("f"))
     before = Window.partitionBy("dataset").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select(F.col("dataset").alias("bd"), F.col("part").alias("bp"), F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"))
-    orders = spread.withColumn("e", F.row_number().over(inner) - 1).withColumn("f", F.sum("n").over(inner) - F.col("n")).join(base, (F.col("dataset") == F.col("bd")) & (F.col("part") == F.col("bp")))
-    orders = orders.select(F.col("dataset").alias("od"), F.col("l_orderkey").alias("ok"), (F.col("e") + F.col("e0")).alias("episode_index"), (F.col("f") + F.col("f0")).alias("first"))
-    within = Window.partitionBy("dataset", "l_orderkey").orderBy("l_linenumber")
-    placed = lines.withColumn("k", F.row_number().over(within) - 1).join(orders, (F.col("dataset") == F.col("od")) & (F.col("l_orderkey") == F.col("ok")))
-    return placed.withColumn("index", F.col("first") + F.col("k")).select("dataset", "episode_index", "index", "id", "l_partkey")
+    base = _part_sizes(t).select(F.col("dataset").alias("bd"), F.col("part").alias("bp"), F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"))
+    inner = Window.partitionBy("dataset", "part")
+    placed = _parts(t).withColumn("f", F.row_number().over(inner.orderBy("l_orderkey", "l_linenumber")) - 1).withColumn("e", F.dense_rank().over(inner.orderBy("l_orderkey")) - 1)
+    placed = placed.join(base.hint("merge"), (F.col("dataset") == F.col("bd")) & (F.col("part") == F.col("bp")))
+    return placed.select("dataset", (F.col("e") + F.col("e0")).alias("episode_index"), (F.col("f") + F.col("f0")).alias("index"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_partkey")
 
 
-def _sizes(frames):
-    return frames.groupBy("dataset").agg((F.max("episode_index") + 1).alias("n_episodes"), F.count("*").alias("n_frames"))
+def _sizes(t: Tables):
+    return _part_sizes(t).groupBy("dataset").agg(F.sum("e").alias("n_episodes"), F.sum("f").alias("n_frames"))
 
 
 @query("dataset:s id:l episode_index:l index:l", f"WITH {_SOURCES} SELECT dataset, id, episode_index + eo AS episode_index, index + fo AS index FROM src JOIN offs USING (dataset)")
 def h1_dataset_union(t: Tables):
-    frames = _source(t)
-    return merging.united(frames, merging.offsets(_sizes(frames)))
+    return merging.united(_source(t), merging.offsets(_sizes(t)))
 
 
 _TASKS = "tasks AS (SELECT p_brand AS dataset, p_type AS task, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS task_index FROM (SELECT DISTINCT p_brand, p_type FROM part)), reg AS (SELECT task, row_number() OVER (ORDER BY f, task) - 1 AS global_index FROM (SELECT task, min((dataset, task_index)) AS f FROM tasks GROUP BY 1))"

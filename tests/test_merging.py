@@ -130,3 +130,14 @@ def test_filled_tasks_are_counted(spark):
     filled, seen = fields.filled_tasks(rows)
     assert sorted(r.task for r in filled.collect()) == sorted(["a", "", fields.FALLBACK_TASK, fields.FALLBACK_TASK])
     assert seen.get == {"n_rows": 4, "n_filled": 2}
+
+
+def test_no_task_holds_the_rows_of_a_dataset(spark):
+    """The offsets go to the rows, so rows of one dataset stay in as many parts as they came in."""
+    shift = spark.createDataFrame([("a", 0, 0), ("b", 7, 4000)], "dataset string, episode_offset long, frame_offset long")
+    frames = spark.range(4400, numPartitions=8).selectExpr("if(id < 4000, 'a', 'b') AS dataset", "id % 7 AS episode_index", "id AS index")
+    episodes = frames.selectExpr("dataset", "episode_index", "index AS dataset_from_index", "index + 1 AS dataset_to_index")
+    for out in (merging.united(frames, shift), merging.united_episodes(episodes, shift)):
+        assert max(map(len, out.rdd.glom().collect())) == 550
+    got = {(r.dataset, r["index"]): r.episode_index for r in merging.united(frames, shift).collect()}
+    assert got == {("a" if k < 4000 else "b", k if k < 4000 else k + 4000): k % 7 if k < 4000 else k % 7 + 7 for k in range(4400)}
