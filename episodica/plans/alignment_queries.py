@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..operators import alignment, annotate, episodes, labels, merging, reports, signals
 from ..operators.scans import scanned
+from ..operators.stored import stored
 from ..streaming import control
 from .binding import EPISODE_ROWS, EV, PAIRS, SEGMENTS, Tables, query
 
@@ -69,41 +70,45 @@ def b8_video_seconds(t: Tables):
 _TRIMS = "tr AS (SELECT *, a + (episode % 3) * 4 AS z FROM (SELECT DISTINCT dataset, episode, ((episode * 7 + dataset) % 20) * 0.5 AS a FROM v))"
 
 
-def _trims(t: Tables):
+def _trims(views):
     a = (F.col("episode") * 7 + F.col("dataset")) % 20 * 0.5
-    return _views(t).select("dataset", "episode").distinct().withColumn("trim_start_s", a).withColumn("trim_end_s", a + F.col("episode") % 3 * 4)
+    return views.select("dataset", "episode").distinct().withColumn("trim_start_s", a).withColumn("trim_end_s", a + F.col("episode") % 3 * 4)
 
 
 def _primary(t: Tables):
-    return alignment.video_seconds(_frames(t).where("camera = 'click'"))
+    """Stored, as what uses it does so several times."""
+    return stored(alignment.video_seconds(stored(_frames(t).where("camera = 'click'"))))
 
 
 @query("dataset:l episode:l ord:l", f"""WITH {_VIEWS}, {_TRIMS}, res AS (SELECT t.dataset, t.episode, min_by(f.ts, (abs(f.fno - a), -f.fno)) AS fa, min_by(f.ts, (abs(f.fno - z), -f.fno)) AS fz FROM tr t JOIN fr f ON f.dataset = t.dataset AND f.kind = 'click' WHERE z > a GROUP BY 1, 2),
 m AS (SELECT v.*, coalesce(v.ts BETWEEN fa AND fz, false) AS i FROM v LEFT JOIN res USING (dataset, episode)) SELECT * FROM (SELECT *, bool_or(i) OVER (PARTITION BY dataset, episode) AS hit FROM m) WHERE i OR NOT hit""")
 def c5_manual_trims(t: Tables):
-    return alignment.trimmed_by_hand(_views(t), _trims(t), _primary(t))
+    views = stored(_views(t))
+    return alignment.trimmed_by_hand(views, _trims(views), _primary(t))
 
 
 _BOUNDS = """ep AS (SELECT dataset, episode, min(ts) AS f, max(ts) AS l FROM v GROUP BY 1, 2), b0 AS (SELECT e.dataset, e.episode, kind AS camera, coalesce(min(fno) FILTER (fr.ts >= f), max(fno)) AS s, coalesce(min(fno) FILTER (fr.ts >= l), max(fno)) AS z FROM ep e JOIN fr ON fr.dataset = e.dataset GROUP BY 1, 2, 3),
 b AS (SELECT dataset, episode, camera, CAST(s AS DOUBLE) AS start_s, CASE WHEN z <= s THEN s + 0.1 ELSE CAST(z AS DOUBLE) END AS end_s FROM b0)"""
 
 
-def _ends(t: Tables):
-    return _views(t).groupBy("dataset", "episode").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def _ends(views):
+    return views.groupBy("dataset", "episode").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @query("dataset:l episode:l reason:s", f"WITH {_VIEWS}, {_TRIMS}, {_BOUNDS} SELECT tr.dataset, tr.episode, CASE WHEN start_s IS NULL THEN 'no_episode' WHEN tr.z <= a THEN 'order' WHEN a < start_s OR tr.z > end_s THEN 'bounds' END AS reason FROM tr LEFT JOIN b ON b.dataset = tr.dataset AND b.episode = tr.episode AND camera = 'click'")
 def c6_trim_requests(t: Tables):
-    return alignment.checked_trims(_trims(t), alignment.camera_bounds(_ends(t), _primary(t)))
+    views = stored(_views(t))
+    return alignment.checked_trims(_trims(views), alignment.camera_bounds(_ends(views), _primary(t)))
 
 
 @query("dataset:l episode:l n_cameras:l click_start:d click_end:d error_start:d task:s trim_end_s:d n_subtasks:l", f"""WITH {_VIEWS}, {_TRIMS}, {_BOUNDS}, c AS (SELECT dataset, episode, count(*) AS n, max(start_s) FILTER (camera = 'click') AS cs, max(end_s) FILTER (camera = 'click') AS ce, max(start_s) FILTER (camera = 'error') AS es FROM b GROUP BY 1, 2)
 SELECT dataset, episode, n AS n_cameras, cs AS click_start, ce AS click_end, es AS error_start, CASE WHEN episode % 2 = 0 THEN 'even' END AS task, CASE WHEN episode % 3 = 1 THEN tr.z END AS trim_end_s, CASE WHEN episode = 0 THEN 2 END AS n_subtasks FROM ep JOIN tr USING (dataset, episode) LEFT JOIN c USING (dataset, episode)""")
 def h6_episode_overview(t: Tables):
-    ends = _ends(t)
+    views = stored(_views(t))
+    ends = _ends(views)
     keys = ends.select("dataset", "episode")
     sub = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s")) for p in "ab"])
-    out = alignment.episode_overview(ends, alignment.video_seconds(_frames(t)), keys.where("episode % 2 = 0").withColumn("task", F.lit("even")), _trims(t).where("episode % 3 = 1"), keys.where("episode = 0").withColumn("subtasks", sub))
+    out = alignment.episode_overview(ends, alignment.video_seconds(_frames(t)), keys.where("episode % 2 = 0").withColumn("task", F.lit("even")), _trims(views).where("episode % 3 = 1"), keys.where("episode = 0").withColumn("subtasks", sub))
     at = lambda camera, c: F.try_element_at("cameras", F.lit(camera))[c]
     return out.select("*", F.when(F.col("cameras").isNotNull(), F.size("cameras")).alias("n_cameras"), at("click", "start_s").alias("click_start"), at("click", "end_s").alias("click_end"), at("error", "start_s").alias("error_start"), F.when(F.col("subtasks").isNotNull(), F.size("subtasks")).alias("n_subtasks"))
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from episodica.operators import episodes
 from episodica.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -43,6 +44,14 @@ def test_merged_stats_of_every_dimension(spark, db):
     assert sorted(r.pos for r in got) == list(range(want[0])) and {r.value for r in got} == {want[1]}
 
 
+@pytest.mark.parametrize("name", ["c5_manual_trims"])
+def test_rows_of_episodes_are_found_once(spark, monkeypatch, name):
+    found, plain = [], episodes.boundaries
+    monkeypatch.setattr(episodes, "boundaries", lambda *a: found.append(1) or plain(*a))
+    catalog.QUERIES[name](spark, DATA)
+    assert len(found) == 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
