@@ -44,7 +44,7 @@ def test_merged_stats_of_every_dimension(spark, db):
     assert sorted(r.pos for r in got) == list(range(want[0])) and {r.value for r in got} == {want[1]}
 
 
-@pytest.mark.parametrize("name", ["c5_manual_trims"])
+@pytest.mark.parametrize("name", ["c5_manual_trims", "c6_trim_requests", "h6_episode_overview"])
 def test_rows_of_episodes_are_found_once(spark, monkeypatch, name):
     found, plain = [], episodes.boundaries
     monkeypatch.setattr(episodes, "boundaries", lambda *a: found.append(1) or plain(*a))
