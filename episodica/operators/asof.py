@@ -32,12 +32,14 @@ def _timeline(left: DataFrame, right: DataFrame, payload: str | None) -> DataFra
     return asked.unionByName(found.withColumn("ord", F.lit(None).cast(left.schema["ord"].dataType)))
 
 
-def _neighbours(left: DataFrame, right: DataFrame, payload: str | None, block: float) -> DataFrame:
+def _neighbours(left: DataFrame, right: DataFrame, payload: str | None, block: float, parts: int | None = None) -> DataFrame:
     """Left rows with the nearest right row at or after them (__a) and at or before them (__b).
 
     A window spans one block of time of a dataset, not its whole timeline; what blocks before and after hold comes from a table of one row a block.
+    With ``parts`` blocks are dealt to so many partitions, which Spark doesn't join to fewer.
     """
     both = _timeline(left, right, payload).withColumn("__n", F.floor(F.col("ts") / block))
+    both = both.repartition(parts, "dataset", "__n") if parts else both
     place = F.when(F.col("__r").isNotNull(), F.struct("ts", "__o"))
     blocks = both.groupBy("dataset", "__n").agg(F.min_by("__r", place).alias("lo"), F.max_by("__r", place).alias("hi"))
     order = Window.partitionBy("dataset").orderBy("__n")
@@ -69,9 +71,9 @@ def nearest_any(left: DataFrame, right: DataFrame, tie: str = "later", payload:
     return _out(near.withColumn("__x", F.when(F.col("__a").isNotNull() & takes_after, F.col("__a")).otherwise(F.col("__b"))), payload)
 
 
-def around(left: DataFrame, right: DataFrame, payload: str, block: float = 3.6e12) -> DataFrame:
-    """Left rows (dataset, ts, ord) with the nearest right rows at or after and at or before them: after_ts, before_ts, and their ``payload`` as after_ and before_; nulls where there is none. ``block``: see ``_neighbours``."""
-    near = _neighbours(left, right, payload, block)
+def around(left: DataFrame, right: DataFrame, payload: str, block: float = 3.6e12, parts: int | None = None) -> DataFrame:
+    """Left rows (dataset, ts, ord) with the nearest right rows at or after and at or before them: after_ts, before_ts, and their ``payload`` as after_ and before_; nulls where there is none. ``block``, ``parts``: see ``_neighbours``."""
+    near = _neighbours(left, right, payload, block, parts)
     return near.select("dataset", "ts", "ord", *[F.col(c)[f].alias(n) for s, c in (("after", "__a"), ("before", "__b")) for f, n in (("ts", f"{s}_ts"), ("p", f"{s}_{payload}"))])
 
 

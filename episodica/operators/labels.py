@@ -19,17 +19,23 @@ EXPECTED = {"pick_place": (0, 1, 2, 3, 4), "msd_plug": (0, 1, 2, 3, 4)}
 def nearest_phase(rows: DataFrame, phases: DataFrame, key: str, bucket: float) -> DataFrame:
     """For each row (key, ts, ord) the first phase (by pos) whose closed interval holds it, else the one with the nearest edge.
 
-    ``bucket``: about the length of a phase. The nearest edges are the last one before a row and the first one after it; they are looked for by blocks of about
-    a hundred phases (``asof.around``), so rows and phases of a key are never paired, and no task holds a whole key.
+    ``bucket``: about the length of a phase. Only rows that no phase holds look for the nearest edges, the last one before and the first one after; they do so by blocks of about
+    a hundred phases (``asof.around``), so rows and phases of a key are never paired, and no task holds a whole key. Edges and what looks for them are dealt to a given number of
+    partitions (spark.sql.shuffle.partitions): they compress so well that few large tasks would hold them otherwise.
     """
     p = phases.select(F.col(key).alias("__k"), "pos", "phase", "start_t", "end_t")
     inside = (F.col("ts") >= F.col("start_t")) & (F.col("ts") <= F.col("end_t"))
-    first = joined(rows.select(key, "ts", "ord"), p, key, "ts", bucket, inside, "start_t", "end_t", "left").groupBy(key, "ts", "ord").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("pos", "phase"))).alias("hit"))
-    edge = phases.select(F.col(key).alias("dataset"), F.explode(F.array("start_t", "end_t")).alias("ts"), "pos", "phase").where("ts is not null").groupBy("dataset", "ts").agg(F.min(F.struct("pos", "phase")).alias("e"))
-    left = first.select(F.col(key).alias("dataset"), "ts", F.struct("ord", "hit").alias("ord"))
-    met = asof.around(left, edge.withColumn("ord", F.lit(0).cast("long")), "e", 100.0 * bucket)
+    # of plain values, so that hashing does: a least struct would have all rows sorted once more on either side of the shuffle
+    least = [F.min("pos").alias("pos"), F.min_by("phase", "pos").alias("phase")]
+    first = joined(rows.select(key, "ts", "ord"), p, key, "ts", bucket, inside, "start_t", "end_t", "left").groupBy(key, "ts", "ord").agg(*least)
+    ends = phases.select(F.col(key).alias("dataset"), F.explode(F.array("start_t", "end_t")).alias("ts"), "pos", "phase").where("ts is not null")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge = ends.repartition(parts, "dataset", "ts").groupBy("dataset", "ts").agg(*least)
+    left = first.where("pos is null").select(F.col(key).alias("dataset"), "ts", "ord")
+    met = asof.around(left, edge.select("dataset", "ts", F.struct("pos", "phase").alias("e"), F.lit(0).cast("long").alias("ord")), "e", 100.0 * bucket, parts)
     choice = lambda s: F.when(F.col(f"{s}_e").isNotNull(), F.struct(F.abs(F.col("ts") - F.col(f"{s}_ts")).alias("d"), F.col(f"{s}_e")["pos"].alias("pos"), F.col(f"{s}_e")["phase"].alias("phase")))
-    return met.select(F.col("dataset").alias(key), "ts", F.col("ord")["ord"].alias("ord"), F.coalesce(F.col("ord")["hit"]["phase"], F.least(choice("before"), choice("after"))["phase"]).alias("phase"))
+    near = met.select(F.col("dataset").alias(key), "ts", "ord", F.least(choice("before"), choice("after"))["phase"].alias("phase"))
+    return first.where("pos is not null").select(key, "ts", "ord", "phase").unionByName(near)
 
 
 def half_open_phase(rows: DataFrame, segments: DataFrame, key: str, bucket: float) -> DataFrame:

@@ -79,3 +79,13 @@ def test_nearest_phase_across_blocks(spark):
 
     got = labels.nearest_phase(spark.createDataFrame(rows, "k string, ts double, ord int"), spark.createDataFrame(phases, "k string, pos int, phase int, start_t double, end_t double"), "k", 0.5)
     assert {r.ord: r.phase for r in got.collect()} == {i: want(t) for _, t, i in rows}
+
+
+def test_edges_of_phases_keep_their_partitions(spark):
+    """Edges and the rows that look for them aren't joined to few large tasks, and rows that a phase holds don't look for edges."""
+    phases = spark.range(20_000).selectExpr("id % 2000 AS k", "id AS pos", "id % 5 AS phase", "10.0D * floor(id / 2000) AS start_t", "10.0D * floor(id / 2000) + 5 AS end_t")
+    rows = spark.range(20_000).selectExpr("id % 2000 AS k", "floor(id / 2000) * 10 + if(id % 4 = 0, 7.0D, 2.0D) AS ts", "id AS ord")
+    got = labels.nearest_phase(rows, phases, "k", 10.0)
+    assert got.count() == 20_000 and got.where("phase != ord % 5").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "SortAggregate(key=[k" not in plan
